@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stash, text_key
+from .common import stash, text_key
 
 WINDOW = 50
 GRAM = 8
@@ -122,7 +122,10 @@ def _windows(asked: DataFrame, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tk, spans): word ranges [start, end) of each document that a document with a smaller id holds too."""
     src = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tk"), F.col(text_col).alias("text"))
-    found = stash(_anchors(src, window, gram), "anchors")
+    every = stash(_anchors(src, window, gram), "anchors")
+    # Most anchors stand in one document only: no window of theirs is repeated.
+    shared = every.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    found = stash(every.join(shared, "anchor"), "seeds")
     one = F.struct("id", "tk", "start", "n", "lead")
     by_run = found.groupBy("anchor", "run").agg(F.min(one).alias("first"), F.max("id").alias("last"))
     by_run = stash(by_run.select("anchor", "run", "first", "last", F.col("first.id").alias("owner")), "runs")
@@ -130,7 +133,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     many = by_run.groupBy("anchor").agg(F.count("*").alias("k"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("k > 1 and lo < hi").select("anchor")
     asks = by_run.join(many, "anchor").select("first.id", "first.tk", F.struct("anchor", "run", "first.start", "first.n", "first.lead").alias("ask"))
     asks = asks.groupBy("id", "tk").agg(F.collect_list("ask").alias("asks"))
-    wins = cut(_windows(src.join(asks, ["id", "tk"]).select("id", "text", "asks"), window))
+    wins = stash(_windows(src.join(asks, ["id", "tk"]).select("id", "text", "asks"), window), "windows")
     least = wins.groupBy("anchor", "off", "win").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("last > owner").drop("last")
     single = wins.join(least, ["anchor", "off", "win"]).where(F.col("id") > F.col("owner"))
     parts = single.groupBy("anchor", "run").agg(F.collect_set("rel").alias("rels"))
