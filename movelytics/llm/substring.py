@@ -79,24 +79,34 @@ def runs(words: list[bytes], window: int = WINDOW, gram: int = GRAM):
     return grams[at[first]], span_hashes(prefix, first, count + window - 1, inverse), first, count, at[first] - first
 
 
+def _grouped(anchor: np.ndarray, run: np.ndarray, start: np.ndarray, n: np.ndarray, lead: np.ndarray):
+    """One entry per different run of a text, with all its places: a text that repeats a few words has one run thousands of times.
+
+    Equal runs have equal words, so equal n and lead.
+    """
+    order = np.lexsort((start, run, anchor))
+    a, r = anchor[order], run[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1]))))
+    return a[first], r[first], n[order][first], lead[order][first], np.diff(np.concatenate((first, [len(a)]))), start[order]
+
+
 def _anchors(src: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            ids, out = b.column(0), []
+            out = []
             for i in range(b.num_rows):
                 got = runs(split_words(b.column(2)[i].as_py()), window, gram)
                 if got is not None:
-                    out.append((i, *got))
+                    out.append((i, *_grouped(*got)))
             if out:
-                rows = np.concatenate([np.full(len(x[1]), x[0]) for x in out])
-                cols = [np.concatenate([x[k] for x in out]) for k in range(1, 6)]
-                yield pa.record_batch(
-                    [ids.take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), *(pa.array(c.astype(np.int32)) for c in cols[2:])],
-                    names=["id", "tk", "anchor", "run", "start", "n", "lead"],
-                )
+                rows = pa.array(np.concatenate([np.full(len(x[1]), x[0]) for x in out]))
+                anchor, run_, n, lead, size, starts = (np.concatenate([x[k] for x in out]) for k in range(1, 7))
+                offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+                cols = [b.column(0).take(rows), b.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(run_.view(np.int64)), pa.array(n.astype(np.int16)), pa.array(lead.astype(np.int16)), pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32)))]
+                yield pa.record_batch(cols, names=["id", "tk", "anchor", "run", "n", "lead", "starts"])
 
     kind = src.schema["id"].dataType.simpleString()
-    return src.where("id is not null").mapInArrow(run, f"id {kind}, tk bigint, anchor bigint, run bigint, start int, n int, lead int")
+    return src.where("id is not null").mapInArrow(run, f"id {kind}, tk bigint, anchor bigint, run bigint, n smallint, lead smallint, starts array<int>")
 
 
 def _windows(asked: DataFrame, window: int) -> DataFrame:
@@ -124,9 +134,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     src = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tk"), F.col(text_col).alias("text"))
     every = stash(_anchors(src, window, gram), "anchors")
     # Most anchors stand in one document only: no window of theirs is repeated.
-    shared = every.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    # (Written first, so that the join below reads two plain exchanges and Spark can split a hot anchor.)
+    shared = stash(every.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor"), "shared-anchors")
     found = stash(every.join(shared, "anchor"), "seeds")
-    one = F.struct("id", "tk", "start", "n", "lead")
+    one = F.struct("id", "tk", F.col("starts")[0].alias("start"), F.col("n").cast("int").alias("n"), F.col("lead").cast("int").alias("lead"))
     by_run = found.groupBy("anchor", "run").agg(F.min(one).alias("first"), F.max("id").alias("last"))
     by_run = stash(by_run.select("anchor", "run", "first", "last", F.col("first.id").alias("owner")), "runs")
     # Anchors with several runs: windows of each run's first document, one by one. What holds there holds wherever the run stands.
@@ -140,8 +151,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     held = by_run.join(parts, ["anchor", "run"], "left").where("last > owner or rels is not null").select("anchor", "run", "owner", "rels")
     # Behind the run's first document the whole run is a repeat; in that document only the windows found above.
     hits = found.join(held, ["anchor", "run"]).where("id > owner or rels is not null")
-    whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n") + F.lit(window - 1)).alias("end")))
-    single_windows = F.transform("rels", lambda r: F.struct((F.col("start") + r).alias("start"), (F.col("start") + r + F.lit(window)).alias("end")))
+    whole = F.transform("starts", lambda x: F.struct(x.alias("start"), (x + F.col("n") + F.lit(window - 1)).alias("end")))
+    single_windows = F.flatten(F.transform("starts", lambda x: F.transform("rels", lambda r: F.struct((x + r).alias("start"), (x + r + F.lit(window)).alias("end")))))
     spans = hits.select("id", "tk", F.when(F.col("id") > F.col("owner"), whole).otherwise(single_windows).alias("spans"))
     return spans.groupBy("id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
