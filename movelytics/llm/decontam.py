@@ -125,8 +125,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 2 * WINDO
     rare, others = hits.where("rank = 1"), hits.where("rank > 1").withColumnRenamed("pos", "other")
     # Postings meet by blocks of `within` words, the rarest term's in its own and both neighbours.
     a = rare.select("id", "tk", "item", "s", "pos", F.explode(F.sequence(F.expr(f"pos div {within} - 1"), F.expr(f"pos div {within} + 1"))).alias("block"))
-    b = others.withColumn("block", F.expr(f"other div {within}"))
-    near = a.join(b.drop("id").withColumn("id", F.col("id")), ["id", "tk", "item", "s", "block"]).where(F.abs(F.col("other") - F.col("pos")) <= within)
+    b = others.withColumn("block", F.expr(f"other div {within}")).withColumnRenamed("id", "other_id")
+    near = a.join(b, ["tk", "item", "s", "block"]).where(F.col("id").eqNullSafe(F.col("other_id"))).where(F.abs(F.col("other") - F.col("pos")) <= within)
     need = asked.groupBy("item", "s").agg((F.count("*") - 1).alias("need"))
     got = near.groupBy("id", "tk", "item", "s", "pos").agg(F.countDistinct("rank").alias("got")).join(_small(need, n), ["item", "s"]).where("got >= need")
     return got.join(_small(phrases.select("item", "item_ids"), n), "item").select("id", "item_ids", F.col("pos").alias("start")).distinct()

@@ -82,6 +82,8 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     """Write all rows; returns the folder and its manifest (file, records, bytes)."""
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    where, root = _open(path)
+    where.create_dir(root, recursive=True)  # also where there is no row to write
     dictionary = spark.sparkContext.broadcast(train_dictionary(pages, payload))
 
     def run(batches):
