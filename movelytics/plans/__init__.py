@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, audits, base, estimates, joins, models, scalars, windows
+from . import aggregates, audits, base, estimates, extras, joins, models, scalars, windows
 
-__all__ = ["aggregates", "audits", "base", "estimates", "joins", "models", "oracles", "queries", "scalars", "windows"]
+__all__ = ["aggregates", "audits", "base", "estimates", "extras", "joins", "models", "oracles", "queries", "scalars", "windows"]
 
 
 def queries():
