@@ -14,7 +14,10 @@ from .estimates import baseline_features
 
 NUM = ["p", "s", "l", "p_ok", "no_aobt", "hour", "weekday", "dep15", "dep60", "arr60", "arr60_taxi"]
 CAT = ["airport", "ac_type"]
-FOLDS = [("seasonal", F.col("fold") == 0), ("forward", F.col("fold") == 1)]
+
+
+def folds():
+    return [("seasonal", F.col("fold") == 0), ("forward", F.col("fold") == 1)]
 
 
 def features(spark, sf):
@@ -48,7 +51,7 @@ def f04(spark, sf):
 def m01(spark, sf):
     """Out-of-fold estimates: proxy plus a fitted residual, stopped early on a hash split."""
     df = features(spark, sf)
-    out = out_of_fold(df, FOLDS, lambda t: regressor(t, "resid", NUM, CAT, early="early"), ["mvt_id", "y", "p"])
+    out = out_of_fold(df, folds(), lambda t: regressor(t, "resid", NUM, CAT, early="early"), ["mvt_id", "y", "p"])
     return rounded(out.select("mvt_id", "holdout", F.greatest(F.coalesce("p", F.lit(200.0)) + F.col("fitted"), F.lit(0.0)).alias("estimate")))
 
 
@@ -120,8 +123,8 @@ def m07(spark, sf):
 def m08(spark, sf):
     """A correction of out-of-fold residuals on a small view, fold by fold."""
     df = features(spark, sf)
-    first = out_of_fold(df, FOLDS, lambda t: regressor(t, "y", NUM, CAT, rounds=3), ["mvt_id", "y", "fold", "arr60", "arr60_taxi", "hour"]).withColumnRenamed("fitted", "first").withColumn("resid", F.col("y") - F.col("first"))
-    out = out_of_fold(first.drop("holdout"), FOLDS, lambda t: regressor(t, "resid", ["arr60", "arr60_taxi", "hour", "first"], [], rounds=3), ["mvt_id", "first"])
+    first = out_of_fold(df, folds(), lambda t: regressor(t, "y", NUM, CAT, rounds=3), ["mvt_id", "y", "fold", "arr60", "arr60_taxi", "hour"]).withColumnRenamed("fitted", "first").withColumn("resid", F.col("y") - F.col("first"))
+    out = out_of_fold(first.drop("holdout"), folds(), lambda t: regressor(t, "resid", ["arr60", "arr60_taxi", "hour", "first"], [], rounds=3), ["mvt_id", "first"])
     return rounded(out.select("mvt_id", F.greatest(F.col("first") + F.col("fitted"), F.lit(0.0)).alias("estimate")))
 
 

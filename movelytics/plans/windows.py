@@ -9,9 +9,6 @@ from ..functions.keys import normal_key
 from ..operators.context import Win, band_join, context_agg, nearest, nearest_any, neighbours, occupancy, overtaking
 from .base import MIN, S, arrs, deps, moves, query, rounded
 
-PROXY = F.floor((F.col("t_us") - F.col("aobt_us")) / S).cast("long")
-FLOORED = F.floor(F.col("t_us") / S).cast("long") * S
-
 
 def _count_sql(events: str, key: str, lo: int, hi: int, what: str = "count(*)", extra: str = "", t: str = "t_us") -> str:
     return f"(select {what} from {events} e where {' and '.join(f'e.{k} = q.{k}' for k in key.split(','))} and e.{t} between q.t_us + ({lo}) and q.t_us + ({hi}){extra})"
