@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scan_groups, text_key
+from .common import cut, scan_groups, stash, text_key
 from .components import components
 
 BLOCK = 4096
@@ -119,7 +119,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(labels, "fp")
     least = named.groupBy("label").agg(F.min("first").alias("linked"))
     linked = named.join(least, "label").select("fp", "linked")
-    whole = distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
+    # Written first: the last join then reads two plain exchanges, and Spark can split a fingerprint that many rows share.
+    whole = stash(distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id")), "classes")
     return marked.join(whole, "fp").select("id", "tk", "fp", "component_id")
 
 
