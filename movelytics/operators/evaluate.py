@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def scores(df: DataFrame, target: str, estimate: str, by: list[str] = ()) -> DataFrame:
     """n, rmse, mae, bias (estimate - target), overall or per group; rows without both values don't count."""
@@ -67,7 +69,6 @@ def centred_slope(df: DataFrame, x: str, y: str, strata: list[str], least: int =
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the curve by the rank sum; equal scores share their mean rank. Ranks come from counts per distinct score."""
     per = df.groupBy(score).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranked = running(per, [], score, [], F.col("n"), "before")
     s = ranked.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..functions.keys import seconds
 from ..operators.evaluate import auc, centred_slope, error_shares, scores
+from ..operators.order import running
 from ..operators.quality import drift, quantiles
 from .base import S, arrs, deps, moves, query, rounded, table
 
@@ -232,5 +233,5 @@ def l01(spark, sf):
 def l02(spark, sf):
     """Position by best score: one more than the keys with a lower one."""
     b = table(spark, sf, "events").groupBy("user_id").agg(F.min("value").alias("best"))
-    ranks = b.groupBy("best").agg(F.count("*").alias("n")).withColumn("position", F.coalesce(F.sum("n").over(Window.orderBy("best").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
+    ranks = running(b.groupBy("best").agg(F.count("*").alias("n")), [], "best", [], F.col("n"), "before").withColumn("position", F.col("before") + 1)
     return b.join(ranks, "best").select("user_id", "best", "position")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, geo
 from ..operators.context import Win, context_agg, nearest, unique_keys
+from ..operators.order import row_numbers
 from ..operators.quality import coverage, differences, digest, exact_ids, vocabulary
 from ..operators.weather import HOUR, at_hour, weather_table
 from ..sources.geometry import STRIPS_SQL, end_codes, strip_edges, strip_table, strips
@@ -177,10 +178,10 @@ def j19(spark, sf):
     return both.agg(F.count("*").alias("n"), F.count("m1").alias("by_id"), F.count("m2").alias("by_name"), F.count_if(F.col("m1") == F.col("m2")).alias("same"))
 
 
-@query("j20_template", "{with}, t as (select o_orderkey as mvt_id, row_number() over (order by o_orderkey % 17, o_orderkey) as pos from orders) select t.pos, t.mvt_id, coalesce(d.taxi_sec, 0.0) as value from t left join d on t.mvt_id = d.mvt_id")
+@query("j20_template", "{with}, t as (select o_orderkey as mvt_id, (o_orderkey % 17) * 1000000000000 + o_orderkey as pos from orders) select t.pos, t.mvt_id, coalesce(d.taxi_sec, 0.0) as value from t left join d on t.mvt_id = d.mvt_id")
 def j20(spark, sf):
     """Every id of a template in its own order, with the value or 0."""
-    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("mvt_id")).withColumn("pos", F.row_number().over(Window.orderBy(F.col("mvt_id") % 17, "mvt_id")).cast("long"))
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("mvt_id")).withColumn("pos", F.col("mvt_id") % 17 * 1_000_000_000_000 + F.col("mvt_id"))
     return t.join(deps(spark, sf).select("mvt_id", "taxi_sec"), "mvt_id", "left").select("pos", "mvt_id", F.coalesce("taxi_sec", F.lit(0.0)).alias("value"))
 
 
@@ -291,7 +292,7 @@ def t01(spark, sf):
 
 @query("t02_canonical_order", "{with} select mvt_id, row_number() over (partition by airport order by t_us, phase, coalesce(runway, ''), mvt_id) as pos from m")
 def t02(spark, sf):
-    return moves(spark, sf).select("mvt_id", F.row_number().over(Window.partitionBy("airport").orderBy("t_us", "phase", F.coalesce("runway", F.lit("")), "mvt_id")).cast("long").alias("pos"))
+    return row_numbers(moves(spark, sf), ["airport"], "t_us", ["phase", F.coalesce("runway", F.lit("")), "mvt_id"], "pos").select("mvt_id", "pos")
 
 
 @query("t03_rare_sample")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import normal_key
 from ..operators.context import Win, band_join, context_agg, nearest, nearest_any, neighbours, occupancy, overtaking
+from ..operators.order import row_numbers, running, with_neighbours
 from .base import MIN, S, arrs, deps, moves, query, rounded
 
 
@@ -224,9 +225,9 @@ def w17(spark, sf):
 @query("w18_id_neighbours", "{with} select mvt_id, mvt_id - lag(mvt_id) over w as id_gap, (t_us - lag(t_us) over w) / 1000000.0 as step_s, coalesce(cast(phase = lag(phase) over w as int), 0) as same_phase, coalesce(cast(ac_type = lag(ac_type) over w as int), 0) as same_type, coalesce(cast(flight = lead(flight) over w as int), 0) as same_next_flight from m window w as (partition by airport order by mvt_id)")
 def w18(spark, sf):
     """Differences to the neighbour in id order at the airport."""
-    w = Window.partitionBy("airport").orderBy("mvt_id")
-    same = lambda c, f: F.coalesce((F.col(c) == f(c).over(w)).cast("int"), F.lit(0))
-    return moves(spark, sf).select("mvt_id", (F.col("mvt_id") - F.lag("mvt_id").over(w)).alias("id_gap"), ((F.col("t_us") - F.lag("t_us").over(w)) / 1_000_000.0).alias("step_s"), same("phase", F.lag).alias("same_phase"), same("ac_type", F.lag).alias("same_type"), same("flight", F.lead).alias("same_next_flight"))
+    m = with_neighbours(moves(spark, sf), ["airport"], "mvt_id", ["mvt_id", "t_us", "phase", "ac_type", "flight"], 4096)
+    same = lambda c, side: F.coalesce((F.col(c) == F.col(f"{side}.{c}")).cast("int"), F.lit(0))
+    return m.select("mvt_id", (F.col("mvt_id") - F.col("prev.mvt_id")).alias("id_gap"), ((F.col("t_us") - F.col("prev.t_us")) / 1_000_000.0).alias("step_s"), same("phase", "prev").alias("same_phase"), same("ac_type", "prev").alias("same_type"), same("flight", "next").alias("same_next_flight"))
 
 
 @query("w19_flight_nearby", "{with}, n as (select *, row_number() over (partition by airport order by mvt_id) as i from m) select q.mvt_id, exists (select 1 from n e where e.airport = q.airport and e.flight = q.flight and e.i <> q.i and abs(e.i - q.i) <= 5 and abs(e.mvt_id - q.mvt_id) <= 50) as nearby from n q")
@@ -248,23 +249,28 @@ def w20(spark, sf):
 )
 def w21(spark, sf):
     """Equal-count tertiles by explicit cuts, and thirds by average percent rank."""
-    by, ties = Window.partitionBy("airport"), Window.partitionBy("airport", "taxi_sec")
-    r = deps(spark, sf).select("mvt_id", F.row_number().over(by.orderBy("taxi_sec", "mvt_id")).alias("r"), F.count("*").over(by).alias("n"), F.rank().over(by.orderBy("taxi_sec")).alias("k"), F.count("*").over(ties).alias("ties"))
+    d = deps(spark, sf).select("mvt_id", "airport", "taxi_sec")
+    sizes = d.groupBy("airport").agg(F.count("*").alias("n"))  # one row per airport
+    equal = d.groupBy("airport", "taxi_sec").agg(F.count("*").alias("ties"))
+    below = running(equal, ["airport"], "taxi_sec", [], F.col("ties"), "below").withColumn("k", F.col("below") + 1)
+    r = row_numbers(d, ["airport"], "taxi_sec", ["mvt_id"], "r").join(below, ["airport", "taxi_sec"]).join(F.broadcast(sizes), "airport")
     cut = lambda k: 1 + k * (F.col("n") - 1) / 3.0
     return r.select("mvt_id", F.when(F.col("r") <= cut(1), 0).when(F.col("r") <= cut(2), 1).otherwise(2).alias("tertile"), F.least(F.floor(3.0 * (F.col("k") + (F.col("ties") - 1) / 2.0) / F.col("n")).cast("int"), F.lit(2)).alias("thirds"))
 
 
 @query("w22_centred", "{with} select mvt_id, round(taxi_sec - avg(taxi_sec) over w, 6) as centred, count(*) over w as n from d window w as (partition by airport, ac_type)")
 def w22(spark, sf):
-    w = Window.partitionBy("airport", "ac_type")
-    return rounded(deps(spark, sf).select("mvt_id", (F.col("taxi_sec") - F.avg("taxi_sec").over(w)).alias("centred"), F.count("*").over(w).alias("n")))
+    """Centring by the mean of a stratum: sums per stratum, joined back."""
+    d = deps(spark, sf)
+    means = d.groupBy("airport", "ac_type").agg(F.avg("taxi_sec").alias("mean"), F.count("*").alias("n"))
+    return rounded(d.join(means, ["airport", "ac_type"]).select("mvt_id", (F.col("taxi_sec") - F.col("mean")).alias("centred"), "n"))
 
 
 @query("w24_step_masks", "{with}, s as (select taxi_sec, (t_us - aobt_us) / 1000000.0 as p, (t_us - lag(t_us) over (partition by airport order by mvt_id)) / 1000000.0 as step from m), g as (select unnest([0, -3600, -21600, -86400]) as cut) select cut, coalesce(step < cut, false) as flagged, count(*) as n, round(sqrt(avg((p - taxi_sec) * (p - taxi_sec))), 4) as rmse from s, g where p is not null group by all")
 def w24(spark, sf):
     """Error of the proxy on rows whose time runs backwards in id order, against the others."""
-    w = Window.partitionBy("airport").orderBy("mvt_id")
-    s = moves(spark, sf).select("taxi_sec", ((F.col("t_us") - F.col("aobt_us")) / 1_000_000.0).alias("p"), ((F.col("t_us") - F.lag("t_us").over(w)) / 1_000_000.0).alias("step")).where("p is not null")
+    m = with_neighbours(moves(spark, sf), ["airport"], "mvt_id", ["mvt_id", "t_us"], 4096)
+    s = m.select("taxi_sec", ((F.col("t_us") - F.col("aobt_us")) / 1_000_000.0).alias("p"), ((F.col("t_us") - F.col("prev.t_us")) / 1_000_000.0).alias("step")).where("p is not null")
     long = s.withColumn("cut", F.explode(F.array(*[F.lit(x) for x in (0, -3600, -21600, -86400)])))
     e = F.col("p") - F.col("taxi_sec")
     return rounded(long.groupBy("cut", F.coalesce(F.col("step") < F.col("cut"), F.lit(False)).alias("flagged")).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")), 4)
