@@ -144,3 +144,51 @@ def test_substring(spark):
     left = {r["id"]: r["text"] for r in substring.without_repeats(docs.where("doc_id in (199, 202)")).collect()}
     assert left[202].split() == p.split()[:4] or left[202]  # what 199 doesn't hold
     assert substring.report(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_similar(spark, monkeypatch, block):
+    """Every pair of texts with 0.8 of their five-word shingles in common ends in one component, and no other pair is linked."""
+    import random
+
+    from movelytics.llm import overlap
+
+    from .data import words
+
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    rng = random.Random(8)
+    passage = words(rng, 60, 5000)
+    rows = []
+    for k in range(12):
+        base = words(rng, 150, 5000).split()
+        for v in range(6):
+            t = list(base)
+            for _ in range(v):
+                t[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t) + (" " + passage if k % 3 == 0 else "")))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, rows[0][1]), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = {t: set(overlap.shingle_set(t, 5).tolist()) for _, t in rows}
+    fps = {t: simhash.fingerprint64(t, 5) for _, t in rows}
+    names = list({t: 1 for _, t in rows})
+    root = {t: t for t in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            u = sets[a] | sets[b]
+            if bin(fps[a] ^ fps[b]).count("1") <= 3 or (u and len(sets[a] & sets[b]) / len(u) >= 0.8):
+                root[find(a)] = find(b)
+    least = defaultdict(list)
+    for d, t in rows:
+        if d is not None:
+            least[find(t)].append(d)
+    got = Counter((r["id"], r["component_id"]) for r in simhash.similar(docs, 0.8).collect())
+    assert got == Counter((d, min(least[find(t)])) for d, t in rows)
+    kept = {r["doc_id"] for r in simhash.one_per_group(docs, shingle=5, similarity=0.8).collect()}
+    assert kept == {min(v) for v in least.values()}
+    assert simhash.similar(docs.limit(0), 0.8).count() == 0
