@@ -24,8 +24,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, at most three differing bits."""
-    return simhash.one_per_group(docs, shingle=5)
+    """One document of each near-duplicate group stays: five-word shingles, at most three differing bits or 0.8 similar."""
+    return simhash.one_per_group(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
