@@ -109,28 +109,30 @@ def nearest(q: DataFrame, e: DataFrame, key: list[str], t: str, payload: list[st
     return both.withColumn("__best", known).where("__tag = 0").select(*q.columns, F.col("__best.__t").alias(f"{prefix}_t"), *[(F.col(f"__best.__v_{p}") * sign if sign < 0 else F.col(f"__best.__v_{p}")).alias(f"{prefix}_{p}") for p in payload])
 
 
-def nearest_any(q: DataFrame, e: DataFrame, key: list[str], t: str, side: str, name: str, width: int, event_t: str | None = None) -> DataFrame:
-    """q with the time of the nearest event of its key strictly before or after, however far.
+def nearest_any(q: DataFrame, e: DataFrame, key: list[str], t: str, kinds: dict[str, Column], width: int, event_t: str | None = None) -> DataFrame:
+    """q with `prev_{kind}` and `next_{kind}`: times of the nearest events of its key strictly before and after, however far.
 
-    Within a bucket a running extreme finds it; where the bucket has none, the extreme of the nearest bucket with events
-    is carried in, from a table of one row per (key, bucket).
+    kinds: name -> condition over e. All of them come from one sorted union. Within a bucket running extremes find them;
+    where the bucket has none, the extreme of the nearest bucket with events is carried in, from a table of one row per
+    (key, bucket).
     """
     event_t = event_t or t
     keys = [f"__k{i}" for i in range(len(key))]
-    past = side == "past"
-    pick = F.max if past else F.min
-    events = _renamed(e, key, event_t, []).where("__t is not null").withColumn("__b", F.floor(F.col("__t") / width).cast("long"))
+    marks = e.select(*key, F.col(event_t).alias("__et"), *[F.when(c, F.col(event_t)).alias(f"__n_{k}") for k, c in kinds.items()])
+    events = _renamed(marks, key, "__et", [f"__n_{k}" for k in kinds]).where("__t is not null").withColumn("__b", F.floor(F.col("__t") / width).cast("long"))
     queries = _queries(q, key, t, width)
-    # Buckets: every one with events or queries, with the extreme of the buckets beyond it.
-    buckets = events.groupBy(*keys, "__b").agg(pick("__t").alias("__x")).unionByName(queries.select(*keys, "__b").distinct(), allowMissingColumns=True).groupBy(*keys, "__b").agg(pick("__x").alias("__x"))
+    at = {k: f"__v___n_{k}" for k in kinds}
+    ends = [f(c).alias(f"{n}_{k}") for k, c in at.items() for n, f in (("__hi", F.max), ("__lo", F.min))]
+    buckets = events.unionByName(queries.select(*keys, "__b").distinct(), allowMissingColumns=True).groupBy(*keys, "__b").agg(*ends)
     order = Window.partitionBy(*keys).orderBy("__b")
-    beyond = order.rowsBetween(Window.unboundedPreceding, -1) if past else order.rowsBetween(1, Window.unboundedFollowing)
-    carry = buckets.withColumn("__carry", pick("__x").over(beyond)).drop("__x")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    carry = buckets.select(*keys, "__b", *[F.max(f"__hi_{k}").over(before).alias(f"__p_{k}") for k in kinds], *[F.min(f"__lo_{k}").over(after).alias(f"__f_{k}") for k in kinds])
     both = queries.unionByName(events.withColumn("__tag", F.lit(1)), allowMissingColumns=True)
     inner = Window.partitionBy(*keys, "__b").orderBy("__t")
-    frame = inner.rangeBetween(Window.unboundedPreceding, -1) if past else inner.rangeBetween(1, Window.unboundedFollowing)
-    local = both.withColumn("__near", pick(F.when(F.col("__tag") == 1, F.col("__t"))).over(frame)).where("__tag = 0")
-    return local.join(carry, [*keys, "__b"], "left").select(*q.columns, F.coalesce("__near", "__carry").alias(name))
+    past, future = inner.rangeBetween(Window.unboundedPreceding, -1), inner.rangeBetween(1, Window.unboundedFollowing)
+    local = both.withColumns({f"__i_{k}": F.max(c).over(past) for k, c in at.items()} | {f"__o_{k}": F.min(c).over(future) for k, c in at.items()}).where("__tag = 0")
+    found = [c for k in kinds for c in (F.coalesce(f"__i_{k}", f"__p_{k}").alias(f"prev_{k}"), F.coalesce(f"__o_{k}", f"__f_{k}").alias(f"next_{k}"))]
+    return local.join(carry, [*keys, "__b"], "left").select(*q.columns, *found)
 
 
 def band_join(q: DataFrame, e: DataFrame, key: list[str], q_lo: Column, q_hi: Column, e_t: str, span: int) -> DataFrame:

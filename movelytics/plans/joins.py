@@ -266,11 +266,11 @@ def w13(spark, sf):
     edges = strip_edges(s).select("airport", F.col("sid").alias("qsid"), F.col("other").alias("sid"), "relation")
     events = m.join(F.broadcast(edges), ["airport", "sid"]).select("airport", F.col("qsid").alias("sid"), "relation", "phase", "t_us")
     q = m.where("phase = 'DEP'").select("mvt_id", "airport", "sid", "t_us")
-    for rel in ("intersecting", "near_parallel"):
-        for ph in ("ARR", "DEP"):
-            wins = [Win(f"{rel}_{ph.lower()}{w}", -w * MIN, -1) for w in (15, 60)]
-            q = context_agg(q, events.where((F.col("relation") == rel) & (F.col("phase") == ph)), ["airport", "sid"], "t_us", wins, {"x": ("count", None)})
-    return q.select("mvt_id", *[F.col(c).alias(c[:-2]) for c in q.columns if c.endswith("_x")])
+    kinds = {f"{rel}_{ph.lower()}": (F.col("relation") == rel) & (F.col("phase") == ph) for rel in ("intersecting", "near_parallel") for ph in ("ARR", "DEP")}
+    marked = events.select("airport", "sid", "t_us", *[F.when(c, F.lit(1)).alias(n) for n, c in kinds.items()])
+    wins = [Win(f"w{w}", -w * MIN, -1) for w in (15, 60)]
+    out = context_agg(q, marked, ["airport", "sid"], "t_us", wins, {n: ("count", n) for n in kinds})
+    return out.select("mvt_id", *[F.col(f"w{w}_{n}").alias(f"{n}{w}") for n in kinds for w in (15, 60)])
 
 
 @query("g05_geometry_wind", "with {m}, {wx}, " + WTAB + ", " + GEO + " select q.mvt_id, g.sid, round(case when wt.wind_dir between 0 and 360 and wt.wind_speed >= 0 then wt.wind_speed * cos(radians(wt.wind_dir - g.le_heading)) end, 5) + 0.0 as head, round(case when wt.wind_dir between 0 and 360 and wt.wind_speed >= 0 then abs(wt.wind_speed * sin(radians(wt.wind_dir - g.le_heading))) end, 5) + 0.0 as crosswind from m q left join sg g on q.airport = g.airport and q.runway = g.le left join wt on q.airport = wt.airport and wt.hour_us = (q.t_us // 3600000000) * 3600000000 where q.phase = 'DEP'")

@@ -21,11 +21,12 @@ W01 = {"dep_prev5": ("d", -5, 0), "dep_prev15": ("d", -15, 0), "dep_prev30": ("d
 @query("w01_airport_counts", "{with} select mvt_id, " + ", ".join(f"greatest({_count_sql(s, 'airport', lo * MIN, hi * MIN)} - {1 if s == 'd' else 0}, 0) as {n}" for n, (s, lo, hi) in W01.items()) + " from d q")
 def w01(spark, sf):
     """Departures and arrivals at the airport around each departure, both ends inclusive, own row not counted."""
-    d = deps(spark, sf).select("mvt_id", "airport", "t_us")
-    for side, events in (("d", d), ("a", arrs(spark, sf))):
-        wins = [Win(n, lo * MIN, hi * MIN) for n, (s, lo, hi) in W01.items() if s == side]
-        d = context_agg(d, events, ["airport"], "t_us", wins, {"x": ("count", None)})
-    return d.select("mvt_id", *[F.greatest(F.col(f"{n}_x") - (1 if s == "d" else 0), F.lit(0)).alias(n) for n, (s, _, _) in W01.items()])
+    m = moves(spark, sf).select("mvt_id", "airport", "t_us", *[F.when(F.col("phase") == p, F.lit(1)).alias(n) for p, n in (("DEP", "d"), ("ARR", "a"))])
+    spans = sorted({(lo, hi) for _, lo, hi in W01.values()})
+    wins = [Win(f"w{i}", lo * MIN, hi * MIN) for i, (lo, hi) in enumerate(spans)]
+    out = context_agg(m.where("d = 1").select("mvt_id", "airport", "t_us"), m, ["airport"], "t_us", wins, {"d": ("count", "d"), "a": ("count", "a")})
+    at = lambda s, lo, hi: F.col(f"w{spans.index((lo, hi))}_{s}")
+    return out.select("mvt_id", *[F.greatest(at(s, lo, hi) - (1 if s == "d" else 0), F.lit(0)).alias(n) for n, (s, lo, hi) in W01.items()])
 
 
 @query("w02_runway_counts", "{with}, r as (select mvt_id, t_us, airport, coalesce(runway, '__MISSING__') as rk from d) select mvt_id, greatest(" + _count_sql("r", "airport,rk", -15 * MIN, 0) + " - 1, 0) as n from r q")
@@ -133,11 +134,8 @@ def w10(spark, sf):
     """Seconds to the runway's previous and next arrival and departure, however far."""
     r = moves(spark, sf).withColumn("rk", normal_key(F.col("runway"), ("?",)))
     q = r.where("phase = 'DEP'").select("mvt_id", "airport", "rk", "t_us")
-    for n, phase in (("arr", "ARR"), ("dep", "DEP")):
-        e = r.where((F.col("phase") == phase) & F.col("rk").isNotNull()).select("airport", "rk", "t_us")
-        for side in ("past", "future"):
-            q = nearest_any(q, e, ["airport", "rk"], "t_us", side, f"{side}_{n}", 6 * 3600 * S)
-    return q.select("mvt_id", *[c for n in ("arr", "dep") for c in (((F.col("t_us") - F.col(f"past_{n}")) / 1_000_000.0).alias(f"prev_{n}"), ((F.col(f"future_{n}") - F.col("t_us")) / 1_000_000.0).alias(f"next_{n}"))])
+    q = nearest_any(q, r.where("rk is not null"), ["airport", "rk"], "t_us", {"arr": F.col("phase") == "ARR", "dep": F.col("phase") == "DEP"}, 6 * 3600 * S)
+    return q.select("mvt_id", *[c for n in ("arr", "dep") for c in (((F.col("t_us") - F.col(f"prev_{n}")) / 1_000_000.0).alias(f"prev_{n}"), ((F.col(f"next_{n}") - F.col("t_us")) / 1_000_000.0).alias(f"next_{n}"))])
 
 
 SOUND = "taxi_sec between 0 and 7200 and block_us >= t_us and abs((block_us - t_us) / 1000000.0 - taxi_sec) <= 1"
@@ -304,9 +302,8 @@ def j07(spark, sf):
     """Previous and next arrival at the airport, strict and unbounded."""
     q = deps(spark, sf).select("mvt_id", "airport", "t_us")
     e = arrs(spark, sf).select("airport", "t_us")
-    for side, name in (("past", "prev_us"), ("future", "next_us")):
-        q = nearest_any(q, e, ["airport"], "t_us", side, name, 6 * 3600 * S)
-    return q.select("mvt_id", "prev_us", "next_us")
+    out = nearest_any(q, e, ["airport"], "t_us", {"us": F.lit(True)}, 6 * 3600 * S)
+    return out.select("mvt_id", "prev_us", "next_us")
 
 
 @query("j08_band_aggregate", "{with} select mvt_id, " + _count_sql("a", "airport", -30 * MIN, -1) + " as n, round(" + _count_sql("a", "airport", -30 * MIN, -1, "sum(taxi_sec)") + ", 4) as total from d q")

@@ -57,11 +57,12 @@ def test_overtaking(spark, rows):
 
 def test_nearest(spark, rows):
     df = frame(spark, rows)
-    past = {r["id"]: r["x"] for r in nearest_any(df, df, ["k"], "s", "past", "x", 500 * S).collect()}
+    any_ = {r["id"]: (r["prev_x"], r["next_even"]) for r in nearest_any(df, df, ["k"], "s", {"x": F.lit(True), "even": F.col("id") % 2 == 0}, 500 * S).collect()}
     near = {r["id"]: r["y_t"] for r in nearest(df, df, ["k"], "s", [], "future", 300 * S, prefix="y", tie="desc").collect()}
     for i, k, s, _ in rows:
         if k:
-            assert past[i] == max((t for _, kk, t, _ in rows if kk == k and t < s), default=None)
+            assert any_[i][0] == max((t for _, kk, t, _ in rows if kk == k and t < s), default=None)
+            assert any_[i][1] == min((t for j, kk, t, _ in rows if kk == k and t > s and j % 2 == 0), default=None)
             assert near[i] == min((t for _, kk, t, _ in rows if kk == k and s < t <= s + 300 * S), default=None)
         else:
             assert near[i] is None
