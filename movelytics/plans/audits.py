@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
 from ..sources.maps import crosswalk, map_elements, runway_thresholds, stand_centroids
 from ..sources.tables import cached, fingerprints, refuse_labels
 from .base import arrs, deps, moves, query, rounded, table
@@ -110,5 +109,3 @@ def s07(spark, sf):
     """A scan and derivation without batches of its own: Spark's partitions bound the memory."""
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") > 100000).alias("large"))
 
-
-__all__ = ["geo"]

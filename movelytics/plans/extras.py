@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.weather import HOUR, hour_grid, hourly, weather_table
+from ..operators.weather import hour_grid, hourly, weather_table
 from ..sources.geometry import end_codes, strip_edges, strip_table, strips
 from ..sources.tables import month_files, read_strings, weather_observations
 from .audits import shared
-from .base import deps, moves, query, rounded, table
+from .base import moves, query, rounded, table
 from .joins import EDGE_SQL, WTAB
 
 
@@ -81,5 +81,3 @@ def w23(spark, sf):
     """The hour's latest valid direction; of equals in time the larger."""
     return hourly(weather_observations(spark, sf)).select("airport", "hour_us", "wind_dir")
 
-
-__all__ = ["HOUR", "deps"]

@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, geo
-from ..operators.context import Win, context_agg, nearest, unique_keys
+from ..operators.context import Win, context_agg, unique_keys
 from ..operators.order import row_numbers
 from ..operators.quality import coverage, differences, digest, exact_ids, vocabulary
-from ..operators.weather import HOUR, at_hour, weather_table
+from ..operators.weather import at_hour, weather_table
 from ..sources.geometry import STRIPS_SQL, end_codes, strip_edges, strip_table, strips
 from ..sources.tables import scan, weather_observations
 from .base import MIN, S, arrs, deps, moves, query, rounded, table
@@ -344,5 +344,3 @@ def t08(spark, sf):
 def t09(spark, sf):
     return digest(deps(spark, sf).withColumn("fold", F.pmod(clock.day_number(F.col("t_us")), F.lit(4))), ["mvt_id"], ["fold"])
 
-
-__all__ = ["HOUR", "nearest"]

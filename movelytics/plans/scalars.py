@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clock, geo
 from ..functions.keys import agree, clipped, cut_right, grouped_key, identity, normal_key, seconds, strictly_above, text_identity, valid_proxy, within
 from ..sources.tables import weather_observations
-from .base import S, deps, moves, query, rounded
+from .base import deps, moves, query, rounded
 
 CLOCKS = ("aobt_us", "lobt_us", "sched_us")
 
@@ -249,5 +249,3 @@ def a20(spark, sf):
     p = seconds(F.col("t_us"), F.col("aobt_us"))
     return deps(spark, sf).select("mvt_id", strictly_above(p, [300, 600, 1200]).alias("above"), cut_right(p, [0, 300, 900, 7200]).alias("bin"))
 
-
-__all__ = ["S"]
