@@ -86,7 +86,7 @@ def a14(spark, sf):
     return rounded(drift(x.where("fold >= 2"), x.where("fold = 0"), "airport", ["p", "taxi_sec"], ["flight"]))
 
 
-@query("a15_pooled", "{with}, " + PX + ", g as (select airport, count(*) as n, avg((p - taxi_sec) * (p - taxi_sec)) as mse from x where p is not null group by 1) select round(sqrt(sum(n * mse) / sum(n)), 4) as rmse, sum(n) as n from g")
+@query("a15_pooled", "{with}, " + PX + ", g as (select airport, count(*) as n, avg((p - taxi_sec) * (p - taxi_sec)) as mse from x where p is not null group by 1) select round(sqrt(sum(n * mse) / sum(n)), 4) as rmse, cast(sum(n) as bigint) as n from g")
 def a15(spark, sf):
     g = scores(_x(spark, sf), "taxi_sec", "p", ["airport"])
     return rounded(g.agg(F.sqrt(F.sum(F.col("n") * F.pow("rmse", 2)) / F.sum("n")).alias("rmse"), F.sum("n").alias("n")), 4)

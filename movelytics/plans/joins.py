@@ -56,12 +56,12 @@ def s13(spark, sf):
 LINE = "sha256(concat_ws('|', cast(mvt_id as varchar), airport, coalesce(runway, '~'), cast(t_us as varchar)))"
 
 
-@query("s15_digests", "{with} select phase, count(*) as n, sum(cast(concat('0x', substring(h, 1, 7)) as bigint)) as sum_a, sum(cast(concat('0x', substring(h, 8, 7)) as bigint)) as sum_b from (select phase, " + LINE + " as h from m) group by phase")
+@query("s15_digests", "{with} select phase, count(*) as n, cast(sum(cast(concat('0x', substring(h, 1, 7)) as bigint)) as bigint) as sum_a, cast(sum(cast(concat('0x', substring(h, 8, 7)) as bigint)) as bigint) as sum_b from (select phase, " + LINE + " as h from m) group by phase")
 def s15(spark, sf):
     return digest(moves(spark, sf), ["mvt_id", "airport", "runway", "t_us"], ["phase"])
 
 
-@query("s16_vocabularies", "{with}, v as (select distinct 'airport' as c, airport as v from m union select distinct 'runway', runway from m union select distinct 'ac_type', ac_type from m) select c as \"column\", count(*) as n_values, sum(cast(concat('0x', substring(sha256(v), 1, 7)) as bigint)) as digest from v where v is not null group by c")
+@query("s16_vocabularies", "{with}, v as (select distinct 'airport' as c, airport as v from m union select distinct 'runway', runway from m union select distinct 'ac_type', ac_type from m) select c as \"column\", count(*) as n_values, cast(sum(cast(concat('0x', substring(sha256(v), 1, 7)) as bigint)) as bigint) as digest from v where v is not null group by c")
 def s16(spark, sf):
     return vocabulary(moves(spark, sf), ["airport", "runway", "ac_type"])
 
@@ -340,7 +340,7 @@ def t08(spark, sf):
     return d.withColumn("early", F.pmod(F.xxhash64(F.lit(3), "mvt_id"), F.lit(1_000_000)) < int(1_000_000 * max(0.06, min(1.0, 200 / max(n, 1)))))
 
 
-@query("t09_split_receipt", "{with} select fold, count(*) as n, sum(cast(concat('0x', substring(h, 1, 7)) as bigint)) as sum_a, sum(cast(concat('0x', substring(h, 8, 7)) as bigint)) as sum_b from (select (t_us // 86400000000) % 4 as fold, sha256(concat_ws('|', cast(mvt_id as varchar))) as h from d) group by fold")
+@query("t09_split_receipt", "{with} select fold, count(*) as n, cast(sum(cast(concat('0x', substring(h, 1, 7)) as bigint)) as bigint) as sum_a, cast(sum(cast(concat('0x', substring(h, 8, 7)) as bigint)) as bigint) as sum_b from (select (t_us // 86400000000) % 4 as fold, sha256(concat_ws('|', cast(mvt_id as varchar))) as h from d) group by fold")
 def t09(spark, sf):
     return digest(deps(spark, sf).withColumn("fold", F.pmod(clock.day_number(F.col("t_us")), F.lit(4))), ["mvt_id"], ["fold"])
 
