@@ -24,7 +24,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, at most three differing bits or 0.8 similar."""
+    """One document of each near-duplicate group stays: 0.8 of their five-word shingles in common."""
     return simhash.one_per_group(docs, shingle=5, similarity=0.8)
 
 

@@ -3,8 +3,9 @@
 Texts that share four fifths of their five-word shingles differ in about ten of 64 SimHash bits; an index of one-wildcard
 segments that reaches so far has keys of eight bits, which all texts share. So this mode finds candidates by banded
 min-wise keys of the same shingles: BANDS keys of ROWS minima each meet two texts of similarity 0.8 with a chance of 0.999.
-Texts that share a key are gathered to candidate clusters (by stars, never by pairs), and within a cluster a spanning
-forest is grown: minima filter, and the exact Jaccard similarity decides. Clusters above BLOCK texts are cut into block pairs.
+Texts that share a key are gathered to candidate clusters (by stars, never by pairs), together with candidates that the
+caller knows of, and within a cluster a spanning forest is grown: minima filter, and the exact Jaccard similarity decides
+every link. Clusters above BLOCK texts are cut into block pairs. Texts without words have equal, empty sets: similarity 1.
 """
 
 from __future__ import annotations
@@ -49,10 +50,8 @@ def _keys(src: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             tk, keys = [], []
             for t, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingle_set(x.as_py(), shingle)
-                if len(s):
-                    tk.append(np.full(BANDS, t, np.int64))
-                    keys.append(band_keys(minima(s)).view(np.int64))
+                tk.append(np.full(BANDS, t, np.int64))
+                keys.append(band_keys(minima(shingle_set(x.as_py(), shingle))).view(np.int64))
             if tk:
                 yield pa.record_batch([pa.array(np.concatenate(tk)), pa.array(np.concatenate(keys))], names=["tk", "key"])
 
@@ -83,18 +82,32 @@ def _forest(similarity: float, shingle: int):
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    if not len(x) and not len(y):
+        return 1.0
     if min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
         return 0.0
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
-def overlap_links(src: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """src (tk, text) with tk the text's key -> (a, b): a spanning forest of the links between different texts."""
+def _through_first(stars: DataFrame) -> DataFrame:
+    """(a, b) text and hub -> fewer edges that join the same: a text hangs on its least hub, and that hub on the text's others.
+
+    The texts of a large group have some thirty hubs each, and nearly all of them the same ones.
+    """
+    hubs = stars.groupBy("a").agg(F.min("b").alias("first"), F.collect_set("b").alias("hubs"))
+    return hubs.select(F.explode(F.concat(F.array(F.struct(F.col("a"), F.col("first").alias("b"))), F.transform("hubs", lambda h: F.struct(F.col("first").alias("a"), h.alias("b"))))).alias("e")).select("e.*").where("a <> b").distinct()
+
+
+def overlap_links(src: DataFrame, similarity: float, shingle: int, more: DataFrame | None = None) -> DataFrame:
+    """src (tk, text) with tk the text's key -> (a, b): a spanning forest of the links between different texts.
+
+    more: (a, b) further candidates, texts and hubs; like those of the bands they only say which texts are compared.
+    """
     keys = stash(_keys(src, shingle).distinct(), "bands")
     shared = stash(keys.groupBy("key").agg(F.min("tk").alias("hub"), F.max("tk").alias("far")).where("hub < far").select("key", "hub"), "shared-bands")
-    stars = keys.join(shared, "key").where("tk <> hub").select(F.col("tk").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(stars).toDF("tk", "cluster")
+    stars = keys.join(shared, "key").where("tk <> hub").select(F.col("tk").alias("a"), F.col("hub").alias("b"))
+    clusters = components(_through_first(stars if more is None else stars.union(more))).toDF("tk", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     placed = stash(clusters.join(sizes, "cluster").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")), "clusters")
     texts = src.join(placed, "tk").dropDuplicates(["tk"])

@@ -126,20 +126,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def similar(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, tk, component_id): near_duplicates joined with the links between texts of at least this Jaccard similarity.
+    """(id, tk, component_id): components of the links between texts of at least this Jaccard similarity of their shingles.
 
-    The components of near_duplicates and the forest of the wide mode (see overlap) are put together by one more pass of
-    connected components, over texts.
+    Candidates are the bands of the wide mode (see overlap) and, besides them, the texts that near_duplicates joins; its
+    links of at most MAX_BITS bits are no links here before the exact similarity has decided.
     """
     found = cut(near_duplicates(docs, id_col, text_col, shingle))
     src = docs.select(text_key(text_col).alias("tk"), F.col(text_col).alias("text"))
-    wide = overlap_links(src, similarity, shingle)
     # Texts of one component hang on its smallest text.
     group = F.xxhash64(F.lit("class"), F.col("component_id").isNull(), "component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     named = found.select("tk", group.alias("g")).distinct()
     hubs = stash(named.groupBy("g").agg(F.min("tk").alias("hub")), "hubs")
     stars = named.join(hubs, "g").where("tk <> hub").select(F.col("tk").alias("a"), F.col("hub").alias("b"))
-    labels = components(stars.union(wide)).toDF("tk", "label")
+    labels = components(overlap_links(src, similarity, shingle, stars)).toDF("tk", "label")
     both = found.join(labels, "tk", "left").withColumn("label", F.coalesce("label", "tk"))
     least = stash(both.groupBy("label").agg(F.min("id").alias("component_id")), "least-ids")
     return both.drop("component_id").join(least, "label").select("id", "tk", "component_id")
@@ -148,7 +147,7 @@ def similar(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """docs without near-duplicates: of each component the document with the smallest id stays, all columns kept.
 
-    similarity: texts of at least this Jaccard similarity of their shingles are linked too. Rows that repeat the kept id
+    similarity: texts are linked by at least this Jaccard similarity of their shingles instead of by fingerprints. Rows that repeat the kept id
     within its group are that same document and stay together; if all ids of a group are null, all its rows stay.
     """
     if similarity is None:

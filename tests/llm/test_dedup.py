@@ -192,3 +192,22 @@ def test_similar(spark, monkeypatch, block):
     kept = {r["doc_id"] for r in simhash.one_per_group(docs, shingle=5, similarity=0.8).collect()}
     assert kept == {min(v) for v in least.values()}
     assert simhash.similar(docs.limit(0), 0.8).count() == 0
+
+
+def test_similar_needs_shared_text(spark):
+    """A line repeated within texts decides their fingerprints; texts that share nothing else aren't near-duplicates."""
+    import random
+
+    from .data import words
+
+    rng = random.Random(5)
+    line = " ".join(f"t{i}" for i in range(9))
+    rows = [(i, f"{words(rng, 150, 10**6)} {' '.join([line] * 20)}") for i in range(8)]
+    rows += [(10, rows[0][1] + " tail"), (11, None), (12, " "), (13, "")]
+    fps = [simhash.fingerprint64(t, 5) for _, t in rows[:8]]
+    assert any(bin(a ^ b).count("1") <= 3 for i, a in enumerate(fps) for b in fps[:i])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs, 0.8).collect()}
+    assert got == {**{i: i for i in range(8)}, 10: 0, 11: 11, 12: 11, 13: 11}
+    kept = {r["doc_id"] for r in simhash.one_per_group(docs, shingle=5, similarity=0.8).collect()}
+    assert kept == {*range(8), 11}
