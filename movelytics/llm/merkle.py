@@ -1,8 +1,8 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
-Leaves are runs of at most LEAF_WORDS words within a paragraph (a line), or single words in a text under SHORT characters; a paragraph's digest is taken over its leaves,
+Leaves are the words of a paragraph (a line), in texts of every length; a paragraph's digest is taken over its leaves,
 a section is a run of paragraphs up to a blank line or SECTION_PARAGRAPHS of them, and the root covers the sections.
-Runs start afresh at each paragraph, so an edit changes its own leaves, one paragraph, one section and the root only.
+Leaves start afresh at each paragraph, so an edit changes its own leaves, one paragraph, one section and the root only.
 The fingerprint string spells the tree out: "root/section=paragraph:leafleaf...,paragraph:.../...". Leaf digests keep the
 white space around words, so equal fingerprints mean equal texts (up to hash collisions of the 128-bit root).
 
@@ -16,6 +16,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -23,23 +24,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-LEAF_WORDS = 6
 SECTION_PARAGRAPHS = 16
-SHORT = 400
-_LEAF = re.compile(rf"(?:\s*\S+){{1,{LEAF_WORDS}}}\s*|\s+")
-_WORD = re.compile(r"\s*\S+\s*|\s+")
+_LEAF = re.compile(r"\s*\S+\s*|\s+")
 
 
 def _digest(data: bytes, size: int) -> str:
     return hashlib.blake2b(data, digest_size=size).hexdigest()
 
 
+@lru_cache(1 << 16)
+def _word_digest(word: str) -> str:
+    return _digest(word.encode("utf-8", "surrogatepass"), 4)
+
+
+def _leaf_digest(word: str) -> str:
+    return _word_digest(word) if len(word) < 64 else _word_digest.__wrapped__(word)
+
+
 def fingerprint(text: str | None) -> str:
     text = text or ""
-    leaf = _WORD if len(text) < SHORT else _LEAF
     sections: list[list[str]] = [[]]
     for line in text.split("\n"):
-        leaves = [_digest(x.encode("utf-8", "surrogatepass"), 4) for x in leaf.findall(line)]
+        leaves = [_leaf_digest(x) for x in _LEAF.findall(line)]
         if len(sections[-1]) >= SECTION_PARAGRAPHS or (not leaves and sections[-1]):
             sections.append([])
         joined = "".join(leaves)

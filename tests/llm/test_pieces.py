@@ -45,6 +45,17 @@ def test_merkle_tree(spark):
     assert merkle.compare_next(empty(spark)).count() == 0
 
 
+def test_merkle_leaves_at_every_length():
+    """Likeness doesn't depend on the side of some length that a text lies on, and short texts keep what an edit left."""
+    rng = random.Random(4)
+    long = words(rng, 300, 10**6)
+    for n in (40, 200, 398, 399, 400, 402, 533, 1200):
+        a = long[:n]
+        assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a + " tail")) > 0.7, n
+        short = merkle.edited(a, "zz")
+        assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(short)) > 0.6, n
+
+
 def test_tokens():
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     enc = packing.encoder(RANKS)
