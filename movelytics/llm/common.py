@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,11 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all tasks run in this process.
+
+    On a cluster an unset spark.checkpoint.dir is an error: executors would write to disks that no other machine reads.
+    """
     jsc = spark.sparkContext._jsc.sc()
     where = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():
         if where is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = "file://" + tempfile.mkdtemp(prefix="movelytics-")
         spark.sparkContext.setCheckpointDir(where)
     return where or jsc.getCheckpointDir().get()
@@ -50,6 +56,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share_of_hash(share: float, *of: str | Column) -> Column:
+    """True for about `share` of the rows, by 62 bits of a hash: as fine as any table needs, so that a small share is never rounded to none."""
+    return F.shiftrightunsigned(F.xxhash64(*of), 2) < F.lit(min(1 << 62, max(0, round(share * (1 << 62)))))
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def text_key(text: str = "text") -> Column:
     """Tells apart rows that repeat an id with another text (null counts as its own text)."""
     return F.xxhash64(F.col(text).isNull(), F.col(text))

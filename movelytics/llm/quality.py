@@ -4,7 +4,9 @@ Trusted positives are labelled good documents; unlabelled text is drawn from all
 smallest ratio, over score tails, of the unlabelled to the positive share (corrected for sample noise), and a small
 network is fitted by minimising  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the logistic loss.
 
-Nulls: a null text scores like an empty one. Without a trusted positive or any document the model is the constant prior.
+Nulls and empty texts: a null text scores like an empty one. Without a trusted positive or any document, an empty table
+among them, the model is the constant prior. Very long texts are looked at whole. Ties and repeated rows: every row is
+scored by its own text; of several labels of one id the largest counts. Other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import share_of_hash, stash
 from .toxicity import sample_labelled
 
 SAMPLE = 10_000
@@ -129,8 +131,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 def _sampled(docs: DataFrame, labels: DataFrame, keep: Column, sample: int) -> tuple[np.ndarray, np.ndarray]:
     n = docs.count()
-    dice = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id", F.length("text")), F.lit(1_000_000))
-    loose = docs.where(dice < int(1_000_000 * min(1.0, sample / max(1, n)))).select("text", F.lit(0).alias("trusted"))
+    loose = docs.where(share_of_hash(min(1.0, sample / max(1, n)), F.lit("unlabelled"), "doc_id", F.length("text"))).select("text", F.lit(0).alias("trusted"))
     good = sample_labelled(docs, labels.where("quality = 1"), "quality", keep, sample).select("text", F.lit(1).alias("trusted"))
 
     def run(batches):

@@ -1,11 +1,13 @@
 """Toxicity and quality: folding, exceptions, held-out accuracy on generated text, awkward rows."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from movelytics.llm import quality, toxicity
+from movelytics.llm import quality, queries, toxicity
+from movelytics.llm.common import share_of_hash
 
 from .data import documents, empty, words
 
@@ -35,11 +37,78 @@ def test_folding():
 
 
 def test_exception_phrases():
-    lex = toxicity.Lexicon({" trash ": (50, 1)}, 100, 100, curve=(-2, 1, 1, 1))
+    lex = toxicity.Lexicon({" trash ": (50, 1)}, 100, 100, ("trash can",), curve=(-2, 1, 1, 1))
     assert lex.features("take it to the trash can")[2] == 0
     assert lex.features("you are trash")[2] > 0 and lex.features("trashy")[2] == 0
 
 
+def test_matches_equal_a_naive_scan():
+    rng = random.Random(9)
+    vocabulary = ["trash", "trashy", "scum", "pond", "can", "the", "you", "scummer"]
+    entries = {" trash ": (50, 1), " scum": (40, 2), " scumm": (45, 1), " you ": (1, 50)}
+    lex = toxicity.Lexicon(entries, 100, 100, ("trash can", "pond scum", "trash can the", "scum pond"))
+    for _ in range(300):
+        ws = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 14))]
+        folded = toxicity.fold(" ".join(ws))
+        want, at = {}, 0
+        phrases = [toxicity.fold(p) for p in lex.exceptions]
+        places = [(i, i + len(p) - 1) for p in phrases for i in range(len(folded)) if folded.startswith(p, i)]
+        for w in ws:
+            hit = max((lex.weight(n) for t, n in entries.items() if folded.startswith(t, at)), default=0)
+            if hit > 0 and not any(lo <= at < hi for lo, hi in places):
+                want[at] = hit
+            at += len(w) + 1
+        assert lex.matches(folded) == want, folded
+
+
+def test_long_texts_take_linear_time():
+    lex = toxicity.Lexicon({" trash ": (50, 1)}, 100, 100, ("trash can",))
+    took = []
+    for k in (20_000, 80_000):
+        text = "you trash and the trash can " * k
+        began = time.process_time()
+        assert lex.features(text)[2] > 0
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_exceptions_are_learned(spark):
+    """A lexicon word that is harmless beside another word: that pair is an exception."""
+    rng = random.Random(2)
+    rows = [(i, f"{words(rng, 30)} {'you scumbag' if i % 4 == 0 else 'pond scumbag lily' if i % 8 == 1 else 'x'} {words(rng, 10)}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id bigint, toxic int")
+    lex = toxicity.fit(docs, labels, F.lit(True))
+    assert {"pond scumbag", "scumbag lily"} <= set(lex.exceptions) and "you scumbag" not in lex.exceptions
+
+
+def test_samples_of_a_vast_table(spark):
+    """A share far below a millionth is still that share."""
+    n = spark.range(1 << 22).where(share_of_hash(10_000 / 1e11 * 1e5, "id")).count()
+    assert 0.5 < n / ((1 << 22) * 0.01) < 1.5
+    plan = spark.range(10).where(share_of_hash(10_000 / 1e11, "id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert str(round(1e-7 * (1 << 62))) in plan
+    assert spark.range(100).where(share_of_hash(1.0, "id")).count() == 100 and spark.range(100).where(share_of_hash(0.0, "id")).count() == 0
+
+
+def test_queries_of_scores(spark, tmp_path):
+    """held_out and predicted as the queries return them; learning never sees a held-out label."""
+    import zlib
+
+    docs, labels = labelled(spark)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for lie in (0, 1):  # held-out labels turned round change nothing
+        for name, f, n, r in (("toxic", queries.op2_toxicity, 3, 1), ("quality", queries.op3_quality, 4, 2)):
+            where = tmp_path / f"{name}{lie}"
+            held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)) == r
+            docs.coalesce(1).write.parquet(f"{where}/documents.parquet")
+            labels.withColumn(name, F.when(held & (F.lit(lie) == 1), 1 - F.col(name)).otherwise(F.col(name))).coalesce(1).write.parquet(f"{where}/labels.parquet")
+    for name, f, n, r in (("toxic", queries.op2_toxicity, 3, 1), ("quality", queries.op3_quality, 4, 2)):
+        a, b = ({x["doc_id"]: x for x in f(spark, str(tmp_path / f"{name}{lie}")).collect()} for lie in (0, 1))
+        assert all(x["held_out"] == (zlib.crc32(str(i).encode()) % n == r) and x["predicted"] == int(x["score"] >= 0.7) for i, x in a.items())
+        assert all(abs(a[i]["score"] - b[i]["score"]) < 1e-9 for i in a)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = labelled(spark)
     lex = toxicity.fit(docs, labels, F.col("doc_id") % 3 != 1)
