@@ -5,9 +5,12 @@ of all documents costs a task one sketch. Lines whose estimate is clear of the t
 MARGIN of it get exact distinct counts. Of a boilerplate line one occurrence stays, the first in the document with the
 smallest id, so no content leaves the corpus entirely.
 
-Lines are compared after trimming white space; blank lines are never boilerplate. Nulls: a null site is no site; a null
-text has no lines and stays null; rows with a null id lose their boilerplate lines like others, but never hold the
-occurrence that stays unless no other row has the line. Rows that repeat an id and text are treated alike.
+Lines are what stands between line feeds, compared after trimming spaces (U+0020) and nothing else: a line that ends in a
+tab or a carriage return is another line. Blank lines are never boilerplate. Nulls: a null site is no site; a null text has
+no lines and stays null; rows with a null id lose their boilerplate lines like others, but never hold the occurrence that
+stays unless no other row has the line. Ties and repeated rows: rows that repeat an id and text are treated alike; within
+the document that keeps a line its first occurrence stays. A very long text costs time in proportion to its lines. An empty
+table gives an empty result. Other columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_key
+from .common import free_name, stash, text_key
 
 SITES = 5
 MARGIN = 2.0
@@ -60,8 +63,9 @@ def removals(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_c
 
 
 def _kept(text: Column, gone: Column) -> Column:
-    parts = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(parts, "\n"))
+    """text without the lines at positions gone (a set difference of positions: one step a line, however many go)."""
+    left = lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i)), "\n")
+    return F.when(gone.isNull(), text).otherwise(F.get(F.transform(F.array(F.split(text, "\n")), left), F.lit(0)))
 
 
 def without_boilerplate(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -69,11 +73,12 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, id_col: str = "doc_
 
     A column n_chars, if there is one, is set to the new length.
     """
-    gone = removals(docs, sites, id_col, text_col, site_col).toDF("__id", "__tk", "__gone")
-    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__tk")), "left")
-    out = both.withColumn(text_col, _kept(F.col(text_col), F.col("__gone")))
+    i, k, g = (free_name(docs, x) for x in ("__id", "__tk", "__gone"))
+    gone = removals(docs, sites, id_col, text_col, site_col).toDF(i, k, g)
+    both = docs.join(gone, docs[id_col].eqNullSafe(gone[i]) & (text_key(text_col) == gone[k]), "left")
+    out = both.withColumn(text_col, _kept(F.col(text_col), F.col(g)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
