@@ -1,13 +1,18 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
-Leaves are the words of a paragraph (a line), in texts of every length; a paragraph's digest is taken over its leaves,
-a section is a run of paragraphs up to a blank line or SECTION_PARAGRAPHS of them, and the root covers the sections.
-Leaves start afresh at each paragraph, so an edit changes its own leaves, one paragraph, one section and the root only.
-The fingerprint string spells the tree out: "root/section=paragraph:leafleaf...,paragraph:.../...". Leaf digests keep the
-white space around words, so equal fingerprints mean equal texts (up to hash collisions of the 128-bit root).
-
-Nulls: a null text is an empty one. Order: rows with null ids come first, rows that repeat an id follow each other in
-order of their texts; the next document is the next row in that order. A single row is its own next document.
+Leaves are the words of a paragraph (a line), in texts of every length; a paragraph's digest is taken over its leaves'
+digests, a section is a run of paragraphs up to a blank line or SECTION_PARAGRAPHS of them and its digest is taken over its
+paragraphs' digests, and the root's over the sections'. All digests have 16 bytes. Leaves start afresh at each paragraph,
+so an edit changes its own leaves, one paragraph, one section and the root only. Leaf digests keep the white space around
+words, so equal roots mean equal texts (up to hash collisions).
+The fingerprint string spells the tree out: "root/section=paragraph:leafleaf...,paragraph:.../...", the root in full and
+below it the first four bytes of each digest. Two trees are compared from the root down: equal roots end it, equal sections
+and then equal paragraphs are taken as wholes, and leaves are only counted in branches that differ.
+
+Nulls and empty texts: a null text is an empty one: one section with one paragraph without leaves. Order: rows with null ids
+come first, rows that repeat an id follow each other in order of their texts; the next document is the next row in that
+order. A single row is its own next document; an empty table gives an empty result. Ties: equal branches are counted as
+often as both trees have them. A very long text is one tree. Other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -16,74 +21,113 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 SECTION_PARAGRAPHS = 16
+SHORT = 8  # hex digits that the string shows below the root
 _LEAF = re.compile(r"\s*\S+\s*|\s+")
 
 
-def _digest(data: bytes, size: int) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 @lru_cache(1 << 16)
-def _word_digest(word: str) -> str:
-    return _digest(word.encode("utf-8", "surrogatepass"), 4)
+def _word_digest(word: str) -> bytes:
+    return _digest(word.encode("utf-8", "surrogatepass"))
 
 
-def _leaf_digest(word: str) -> str:
+def _leaf_digest(word: str) -> bytes:
     return _word_digest(word) if len(word) < 64 else _word_digest.__wrapped__(word)
 
 
-def fingerprint(text: str | None) -> str:
-    text = text or ""
-    sections: list[list[str]] = [[]]
-    for line in text.split("\n"):
-        leaves = [_leaf_digest(x) for x in _LEAF.findall(line)]
-        if len(sections[-1]) >= SECTION_PARAGRAPHS or (not leaves and sections[-1]):
-            sections.append([])
-        joined = "".join(leaves)
-        sections[-1].append(f"{_digest(joined.encode(), 4)}:{joined}")
-    parts = [f"{_digest(p.encode(), 4)}={p}" for p in (",".join(s) for s in sections)]
-    root = _digest(text.encode("utf-8", "surrogatepass"), 16)
-    return "/".join([root, *parts])
+@dataclass(slots=True)
+class Branch:
+    """A section (children: paragraphs) or a paragraph (leaves: its leaves' digests)."""
 
+    digest: bytes
+    size: int
+    children: list[Branch] = field(default_factory=list)
+    leaves: list[bytes] = field(default_factory=list)
 
-def leaves(fp: str) -> list[str]:
-    out = []
-    for section in fp.split("/")[1:]:
-        for paragraph in section.partition("=")[2].split(","):
-            run = paragraph.partition(":")[2]
-            out += [run[i : i + 8] for i in range(0, len(run), 8)]
-    return out
 
+@dataclass(slots=True)
+class Tree:
+    root: bytes
+    sections: list[Branch]
+
+    @property
+    def size(self) -> int:
+        return sum(s.size for s in self.sections)
+
+    def spelled(self) -> str:
+        short = lambda x: x.hex()[:SHORT]
+        one = lambda p: f"{short(p.digest)}:{''.join(map(short, p.leaves))}"
+        return "/".join([self.root.hex(), *(f"{short(s.digest)}={','.join(map(one, s.children))}" for s in self.sections)])
 
-def likeness(a: str, b: str) -> float:
-    """1 for equal roots, else the leaves that both have as a share of the leaves of either (Dice, with repeats)."""
-    if a == b:
+
+def tree(text: str | None) -> Tree:
+    groups: list[list[Branch]] = [[]]
+    for line in (text or "").split("\n"):
+        leaves = [_leaf_digest(x) for x in _LEAF.findall(line)]
+        if len(groups[-1]) >= SECTION_PARAGRAPHS or (not leaves and groups[-1]):
+            groups.append([])
+        groups[-1].append(Branch(_digest(b"".join(leaves)), len(leaves), leaves=leaves))
+    sections = [Branch(_digest(b"".join(p.digest for p in g)), sum(p.size for p in g), children=g) for g in groups]
+    return Tree(_digest(b"".join(s.digest for s in sections)), sections)
+
+
+def fingerprint(text: str | None) -> str:
+    return tree(text).spelled()
+
+
+def _unmatched(a: list[Branch], b: list[Branch]) -> tuple[int, list[Branch], list[Branch]]:
+    """Leaves under branches that both have, and the branches of either that are left."""
+    spare = Counter(x.digest for x in b)
+    same, rest, used = 0, [], Counter()
+    for x in a:
+        if used[x.digest] < spare[x.digest]:
+            used[x.digest] += 1
+            same += x.size
+        else:
+            rest.append(x)
+    other = []
+    for x in b:
+        if used[x.digest] > 0:
+            used[x.digest] -= 1
+        else:
+            other.append(x)
+    return same, rest, other
+
+
+def likeness(a: Tree, b: Tree) -> float:
+    """1 for equal roots, else the leaves in common as a share of the leaves of either (Dice, with repeats), found by descending into differing branches only."""
+    if a.root == b.root:
         return 1.0
-    x, y = Counter(leaves(a)), Counter(leaves(b))
-    return 2 * (x & y).total() / max(1, x.total() + y.total())
+    same, x, y = _unmatched(a.sections, b.sections)
+    below, x, y = _unmatched([p for s in x for p in s.children], [p for s in y for p in s.children])
+    at_leaves = (Counter(l for p in x for l in p.leaves) & Counter(l for p in y for l in p.leaves)).total() if x and y else 0
+    return 2 * (same + below + at_leaves) / max(1, a.size + b.size)
 
 
-def differing(a: str, b: str) -> list[tuple[int, int]]:
+def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
     """(section, paragraph) positions at which two trees differ; equal branches are skipped by their digests."""
-    if a.partition("/")[0] == b.partition("/")[0]:
+    if a.root == b.root:
         return []
+    at = lambda xs, i: xs[i] if i < len(xs) else Branch(b"", 0)
     out = []
-    sa, sb = a.split("/")[1:], b.split("/")[1:]
-    for i in range(max(len(sa), len(sb))):
-        x, y = (s[i] if i < len(s) else "" for s in (sa, sb))
-        if x.partition("=")[0] == y.partition("=")[0]:
-            continue
-        px, py = (v.partition("=")[2].split(",") if v else [] for v in (x, y))
-        out += [(i, j) for j in range(max(len(px), len(py))) if (px[j : j + 1] or [""])[0].partition(":")[0] != (py[j : j + 1] or [""])[0].partition(":")[0]]
+    for i in range(max(len(a.sections), len(b.sections))):
+        x, y = at(a.sections, i), at(b.sections, i)
+        if x.digest != y.digest:
+            out += [(i, j) for j in range(max(len(x.children), len(y.children))) if at(x.children, j).digest != at(y.children, j).digest]
     return out
 
 
@@ -96,10 +140,10 @@ def edited(text: str, following: str) -> str:
 COLUMNS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _row(text: str, fp: str, after: str, after_fp: str):
+def _row(text: str, this: Tree, after: str, following: Tree):
     new = edited(text, after)
-    new_fp = fp if new == text else fingerprint(new)
-    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fp, new_fp, likeness(fp, new_fp), likeness(fp, after_fp)
+    other = this if new == text else tree(new)
+    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), this.spelled(), other.spelled(), likeness(this, other), likeness(this, following)
 
 
 def _firsts(ids: DataFrame, n: int) -> list:
@@ -121,10 +165,13 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = _firsts(src.select("id"), partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = spark.sparkContext.broadcast(firsts[1:])
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array) -> pa.Array:
         cuts = bounds.value
-        return pd.Series([0 if x is None or x != x else bisect_right(cuts, x) for x in ids], dtype="int32")
+        if pa.types.is_integer(ids.type):
+            at = np.searchsorted(np.array(cuts, np.int64), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), side="right")
+            return pc.if_else(pc.is_null(ids), pa.scalar(0, pa.int32()), pa.array(at, pa.int32()))
+        return pa.array([0 if x is None else bisect_right(cuts, x) for x in ids.to_pylist()], pa.int32())
 
     rows = src.select(part_of("id").alias("part"), F.lit(False).alias("ahead"), "id", "text")
     starts = spark.createDataFrame([(x, i) for i, x in enumerate(firsts[1:])], f"first {kind}, part int")
@@ -137,10 +184,10 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             out = []
             for part, ahead, key, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                fp = fingerprint(text)
+                this = tree(text)
                 if held is not None and held[0] == part and not held[1]:
-                    out.append((held[2], *_row(held[3], held[4], text, fp)))
-                held = (part, ahead, key, text, fp)
+                    out.append((held[2], *_row(held[3], held[4], text, this)))
+                held = (part, ahead, key, text, this)
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -27,9 +28,30 @@ def test_merkle_next(spark, parts):
         b = rows[(k + 1) % len(rows)][1]
         q = len(a) // 4
         e = a[: len(a) - q] + b[:q]
-        want[(i, len(a), hashlib.sha256(e.encode()).hexdigest(), merkle.fingerprint(a), merkle.fingerprint(e))] += 1
-    assert Counter(tuple(r)[:5] for r in got) == want
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        want[(i, len(a), hashlib.sha256(e.encode()).hexdigest(), brute_root(a), brute_root(e), round(brute_likeness(a, e), 12), round(brute_likeness(a, b), 12))] += 1
+    root = lambda fp: fp.partition("/")[0]
+    assert Counter((r["id"], r["n_chars"], r["edited_sha256"], root(r["fingerprint"]), root(r["edited_fingerprint"]), round(r["near_edited"], 12), round(r["near_next"], 12)) for r in got) == want
+
+
+def brute_leaves(text):
+    return [x for line in text.split("\n") for x in re.findall(r"\s*\S+\s*|\s+", line)]
+
+
+def brute_likeness(a, b):
+    x, y = Counter(brute_leaves(a)), Counter(brute_leaves(b))
+    return 1.0 if a == b else 2 * sum(min(n, y[k]) for k, n in x.items()) / max(1, sum(x.values()) + sum(y.values()))
+
+
+def brute_root(text):
+    """The root from the definition: leaves, paragraphs of lines, sections up to a blank line or 16 paragraphs."""
+    h = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    sections = [[]]
+    for line in text.split("\n"):
+        words = brute_leaves(line)
+        if len(sections[-1]) == 16 or (not words and sections[-1]):
+            sections.append([])
+        sections[-1].append(h(b"".join(h(w.encode()) for w in words)))
+    return h(b"".join(h(b"".join(s)) for s in sections)).hex()
 
 
 def test_merkle_tree(spark):
@@ -37,10 +59,11 @@ def test_merkle_tree(spark):
     lines = [words(rng, 20) for _ in range(60)]
     a = "\n".join(lines)
     b = "\n".join([*lines[:33], words(rng, 20), *lines[34:]])
-    fa, fb = merkle.fingerprint(a), merkle.fingerprint(b)
+    fa, fb = merkle.tree(a), merkle.tree(b)
     assert merkle.differing(fa, fa) == [] and merkle.differing(fa, fb) == [(2, 1)]
-    assert merkle.fingerprint(a) == fa and merkle.likeness(fa, fa) == 1 and 0.9 < merkle.likeness(fa, fb) < 1
-    assert merkle.likeness(fa, merkle.fingerprint("entirely other text")) == 0
+    assert merkle.fingerprint(a) == fa.spelled() and merkle.likeness(fa, fa) == 1 and 0.9 < merkle.likeness(fa, fb) < 1
+    assert [x.digest == y.digest for x, y in zip(fa.sections, fb.sections, strict=True)] == [True, True, False, True]
+    assert merkle.likeness(fa, merkle.tree("entirely other text")) == 0
     assert merkle.fingerprint(None) == merkle.fingerprint("") and merkle.edited("", "abc") == ""
     assert merkle.compare_next(empty(spark)).count() == 0
 
@@ -51,9 +74,9 @@ def test_merkle_leaves_at_every_length():
     long = words(rng, 300, 10**6)
     for n in (40, 200, 398, 399, 400, 402, 533, 1200):
         a = long[:n]
-        assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a + " tail")) > 0.7, n
+        assert merkle.likeness(merkle.tree(a), merkle.tree(a + " tail")) > 0.7, n
         short = merkle.edited(a, "zz")
-        assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(short)) > 0.6, n
+        assert merkle.likeness(merkle.tree(a), merkle.tree(short)) > 0.6, n
 
 
 def test_tokens():
