@@ -2,15 +2,18 @@
 
 Seeds: of every window of WINDOW words the k-word gram with the least hash (the leftmost of equals) is its anchor, so
 two documents that share a window share its anchor at the same place in it. Consecutive windows with one anchor form a
-run, whose words are the anchor extended both ways as far as it is chosen.
-Extend: occurrences of an anchor meet by its hash. Where a whole run also stands in a document with a smaller id, all its
-windows are repeats. Where an anchor has several different runs, the first document of each run compares its windows
-one by one, at equal offsets from the anchor. The union of repeated windows is the document's maximal repeats.
-Exact copies, however many, meet in map-side minima and are never paired.
-
-Words are runs of anything but ASCII white space, unchanged. Nulls: a null text has no words; rows with a null id neither
-lose words nor make others lose any. Rows that repeat an id and text are treated alike; of rows that repeat an id none is
-smaller, so they don't repeat each other.
+run; runs of equal words are one run, however many documents hold it, and meet in map-side minima.
+Extend: documents are joined on anchors with the anchor's first holder, the document with the smallest id. From the anchor
+each match grows word by word both ways as far as the two documents agree; of the maximal repeat found the windows of
+WINDOW words or more are repeats. That join has a row for each different run, never one for each pair.
+Rest: what a run does not share with the first holder it may share with another one. Those windows are compared by their
+hashes at equal offsets from the anchor, so nothing depends on which holder came first. Behind a run's first document the
+whole run is a repeat. The union of repeated windows is what a document loses.
+
+Words are runs of anything but ASCII white space, unchanged. Nulls and empty texts: a null text has no words, like an empty
+one; rows with a null id neither lose words nor make others lose any. Ties and repeated rows: rows that repeat an id and
+text are treated alike; of rows that repeat an id none is smaller, so they don't repeat each other. A very long text is
+hashed in one task, in pieces. An empty table gives an empty result. Other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -109,24 +112,76 @@ def _anchors(src: DataFrame, window: int, gram: int) -> DataFrame:
     return src.where("id is not null").mapInArrow(run, f"id {kind}, tk bigint, anchor bigint, run bigint, n smallint, lead smallint, starts array<int>")
 
 
-def _windows(asked: DataFrame, window: int) -> DataFrame:
-    """asked (id, text, asks: array of (anchor, run, start, n, lead)) -> a row per window of the asked runs."""
+def _contexts(asked: DataFrame, window: int) -> DataFrame:
+    """asked (id, text, asks: array of (anchor, run, start, n, lead)) -> a row per asked run with the hashes of its words."""
 
     def go(batches):
         for b in batches:
-            ids, cols = [], [[] for _ in range(5)]
+            at, cols, hashes = [], [[] for _ in range(4)], []
             for i in range(b.num_rows):
-                words = split_words(b.column(1)[i].as_py())
-                prefix, inverse = _prefix(word_hashes(words)), _powers(_B_INV, len(words) + 1)
+                h = word_hashes(split_words(b.column(1)[i].as_py())).view(np.int64)
                 for x in b.column(2)[i].as_py():
-                    rel = np.arange(x["n"])
-                    ids.append(np.full(x["n"], i))
-                    for c, v in zip(cols, (np.full(x["n"], x["anchor"]), np.full(x["n"], x["run"]), rel.astype(np.int32), (x["lead"] - rel).astype(np.int32), span_hashes(prefix, x["start"] + rel, window, inverse).view(np.int64)), strict=True):
+                    at.append(i)
+                    for c, v in zip(cols, (x["anchor"], x["run"], x["n"], x["lead"]), strict=True):
                         c.append(v)
-            if ids:
-                yield pa.record_batch([b.column(0).take(pa.array(np.concatenate(ids))), *(pa.array(np.concatenate(c)) for c in cols)], names=["id", "anchor", "run", "rel", "off", "win"])
+                    hashes.append(h[x["start"] : x["start"] + x["n"] + window - 1])
+            if at:
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int32))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.record_batch([b.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes)))], names=["id", "anchor", "run", "n", "lead", "words"])
 
-    return asked.mapInArrow(go, f"id {asked.schema['id'].dataType.simpleString()}, anchor bigint, run bigint, rel int, off int, win bigint")
+    return asked.mapInArrow(go, f"id {asked.schema['id'].dataType.simpleString()}, anchor bigint, run bigint, n int, lead int, words array<bigint>")
+
+
+def agreement(x: np.ndarray, x_at: int, y: np.ndarray, y_at: int) -> tuple[int, int]:
+    """How many words before, and from, these places agree: a seed grown both ways."""
+    k, m = min(x_at, y_at), min(len(x) - x_at, len(y) - y_at)
+    differ = np.flatnonzero(x[x_at - k : x_at][::-1] != y[y_at - k : y_at][::-1])
+    left = int(differ[0]) if len(differ) else k
+    differ = np.flatnonzero(x[x_at : x_at + m] != y[y_at : y_at + m])
+    return left, int(differ[0]) if len(differ) else m
+
+
+def _extend(paired: DataFrame, window: int) -> DataFrame:
+    """paired: runs with the first holder's (words0, lead0, owner0) -> (id, anchor, run, n, lead, words, lo, hi, owner0): windows lo..hi-1 lie in the maximal repeat."""
+
+    def go(batches):
+        for b in batches:
+            lead, lead0 = b.column(4).to_numpy(), b.column(6).to_numpy()
+            count = b.column(3).to_numpy()
+            lo, hi = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int32)
+            w, w0 = b.column(5), b.column(7)
+            for i in range(b.num_rows):
+                left, right = agreement(w[i].values.to_numpy(), int(lead[i]), w0[i].values.to_numpy(), int(lead0[i]))
+                if left + right >= window:
+                    lo[i], hi[i] = lead[i] - left, min(int(count[i]), lead[i] + right - window + 1)
+            yield pa.record_batch([*(b.column(i) for i in range(6)), pa.array(lo), pa.array(hi), b.column(8)], names=[*b.schema.names[:6], "lo", "hi", "owner0"])
+
+    kind = paired.schema["id"].dataType.simpleString()
+    columns = f"id {kind}, anchor bigint, run bigint, n int, lead int, words array<bigint>, lo int, hi int, owner0 {kind}"
+    return paired.select("id", "anchor", "run", "n", "lead", "words", "lead0", "words0", "owner0").mapInArrow(go, columns)
+
+
+def _rest(grown: DataFrame, window: int) -> DataFrame:
+    """(id, anchor, run, rel, off, win): hashes of the windows of runs that lie outside of lo..hi-1."""
+
+    def go(batches):
+        for b in batches:
+            rows, rels, offs, wins = [], [], [], []
+            for i in range(b.num_rows):
+                n, lo, hi = b.column(3)[i].as_py(), b.column(6)[i].as_py(), b.column(7)[i].as_py()
+                rel = np.concatenate((np.arange(lo), np.arange(hi, n)))
+                h = b.column(5)[i].values.to_numpy().view(np.uint64)
+                wins.append(span_hashes(_prefix(h), rel, window, _powers(_B_INV, len(h) + 1)).view(np.int64))
+                rows.append(np.full(len(rel), i))
+                rels.append(rel.astype(np.int32))
+                offs.append((b.column(4)[i].as_py() - rel).astype(np.int32))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.record_batch([*(b.column(i).take(take) for i in range(3)), *(pa.array(np.concatenate(c)) for c in (rels, offs, wins))], names=["id", "anchor", "run", "rel", "off", "win"])
+
+    kind = grown.schema["id"].dataType.simpleString()
+    return grown.select("id", "anchor", "run", "n", "lead", "words", "lo", "hi").mapInArrow(go, f"id {kind}, anchor bigint, run bigint, rel int, off int, win bigint")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,14 +195,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
     one = F.struct("id", "tk", F.col("starts")[0].alias("start"), F.col("n").cast("int").alias("n"), F.col("lead").cast("int").alias("lead"))
     by_run = found.groupBy("anchor", "run").agg(F.min(one).alias("first"), F.max("id").alias("last"))
     by_run = stash(by_run.select("anchor", "run", "first", "last", F.col("first.id").alias("owner")), "runs")
-    # Anchors with several runs: windows of each run's first document, one by one. What holds there holds wherever the run stands.
-    many = by_run.groupBy("anchor").agg(F.count("*").alias("k"), F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("k > 1 and lo < hi").select("anchor")
-    asks = by_run.join(many, "anchor").select("first.id", "first.tk", F.struct("anchor", "run", "first.start", "first.n", "first.lead").alias("ask"))
+    # Anchors with several runs: what holds for a run's first document holds wherever the run stands.
+    many = by_run.groupBy("anchor").agg(F.count("*").alias("k"), F.min(F.struct("owner", "run")).alias("holder"), F.max("owner").alias("hi")).where("k > 1 and holder.owner < hi")
+    many = stash(many.select("anchor", F.col("holder.owner").alias("owner0"), F.col("holder.run").alias("run0")), "holders")
+    asks = by_run.join(many.select("anchor"), "anchor").select("first.id", "first.tk", F.struct("anchor", "run", "first.start", "first.n", "first.lead").alias("ask"))
     asks = asks.groupBy("id", "tk").agg(F.collect_list("ask").alias("asks"))
-    wins = stash(_windows(src.join(asks, ["id", "tk"]).select("id", "text", "asks"), window), "windows")
+    runs_of = stash(_contexts(src.join(asks, ["id", "tk"]).select("id", "text", "asks"), window), "contexts")
+    holder = stash(runs_of.join(many.withColumnRenamed("run0", "run"), ["anchor", "run"]).select("anchor", F.col("run").alias("run0"), "owner0", F.col("lead").alias("lead0"), F.col("words").alias("words0")), "holder-contexts")
+    paired = runs_of.join(holder, "anchor").where("run <> run0")
+    grown = stash(_extend(paired, window), "grown")
+    extended = grown.where("id > owner0 and hi > lo").select("anchor", "run", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("rel"))
+    # A window outside of the maximal repeat is compared with the other runs'; the first holder's own windows were compared with all.
+    wins = stash(_rest(grown.where("lo > 0 or hi < n"), window), "windows")
     least = wins.groupBy("anchor", "off", "win").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("last > owner").drop("last")
     single = wins.join(least, ["anchor", "off", "win"]).where(F.col("id") > F.col("owner"))
-    parts = single.groupBy("anchor", "run").agg(F.collect_set("rel").alias("rels"))
+    parts = extended.union(single.select("anchor", "run", "rel")).groupBy("anchor", "run").agg(F.collect_set("rel").alias("rels"))
     held = by_run.join(parts, ["anchor", "run"], "left").where("last > owner or rels is not null").select("anchor", "run", "owner", "rels")
     # Behind the run's first document the whole run is a repeat; in that document only the windows found above.
     hits = found.join(held, ["anchor", "run"]).where("id > owner or rels is not null")
