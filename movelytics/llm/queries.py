@@ -42,13 +42,13 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-def op7_packing(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
-    """ranks: place of the byte-level BPE's ranks, the vocabulary of byte_bpe_50k.json."""
-    if ranks is None:
+def op7_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """One row per piece. vocabulary: place of byte_bpe_50k.json."""
+    if vocabulary is None:
         import public_tokenizers
 
-        ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack_documents(table(spark, sf_dir, "documents"), ranks).withColumnRenamed("id", "doc_id")
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary).withColumnRenamed("id", "doc_id")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,64 @@ def test_substring(spark):
     assert substring.report(empty(spark)).count() == 0
 
 
+def test_seeds_grow_both_ways():
+    import numpy as np
+
+    x, y = np.array([9, 1, 2, 3, 4, 5, 8]), np.array([1, 2, 3, 4, 5, 7, 7])
+    assert substring.agreement(x, 3, y, 2) == (2, 3)
+    assert substring.agreement(x, 0, y, 0) == (0, 0) and substring.agreement(x, 7, y, 7) == (0, 0)
+
+
+def test_substring_many_holders(spark):
+    """Windows that the anchor's first holder lacks are found in other holders; random contexts around shared cores."""
+    import random
+
+    rng = random.Random(12)
+    core = [f"c{i}" for i in range(40)]
+    sides = [[f"s{k}_{i}" for i in range(30)] for k in range(3)]
+    rows = []
+    for d in range(40):
+        left, right = rng.choice(sides), rng.choice(sides)
+        a, b = rng.randrange(31), rng.randrange(31)
+        rows.append((d, " ".join([f"x{d}", *left[30 - a :], *core, *right[:b], f"y{d}", *(core if d % 9 == 0 else [])])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(tuple(r) for r in substring.report(docs).collect()) == Counter(brute_substring(rows))
+
+
+def test_forest_is_exact():
+    import random
+
+    import numpy as np
+
+    from movelytics.llm import overlap
+
+    rng = random.Random(3)
+    base = [rng.sample(range(2000), 40) for _ in range(5)]
+    sets = [np.unique(np.array([x for x in rng.choice(base) if rng.random() > 0.1] + rng.sample(range(3000), rng.randrange(4)), np.uint64)) for _ in range(120)]
+    sets += [np.zeros(0, np.uint64)] * 3
+
+    def roots(pairs):
+        up = list(range(len(sets)))
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        return [find(i) for i in range(len(sets))]
+
+    same = lambda a, b: len(np.union1d(a, b)) == 0 or len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = roots([(i, j) for i in range(len(sets)) for j in range(i) if same(sets[i], sets[j])])
+    got = roots(overlap.forest(sets, 0.8))
+    part = lambda r: sorted(sorted(i for i in range(len(r)) if r[i] == k) for k in set(r))
+    assert part(got) == part(want)
+    assert overlap.banding(0.8) == (7, 30) and all(1 - (1 - s ** overlap.banding(s)[0]) ** overlap.banding(s)[1] >= 0.999 for s in (0.5, 0.6, 0.7, 0.9))
+    with pytest.raises(ValueError):
+        overlap.banding(0.3)
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_similar(spark, monkeypatch, block):
     """Every pair of texts with 0.8 of their five-word shingles in common ends in one component, and no other pair is linked."""

@@ -15,7 +15,7 @@ from movelytics.llm import merkle, packing
 
 from .data import documents, empty, texts, words
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.mark.parametrize("parts", [1, 3, 40])
@@ -81,12 +81,15 @@ def test_merkle_leaves_at_every_length():
 
 def test_tokens():
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    enc = packing.encoder(RANKS)
+    enc = packing.encoder(VOCABULARY)
     rng = random.Random(2)
     odd = [" a", "a  b", "a \n b", "a\n\nb c ", "tab\tx y", "don't we'll  ", "  x", "x  y", "\r\n a", "１２ 34 ab12", "emoji 😀 x", "a " * 50]
-    mixed = ["".join(rng.choice("ab \n.,'s1é\t") for _ in range(80)) for _ in range(400)]
-    for t in [*[t or "" for t in texts()], *odd, *mixed]:
-        assert list(np.frombuffer(enc.encode(t), "<u4")) == tk.encode(t, add_special_tokens=False).ids, repr(t)
+    mixed = ["".join(rng.choice("ab \n.,'s1é\t" if k % 2 else "ab \n.,'s1é") for _ in range(80)) for k in range(400)]
+    every = [*[t or "" for t in texts()], *odd, *mixed]
+    for _ in range(2):  # the second time from memory
+        for t, ids in zip(every, enc.encode(every), strict=True):
+            assert list(np.frombuffer(ids, "<u4")) == tk.encode(t, add_special_tokens=False).ids, repr(t)
+    assert enc.encode([]) == [] and enc.encode([""]) == [b""]
 
 
 def check_packing(spark, docs, rows):
@@ -109,26 +112,70 @@ def check_packing(spark, docs, rows):
 
 def test_packing(spark):
     docs = documents(spark)
-    got, total = check_packing(spark, docs, packing.pack_documents(docs, RANKS))
+    got, total = check_packing(spark, docs, packing.pack_documents(docs, VOCABULARY))
     assert got.sequence_id.nunique() <= -(-total // packing.LENGTH) + 1
-    assert packing.pack_documents(empty(spark), RANKS).count() == 0
+    assert packing.pack_documents(empty(spark), VOCABULARY).count() == 0
 
 
 def test_packing_on_islands(spark, monkeypatch):
     monkeypatch.setattr(packing, "ISLAND", 64)
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, words(rng, rng.randrange(1, 500))) for i in range(400)], "doc_id bigint, text string")
-    got, total = check_packing(spark, docs, packing.pack_documents(docs, RANKS))
+    got, total = check_packing(spark, docs, packing.pack_documents(docs, VOCABULARY))
     assert got.sequence_id.nunique() <= 1.02 * total / packing.LENGTH + 2
 
 
-def test_genetic_steps():
+def sound(bins, size):
+    assert sorted(i for b in bins for i in b) == list(range(len(size))) and all(sum(size[i] for i in b) <= packing.LENGTH for b in bins)
+
+
+def test_genetic_steps(monkeypatch):
     rng = random.Random(4)
     size = [rng.choice([700, 690, 680, 1000, 340, 1020, 1030]) for _ in range(300)]
+    bred = []
+    whole = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: bred.append(1) or whole(*a))
     bins = packing.evolve(size, 1)
-    assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(size[i] for i in b) <= packing.LENGTH for b in bins)
+    sound(bins, size)
     first = packing._pack(sorted(range(300), key=lambda i: -size[i]), size)
-    assert len(bins) <= len(first)
+    assert len(bins) <= len(first) and bred
+    # Also where the first packing can't be bettered, a generation is bred.
+    bred.clear()
+    sound(packing.evolve([1024] * 10, 1), [1024] * 10)
+    assert bred
+    for n in (1, 2):
+        sound(packing.evolve([5] * n, 1), [5] * n)
+
+
+def test_crossover_injects_whole_bins():
+    size = [1500, 500, 1200, 800, 1000, 1000]
+    a, b = [[0, 1], [2], [3, 4], [5]], [[0], [2, 3], [1, 4], [5]]
+    child = packing.crossover(a, b, size, [0, 2, 4, 5, 3, 1], 0.25)
+    sound(child, size)
+    assert [0, 1] in child and [2, 3] in child  # injected, and untouched by it
+
+
+def test_migrants_join():
+    """An elite packing that an island would not find takes over its population."""
+    rng = random.Random(7)
+    size = [x for _ in range(60) for x in (lambda p, q: (p, q, packing.LENGTH - p - q))(rng.randrange(300, 800), rng.randrange(300, 800))]
+    perfect = [[3 * k, 3 * k + 1, 3 * k + 2] for k in range(60)]
+    alone = packing.evolve(size, 3)
+    assert len(packing.evolve(size, 3, [alone, perfect])) == 60 <= len(alone)
+
+
+def test_genetic_beats_best_fit():
+    """Over many groups the winners need no more bins than best fit by falling size, and fewer in some."""
+    rng = random.Random(8)
+    better = 0
+    for k in range(30):
+        size = [rng.randrange(350, 900) for _ in range(90)]
+        first = packing._pack(sorted(range(90), key=lambda i: -size[i]), size)
+        best = packing.evolve(size, k)
+        sound(best, size)
+        assert len(best) <= len(first)
+        better += packing._fitness(best, size) < packing._fitness(first, size)
+    assert better
 
 
 def test_pieces():
