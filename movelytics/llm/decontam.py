@@ -1,28 +1,38 @@
 """Benchmark decontamination with a distributed positional inverted index. DataFrame operations only.
 
-Training tokens are indexed as postings (term, document, position). Each benchmark window names its SEEDS rarest terms,
-by their frequency in the training data; only postings of those terms are kept. Intersection: a posting of an item's term
-at item position q and document position p lies on the diagonal p - q; a window can only occur on a diagonal on which all
-of its seeds have postings. Diagonals that pass are compared word by word with the document, which makes the result exact.
-
-Words: A-Z lower-cased, runs of [0-9a-z] and of characters beyond ASCII. Nulls: a null text has no words, in documents
-and in items alike. A document's words are hit per row; rows that repeat an id and a text get equal results.
-Items with null or repeated ids are matched by their texts and listed by their distinct non-null ids.
+The training texts are tokenized once, and the postings (term, document, position) of all terms that any benchmark item has
+are stored; everything below reads that index. Each benchmark window names its SEEDS rarest terms, by their frequency in
+the index. Intersection: a posting of an item's term at item position q and document position p lies on the diagonal p - q;
+a window can only occur on a diagonal on which all of its seeds have postings. On diagonals that pass, the postings of all
+words of the item are looked up, and a run of consecutive hits as long as a window is an occurrence, which makes the result
+exact. Proximity: the rarest terms of an item within NEAR words of each other, in any order.
+
+Words: A-Z lower-cased, runs of [0-9a-z] and of characters beyond ASCII. Nulls and empty texts: a null text has no words, in
+documents and in items alike. A document's words are hit per row; rows that repeat an id and a text get equal results.
+Ties: terms of one frequency are ranked by their text. Items with null or repeated ids are matched by their texts and listed
+by their distinct non-null ids. A very long text is a list of postings like any other. An empty table, of documents or of
+items, gives no match. Other columns, whatever their names, are never read; without_contaminated keeps them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, text_key
+from .common import free_name, stash, text_key
 
 WINDOW = 10
 SEEDS = 3
-#: Rows of a benchmark-sized table that may be broadcast; beyond it Spark joins by shuffling.
-BROADCAST_ROWS = 200_000
+#: Words on either side of an item's rarest term within which its next rarest ones must stand.
+NEAR = 20
+#: Bytes (written as JSON) of a table that may be broadcast; beyond it Spark joins by shuffling.
+BROADCAST_BYTES = 32_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The posting that stands behind a document's last word; no word is empty.
+_END = ""
 
 
 def words(text: Column) -> Column:
@@ -31,112 +41,114 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(low, F.lit("")), _GAP), "")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if all its values together are under BROADCAST_BYTES."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
-def _windows(items: DataFrame, window: int) -> DataFrame:
-    """(item, s, size): first positions and sizes of an item's windows; a short item is one window."""
-    n = F.size("words")
-    return items.where(n > 0).select("item", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("s"), F.least(n, F.lit(window)).alias("size"))
 
+@dataclass
+class Index:
+    """postings: (term, id, tk, pos) with one row of term _END a document; freq: (term, n); phrases: (item, words, item_ids)."""
 
-def _seeds(items: DataFrame, freq: DataFrame, window: int, seeds: int) -> DataFrame:
-    """(item, s, q, term): the rarest distinct terms of every window, at their first place in it."""
-    at = items.select("item", F.posexplode("words").alias("q", "term"))
-    inside = _windows(items, window).join(at, "item").where("q >= s and q < s + size")
-    terms = inside.groupBy("item", "s", "term").agg(F.min("q").alias("q")).join(freq, "term", "left")
-    rank = F.row_number().over(Window.partitionBy("item", "s").orderBy(F.coalesce("n", F.lit(0)), "term"))
-    return terms.withColumn("rank", rank).where(F.col("rank") <= seeds).select("item", "s", "q", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    postings: DataFrame
+    freq: DataFrame
+    phrases: DataFrame
 
 
-def index(tokens: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
-    """Postings (term, id, tk, pos) of the asked terms."""
-    return tokens.join(_small(terms, rows), "term").select("term", "id", "tk", "pos")
+def index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Index:
+    """Tokenize docs once and store the postings of the benchmark's terms."""
+    # Items with one text are one phrase; the ids are kept beside it.
+    named = items.select(F.col(item_col).cast("string").alias("item_id"), words(F.col(item_text)).alias("words"))
+    phrases = stash(named.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).withColumn("item", F.xxhash64("words", F.lit(1))), "phrases")
+    vocabulary = stash(phrases.select(F.explode("words").alias("term")).distinct(), "vocabulary")
+    wanted = vocabulary.union(vocabulary.sparkSession.range(1).select(F.lit(_END).alias("term")))
+    src = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tk"), words(F.col(text_col)).alias("w"))
+    tokens = src.select("id", "tk", F.posexplode(F.concat("w", F.array(F.lit(_END)))).alias("pos", "term"))
+    postings = stash(tokens.join(_small(wanted), "term", "left_semi").select("term", "id", "tk", "pos"), "postings")
+    freq = stash(postings.where(F.col("term") != _END).groupBy("term").agg(F.count("*").alias("n")), "frequencies")
+    return Index(postings, freq, phrases)
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    return docs.select("id", "tk", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+def _ranked(terms: DataFrame, freq: DataFrame, keys: list[str], seeds: int) -> DataFrame:
+    """terms with n and rank, the rarest first, at most `seeds` for each of keys."""
+    known = terms.join(freq, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return known.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("n", "term"))).where(F.col("rank") <= seeds)
 
 
-def prepare(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str):
-    src = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tk"), F.col(text_col).alias("text"))
-    # Items with one text are one phrase; the ids are kept beside it.
-    phrases = items.select(F.col(item_col).cast("string").alias("item_id"), words(F.col(item_text)).alias("words")).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    return src, stash(phrases.withColumn("item", F.xxhash64("words", F.lit(1))), "phrases")
+def _seeds(phrases: DataFrame, freq: DataFrame, window: int, seeds: int) -> DataFrame:
+    """(item, s, q, term): the rarest distinct terms of every window that can occur, at their first place in it."""
+    n = F.size("words")
+    spans = phrases.where(n > 0).select("item", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))).alias("s"), F.least(n, F.lit(window)).alias("size"))
+    at = phrases.select("item", F.posexplode("words").alias("q", "term"))
+    terms = spans.join(at, "item").where("q >= s and q < s + size").groupBy("item", "s", "term").agg(F.min("q").alias("q"))
+    asked = stash(_ranked(terms, freq, ["item", "s"], seeds), "seeds")
+    # A window whose rarest term is nowhere in the training data occurs nowhere.
+    dead = asked.where("n = 0").select("item", "s").distinct()
+    return asked.join(dead, ["item", "s"], "left_anti").select("item", "s", "q", "term")
 
 
-def diagonals(src: DataFrame, items: DataFrame, window: int = WINDOW, seeds: int = SEEDS) -> DataFrame:
+def diagonals(ix: Index, window: int = WINDOW, seeds: int = SEEDS) -> DataFrame:
     """(id, tk, item, diag): document diagonals on which all seeds of some window of the item have postings."""
-    vocabulary = stash(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-    size = vocabulary.count()
-    freq = stash(_tokens(src).join(_small(vocabulary, size), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "frequencies")
-    asked = stash(_seeds(items, freq, window, seeds), "seeds")
-    # A window whose rarest term is nowhere in the training data occurs nowhere.
-    alive = asked.groupBy("item", "s").agg(F.min("n").alias("least"), F.count("*").alias("need")).where("least > 0").drop("least")
-    asked = stash(asked.join(alive, ["item", "s"]).select("item", "s", "q", "term", "need"), "alive")
-    places = asked.select("item", "q", "term").distinct()
-    n = places.count()
-    postings = index(_tokens(src), places.select("term").distinct(), n)
-    hits = postings.join(_small(places, n), "term").select("id", "tk", "item", (F.col("pos") - F.col("q")).alias("diag"), "q")
-    on = hits.groupBy("id", "tk", "item", "diag").agg(F.collect_set("q").alias("qs"))
-    wanted = asked.groupBy("item", "s").agg(F.collect_set("q").alias("need")).groupBy("item").agg(F.collect_list("need").alias("needs"))
-    m = items.count()
-    full = on.join(_small(wanted, m), "item").where(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("qs"))) == 0))
+    asked = stash(_seeds(ix.phrases, ix.freq, window, seeds), "alive")
+    # A window spans fewer than 64 positions, so its seeds are bits of one number.
+    bit = F.expr("shiftleft(1L, cast(pmod(q, 64) as int))")
+    needs = asked.groupBy("item", "s").agg(F.bit_or(bit).alias("need")).groupBy("item").agg(F.collect_set("need").alias("needs"))
+    needs = stash(needs.withColumn("least", F.array_min(F.transform("needs", lambda x: F.bit_count(x)))), "needs")
+    places = asked.select("item", "q", "term").distinct().join(needs.select("item", "least"), "item")
+    hits = ix.postings.join(_small(places), "term").select("id", "tk", "item", (F.col("pos") - F.col("q")).alias("diag"), "least", bit.alias("bit"))
+    on = hits.groupBy("id", "tk", "item", "diag").agg(F.bit_or("bit").alias("bits"), F.max("least").alias("least")).where(F.bit_count("bits") >= F.col("least"))
+    full = on.join(_small(needs.select("item", "needs")), "item").where(F.exists("needs", lambda need: F.col("bits").bitwiseAND(need) == need))
     return full.select("id", "tk", "item", "diag")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def phrase_matches(ix: Index, window: int = WINDOW, seeds: int = SEEDS) -> DataFrame:
     """(id, tk, item_ids, start, end): exact occurrences, as maximal word ranges [start, end) of a document."""
-    src, phrases = prepare(docs, items, id_col, text_col, item_col, item_text)
-    found = stash(diagonals(src, phrases, window, seeds), "diagonals")
-    m = phrases.count()
-    per = found.join(_small(phrases.select("item", "words"), m), "item").groupBy("id", "tk").agg(F.collect_list(F.struct("item", "diag", F.col("words").alias("want"))).alias("cands"))
-    texts = src.join(per, src["id"].eqNullSafe(per["id"]) & (src["tk"] == per["tk"])).select(src["id"], src["tk"], words(F.col("text")).alias("have"), "cands").dropDuplicates(["id", "tk"])
-    # Item positions that agree with the document on the diagonal, for each candidate.
-    same = F.transform(
-        "cands",
-        lambda c: F.struct(
-            c["item"].alias("item"),
-            c["diag"].alias("diag"),
-            F.size(c["want"]).alias("size"),
-            F.filter(F.sequence(F.lit(0), F.size(c["want"]) - 1), lambda q: (c["diag"] + q >= 0) & (F.get(F.col("have"), c["diag"] + q) == F.get(c["want"], q))).alias("qs"),
-        ),
-    )
-    flat = texts.select("id", "tk", F.inline(same)).select("id", "tk", "item", "diag", "size", F.posexplode("qs").alias("i", "q"))
+    found = stash(diagonals(ix, window, seeds), "diagonals")
+    # Postings of the documents found, and of them those that an item's words would have on its diagonal.
+    held = _small(found.select("id", "tk").distinct()).toDF("__id", "__tk")
+    near = ix.postings.where(F.col("term") != _END).join(held, F.col("id").eqNullSafe(F.col("__id")) & (F.col("tk") == F.col("__tk")), "left_semi")
+    each = _small(ix.phrases.select("item", F.size("words").alias("size"), F.posexplode("words").alias("q", "term")))
+    asked = found.join(each, "item").select(F.col("id").alias("__id"), F.col("tk").alias("__tk"), "item", "diag", "size", "q", F.col("term").alias("__term"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("tk") == F.col("__tk")) & (F.col("pos") == F.col("diag") + F.col("q")) & (F.col("term") == F.col("__term"))
+    agree = asked.join(near, same).groupBy("id", "tk", "item", "diag", "size").agg(F.sort_array(F.collect_set("q")).alias("qs"))
     # Consecutive positions differ from their ranks by a constant: runs of agreement.
+    flat = agree.select("id", "tk", "item", "diag", "size", F.posexplode("qs").alias("i", "q"))
     runs = flat.groupBy("id", "tk", "item", "diag", "size", (F.col("q") - F.col("i")).alias("run")).agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
     long = runs.where(F.col("hi") - F.col("lo") + 1 >= F.least("size", F.lit(window)))
-    named = long.join(_small(phrases.select("item", "item_ids"), m), "item")
+    named = long.join(_small(ix.phrases.select("item", "item_ids")), "item")
     return named.select("id", "tk", "item_ids", (F.col("diag") + F.col("lo")).alias("start"), (F.col("diag") + F.col("hi") + 1).alias("end"))
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 2 * WINDOW, window: int = WINDOW, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_ids, start): windows of an item whose seeds all have postings within `within` words of the rarest one, in any order."""
-    src, phrases = prepare(docs, items, id_col, text_col, item_col, item_text)
-    vocabulary = phrases.select(F.explode("words").alias("term")).distinct()
-    freq = _tokens(src).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    asked = stash(_seeds(phrases, freq, window, seeds), "near-seeds")
-    rank = F.row_number().over(Window.partitionBy("item", "s").orderBy("n", "term"))
-    asked = asked.withColumn("rank", rank)
-    n = asked.count()
-    postings = stash(index(_tokens(src), asked.select("term").distinct(), n), "near-postings")
-    hits = postings.join(_small(asked, n), "term").select("id", "tk", "item", "s", "rank", "pos")
-    rare, others = hits.where("rank = 1"), hits.where("rank > 1").withColumnRenamed("pos", "other")
-    # Postings meet by blocks of `within` words, the rarest term's in its own and both neighbours.
-    a = rare.select("id", "tk", "item", "s", "pos", F.explode(F.sequence(F.expr(f"pos div {within} - 1"), F.expr(f"pos div {within} + 1"))).alias("block"))
-    b = others.withColumn("block", F.expr(f"other div {within}")).withColumnRenamed("id", "other_id")
-    near = a.join(b, ["tk", "item", "s", "block"]).where(F.col("id").eqNullSafe(F.col("other_id"))).where(F.abs(F.col("other") - F.col("pos")) <= within)
-    need = asked.groupBy("item", "s").agg((F.count("*") - 1).alias("need"))
-    got = near.groupBy("id", "tk", "item", "s", "pos").agg(F.countDistinct("rank").alias("got")).join(_small(need, n), ["item", "s"]).where("got >= need")
-    return got.join(_small(phrases.select("item", "item_ids"), n), "item").select("id", "item_ids", F.col("pos").alias("start")).distinct()
+def proximity_matches(ix: Index, within: int = NEAR, seeds: int = SEEDS) -> DataFrame:
+    """(id, tk, item_ids, start): places of an item's rarest term that have its next rarest ones (of `seeds` in all) within `within` words, in any order.
+
+    One pass over the sorted postings of a document and an item: a frame looks `within` words back and ahead.
+    """
+    terms = ix.phrases.select("item", F.explode(F.array_distinct("words")).alias("term"))
+    asked = stash(_ranked(terms, ix.freq, ["item"], seeds), "rarest")
+    dead = asked.where("n = 0").select("item").distinct()
+    alive = asked.join(dead, "item", "left_anti")
+    places = alive.join(alive.groupBy("item").agg(F.count("*").alias("need")), "item").select("item", "term", "rank", "need")
+    hits = ix.postings.join(_small(places), "term").select("id", "tk", "item", "rank", "need", F.col("pos").cast("long").alias("pos"))
+    # Documents that lack one of the terms go first, by bits that are merged before the shuffle.
+    whole = hits.groupBy("id", "tk", "item").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("bits"), F.max("need").alias("need")).where(F.bit_count("bits") == F.col("need"))
+    cands = stash(whole.select(F.col("id").alias("__id"), F.col("tk").alias("__tk"), F.col("item").alias("__item")), "near-candidates")
+    kept = hits.join(_small(cands), F.col("id").eqNullSafe(F.col("__id")) & (F.col("tk") == F.col("__tk")) & (F.col("item") == F.col("__item")), "left_semi")
+    frame = Window.partitionBy("id", "tk", "item").orderBy("pos").rangeBetween(-within, within)
+    about = [F.max((F.col("rank") == r).cast("int")).over(frame).alias(f"r{r}") for r in range(2, seeds + 1)]
+    beside = kept.select("id", "tk", "item", "rank", "need", "pos", *about).where("rank = 1")
+    full = beside.where(sum((F.coalesce(F.col(f"r{r}"), F.lit(0)) for r in range(2, seeds + 1)), F.lit(1)) == F.col("need"))
+    return full.join(_small(ix.phrases.select("item", "item_ids")), "item").select("id", "tk", "item_ids", F.col("pos").cast("int").alias("start")).distinct()
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) per row."""
-    per = hits_by_document(phrase_matches(docs, items, window, seeds, id_col, text_col, item_col, item_text)).toDF("__id", "__tk", "n_hit", "items")
-    base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tk"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    both = base.join(per, base["id"].eqNullSafe(per["__id"]) & (base["tk"] == per["__tk"]), "left")
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) per row; n_near counts items with a proximity match."""
+    ix = index(docs, items, id_col, text_col, item_col, item_text)
+    exact = hits_by_document(phrase_matches(ix, window, seeds)).toDF("__id", "__tk", "n_hit", "items")
+    near = proximity_matches(ix, NEAR, seeds).groupBy("id", "tk").agg(F.size(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("n_near")).toDF("__id2", "__tk2", "n_near")
+    base = ix.postings.where(F.col("term") == _END).select("id", "tk", F.col("pos").cast("long").alias("n_words"))
+    both = base.join(exact, F.col("id").eqNullSafe(F.col("__id")) & (F.col("tk") == F.col("__tk")), "left").join(near, F.col("id").eqNullSafe(F.col("__id2")) & (F.col("tk") == F.col("__tk2")), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return both.select(
         "id",
@@ -145,6 +157,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, seeds: int =
         F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
@@ -159,18 +172,31 @@ def hits_by_document(found: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold an occurrence of any benchmark window, all columns kept."""
-    bad = phrase_matches(docs, items, window, SEEDS, id_col, text_col).select(F.col("id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__tk")), "left_anti")
+    i, k = free_name(docs, "__id"), free_name(docs, "__tk")
+    bad = phrase_matches(index(docs, items, id_col, text_col), window).select(F.col("id").alias(i), F.col("tk").alias(k)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[i]) & (text_key(text_col) == bad[k]), "left_anti")
 
 
 ORACLE_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 bw as (select distinct item, least(len(w), 10) as size, array_to_string(w[s : s + 9], ' ') as win from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from b where len(w) > 0)),
-dw as (select doc_id, s, size, array_to_string(w[s : s + size - 1], ' ') as win from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as s from d, (select distinct size from bw) where len(w) >= size)),
+dw as (select doc_id, s, size, array_to_string(w[s : s + size - 1], ' ') as win
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as s from d, (select distinct size from bw) where len(w) >= size)),
 hit as (select doc_id, s, dw.size, item from dw join bw on dw.win = bw.win and dw.size = bw.size),
 cover as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + size)) as p from (select distinct doc_id, s, size from hit)) group by doc_id),
-found as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as items from hit group by doc_id)
-select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join cover on d.doc_id = cover.doc_id left join found on d.doc_id = found.doc_id
+found as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as items from hit group by doc_id),
+tok as (select doc_id, unnest(w) as term, generate_subscripts(w, 1) as pos from d),
+freq as (select term, count(*) as n from tok group by term),
+ranked as (select item, t.term, coalesce(n, 0) as n, row_number() over (partition by item order by coalesce(n, 0), t.term) as rank
+  from (select distinct item, unnest(w) as term from b) t left join freq on t.term = freq.term),
+seed as (select item, term, rank, count(*) over (partition by item) as need, min(n) over (partition by item) as least from ranked where rank <= 3),
+place as (select doc_id, item, rank, need, pos from tok join seed on tok.term = seed.term where least > 0),
+beside as (select item, doc_id, rank, need,
+  1 + coalesce(max(cast(rank = 2 as int)) over f, 0) + coalesce(max(cast(rank = 3 as int)) over f, 0) as got
+  from place window f as (partition by doc_id, item order by pos range between 20 preceding and 20 following)),
+near as (select doc_id, count(distinct item) as n_near from beside where rank = 1 and got = need group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from d left join cover on d.doc_id = cover.doc_id left join found on d.doc_id = found.doc_id left join near on d.doc_id = near.doc_id
 """

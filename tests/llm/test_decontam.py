@@ -13,18 +13,23 @@ def tokens(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 
 
-def brute(docs, items, window=10):
+def brute(docs, items, window=10, within=20):
     out = []
     wins = [(i, tuple(w[s : s + window])) for i, t in items if (w := tokens(t)) for s in range(max(1, len(w) - window + 1))]
+    n = Counter(x for _, t in docs for x in tokens(t))
+    rare = [(i, sorted(set(w), key=lambda x: (n[x], x.encode()))[:3]) for i, t in items if (w := tokens(t))]
     for d, t in docs:
-        w, hit, found = tokens(t), set(), set()
+        w, hit, found, near = tokens(t), set(), set(), set()
         for i, x in wins:
             for s in range(len(w) - len(x) + 1):
                 if tuple(w[s : s + len(x)]) == x:
                     hit.update(range(s, s + len(x)))
                     if i is not None:
                         found.add(str(i))
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        for i, x in rare:
+            if i is not None and any(y == x[0] and set(x) <= set(w[max(0, p - within) : p + within + 1]) for p, y in enumerate(w)):
+                near.add(str(i))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(near)))
     return out
 
 
@@ -43,11 +48,11 @@ def test_decontamination(spark):
     assert Counter(tuple(r) for r in got.collect()) == Counter(want)
     kept = decontam.without_contaminated(docs, items)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(not x[-1] for x in want)
+    assert kept.count() == sum(not x[-2] for x in want)
 
 
 def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
     docs, items, raw = cases(spark)
     assert Counter(tuple(r) for r in decontam.report(docs, items).collect()) == Counter(brute([(r["doc_id"], r["text"]) for r in docs.collect()], raw))
 
@@ -61,4 +66,4 @@ def test_empty_tables(spark):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red fox " + "and " * 8 + "jumped high"), (2, "red " + "and " * 60 + "jumped"), (3, "nothing here")], "doc_id bigint, text string")
     items = spark.createDataFrame([("q", "jumped red fox")], "item_id string, text string")
-    assert {r["id"] for r in decontam.proximity_matches(docs, items).collect()} == {1}
+    assert {r["id"] for r in decontam.proximity_matches(decontam.index(docs, items)).collect()} == {1}
