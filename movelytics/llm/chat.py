@@ -1,13 +1,18 @@
 """Transcript parsing: roles by a hidden Markov model, decoded by Viterbi, then rendered as canonical turns.
 
 The unit is a line; states are a role's first line and its further lines; a line's observation is the kind of speaker
-marker it starts with, whether it ends with a question mark, and its length class. A conversation is cut into blocks of
-BLOCK segments. Max-plus products are associative, so a block is summed up by a states x states matrix, the matrices of a
-conversation give the best states at block borders, and each block is decoded between its borders: the same path as
-Viterbi over the whole, with no conversation in one group.
-
-Segments are ordered by seq within a conversation. Nulls: a null text is an empty line; a null conversation id is a
-conversation of its own; null seqs come first. Segments that repeat a seq follow each other in order of their texts.
+marker it starts with (a known name of one of the roles, or a name that no table has), whether it ends with a question
+mark, and its length class. A conversation's segments are sorted by ranges and cut into blocks of BLOCK segments by count.
+Max-plus products are associative, so a block is summed up by a states x states matrix; FAN blocks are summed up by one
+matrix, FAN of those by another, and so on to one for a conversation. From there the best states at borders are found on
+the way down, and each block is decoded between its borders: the same path as Viterbi over the whole, with at most BLOCK
+segments or FAN matrices in one group.
+
+A marker with a known name is cut off; a name that no table has stays in the text, since it may be part of it.
+Segments are ordered by seq within a conversation. Nulls and empty texts: a null text is an empty line; a null conversation
+id is a conversation of its own; null seqs come first. Ties and repeated rows: segments that repeat a seq follow each other
+in order of their texts. A very long text is one segment of many lines. An empty table gives an empty result, and a model
+fitted on it knows only its smoothing. Other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -17,27 +22,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import scan_groups, stash
+from .common import _changes, scan_groups, stash
 
 ROLES = ("system", "user", "assistant")
-BLOCK = 64
+BLOCK, FAN = 64, 64
 STATES = 2 * len(ROLES)  # 2r: first line of role r, 2r + 1: further line
 # Names that speaker markers use for each role.
 NAMES = {"system": ("system", "instructions", "context", "setup"), "user": ("user", "human", "q", "question", "customer", "me", "you"), "assistant": ("assistant", "ai", "a", "answer", "bot", "model", "agent")}
 _ROLE_OF = {n: r for r, role in enumerate(ROLES) for n in NAMES[role]}
 _MARKER = re.compile(r"^\s*(?:[#>*\[(<|]+\s*)?([A-Za-z]{1,12})\s*(?:[\])>|*]+\s*:?|:|\s[-—–])\s*")
-OBSERVATIONS = 4 * 2 * 3
+UNKNOWN = len(ROLES) + 1  # the kind of a marker whose name no table has
+OBSERVATIONS = (UNKNOWN + 1) * 2 * 3
 
 
 def marker(line: str) -> tuple[int, str]:
-    """(role + 1 or 0, line without its marker)."""
+    """(0 without a marker, role + 1, or UNKNOWN; the line, without its marker if the name is known)."""
     m = _MARKER.match(line)
-    role = _ROLE_OF.get(m[1].lower()) if m else None
-    return (0, line) if role is None else (role + 1, line[m.end() :])
+    if m is None:
+        return 0, line
+    role = _ROLE_OF.get(m[1].lower())
+    return (UNKNOWN, line) if role is None else (role + 1, line[m.end() :])
 
 
 def observe(line: str) -> int:
@@ -74,27 +83,78 @@ class Model:
         return states[::-1]
 
 
+def _blocks(segments: DataFrame, conv: str, seq: str, text: str, role: str | None = None) -> tuple[DataFrame, int]:
+    """((conv, idx, at, role, text), levels): segments in blocks idx = 0, 1, ... of a conversation; levels of FAN to hold them all.
+
+    Ranges of (conversation, seq, start of the text) are sorted and numbered where they lie; a conversation has as many
+    rows in the table of their sizes as it has ranges.
+    """
+    src = segments.select(F.col(conv).alias("conv"), F.col(seq).alias("seq"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(role) if role else F.lit(None).cast("string")).alias("role"))
+    kind = src.schema["conv"].dataType.simpleString()
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = src.repartitionByRange(parts, "conv", "seq", F.substring("text", 1, 32)).sortWithinPartitions("conv", "seq", "text")
+
+    def number(batches):
+        part, last, count = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            key = b.column(0)
+            fresh = np.concatenate(([True], _changes(pa.chunked_array([key])).to_numpy(zero_copy_only=False))) if n > 1 else np.ones(1, bool)
+            starts = np.flatnonzero(fresh)
+            k = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+            if count and key[0].as_py() == last:
+                k[: starts[1] if len(starts) > 1 else n] += count
+            last, count = key[n - 1].as_py(), int(k[-1]) + 1
+            yield pa.record_batch([key, pa.array(np.full(n, part, np.int32)), pa.array(k // BLOCK), pa.array(k % BLOCK), b.column(3), b.column(2)], names=["conv", "part", "blk", "at", "role", "text"])
+
+    found = stash(ranged.mapInArrow(number, f"conv {kind}, part int, blk bigint, at bigint, role string, text string"), "segments")
+    sizes = found.groupBy("conv", "part").agg((F.max("blk") + 1).alias("n"))
+    before = sizes.select(F.col("conv").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    out = found.join(before, found["conv"].eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).select("conv", (F.col("before") + F.col("blk")).alias("idx"), "at", "role", "text")
+    most, levels = out.agg(F.max("idx")).first()[0] or 0, 1
+    while FAN**levels <= most:
+        levels += 1
+    return out, levels
+
+
+def _group() -> Column:
+    return F.floor(F.col("idx") / FAN).cast("long")
+
+
+def _beside(child: DataFrame, parent: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """child with columns of the parent row of its conversation whose idx is child's `on`."""
+    p = parent.select(F.col("conv").alias("__c"), F.col("idx").alias("__i"), *columns)
+    return child.join(p, child["conv"].eqNullSafe(F.col("__c")) & (child[on] == F.col("__i"))).drop("__c", "__i")
+
+
 def fit(turns: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text") -> Model:
-    """Counts of observations and role changes over all labelled turns, smoothed."""
-    counted = turns.where(F.col(role).isin(*ROLES)).select(F.col(conv).alias("conv"), _block(F.col(seq)).alias("block"), F.col(seq).alias("seq"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """Counts of observations and role changes over all labelled turns, smoothed; changes over block borders are counted too."""
+    blocks, _ = _blocks(turns.where(F.col(role).isin(*ROLES)), conv, seq, text, role)
+    kind, arrow = blocks.schema["conv"].dataType.simpleString(), to_arrow_type(blocks.schema["conv"].dataType)
 
     def run(t: pa.Table):
-        n, before = {}, None
-        for r, x, s in zip(t.column("role").to_pylist(), t.column("text").to_pylist(), t.column("seq").to_pylist(), strict=True):
+        n, before, first = {}, None, None
+        opening = t.column("idx")[0].as_py() == 0
+        for r, x in zip(t.column("role").to_pylist(), t.column("text").to_pylist(), strict=True):
             k = ROLES.index(r)
             for i, line in enumerate(x.split("\n")):
                 now = 2 * k + (i > 0)
-                kinds = [("emit", now, observe(line))]
-                kinds.append(("step", before, now) if before is not None else ("start", 0, now) if s == 0 else ("", 0, 0))
-                for key in kinds:
+                first = now if first is None else first
+                for key in [("emit", now, observe(line))] + ([("step", before, now)] if before is not None else [("start", 0, now)] if opening else []):
                     n[key] = n.get(key, 0) + 1
                 before = now
-        rows = [(*k, c) for k, c in n.items() if k[0]]
-        yield pa.record_batch([pa.array([r[i] for r in rows], ty) for i, ty in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["what", "a", "b", "n"])
-
-    found = scan_groups(counted, ["conv", "block"], ["seq", "text"], run, "what string, a int, b int, n bigint").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+        rows = [(*k, c) for k, c in n.items()] + [("border", first, before, 1)]
+        cols = [pa.array([t.column(c)[0].as_py()] * len(rows), ty) for c, ty in (("conv", arrow), ("idx", pa.int64()))]
+        yield pa.record_batch(cols + [pa.array([r[i] for r in rows], ty) for i, ty in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["conv", "idx", "what", "a", "b", "n"])
+
+    found = stash(scan_groups(blocks, ["conv", "idx"], ["at"], run, f"conv {kind}, idx bigint, what string, a int, b int, n bigint"), "role-counts")
+    borders = found.where("what = 'border'")
+    over = _beside(borders.withColumn("nextidx", F.col("idx") + 1).select("conv", "nextidx", F.col("b").alias("left")), borders, "nextidx", ["a"]).select(F.lit("step").alias("what"), F.col("left").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("n"))
+    counted = found.where("what <> 'border'").select("what", "a", "b", "n").union(over).groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     tables = {"start": np.full((1, STATES), 0.5), "step": np.full((STATES, STATES), 0.5), "emit": np.full((STATES, OBSERVATIONS), 0.5)}
-    for r in found:
+    for r in counted:
         tables[r["what"]][r["a"], r["b"]] += r["n"]
     tables["start"][0, 1::2] = 1e-6  # a transcript can't open inside a turn
     for k in range(len(ROLES)):  # nor can a turn go on as another role's
@@ -103,41 +163,75 @@ def fit(turns: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str =
     return Model(norm["start"][0], norm["step"], norm["emit"])
 
 
-def _block(seq: Column) -> Column:
-    return F.coalesce(F.floor(seq / BLOCK), F.lit(-1)).cast("long")
+def _up(summed: DataFrame, levels: int, kind: str, arrow: pa.DataType) -> list[DataFrame]:
+    """Tables of matrices (conv, idx, m), from the blocks' to one for a conversation."""
 
+    def combine(t: pa.Table):
+        m = None
+        for x in t.column("m").to_pylist():
+            x = np.array(x).reshape(STATES, STATES)
+            m = x if m is None else (m[:, :, None] + x[None]).max(axis=1)
+        yield pa.record_batch([pa.array([t.column("conv")[0].as_py()], arrow), pa.array([t.column("g")[0].as_py()], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["conv", "idx", "m"])
 
-def parse(segments: DataFrame, model: Model, conv: str = "conv_id", seq: str = "turn", text: str = "text") -> DataFrame:
-    """(conv, turn_no, role, text, rendered): the recovered turns of every conversation."""
-    src = segments.select(F.col(conv).alias("conv"), _block(F.col(seq)).alias("block"), F.col(seq).alias("seq"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind, arrow = src.schema["conv"].dataType.simpleString(), to_arrow_type(src.schema["conv"].dataType)
-    shared = segments.sparkSession.sparkContext.broadcast(model)
-    one = lambda t, name: t.column(name)[0].as_py()
-    lines_of = lambda t: [x for s in t.column("text").to_pylist() for x in s.split("\n")]
+    out = [stash(summed, "matrices")]
+    for _ in range(levels):
+        out.append(stash(scan_groups(out[-1].withColumn("g", _group()), ["conv", "g"], ["idx"], combine, f"conv {kind}, idx bigint, m array<double>"), "matrices"))
+    return out
 
-    def sums(t: pa.Table):
-        # As the first block, and as a later one: which it is shows only beside the others.
-        obs = [observe(x) for x in lines_of(t)]
-        m = [shared.value.matrix(obs, f).ravel().tolist() for f in (True, False)]
-        yield pa.record_batch([pa.array([one(t, "conv")], arrow), pa.array([one(t, "block")], pa.int64()), pa.array([m[0]], pa.list_(pa.float64())), pa.array([m[1]], pa.list_(pa.float64()))], names=["conv", "block", "opening", "later"])
+
+def _down(tables: list[DataFrame], kind: str) -> DataFrame:
+    """(conv, idx, enter, leave): the best states before and at the end of every block."""
+
+    def ends(t: pa.Table):
+        best = [int(np.array(x).reshape(STATES, STATES)[0].argmax()) for x in t.column("m").to_pylist()]
+        yield pa.record_batch([t.column("conv").combine_chunks(), t.column("idx").combine_chunks(), pa.array([0] * len(best), pa.int32()), pa.array(best, pa.int32())], names=["conv", "idx", "enter", "leave"])
 
     def borders(t: pa.Table):
-        n = t.num_rows
-        score, back = np.where(np.arange(STATES) == 0, 0.0, -np.inf), []
-        for i in range(n):
-            m = np.array(t.column("opening" if i == 0 else "later")[i].as_py()).reshape(STATES, STATES)
-            total = score[:, None] + m
+        score, back = np.where(np.arange(STATES) == t.column("enter")[0].as_py(), 0.0, -np.inf), []
+        for x in t.column("m").to_pylist():
+            total = score[:, None] + np.array(x).reshape(STATES, STATES)
             back.append(total.argmax(axis=0))
             score = total.max(axis=0)
-        leave = [int(score.argmax())]
+        leave = [t.column("leave")[0].as_py()]
         for b in reversed(back):
             leave.append(int(b[leave[-1]]))
         leave = leave[::-1]
-        yield pa.record_batch([t.column("conv").combine_chunks(), t.column("block").combine_chunks(), pa.array(leave[:-1], pa.int32()), pa.array(leave[1:], pa.int32()), pa.array([i == 0 for i in range(n)])], names=["conv", "block", "enter", "leave", "opening"])
+        yield pa.record_batch([t.column("conv").combine_chunks(), t.column("idx").combine_chunks(), pa.array(leave[:-1], pa.int32()), pa.array(leave[1:], pa.int32())], names=["conv", "idx", "enter", "leave"])
+
+    schema = f"conv {kind}, idx bigint, enter int, leave int"
+    at = scan_groups(tables[-1], ["conv"], ["idx"], ends, schema)
+    for t in reversed(tables[:-1]):
+        at = stash(scan_groups(_beside(t.withColumn("g", _group()), at, "g", ["enter", "leave"]), ["conv", "g"], ["idx"], borders, schema), "borders")
+    return at
+
+
+def _offsets(counts: DataFrame, levels: int) -> DataFrame:
+    """(conv, idx, before): the sum of n over a conversation's blocks before each, by way of FAN blocks, FAN of those, ..."""
+    tables = [stash(counts, "turn-counts")]
+    for _ in range(levels):
+        tables.append(stash(tables[-1].groupBy("conv", _group().alias("idx")).agg(F.sum("n").alias("n")), "turn-counts"))
+    at = tables[-1].select("conv", "idx", F.lit(0).cast("long").alias("before"))
+    for t in reversed(tables[:-1]):
+        inner = F.coalesce(F.sum("n").over(Window.partitionBy("conv", "g").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = _beside(t.withColumn("g", _group()).withColumn("inner", inner), at, "g", ["before"]).select("conv", "idx", (F.col("before") + F.col("inner")).alias("before"))
+    return at
+
+
+def parse(segments: DataFrame, model: Model, conv: str = "conv_id", seq: str = "turn", text: str = "text") -> DataFrame:
+    """(conv, turn_no, role, text, rendered): the recovered turns of every conversation."""
+    blocks, levels = _blocks(segments, conv, seq, text)
+    kind, arrow = blocks.schema["conv"].dataType.simpleString(), to_arrow_type(blocks.schema["conv"].dataType)
+    shared = segments.sparkSession.sparkContext.broadcast(model)
+    one = lambda t, name: t.column(name)[0].as_py()
+    lines_of = lambda t: [x for s in t.column("text").to_pylist() for x in s.split("\n")]
+
+    def sums(t: pa.Table):
+        m = shared.value.matrix([observe(x) for x in lines_of(t)], one(t, "idx") == 0)
+        yield pa.record_batch([pa.array([one(t, "conv")], arrow), pa.array([one(t, "idx")], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["conv", "idx", "m"])
 
     def decode(t: pa.Table):
         lines = lines_of(t)
-        states = shared.value.path([observe(x) for x in lines], one(t, "opening"), one(t, "enter"), one(t, "leave"))
+        states = shared.value.path([observe(x) for x in lines], one(t, "idx") == 0, one(t, "enter"), one(t, "leave"))
         rows: list[list] = []
         for line, s in zip(lines, states, strict=True):
             begins = s % 2 == 0
@@ -147,36 +241,31 @@ def parse(segments: DataFrame, model: Model, conv: str = "conv_id", seq: str = "
                 rows[-1][2].append(line)
         k = np.cumsum([r[1] for r in rows])
         yield pa.record_batch(
-            [pa.array([one(t, "conv")] * len(rows), arrow), pa.array([one(t, "block")] * len(rows), pa.int64()), pa.array(k, pa.int64()), pa.array([ROLES[r[0]] for r in rows]), pa.array(["\n".join(r[2]) for r in rows])],
-            names=["conv", "block", "k", "role", "text"],
+            [pa.array([one(t, "conv")] * len(rows), arrow), pa.array([one(t, "idx")] * len(rows), pa.int64()), pa.array(k, pa.int64()), pa.array([ROLES[r[0]] for r in rows]), pa.array(["\n".join(r[2]) for r in rows])],
+            names=["conv", "idx", "k", "role", "text"],
         )
 
-    summed = scan_groups(src, ["conv", "block"], ["seq", "text"], sums, f"conv {kind}, block bigint, opening array<double>, later array<double>")
-    ends = stash(scan_groups(summed, ["conv"], ["block"], borders, f"conv {kind}, block bigint, enter int, leave int, opening boolean"), "borders")
-    bordered = src.join(ends.withColumnRenamed("conv", "c").withColumnRenamed("block", "b"), src["conv"].eqNullSafe(F.col("c")) & (src["block"] == F.col("b"))).drop("c", "b")
-    parts = stash(scan_groups(bordered, ["conv", "block"], ["seq", "text"], decode, f"conv {kind}, block bigint, k bigint, role string, text string"), "turn-parts")
-
-    def number(t: pa.Table):
-        n = t.column("n").to_numpy()
-        yield pa.record_batch([t.column("conv").combine_chunks(), t.column("block").combine_chunks(), pa.array(np.cumsum(n) - n)], names=["conv", "block", "before"])
-
-    counts = parts.groupBy("conv", "block").agg(F.max("k").alias("n"))
-    before = scan_groups(counts, ["conv"], ["block"], number, f"conv {kind}, block bigint, before bigint").toDF("c", "b", "before")
-    numbered = parts.join(before, parts["conv"].eqNullSafe(F.col("c")) & (parts["block"] == F.col("b"))).select("conv", (F.col("before") + F.col("k") - 1).alias("turn_no"), "block", "role", "text")
+    summed = scan_groups(blocks, ["conv", "idx"], ["at"], sums, f"conv {kind}, idx bigint, m array<double>")
+    ends = _down(_up(summed, levels, kind, arrow), kind)
+    parts = stash(scan_groups(_beside(blocks, ends, "idx", ["enter", "leave"]), ["conv", "idx"], ["at"], decode, f"conv {kind}, idx bigint, k bigint, role string, text string"), "turn-parts")
+    before = _offsets(parts.groupBy("conv", "idx").agg(F.max("k").alias("n")), levels)
+    numbered = _beside(parts, before, "idx", ["before"]).select("conv", (F.col("before") + F.col("k") - 1).alias("turn_no"), "idx", "role", "text")
     # A turn that runs over a block border comes in parts.
-    whole = numbered.groupBy("conv", "turn_no").agg(F.first("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    whole = numbered.groupBy("conv", "turn_no").agg(F.first("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return whole.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n")))
 
 
 # The markers of the transcript styles that the query writes; None leaves a role unmarked.
-STYLES = (("System: ", "User: ", "Assistant: "), ("### Instructions: ", "### Human: ", "### AI: "), ("[system] ", "Q: ", "A: "), ("System — ", "User: ", None))
+STYLES = (("System: ", "User: ", "Assistant: "), ("### Instructions: ", "### Human: ", "### AI: "), ("[system] ", "Q: ", "A: "), ("System — ", "User: ", None), ("Notice: ", "Alice: ", "Bob: "))
+#: Styles of held-out conversations: names that the model has not met, and roles without a marker.
+UNSEEN = (("[admin] ", "Client> ", "Desk> "), ("Host: ", "** Visitor ** ", None), ("setup: ", "Customer: ", "Agent: "))
 
 
-def transcripts(turns: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Raw transcript segments of labelled turns, each conversation in one of STYLES by a hash of its id."""
-    style = F.pmod(F.xxhash64(F.lit("style"), conv), F.lit(len(STYLES)))
+def transcripts(turns: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text", styles: tuple = STYLES) -> DataFrame:
+    """Raw transcript segments of labelled turns, each conversation in one of the styles by a hash of its id."""
+    style = F.pmod(F.xxhash64(F.lit("style"), conv), F.lit(len(styles)))
     mark = F.lit("")
-    for s, names in enumerate(STYLES):
+    for s, names in enumerate(styles):
         for r, m in zip(ROLES, names, strict=True):
             mark = F.when((style == s) & (F.col(role) == r), F.lit(m or "")).otherwise(mark)
     return turns.withColumn(text, F.concat(mark, F.coalesce(F.col(text), F.lit(""))))

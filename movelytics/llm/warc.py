@@ -6,9 +6,12 @@ the frames by their block headers, decodes one record per frame and validates he
 record that fails has `error` set instead of ending the job.
 
 Each task writes to a temporary name and renames it to a name made of the partition number, so a repeated task leaves the
-same files. Nulls: a null html is an empty payload, a null url is written as urn:x-none, a null id as an empty one (read
-back as null). Of equal payloads of at least MIN_BYTES the row with the largest id is the response; rows that repeat that
-id stay responses, and if all ids of a group are null so do all its rows.
+same files; verify_files holds the folder against the manifest. Nulls and empty texts: a null html is an empty payload, a
+null url is written as urn:x-none, a null id as an empty one (read back as null). Ties: of equal payloads of at least
+MIN_BYTES the row with the largest id is the response; rows that repeat that id stay responses, and if all ids of a group
+are null so do all its rows. Repeated rows give a record each; record ids are made of page ids, so they are unique only
+where page ids are. A very long page is one record of one frame, held in memory once. An empty table gives an empty folder
+and no records. Other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stash
+from .common import share_of_hash, shared_dir, stash
 
 MIN_BYTES = 1000
 FILE_BYTES = 8 << 20
@@ -39,8 +42,11 @@ _DATE = "2026-01-01T00:00:00Z"
 
 
 def train_dictionary(pages: DataFrame, payload: str = "html") -> bytes:
-    """Dictionary from at most SAMPLE_PAGES payloads, SAMPLE_BYTES of each; empty if there is too little to train on."""
-    rows = pages.where(F.length(payload) > 0).select(F.substring(payload, 1, SAMPLE_BYTES).alias("t")).limit(SAMPLE_PAGES).collect()
+    """Dictionary from some SAMPLE_PAGES payloads, chosen by a hash of the payload, SAMPLE_BYTES of each; empty if there is too little to train on."""
+    large = pages.where(F.length(payload) > 0)
+    n = large.count()
+    drawn = large.where(share_of_hash(min(1.0, SAMPLE_PAGES / max(1, n)), F.lit("dictionary"), payload))
+    rows = drawn.select(F.substring(payload, 1, SAMPLE_BYTES).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(2 * SAMPLE_PAGES).collect()
     samples = [r["t"].encode("utf-8", "surrogatepass") for r in rows]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 10 + 256), samples).as_bytes() if len(samples) >= 8 else b""
@@ -52,11 +58,14 @@ def plan(pages: DataFrame, id_col: str = "page_id", payload: str = "html", url:
     """(id, url, body, digest, record_type, refers_to) per row."""
     src = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body"))
     src = src.withColumn("digest", F.sha1(F.col("body").cast("binary")))
-    large = F.octet_length("body") >= min_bytes
-    keep = src.where(large).groupBy("digest").agg(F.max("id").alias("keep"))
-    both = src.join(keep, "digest", "left")
+    columns = ["id", "url", "body", "digest"]
+    size = F.octet_length("body")
+    large, small = src.where(size >= min_bytes), src.where(size < min_bytes)
+    keep = large.groupBy("digest").agg(F.max("id").alias("keep"))
     again = F.coalesce(F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep")), F.lit(False))
-    return both.select("id", "url", "body", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keep")).alias("refers_to"))
+    twice = large.join(keep, "digest").select(*columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keep")).alias("refers_to"))
+    # Small payloads are never revisits and stay where they are.
+    return twice.union(small.select(*columns, F.lit("response"), F.lit(None).cast(src.schema["id"].dataType)))
 
 
 def record(key, url: str | None, body: bytes, digest: str, kind: str, refers_to) -> bytes:
@@ -122,6 +131,14 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     return path, stash(planned.mapInArrow(run, "file string, records bigint, bytes bigint"), "warc-manifest")
 
 
+def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> None:
+    """Raise if a file of the manifest is missing in the folder, has another size, or is there without being in the manifest."""
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    wrong = there.join(manifest.select("file", F.col("bytes").alias("said")), "file", "full").where("bytes is null or said is null or bytes <> said").limit(5).collect()
+    if wrong:
+        raise RuntimeError(f"archive files differ from the manifest: {[r['file'] for r in wrong]}")
+
+
 def _open(path: str):
     return pafs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}" if path.startswith("/") else path)
 

@@ -30,7 +30,7 @@ def test_roles(spark):
     got = {}
     for r in chat.parse(raw, model).collect():
         got.setdefault(r["conv"], {})[r["turn_no"]] = (r["role"], r["text"], r["rendered"])
-    marked = turns.where("conv_id < 900").withColumn("style", F.pmod(F.xxhash64(F.lit("style"), "conv_id"), F.lit(4))).where("style <> 3").collect()
+    marked = turns.where("conv_id < 900").withColumn("style", F.pmod(F.xxhash64(F.lit("style"), "conv_id"), F.lit(5))).where("style < 3").collect()
     right = sum(got[r["conv_id"]].get(r["turn"], ("", ""))[:2] == (r["role"], r["text"]) for r in marked)
     assert right / len(marked) > 0.98
     assert all(x[2] == f"<|{x[0]}|>\n{x[1]}<|end|>\n" for c in got.values() for x in c.values())
@@ -44,7 +44,10 @@ def test_blocks_equal_whole_viterbi(spark, monkeypatch):
     rows = lambda: sorted(tuple(r) for r in chat.parse(raw, model).collect())
     whole = rows()
     monkeypatch.setattr(chat, "BLOCK", 5)
+    monkeypatch.setattr(chat, "FAN", 3)
     assert rows() == whole
+    again = chat.fit(raw)  # counts don't depend on the blocks either
+    assert all(np.allclose(getattr(again, k), getattr(model, k)) for k in ("start", "step", "emit"))
     # And the path itself is the best one.
     obs = [chat.observe(x) for r in raw.where("conv_id = 0").orderBy("turn").collect() for x in r["text"].split("\n")][:4]
     score = lambda p: model.start[p[0]] + sum(model.step[a, b] for a, b in zip(p, p[1:], strict=False)) + sum(model.emit[s, o] for s, o in zip(p, obs, strict=True))
@@ -52,8 +55,34 @@ def test_blocks_equal_whole_viterbi(spark, monkeypatch):
     assert abs(model.matrix(obs, True)[0].max() - best) < 1e-9
 
 
+def test_held_out_roles(spark):
+    """Conversations that the fit has not seen, in styles with other names and unmarked roles."""
+    turns = conversations(spark, 120, 40).where("conv_id is not null and conv_id < 900")
+    model = chat.fit(chat.transcripts(turns.where("conv_id % 2 = 0")))
+    held = turns.where("conv_id % 2 = 1")
+    got = {(r["conv"], r["turn_no"]): r["role"] for r in chat.parse(chat.transcripts(held, styles=chat.UNSEEN), model).collect()}
+    want = {(r["conv_id"], r["turn"]): r["role"] for r in held.collect()}
+    assert sum(got.get(k) == v for k, v in want.items()) / len(want) > 0.9
+
+
+def test_hot_and_awkward_conversations(spark, monkeypatch):
+    """A conversation with most rows, null seqs, repeated and clashing rows: blocks hold BLOCK segments at most, no line is lost."""
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    monkeypatch.setattr(chat, "FAN", 4)
+    rows = [(1, None if t < 150 else t % 60, f"User: line {t % 90}", "x", 1) for t in range(400)] + [(2, 0, "Assistant: " + "long text\n" * 3000, "y", 2), (None, 1, None, "z", 3)]
+    raw = spark.createDataFrame(rows, "conv_id bigint, turn int, text string, conv string, idx int")
+    blocks, levels = chat._blocks(raw, "conv_id", "turn", "text")
+    assert blocks.groupBy("conv", "idx").count().agg(F.max("count")).first()[0] <= 8 and levels >= 2
+    assert blocks.where("conv = 1").agg(F.countDistinct("idx"), F.max("idx")).first()[0] <= 60
+    out = chat.parse(raw, chat.fit(chat.transcripts(conversations(spark, 6, 5)))).collect()
+    lines = sum(len(r["text"].split("\n")) for r in out)
+    assert lines == 400 + 3001 + 1 and {r["conv"] for r in out} == {1, 2, None}
+    numbers = sorted(r["turn_no"] for r in out if r["conv"] == 1)
+    assert numbers == list(range(len(numbers))) and len(numbers) > 350  # the model may take a repeated speaker's line for the same turn
+
+
 def test_markers():
-    assert chat.marker("User: hi") == (2, "hi") and chat.marker("### AI: ok") == (3, "ok") and chat.marker("Note: hi")[0] == 0 and chat.marker("[system] x") == (1, "x")
+    assert chat.marker("User: hi") == (2, "hi") and chat.marker("### AI: ok") == (3, "ok") and chat.marker("Note: hi") == (chat.UNKNOWN, "Note: hi") and chat.marker("plain words")[0] == 0 and chat.marker("[system] x") == (1, "x")
 
 
 def test_no_conversations(spark):
@@ -89,6 +118,27 @@ def test_round_trip(spark, tmp_path, file_bytes):
     assert sorted(have) == sorted(want)
 
 
+def test_lost_files(spark, tmp_path):
+    df, _ = pages(spark)
+    path, manifest = warc.write_archives(df, f"file://{tmp_path}/w", file_bytes=1)
+    warc.verify_files(spark, path, manifest)
+    one = next(p for p in (tmp_path / "w").iterdir() if p.name.endswith(".zst"))
+    raw = one.read_bytes()
+    for bad in (None, raw[:-1]):
+        one.unlink(missing_ok=True)
+        if bad is not None:
+            one.write_bytes(bad)
+        with pytest.raises(RuntimeError):
+            warc.verify_files(spark, path, manifest)
+
+
+def test_long_page(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "<p>" + "é x " * 2_000_000)], "page_id bigint, url string, html string")
+    path, _ = warc.write_archives(df, f"file://{tmp_path}/w")
+    r = warc.read_archives(spark, path).first()
+    assert r["error"] is None and r["payload_bytes"] == 3 + 5 * 2_000_000
+
+
 def test_frames_are_plain_zstandard(spark, tmp_path):
     df, _ = pages(spark)
     warc.write_archives(df, f"file://{tmp_path}/w")
