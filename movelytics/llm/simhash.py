@@ -7,8 +7,10 @@ cleared bit, so a segment whose bit is already 0 is its own variant and is store
 An equality join of index keys finds the candidates and each is verified on all 64 bits. Only a spanning forest
 leaves a bucket, never all its pairs; a bucket above BLOCK members is cut into block pairs that run as separate tasks.
 
-Nulls: a null text has no words, like an empty one: fingerprint zero. A null id takes part, but is never a
+Nulls and empty texts: a null text has no words, like an empty one: fingerprint zero. A null id takes part, but is never a
 component id unless nothing else is reachable. Rows that repeat an id keep their own fingerprints and are all returned.
+Ties: of several smallest nodes there is one id. A very long text is hashed in pieces of 32,768 shingles. An empty table
+gives an empty result. Other columns, whatever their names, are never read; one_per_group keeps them.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scan_groups, stash, text_key
+from .common import cut, free_name, scan_groups, stash, text_key
 from .components import components
 from .overlap import overlap_links
 
@@ -95,10 +97,10 @@ def variants(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): fingerprints within MAX_BITS bits; a spanning forest of each bucket, which joins all that all pairs would join."""
-    w = Window.partitionBy("seg", "key")
+    every = stash(variants(fps), "variants")
     # A bucket counts only if a member stands in it with its whole segment: two cleared segments differ by up to two bits.
-    index = variants(fps).withColumns({"n": F.count("*").over(w), "whole": F.max("own").over(w)}).where("n > 1 and whole").select("seg", "key", "fp", "n")
-    index = cut(index)
+    full = stash(every.groupBy("seg", "key").agg(F.count("*").alias("n"), F.max("own").alias("whole")).where("n > 1 and whole").select("seg", "key", "n"), "buckets")
+    index = every.join(full, ["seg", "key"]).select("seg", "key", "fp", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
     paired = (
@@ -154,6 +156,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = near_duplicates(docs, id_col, text_col, shingle)
     else:
         found = similar(docs, similarity, id_col, text_col, shingle)
-    drop = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__dup_id"), F.col("tk").alias("__dup_tk")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("__dup_id")) & (text_key(text_col) == F.col("__dup_tk"))
+    i, k = free_name(docs, "__dup_id"), free_name(docs, "__dup_tk")
+    drop = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(i), F.col("tk").alias(k)).distinct()
+    same = docs[id_col].eqNullSafe(drop[i]) & (text_key(text_col) == drop[k])
     return docs.join(drop, same, "left_anti")
