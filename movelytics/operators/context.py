@@ -173,3 +173,60 @@ def unique_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key occurs once; every row of a repeated key goes."""
     once = df.groupBy(*key).agg(F.count("*").alias("__n")).where("__n = 1").drop("__n")
     return df.join(once, key, "left_semi")
+
+
+def counts_until(q: DataFrame, e: DataFrame, key: list[str], at: str, event_t: str, kinds: dict[str, Column], inclusive: bool, width: int, suffix: str) -> DataFrame:
+    """q with `{kind}{suffix}`: the number of events of its key and kind before q.at (or at it, if inclusive), however far back.
+
+    kinds: name -> condition over e. A running count within (key, bucket); what lies in earlier buckets is carried in from
+    a table of one row per (key, bucket). Rows with a null key or time get nulls.
+    """
+    keys = [f"__k{i}" for i in range(len(key))]
+    kcols = [F.col(k).alias(n) for k, n in zip(key, keys, strict=True)]
+    flags = {k: F.when(c, 1).otherwise(0).alias(f"__n_{k}") for k, c in kinds.items()}
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long").alias("__b")
+    events = e.where(F.col(event_t).isNotNull()).select(*kcols, bucket(event_t), (F.col(event_t) * 2).alias("__o"), F.lit(1).alias("__tag"), *flags.values())
+    queries = q.select("*", *kcols, bucket(at), (F.col(at) * 2 + (1 if inclusive else -1)).alias("__o"), F.lit(0).alias("__tag"))
+    totals = events.unionByName(queries.select(*keys, "__b").distinct(), allowMissingColumns=True).groupBy(*keys, "__b").agg(*[F.sum(f"__n_{k}").alias(f"__s_{k}") for k in kinds])
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "__b", *[F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__c_{k}") for k in kinds])
+    inner = Window.partitionBy(*keys, "__b").orderBy("__o").rangeBetween(Window.unboundedPreceding, 0)
+    both = queries.unionByName(events, allowMissingColumns=True)
+    local = both.withColumns({f"__i_{k}": F.coalesce(F.sum(f"__n_{k}").over(inner), F.lit(0)) for k in kinds}).where("__tag = 0")
+    return local.join(carry, [*keys, "__b"], "left").select(*q.columns, *[(F.col(f"__c_{k}") + F.col(f"__i_{k}")).alias(f"{k}{suffix}") for k in kinds])
+
+
+def nearest_events(q: DataFrame, e: DataFrame, key: str, t: str, id_col: str, flight: str, order: list[str], payload: list[str], horizon: int, k: int, slack: int = 4) -> DataFrame:
+    """q with arrays past and future: up to k events of its key on each side within the horizon, nearest time first, in `order` within a time.
+
+    Events at the query's own time never count, nor those of its own flight, nor those of another UTC month. No pairs are
+    made: events are gathered per (key, time), k + slack of them at most, and a frame of k + slack distinct times on either
+    side of each time, within buckets with a halo of the horizon, gives every query of that time its candidates. slack
+    covers a flight's own events; queries of flights with more events than that go by way of `neighbours`.
+    """
+    most = k + slack
+    columns = list(dict.fromkeys([*order, id_col, flight, *payload]))
+    month = lambda c: F.date_format(F.timestamp_micros(c), "yyyyMM")
+    rank = F.row_number().over(Window.partitionBy(key, t).orderBy(*order, id_col))
+    one = F.struct(*[F.col(c) for c in dict.fromkeys([*order, id_col, *columns, t])])
+    times = e.where(F.col(key).isNotNull() & F.col(t).isNotNull()).withColumn("__r", rank).where(F.col("__r") <= most).groupBy(key, t).agg(F.array_sort(F.collect_list(one)).alias("__ev"))
+    width = 4 * horizon
+    own = F.floor(F.col(t) / width).cast("long")
+    near = F.sequence(F.floor((F.col(t) - horizon) / width).cast("long"), F.floor((F.col(t) + horizon) / width).cast("long"))
+    placed = times.withColumn("__own", own).withColumn("__b", F.explode(near))
+    w = Window.partitionBy(key, "__b").orderBy(t)
+    within = lambda lists: F.slice(F.filter(F.flatten(lists), lambda x: (F.abs(x[t] - F.col(t)) <= horizon) & (month(x[t]) == month(F.col(t)))), 1, most)
+    found = placed.withColumns({"__p": F.collect_list("__ev").over(w.rowsBetween(-most, -1)), "__f": F.collect_list("__ev").over(w.rowsBetween(1, most))}).where("__b = __own")
+    found = found.select(key, t, within(F.reverse("__p")).alias("__p"), within(F.col("__f")).alias("__f"))
+    busy = e.where(F.col(flight).isNotNull()).groupBy(key, flight).agg(F.count("*").alias("__n")).where(F.col("__n") > slack).select(key, flight)
+    some = q.join(busy, [key, flight], "left_semi")
+    rest = q.join(busy, [key, flight], "left_anti").join(found, [key, t], "left")
+    other = lambda c: F.slice(F.filter(F.coalesce(c, F.array()), lambda x: ~F.coalesce(x[flight] == F.col(flight), F.lit(False))), 1, k)
+    quick = rest.select(*q.columns, other(F.col("__p")).alias("past"), other(F.col("__f")).alias("future"))
+    same = (F.col(f"e_{id_col}") == F.col(id_col)) | (F.col(f"e_{flight}") == F.col(flight)) | (month(F.col(f"e_{t}")) != month(F.col(t)))
+    pairs = neighbours(some, e, [key], t, id_col, horizon, k, F.coalesce(same, F.lit(False)), [*order, id_col])
+    back = F.struct(F.col("rank"), F.struct(*[F.col(f"e_{c}").alias(c) for c in dict.fromkeys([*order, id_col, *columns, t])]).alias("x"))
+    sides = [F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, back))), lambda y: y["x"]).alias(s) for s in ("past", "future")]
+    slow = some.join(pairs.groupBy(id_col).agg(*sides), id_col, "left")
+    kind = quick.schema["past"].dataType
+    return quick.unionByName(slow.select(*q.columns, *[F.coalesce(F.col(s), F.array()).cast(kind).alias(s) for s in ("past", "future")]))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, audits, base, estimates, extras, joins, models, scalars, windows
+from . import aggregates, audits, base, estimates, extras, features, joins, models, scalars, windows
+from . import wide
 
-__all__ = ["aggregates", "audits", "base", "estimates", "extras", "joins", "models", "oracles", "queries", "scalars", "windows"]
+__all__ = ["aggregates", "audits", "base", "estimates", "extras", "features", "joins", "models", "oracles", "queries", "scalars", "wide", "windows"]
 
 
 def queries():

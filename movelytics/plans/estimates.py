@@ -227,35 +227,3 @@ def baseline_features(spark, sf):
         valid_proxy(F.col("p")).cast("int").alias("p_ok"), F.col("aobt_us").isNull().cast("int").alias("no_aobt"), clock.hour(t).alias("hour"), clock.weekday(t).alias("weekday"), hs.alias("hour_sin"), hc.alias("hour_cos"),
         F.concat_ws("_", "airport", F.coalesce("runway", F.lit("?"))).alias("airport_runway"), (F.col("dep15_n") - 1).alias("dep15"), (F.col("dep60_n") - 1).alias("dep60"), F.col("arr60_n").alias("arr60"), F.col("arr60_mean").alias("arr60_taxi"),
     )
-
-
-@query("f01_baseline_features", "{with}, " + E + " select mvt_id, airport, runway, p, s, l, coalesce((p between 0 and 7200)::int, null) as p_ok, (aobt_us is null)::int as no_aobt, cast(hour(make_timestamp(t_us)) as int) as hour, concat(airport, '_', coalesce(runway, '?')) as airport_runway, (select count(*) from e o where o.airport = e.airport and o.t_us between e.t_us - 900000000 and e.t_us) - 1 as dep15, (select count(*) from a o where o.airport = e.airport and o.taxi_sec between 0 and 3600 and o.t_us between e.t_us - 3600000000 and e.t_us - 1) as arr60 from e")
-def f01(spark, sf):
-    return baseline_features(spark, sf).select("mvt_id", "airport", "runway", "p", "s", "l", "p_ok", "no_aobt", "hour", "airport_runway", "dep15", "arr60")
-
-
-CLOCKS = ("t_us", "aobt_us", "lobt_us", "sched_us")
-
-
-@query("f02_timestamp_block", "{with}, " + E + " select mvt_id, " + ", ".join(f"({c} // 1000000) % 60 as {c[:-3]}_second, (({c} // 1000000) % 3600) // 60 as {c[:-3]}_minute" for c in CLOCKS) + ", round(l - p, 6) + 0.0 as lobt_aobt from e")
-def f02(spark, sf):
-    e = est(spark, sf)
-    sec = lambda c: F.pmod(clock.second_of_day(F.col(c)), F.lit(60))
-    return rounded(e.select("mvt_id", *[x for c in CLOCKS for x in (sec(c).alias(f"{c[:-3]}_second"), clock.minute(F.col(c)).cast("long").alias(f"{c[:-3]}_minute"))], (F.col("l") - F.col("p")).alias("lobt_aobt")))
-
-
-@query("f03_schedule_clock", "{with}, " + E + " select mvt_id, (sched_us // 1000000) % 900 as phase, (sched_us // 1000000) % 300 = 0 as five, day - (sched_us // 86400000000) as day_offset from e")
-def f03(spark, sf):
-    p = clock.quarter_phase(F.col("sched_us"))
-    return est(spark, sf).select("mvt_id", p.alias("phase"), (F.pmod(p, F.lit(300)) == 0).alias("five"), (F.col("day") - clock.day_number(F.col("sched_us"))).alias("day_offset"))
-
-
-@query("f06_source_deltas", "{with}, " + E + " select mvt_id, round(s - p, 6) + 0.0 as sched_delta, round(l - p, 6) + 0.0 as lobt_delta, coalesce((abs(s - p) > 600)::int, 0) + coalesce((abs(l - p) > 600)::int, 0) as options from e")
-def f06(spark, sf):
-    far = lambda c: F.coalesce((F.abs(F.col(c) - F.col("p")) > 600).cast("int"), F.lit(0))
-    return rounded(est(spark, sf).select("mvt_id", (F.col("s") - F.col("p")).alias("sched_delta"), (F.col("l") - F.col("p")).alias("lobt_delta"), (far("s") + far("l")).alias("options")))
-
-
-@query("f07_no_clock_subset", "{with}, " + E + " select mvt_id, airport, s, (sched_us // 1000000) % 900 as phase from e where aobt_us is null and lobt_us is null")
-def f07(spark, sf):
-    return est(spark, sf).where("aobt_us is null and lobt_us is null").select("mvt_id", "airport", "s", clock.quarter_phase(F.col("sched_us")).alias("phase"))

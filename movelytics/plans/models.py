@@ -1,4 +1,4 @@
-"""Estimator fits M01-M09 and feature stacks F04, F05. Rows only: tree fits can't be told in SQL."""
+"""Estimator fits M01-M09. Rows only: tree fits can't be told in SQL."""
 
 from __future__ import annotations
 
@@ -25,28 +25,6 @@ def features(spark, sf):
     return f.select(*[F.col(c).cast("double").alias(c) if c in NUM else F.col(c) for c in f.columns]).withColumns({"resid": F.col("y") - F.coalesce("p", F.lit(200.0)), "early": F.pmod(F.xxhash64("mvt_id"), F.lit(10)) == 0})
 
 
-@query("f05_wide_stack", "{with} select mvt_id, airport, (select count(*) from a o where o.airport = d.airport and o.taxi_sec between 0 and 3600 and o.t_us between d.t_us - 3600000000 and d.t_us - 1) as arr60, (select count(*) from d o where o.airport = d.airport and o.t_us between d.t_us + 1 and d.t_us + 900000000) as next15 from d where taxi_sec between 0 and 86400")
-def f05(spark, sf):
-    """Baseline features joined by id with a further context block; colliding names are an error."""
-    base = features(spark, sf)
-    d = deps(spark, sf).select("mvt_id", "airport", "t_us")
-    extra = context_agg(d, d, ["airport"], "t_us", [Win("next15", 1, 15 * MIN)], {"n": ("count", None)}).select("mvt_id", F.col("next15_n").alias("next15"))
-    if clash := set(base.columns) & set(extra.columns) - {"mvt_id"}:
-        raise ValueError(f"columns collide: {clash}")
-    return base.join(extra, "mvt_id").select("mvt_id", "airport", F.col("arr60").cast("long").alias("arr60"), "next15")
-
-
-@query("f04_movement_only", "{with} select mvt_id, airport, cast(isodow(make_timestamp(t_us)) - 1 as int) as weekday, (t_us - sched_us) / 1000000.0 as s, (select count(*) from a o where o.airport = d.airport and o.t_us < d.t_us and o.block_us > d.t_us) as taxiing from d")
-def f04(spark, sf):
-    """Features that use movement columns alone."""
-    from ..operators.context import occupancy
-    from .base import S
-
-    d = deps(spark, sf).select("mvt_id", "airport", "t_us", "sched_us")
-    d = occupancy(d, arrs(spark, sf).select("airport", F.col("t_us").alias("b"), F.col("block_us").alias("f")), ["airport"], "t_us", "b", "f", False, False, "taxiing", 7200 * S)
-    return d.select("mvt_id", "airport", clock.weekday(F.col("t_us")).alias("weekday"), ((F.col("t_us") - F.col("sched_us")) / 1_000_000.0).alias("s"), "taxiing")
-
-
 @query("m01_residual_fit")
 def m01(spark, sf):
     """Out-of-fold estimates: proxy plus a fitted residual, stopped early on a hash split."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import normal_key
-from ..operators.context import Win, band_join, context_agg, nearest, nearest_any, neighbours, occupancy, overtaking
+from ..operators.context import Win, band_join, context_agg, counts_until, nearest, nearest_any, occupancy, overtaking
 from ..operators.order import row_numbers, running, with_neighbours
 from .base import MIN, S, arrs, deps, moves, query, rounded
 
@@ -47,6 +47,7 @@ def w03(spark, sf):
 
 
 W04 = [("ap", "airport"), ("rw", "airport,rk")]
+W04_SPANS = (("past", 15, -15 * MIN, -1), ("past", 60, -60 * MIN, -1), ("future", 15, 1, 15 * MIN), ("future", 60, 1, 60 * MIN))
 
 
 @query(
@@ -55,7 +56,7 @@ W04 = [("ap", "airport"), ("rw", "airport,rk")]
     + ", ".join(
         f"{_count_sql('e0', key, lo, hi)} as {s}_{side}{w}_n, round({_count_sql('e0', key, lo, hi, 'avg(p)')}, 6) as {s}_{side}{w}_mean, round({_count_sql('e0', key, lo, hi, 'stddev_pop(p)')}, 6) as {s}_{side}{w}_std"
         for s, key in W04
-        for side, w, lo, hi in (("past", 60, -60 * MIN, -1), ("future", 15, 1, 15 * MIN))
+        for side, w, lo, hi in W04_SPANS
     )
     + " from r q",
 )
@@ -63,7 +64,7 @@ def w04(spark, sf):
     """Count, mean and spread of valid taxi proxies around each departure, strictly before and after."""
     r = deps(spark, sf).select("mvt_id", "airport", F.coalesce("runway", F.lit("?")).alias("rk"), "t_us", F.expr("(t_us - aobt_us) div 1000000").alias("p"))
     events = r.where("p between 0 and 7200")
-    wins = [Win("past60", -60 * MIN, -1), Win("future15", 1, 15 * MIN)]
+    wins = [Win(f"{side}{w}", lo, hi) for side, w, lo, hi in W04_SPANS]
     out = r
     for s, key in W04:
         named = [Win(f"{s}_{w.name}", w.lo, w.hi) for w in wins]
@@ -163,16 +164,24 @@ def w12(spark, sf):
     return occupancy(q, e, ["airport", "rk"], "t_us", "s", "f", False, False, "n", 7200 * S).select("mvt_id", "n")
 
 
-@query("w14_inside_own_interval", "{with}, i as (select * from d where t_us - aobt_us between 1 and 7200000000) select mvt_id, (select count(*) from d e where e.airport = q.airport and e.t_us > q.aobt_us and e.t_us < q.t_us) as takeoffs, (select count(*) from i e where e.airport = q.airport and e.aobt_us > q.aobt_us and e.aobt_us < q.t_us) as starts from i q")
+@query(
+    "w14_inside_own_interval",
+    "{with}, i as (select * from d where t_us - aobt_us between 1 and 7200000000) select mvt_id, "
+    + ", ".join(f"{'case when q.runway is null then null else ' if s == 'runway' else ''}(select count(*) from {e} e where e.airport = q.airport{' and e.runway = q.runway' if s == 'runway' else ''} and e.{t} > q.aobt_us and e.{t} < q.t_us){' end' if s == 'runway' else ''} as {s}_{n}" for s in ("airport", "runway") for n, e, t in (("takeoffs", "d", "t_us"), ("starts", "i", "aobt_us")))
+    + " from i q",
+)
 def w14(spark, sf):
-    """Take-offs and taxi starts at the airport strictly inside each departure's own interval."""
-    d = deps(spark, sf).select("mvt_id", "airport", "t_us", "aobt_us")
+    """Take-offs and taxi starts strictly inside each departure's own interval, at the airport and on the runway: two running counts each."""
+    d = deps(spark, sf).select("mvt_id", "airport", "runway", "t_us", "aobt_us")
     i = d.where("t_us - aobt_us between 1 and 7200000000")
-    out = i.select("mvt_id")
-    for name, events, t in (("takeoffs", d, "t_us"), ("starts", i, "aobt_us")):
-        n = band_join(i, events, ["airport"], F.col("aobt_us") + 1, F.col("t_us") - 1, t, 7200 * S).groupBy("mvt_id").agg(F.count("*").alias(name))
-        out = out.join(n, "mvt_id", "left")
-    return out.select("mvt_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("takeoffs", "starts")])
+    events = d.select("airport", "runway", F.col("t_us").alias("at"), F.lit("takeoffs").alias("kind")).union(i.select("airport", "runway", F.col("aobt_us").alias("at"), F.lit("starts").alias("kind")))
+    kinds = ("takeoffs", "starts")
+    out = i
+    for scope, key in (("airport", ["airport"]), ("runway", ["airport", "runway"])):
+        named = {f"{scope}_{k}": F.col("kind") == k for k in kinds}
+        out = counts_until(out, events, key, "t_us", "at", named, False, 7200 * S, "_hi")
+        out = counts_until(out, events, key, "aobt_us", "at", named, True, 7200 * S, "_lo")
+    return out.select("mvt_id", *[(F.col(f"{s}_{k}_hi") - F.col(f"{s}_{k}_lo")).alias(f"{s}_{k}") for s in ("airport", "runway") for k in kinds])
 
 
 @query("w15_active_at_takeoff", "{with}, i as (select * from d where t_us - aobt_us between 1 and 7200000000) select mvt_id, (select count(*) from i e where e.airport = q.airport and e.mvt_id <> q.mvt_id and e.aobt_us <= q.t_us and e.t_us > q.t_us) as n from i q")
@@ -189,37 +198,6 @@ def w16(spark, sf):
     return overtaking(i, "mvt_id", ["airport"], "aobt_us", "t_us", 7200 * S)
 
 
-K = 4
-
-
-@query(
-    "w17_event_sequence",
-    f"""{{with}}, p as (
-  select q.mvt_id, e.mvt_id as eid, e.t_us < q.t_us as past, abs(e.t_us - q.t_us) as gap, e.phase, e.runway = q.runway as same_runway, (e.t_us - e.aobt_us) // 1000000 as proxy,
-    row_number() over (partition by q.mvt_id, e.t_us < q.t_us order by abs(e.t_us - q.t_us), e.phase, coalesce(e.runway, ''), e.mvt_id) as rk
-  from d q join m e on e.airport = q.airport and e.t_us between q.t_us - 3600000000 and q.t_us + 3600000000 and e.t_us <> q.t_us and e.mvt_id <> q.mvt_id and coalesce(e.flight_id, -1) <> coalesce(q.flight_id, -2))
-select d.mvt_id, coalesce(count(p.eid) filter (p.past), 0) as n_past, coalesce(count(p.eid) filter (not p.past), 0) as n_future,
-  coalesce(string_agg(case when p.past then concat(p.gap // 1000000, ':', p.phase, ':', coalesce(cast(p.same_runway as int), 0), ':', case when p.proxy between 1 and 7200 then p.proxy else 0 end) end, ',' order by p.rk desc), '') as past_events,
-  coalesce(string_agg(case when not p.past then concat(p.gap // 1000000, ':', p.phase, ':', coalesce(cast(p.same_runway as int), 0), ':', case when p.proxy between 1 and 7200 then p.proxy else 0 end) end, ',' order by p.rk), '') as future_events
-from d left join p on p.mvt_id = d.mvt_id and p.rk <= {K} group by d.mvt_id""",
-)
-def w17(spark, sf):
-    """The nearest events of the airport before and after each departure, in order of time, with their channels."""
-    m = moves(spark, sf).select("mvt_id", "airport", "t_us", "phase", F.coalesce("runway", F.lit("")).alias("rw"), "runway", "flight_id", "aobt_us")
-    q = m.where("phase = 'DEP'")
-    same = (F.col("e_mvt_id") == F.col("mvt_id")) | (F.col("e_flight_id") == F.col("flight_id"))
-    p = neighbours(q, m, ["airport"], "t_us", "mvt_id", 3600 * S, K, same, ["phase", "rw", "mvt_id"])
-    proxy = F.expr("(e_t_us - e_aobt_us) div 1000000")
-    gap = F.abs(F.col("e_t_us") - F.col("t_us"))
-    text = F.concat_ws(":", F.expr("abs(e_t_us - t_us) div 1000000"), "e_phase", F.coalesce((F.col("e_runway") == F.col("runway")).cast("int"), F.lit(0)), F.when(proxy.between(1, 7200), proxy).otherwise(F.lit(0)))
-    p = p.select("mvt_id", "side", "rank", gap.alias("gap"), text.alias("event"))
-    per = p.groupBy("mvt_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct((-F.col("rank") if s == "past" else F.col("rank")).alias("o"), "event")))).alias(s) for s in ("past", "future")])
-    names = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["event"]), ","), F.lit(""))
-    out = q.select("mvt_id").join(per, "mvt_id", "left")
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return out.select("mvt_id", F.greatest(size(F.coalesce("past", F.array())), F.lit(0)).alias("n_past"), F.greatest(size(F.coalesce("future", F.array())), F.lit(0)).alias("n_future"), names(F.col("past")).alias("past_events"), names(F.col("future")).alias("future_events"))
-
-
 @query("w18_id_neighbours", "{with} select mvt_id, mvt_id - lag(mvt_id) over w as id_gap, (t_us - lag(t_us) over w) / 1000000.0 as step_s, coalesce(cast(phase = lag(phase) over w as int), 0) as same_phase, coalesce(cast(ac_type = lag(ac_type) over w as int), 0) as same_type, coalesce(cast(flight = lead(flight) over w as int), 0) as same_next_flight from m window w as (partition by airport order by mvt_id)")
 def w18(spark, sf):
     """Differences to the neighbour in id order at the airport."""
@@ -230,10 +208,12 @@ def w18(spark, sf):
 
 @query("w19_flight_nearby", "{with}, n as (select *, row_number() over (partition by airport order by mvt_id) as i from m) select q.mvt_id, exists (select 1 from n e where e.airport = q.airport and e.flight = q.flight and e.i <> q.i and abs(e.i - q.i) <= 5 and abs(e.mvt_id - q.mvt_id) <= 50) as nearby from n q")
 def w19(spark, sf):
-    """The same flight within five rows and an id distance, in id order."""
-    w = Window.partitionBy("airport").orderBy("mvt_id").rowsBetween(-5, 5)
-    near = F.collect_list(F.struct("mvt_id", "flight")).over(w)
-    return moves(spark, sf).withColumn("near", near).select("mvt_id", F.exists("near", lambda x: (x["flight"] == F.col("flight")) & (x["mvt_id"] != F.col("mvt_id")) & (F.abs(x["mvt_id"] - F.col("mvt_id")) <= 50)).alias("nearby"))
+    """The same flight within five rows and an id distance, in id order: buckets of ids with a halo of the distance that counts."""
+    width, reach = 4096, 50
+    m = moves(spark, sf).select("mvt_id", "airport", "flight", F.explode(F.sequence(F.expr(f"(mvt_id - {reach}) div {width}"), F.expr(f"(mvt_id + {reach}) div {width}"))).alias("b"))
+    near = F.collect_list(F.struct("mvt_id", "flight")).over(Window.partitionBy("airport", "b").orderBy("mvt_id").rowsBetween(-5, 5))
+    own = m.withColumn("near", near).where(F.expr(f"b = mvt_id div {width}"))
+    return own.select("mvt_id", F.exists("near", lambda x: (x["flight"] == F.col("flight")) & (x["mvt_id"] != F.col("mvt_id")) & (F.abs(x["mvt_id"] - F.col("mvt_id")) <= reach)).alias("nearby"))
 
 
 @query("w20_next_same_key", "{with} select mvt_id, lead(t_us) over (partition by flight, airport, dest order by t_us, mvt_id) as next_us from a")
@@ -321,9 +301,3 @@ def j09(spark, sf):
     return band_join(i, i, ["airport"], F.col("aobt_us") + 1, F.col("t_us"), "aobt_us", 7200 * S).where("e_t_us < t_us").select("mvt_id", F.col("e_mvt_id").alias("other"))
 
 
-@query("j10_nearest_k", "{with}, p as (select q.mvt_id, e.mvt_id as other, row_number() over (partition by q.mvt_id, e.t_us < q.t_us order by abs(e.t_us - q.t_us), e.mvt_id) as rank, case when e.t_us < q.t_us then 'past' else 'future' end as side from d q join a e on e.airport = q.airport and e.t_us <> q.t_us and abs(e.t_us - q.t_us) <= 3600000000) select mvt_id, side, rank, other from p where rank <= 3")
-def j10(spark, sf):
-    """The three nearest arrivals on each side within an hour."""
-    q = deps(spark, sf).select("mvt_id", "airport", "t_us")
-    e = arrs(spark, sf).select("mvt_id", "airport", "t_us")
-    return neighbours(q, e, ["airport"], "t_us", "mvt_id", 3600 * S, 3, F.lit(False), ["mvt_id"]).select("mvt_id", "side", F.col("rank").cast("long").alias("rank"), F.col("e_mvt_id").alias("other"))
