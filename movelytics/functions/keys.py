@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Placeholders that stand for a missing key, in two strictnesses.
-PLACEHOLDERS = ("", "?", "-", "N/A", "NA", "NONE", "NULL", "NAN", "UNKNOWN", "UNK")
-NARROW = ("", "?", "__MISSING__", "NAN", "NONE")
+# Texts that stand for a missing key, after trimming and upper-casing; of runways, and of event sequences.
+RUNWAY_PLACEHOLDERS = ("", "?", "UNKNOWN", "UNKN", "UNK", "N/A", "NA", "NONE", "NULL", "NIL", "__MISSING__")
+EVENT_PLACEHOLDERS = ("", "?", "-", "NA", "N/A", "NAN", "NONE", "NULL", "UNKNOWN", "\\N")
 #: Largest integer below which doubles are exact.
 EXACT = 2**53
 
 
-def normal_key(c: Column, missing: tuple[str, ...] = PLACEHOLDERS) -> Column:
+def normal_key(c: Column, missing: tuple[str, ...] = RUNWAY_PLACEHOLDERS) -> Column:
     """Trimmed and upper-cased; placeholders are null."""
     up = F.upper(F.trim(c))
     return F.when(~up.isin(*missing), up)

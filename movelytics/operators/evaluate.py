@@ -25,13 +25,18 @@ def paired_bootstrap(df: DataFrame, target: str, old: str, new: str, day: Column
     The draw is integer arithmetic on (replicate, slot), so that any engine makes the same one. The table of days is
     small whatever the number of rows: replicates x days rows are drawn.
     """
-    spark = df.sparkSession
-    days = day_sums(df, target, old, new, day).withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
+    got = day_bootstrap(day_sums(df, target, old, new, day), ["n", "sse_old", "sse_new"], replicates)
+    return got.select(F.col("r").alias("replicate"), (F.sqrt(F.col("sse_old") / F.col("n")) - F.sqrt(F.col("sse_new") / F.col("n"))).alias("gain"))
+
+
+def day_bootstrap(sums: DataFrame, columns: list[str], replicates: int = 1000) -> DataFrame:
+    """(r, columns): sums of the columns of a table of days over as many days drawn with replacement, for each replicate."""
+    spark = sums.sparkSession
+    days = sums.withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
     total = days.agg(F.count("*").alias("days"))
     grid = spark.range(replicates).toDF("r").join(F.broadcast(total)).select("r", "days", F.explode(F.sequence(F.lit(0).cast("long"), F.col("days") - 1)).alias("s"))
     draw = grid.select("r", F.expr("((r*7919 + s*104729 + r*s*31 + 12345) % 1000003) % days").cast("int").alias("i"))
-    got = draw.join(F.broadcast(days), "i").groupBy("r").agg(*[F.sum(c).alias(c) for c in ("n", "sse_old", "sse_new")])
-    return got.select(F.col("r").alias("replicate"), (F.sqrt(F.col("sse_old") / F.col("n")) - F.sqrt(F.col("sse_new") / F.col("n"))).alias("gain"))
+    return draw.join(days, "i").groupBy("r").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def interval(gains: DataFrame) -> DataFrame:

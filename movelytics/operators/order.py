@@ -47,3 +47,14 @@ def with_neighbours(df: DataFrame, by: list[str], order: str, columns: list[str]
     ends = ends.select(*by, "__b", F.lag("__hi").over(across).alias("__p"), F.lead("__lo").over(across).alias("__n"))
     local = b.withColumns({"__l": F.lag("__x").over(inner), "__r": F.lead("__x").over(inner)}).join(ends, [*by, "__b"])
     return local.withColumns({"prev": F.coalesce("__l", "__p"), "next": F.coalesce("__r", "__n")}).drop("__b", "__x", "__l", "__r", "__p", "__n")
+
+
+def dense_codes(distinct: DataFrame, column: str, name: str, path: str) -> DataFrame:
+    """A table of distinct values with their places in order, from 0: ranges of values are written to path and numbered apart, a row per range carries the counts."""
+    spark = distinct.sparkSession
+    distinct.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), column).select(column, F.spark_partition_id().alias("__p")).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
+    return ranged.withColumn("__i", inner).join(before, "__p").select(column, (F.col("__before") + F.col("__i")).cast("long").alias(name))

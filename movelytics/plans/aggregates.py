@@ -10,6 +10,9 @@ from ..functions.keys import seconds
 from ..operators.evaluate import auc, centred_slope, error_shares, scores
 from ..operators.order import running
 from ..operators.quality import drift, quantiles
+from ..operators.context import Win, context_agg
+from ..operators.order import dense_codes
+from .audits import shared
 from .base import S, arrs, deps, moves, query, rounded, table
 
 PX = "x as (select *, (t_us - aobt_us) / 1000000.0 as p, (t_us // 86400000000) % 4 as fold, t_us // 86400000000 as day from d)"
@@ -216,7 +219,7 @@ def a42(spark, sf):
 def a43(spark, sf):
     """Dense codes of the groups of one table, applied to another; unseen groups are -1."""
     d = deps(spark, sf)
-    groups = d.where("mvt_id % 2 = 0").select("flight").distinct().withColumn("code", (F.dense_rank().over(Window.orderBy("flight")) - 1).cast("long"))
+    groups = dense_codes(d.where("mvt_id % 2 = 0").select("flight").distinct(), "flight", "code", shared(spark, "codes"))
     return d.join(groups, "flight", "left").select("mvt_id", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
@@ -224,9 +227,8 @@ def a43(spark, sf):
 def l01(spark, sf):
     """Uses of a key in the last 24 hours, what is left of a quota of five, and the volume used."""
     e = table(spark, sf, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp))").alias("us"), "value")
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-86_400 * S, -1)
-    used = F.count("*").over(w)
-    return e.select("event_id", used.alias("used"), F.greatest(F.lit(5) - used, F.lit(0)).alias("remaining"), F.coalesce(F.round(F.sum("value").over(w), 4), F.lit(0.0)).alias("volume"))
+    out = context_agg(e, e, ["user_id"], "us", [Win("w", -86_400 * S, -1)], {"n": ("count", None), "v": ("sum", "value")})
+    return out.select("event_id", F.col("w_n").alias("used"), F.greatest(F.lit(5) - F.col("w_n"), F.lit(0)).alias("remaining"), F.coalesce(F.round("w_v", 4), F.lit(0.0)).alias("volume"))
 
 
 @query("l02_leader_position", "with b as (select user_id, min(value) as best from events group by user_id) select user_id, best, 1 + (select count(*) from b o where o.best < b.best) as position from b")

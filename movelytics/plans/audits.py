@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.maps import crosswalk, map_elements, runway_thresholds, stand_centroids
-from ..sources.tables import cached, fingerprints, refuse_labels
+from ..sources.tables import cached, fingerprints, publish, refuse_labels
 from .base import arrs, deps, moves, query, rounded, table
 
 #: Map elements made from movements: a node per movement's stand, a way per airport and runway.
@@ -17,7 +19,12 @@ NODES = "n as (select mvt_id, airport, concat('Stand ', stand) as ref, (mvt_id %
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="movelytics-")
+    """A new path in the folder that driver and executors share; without one, on this machine if all tasks run here, else an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="movelytics-")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -79,19 +86,29 @@ def s05(spark, sf):
     return cached(deps(spark, sf).select("mvt_id", "airport", "t_us", "aobt_us"), shared(spark, "features"), "mvt_id")
 
 
-@query("s11_exclusive_publish", "{with} select mvt_id, taxi_sec from a")
+@query("s11_exclusive_publish", "{with} select mvt_id, taxi_sec, true as refused from a")
 def s11(spark, sf):
-    """A write that refuses to replace what is there."""
+    """A checked publish in the template's order, and a second one to the same place that is refused and leaves the first as it was."""
     path = shared(spark, "published")
     df = arrs(spark, sf).select("mvt_id", "taxi_sec")
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    template = df.select("mvt_id", F.col("mvt_id").alias("pos"))
+    publish(df, template, "mvt_id", "taxi_sec", path)
+    try:
+        publish(df.withColumn("taxi_sec", F.lit(0.0)), template, "mvt_id", "taxi_sec", path)
+        refused = False
+    except AnalysisException as e:
+        refused = "EXISTS" in str(e.getCondition())
+    return spark.read.schema(df.schema).parquet(path).withColumn("refused", F.lit(refused))
 
 
 @query("s14_file_fingerprints")
 def s14(spark, sf):
-    """Size and digest of every input file, to compare before and after."""
-    return fingerprints(spark, [f"{sf}/{t}.parquet" for t in ("events", "orders", "lineitem", "customer")])
+    """Size and digest of every input file before and after they are read, and whether both agree."""
+    paths = [f"{sf}/{t}.parquet" for t in ("events", "orders", "lineitem", "customer")]
+    before = cached(fingerprints(spark, paths), shared(spark, "fingerprints"), "file")
+    spark.read.parquet(paths[0]).agg(F.max("event_id")).first()
+    after = fingerprints(spark, paths).toDF("file", "bytes_after", "sha256_after")
+    return before.join(after, "file", "full").select("file", "bytes", "sha256", (F.col("bytes").eqNullSafe(F.col("bytes_after")) & F.col("sha256").eqNullSafe(F.col("sha256_after"))).alias("unchanged"))
 
 
 @query("s19_pruned_peers", "{with} select mvt_id, t_us from m where airport = 'A1' and t_us // 86400000000 = (select min(t_us // 86400000000) + 1 from m)")

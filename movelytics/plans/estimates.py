@@ -8,7 +8,7 @@ from ..functions import clock
 from ..functions.keys import clipped, seconds, valid_proxy
 from ..operators.context import Win, context_agg
 from ..operators.estimates import Policy, best_expert, blend_weight, compose, moments, shrink_ladder, simplex
-from ..operators.evaluate import best_weight, day_sums, interval, paired_bootstrap, scores, weight_grid
+from ..operators.evaluate import best_weight, day_bootstrap, interval, paired_bootstrap, scores, weight_grid
 from .base import MIN, S, arrs, deps, query, rounded
 
 #: Departures with a proxy, two estimates and a fold: `e`.
@@ -56,14 +56,15 @@ def a05(spark, sf):
     return rounded(e.groupBy("airport", "ac_type").agg(F.count("*").alias("n"), F.avg("y").alias("target"), F.avg(F.col("y") - F.col("old")).alias("residual"), F.avg("s").alias("schedule"), F.avg((F.col("y") > 600).cast("int")).alias("long_rate")))
 
 
+REPLICATES = 1000
 BOOT = """ds as (select day, count(*) as n, sum((old - y) * (old - y)) as so, sum((new - y) * (new - y)) as sn, row_number() over (order by day) - 1 as i from e group by day), nd as (select count(*) as days from ds),
-dr as (select r, ((r*7919 + s*104729 + r*s*31 + 12345) % 1000003) % days as i from nd, range(200) a(r), range(days) b(s)), gn as (select r, sqrt(sum(so) / sum(n)) - sqrt(sum(sn) / sum(n)) as gain from dr join ds using (i) group by r)"""
+dr as (select r, ((r*7919 + s*104729 + r*s*31 + 12345) % 1000003) % days as i from nd, range({REPLICATES}) a(r), range(days) b(s)), gn as (select r, sqrt(sum(so) / sum(n)) - sqrt(sum(sn) / sum(n)) as gain from dr join ds using (i) group by r)""".replace("{REPLICATES}", str(REPLICATES))
 
 
 @query("a26_bootstrap", "{with}, " + E + ", " + BOOT + " select round(quantile_cont(gain, 0.025), 5) as lo, round(quantile_cont(gain, 0.5), 5) as mid, round(quantile_cont(gain, 0.975), 5) as hi, round(avg((gain > 0)::int), 5) as positive, count(*) as replicates from gn")
 def a26(spark, sf):
     """Paired day bootstrap of the RMSE gain of one estimate over another."""
-    return rounded(interval(paired_bootstrap(est(spark, sf), "y", "old", "new", F.col("day"), 200)), 5)
+    return rounded(interval(paired_bootstrap(est(spark, sf), "y", "old", "new", F.col("day"), REPLICATES)), 5)
 
 
 @query("a27_blend_weights", "{with}, " + E + " select airport, count(*) as n, round(greatest(0, least(1, coalesce(sum((s - old) * (y - old)) / nullif(sum((s - old) * (s - old)), 0), 0))), 6) as weight from e where fold >= 2 group by airport")
@@ -121,7 +122,7 @@ def a33(spark, sf):
     e = est(spark, sf)
     rmse = lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col("y"), 2)))
     folds = e.groupBy("fold").agg((rmse("new") < rmse("old")).alias("better")).agg(F.bool_and("better").alias("every_fold"))
-    bound = interval(paired_bootstrap(e, "y", "old", "new", F.col("day"), 200)).select((F.col("lo") > 0).alias("bound"))
+    bound = interval(paired_bootstrap(e, "y", "old", "new", F.col("day"), REPLICATES)).select((F.col("lo") > 0).alias("bound"))
     return folds.crossJoin(bound).withColumn("promote", F.col("every_fold") & F.col("bound"))
 
 
@@ -143,17 +144,44 @@ def a35(spark, sf):
     return rounded(e.groupBy("cut").agg(F.count_if(F.col("s") > F.col("cut")).alias("gated"), F.sqrt(F.avg(F.pow(v - F.col("y"), 2))).alias("rmse")), 4)
 
 
-@query("a25_day_slopes", "{with}, " + E + " select day, count(*) as n, round(sum(p * y), 2) as xy, round(sum(p * p), 2) as xx from e where p is not null group by day")
+def _boot_sql(where: str, sums: dict[str, str], stat: str) -> str:
+    """Day sums, REPLICATES draws of days, and bg: the statistic v of each replicate r."""
+    return (
+        f"bd as (select row_number() over (order by day) - 1 as i, {', '.join(f'{e} as {n}' for n, e in sums.items())} from e where {where} group by day), bn as (select count(*) as days from bd), "
+        f"br as (select r, ((r*7919 + s*104729 + r*s*31 + 12345) % 1000003) % days as i from bn, range({REPLICATES}) a(r), range(days) b(s)), "
+        f"bg as (select r, {stat} as v from (select r, {', '.join(f'sum({n}) as {n}' for n in sums)} from br join bd using (i) group by r))"
+    )
+
+
+_SLOPE = "(xy - x * yy / n) / nullif(xx - x * x / n, 0)"
+_A25 = {"n": "count(*)", "x": "sum(p)", "yy": "sum(y)", "xy": "sum(p * y)", "xx": "sum(p * p)"}
+
+
+@query("a25_day_slopes", "{with}, " + E + ", " + _boot_sql("p is not null and y is not null", _A25, _SLOPE) + f" select (select round({_SLOPE}, 4) from (select {', '.join(f'sum({n}) as {n}' for n in _A25)} from bd)) as slope, round(quantile_cont(v, 0.025), 4) as lo, round(quantile_cont(v, 0.975), 4) as hi, count(*) as replicates from bg")
 def a25(spark, sf):
-    """Daily sums from which slopes of day resamples are made."""
-    e = est(spark, sf).where("p is not null")
-    return rounded(e.groupBy("day").agg(F.count("*").alias("n"), F.sum(F.col("p") * F.col("y")).alias("xy"), F.sum(F.col("p") * F.col("p")).alias("xx")), 2)
+    """Slope of taxi time on the proxy, and its interval over days drawn with replacement."""
+    e = est(spark, sf).where("p is not null and y is not null")
+    days = e.groupBy("day").agg(*[F.expr(x).alias(n) for n, x in _A25.items()])
+    slope = F.expr(_SLOPE)
+    whole = days.agg(*[F.sum(n).alias(n) for n in _A25]).select(F.round(slope, 4).alias("slope"))
+    p = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
+    bounds = day_bootstrap(days, list(_A25), REPLICATES).select(slope.alias("v")).agg(p.alias("p"), F.count("*").alias("replicates"))
+    return whole.crossJoin(bounds.select(F.round(F.col("p")[0], 4).alias("lo"), F.round(F.col("p")[1], 4).alias("hi"), "replicates"))
+
+
+_A39 = {"n": "count(*)", "so": "sum(pow(old - y, 2))", "sn": "sum(pow(new - y, 2))"}
+_GAIN = "sqrt(so / n) - sqrt(sn / n)"
 
 
-@query("a39_ablation", "{with}, " + E + " select day, count(*) as n, round(sum(pow(old - y, 2)), 2) as sse_old, round(sum(pow(new - y, 2)), 2) as sse_new from e where p is not null group by day")
+@query("a39_ablation", "{with}, " + E + ", " + _boot_sql("p is not null and y is not null", _A39, _GAIN) + f" select n, round(sqrt(so / n), 5) as rmse_old, round(sqrt(sn / n), 5) as rmse_new, round({_GAIN}, 5) as gain, (select round(quantile_cont(v, 0.025), 5) from bg) as lo, (select round(quantile_cont(v, 0.975), 5) from bg) as hi from (select {', '.join(f'cast(sum({n}) as bigint) as {n}' if n == 'n' else f'sum({n}) as {n}' for n in _A39)} from bd)")
 def a39(spark, sf):
-    """Two estimates on identical rows, by day."""
-    return rounded(day_sums(est(spark, sf).where("p is not null"), "y", "old", "new", F.col("day")), 2)
+    """Two estimates on identical rows: their errors, the gain, and its interval over days."""
+    e = est(spark, sf).where("p is not null and y is not null")
+    days = e.groupBy("day").agg(*[F.expr(x).alias(n) for n, x in _A39.items()])
+    gain = F.expr(_GAIN)
+    whole = days.agg(*[F.sum(n).alias(n) for n in _A39]).select("n", F.sqrt(F.col("so") / F.col("n")).alias("rmse_old"), F.sqrt(F.col("sn") / F.col("n")).alias("rmse_new"), gain.alias("gain"))
+    p = day_bootstrap(days, list(_A39), REPLICATES).select(gain.alias("v")).agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    return rounded(whole.crossJoin(p.select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))), 5)
 
 
 POLICY = {

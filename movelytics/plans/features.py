@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import normal_key
+from ..functions.keys import EVENT_PLACEHOLDERS, normal_key
 from ..operators.context import Win, context_agg, nearest_events, occupancy
 from ..operators.weather import CODES, MAXIMA, MEDIANS, MINIMA, at_hour, weather_table
 from ..sources.tables import refuse_labels, weather_observations
@@ -309,7 +309,7 @@ HOUR = 3600 * S
 def sequences(spark, sf, k: int = SLOTS) -> DataFrame:
     """(mvt_id, t_us, rk, past, future): nearest events of each departure's airport, nearest first."""
     valid = F.expr("phase = 'DEP' and t_us - aobt_us between 1 and 7200000000")
-    m = moves(spark, sf).select("mvt_id", "airport", "t_us", "flight_id", "phase", F.coalesce(normal_key(F.col("runway"), ("?",)), F.lit("")).alias("rk"), F.coalesce(F.when(valid, F.col("aobt_us")), F.lit(-1)).alias("aobt"))
+    m = moves(spark, sf).select("mvt_id", "airport", "t_us", "flight_id", "phase", F.coalesce(normal_key(F.col("runway"), EVENT_PLACEHOLDERS), F.lit("")).alias("rk"), F.coalesce(F.when(valid, F.col("aobt_us")), F.lit(-1)).alias("aobt"))
     q = m.where("phase = 'DEP'").select("mvt_id", "airport", "t_us", "flight_id", "rk")
     return nearest_events(q, m.withColumnRenamed("rk", "runway"), "airport", "t_us", "mvt_id", "flight_id", ["phase", "runway", "aobt"], [], HOUR, k)
 

@@ -14,6 +14,7 @@ from ..operators.quality import coverage, differences, digest, exact_ids, vocabu
 from ..operators.weather import at_hour, weather_table
 from ..sources.geometry import STRIPS_SQL, end_codes, strip_edges, strip_table, strips
 from ..sources.tables import scan, weather_observations
+from .audits import shared
 from .base import MIN, S, arrs, deps, moves, query, rounded, table
 
 NEEDED = ["event_id", "user_id", "event_type", "value", "ts"]
@@ -36,13 +37,15 @@ def s06(spark, sf):
     return moves(spark, sf).join(ids, "mvt_id", "left_semi").select("mvt_id", "airport", "t_us")
 
 
-@query("s12_readback_diff", "{with} select 0 as missing, 0 as extra")
+@query("s12_readback_diff", "{with} select count(*) as n, 0 as missing, 0 as extra from m")
 def s12(spark, sf):
-    """Differences both ways between a table and a rebuild of it in another order; none expected."""
-    m = moves(spark, sf).select("mvt_id", "phase", "airport", "t_us")
-    other = m.where("phase = 'ARR'").union(m.where("phase <> 'ARR'"))
+    """Rows of a table written and read back, and its differences both ways to what was written; none expected."""
+    m = moves(spark, sf).select("mvt_id", "phase", "airport", "runway", "t_us", "taxi_sec")
+    path = shared(spark, "readback")
+    m.write.mode("errorifexists").parquet(path)
+    back = spark.read.parquet(path)
     n = lambda x, y, name: x.exceptAll(y).agg(F.count("*").cast("int").alias(name))
-    return n(m, other, "missing").crossJoin(n(other, m, "extra"))
+    return back.agg(F.count("*").alias("n")).crossJoin(n(m, back, "missing")).crossJoin(n(back, m, "extra"))
 
 
 @query("s13_table_diff", "{with}, o as (select mvt_id, airport, case when mvt_id % 10 = 3 then null else stand end as stand, t_us + (mvt_id % 4 // 3) as t_us from m where mvt_id % 50 <> 1), j as (select m.mvt_id as x, o.mvt_id as y, m.airport is distinct from o.airport as c1, m.stand is distinct from o.stand as c2, m.t_us is distinct from o.t_us as c3 from m full join o on m.mvt_id = o.mvt_id) select unnest(['mvt_id', 'airport', 'stand', 't_us']) as \"column\", unnest([count(*) filter (x is null or y is null), count(*) filter (c1), count(*) filter (c2), count(*) filter (c3)]) as mismatches from j")
@@ -295,22 +298,32 @@ def t02(spark, sf):
     return row_numbers(moves(spark, sf), ["airport"], "t_us", ["phase", F.coalesce("runway", F.lit("")), "mvt_id"], "pos").select("mvt_id", "pos")
 
 
-@query("t03_rare_sample")
+def _dice(c: str, n: int = 1) -> str:
+    """A number below 1,000,003 from an id, in integer arithmetic that any engine repeats."""
+    return f"((({c} % 1000003) * {7919 * n} + {31 * n}) % 1000003)"
+
+
+RARE = "taxi_sec > 900 or taxi_sec < 0"
+
+
+@query("t03_rare_sample", "{with}, r as (select mvt_id, taxi_sec from d where not (" + RARE + ") order by " + _dice("mvt_id") + ", mvt_id limit 200) select mvt_id, taxi_sec from d where " + RARE + " union all select * from r")
 def t03(spark, sf):
     """All rare rows, and of the rest a hash sample up to a cap (a sampling operator)."""
     d = deps(spark, sf).select("mvt_id", "taxi_sec")
-    rare = d.where("taxi_sec > 900 or taxi_sec < 0")
-    rest = d.where("not (taxi_sec > 900 or taxi_sec < 0)").orderBy(F.xxhash64(F.lit(7), "mvt_id"), "mvt_id").limit(200)
-    return rare.union(rest)
+    rest = d.where(f"not ({RARE})").orderBy(F.expr(_dice("mvt_id")), "mvt_id").limit(200)
+    return d.where(RARE).union(rest)
 
 
-@query("t04_class_sample")
+_EARLY = "case when " + _dice("mvt_id", 3) + " % 10 = 0 then 1 else 0 end"
+
+
+@query("t04_class_sample", "{with}, c as (select mvt_id, case when taxi_sec > 600 then 1 else 0 end as class from d), k as (select * from c where class = 1 or " + _dice("mvt_id", 2) + " % 10 = 0), n as (select class, count(*) as n from c group by 1), s as (select class, count(*) as k from k group by 1) select mvt_id, class, n / cast(k as double) as weight, " + _EARLY + " as early from k join n using (class) join s using (class)")
 def t04(spark, sf):
-    """A tenth of each class by hash, with inverse weights (a sampling operator)."""
+    """The rare class whole, a tenth of the other by hash, inverse weights, a tenth of each set apart (a sampling operator)."""
     d = deps(spark, sf).select("mvt_id", F.when(F.col("taxi_sec") > 600, 1).otherwise(0).alias("class"))
-    w = Window.partitionBy("class")
-    kept = d.where(F.pmod(F.xxhash64(F.lit(11), "mvt_id"), F.lit(10)) == 0)
-    return d.groupBy("class").agg(F.count("*").alias("n")).join(kept.withColumn("k", F.count("*").over(w)), "class").select("mvt_id", "class", (F.col("n") / F.col("k")).alias("weight"))
+    kept = d.where((F.col("class") == 1) | F.expr(_dice("mvt_id", 2) + " % 10 = 0"))
+    sizes = d.groupBy("class").agg(F.count("*").alias("n")).join(kept.groupBy("class").agg(F.count("*").alias("k")), "class")
+    return kept.join(sizes, "class").select("mvt_id", "class", (F.col("n") / F.col("k")).alias("weight"), F.expr(_EARLY).alias("early"))
 
 
 @query("t05_stratified_first", "{with}, r as (select mvt_id, airport, phase, runway is null as norw, row_number() over (partition by airport, phase, runway is null order by t_us, mvt_id) as k from m) select mvt_id, airport, phase, norw, k from r where k <= 3")
@@ -332,12 +345,15 @@ def t07(spark, sf):
     return deps(spark, sf).where(F.pmod(clock.day_number(F.col("t_us")), F.lit(11)) == 0).select("mvt_id")
 
 
-@query("t08_fraction_split")
+_SHARE = "greatest(6e-2, least(1e0, 2e2 / n))"
+
+
+@query("t08_fraction_split", "{with}, c as (select cast(count(*) as double) as n from d) select mvt_id, " + _dice("mvt_id", 5) + " < 1000003e0 * " + _SHARE + " as early from d, c")
 def t08(spark, sf):
     """Early-stopping split: six percent by hash, or 200 rows if that is more (a sampling operator)."""
     d = deps(spark, sf).select("mvt_id")
-    n = d.count()
-    return d.withColumn("early", F.pmod(F.xxhash64(F.lit(3), "mvt_id"), F.lit(1_000_000)) < int(1_000_000 * max(0.06, min(1.0, 200 / max(n, 1)))))
+    n = d.agg(F.count("*").cast("double").alias("n"))
+    return d.crossJoin(n).select("mvt_id", F.expr(_dice("mvt_id", 5) + " < 1000003e0 * " + _SHARE).alias("early"))
 
 
 @query("t09_split_receipt", "{with} select fold, count(*) as n, cast(sum(cast(concat('0x', substring(h, 1, 7)) as bigint)) as bigint) as sum_a, cast(sum(cast(concat('0x', substring(h, 8, 7)) as bigint)) as bigint) as sum_b from (select (t_us // 86400000000) % 4 as fold, sha256(concat_ws('|', cast(mvt_id as varchar))) as h from d) group by fold")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, geo
-from ..functions.keys import agree, clipped, cut_right, grouped_key, identity, normal_key, seconds, strictly_above, text_identity, valid_proxy, within
+from ..functions.keys import EVENT_PLACEHOLDERS, RUNWAY_PLACEHOLDERS, agree, clipped, cut_right, grouped_key, identity, normal_key, seconds, strictly_above, text_identity, valid_proxy, within
 from ..sources.tables import weather_observations
 from .base import deps, moves, query, rounded
 
@@ -85,9 +85,15 @@ def p10(spark, sf):
     return rounded(weather_observations(spark, sf).select("obs_id", *[within(F.col(c), lo, hi).alias(c) for c, (lo, hi) in RANGES.items()]))
 
 
-@query("p11_key_modes", "{with} select mvt_id, case when upper(trim(runway)) in ('', '?', '-', 'N/A', 'NA', 'NONE', 'NULL', 'NAN', 'UNKNOWN', 'UNK') then null else upper(trim(runway)) end as strict, case when upper(trim(runway)) in ('') then null else upper(trim(runway)) end as lenient, coalesce(runway, '__MISSING__') as grouped from m")
+def _key_sql(missing) -> str:
+    return f"case when upper(trim(runway)) in ({', '.join(repr(x) if chr(92) not in x else chr(39) + x + chr(39) for x in missing)}) then null else upper(trim(runway)) end"
+
+
+@query("p11_key_modes", f"{{with}} select mvt_id, {_key_sql(RUNWAY_PLACEHOLDERS)} as runway_key, {_key_sql(EVENT_PLACEHOLDERS)} as event_key, nullif(upper(trim(runway)), '') as lenient, coalesce(runway, '__MISSING__') as grouped from m")
 def p11(spark, sf):
-    return moves(spark, sf).select("mvt_id", normal_key(F.col("runway")).alias("strict"), normal_key(F.col("runway"), ("",)).alias("lenient"), grouped_key(F.col("runway")).alias("grouped"))
+    """A key normalised by either set of placeholders, by none, and with a group for missing ones."""
+    r = F.col("runway")
+    return moves(spark, sf).select("mvt_id", normal_key(r).alias("runway_key"), normal_key(r, EVENT_PLACEHOLDERS).alias("event_key"), normal_key(r, ("",)).alias("lenient"), grouped_key(r).alias("grouped"))
 
 
 @query("p12_typed_identity", "{with} select mvt_id, case when taxi_sec = floor(taxi_sec) and abs(taxi_sec) < 9007199254740992 then concat('i:', cast(cast(taxi_sec as bigint) as varchar)) end as number, case when trim(flight) <> '' then concat('s:', trim(flight)) end as text from m")
@@ -162,7 +168,7 @@ def c05(spark, sf):
 ZONES = {"A0": "Europe/Rome", "A1": "Europe/London", "A2": "Europe/Athens", "A3": "Europe/Istanbul", "A4": "Europe/Lisbon"}
 
 
-@query("c06_local_hour")
+@query("c06_local_hour", "{with} select mvt_id, cast(hour(make_timestamptz(t_us) at time zone (case airport " + " ".join(f"when '{a}' then '{z}'" for a, z in ZONES.items()) + " end)) as int) as local_hour from m")
 def c06(spark, sf):
     """Local hour by the airport's zone."""
     zone = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])[F.col("airport")]
