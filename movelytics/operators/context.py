@@ -148,13 +148,34 @@ def band_join(q: DataFrame, e: DataFrame, key: list[str], q_lo: Column, q_hi: Co
     return asked.join(ev, on).drop("__b", "__lo", "__hi")
 
 
+def dominated(iv: DataFrame, id_col: str, key: list[str], x: str, y: str, width: int, name: str) -> DataFrame:
+    """(id, name): rows of the same key with a larger x and a smaller y, where that implies an x less than width away.
+
+    No pairs: rows are ranked by x in buckets of width. The ranks above a row are the upper halves of those power-of-two blocks
+    that hold the row in their lower half, one a level, and the whole next bucket; each row stands in one block a level. A running count in the
+    order of y serves every block, so m rows of a bucket make about m log2 m rows. Rows with a null in x, y or key count nowhere and are not in the result.
+    """
+    base = iv.select(F.col(id_col).alias("__id"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col(x).alias("__x"), F.col(y).alias("__y"))
+    keys = [f"__k{i}" for i in range(len(key))]
+    b = base.dropna(subset=["__x", "__y", *keys]).withColumn("__b", F.floor(F.col("__x") / width).cast("long"))
+    whole = Window.partitionBy(*keys, "__b")
+    upto = whole.orderBy("__x")
+    ranked = b.withColumns({"__i": F.row_number().over(upto) - 1, "__top": F.count("*").over(upto.rangeBetween(Window.unboundedPreceding, 0)) - 1, "__n": F.count("*").over(whole)})
+    levels = "sequence(0, length(bin(__n)) - 1)"
+    stands = f"concat(transform({levels}, k -> struct(__b as b, k as level, shiftright(__i, k) as node, false as asks)), array(struct(__b as b, -1 as level, 0 as node, false as asks)))"
+    asks = f"concat(transform(filter({levels}, k -> shiftright(__top, k) & 1 = 0), k -> struct(__b as b, k as level, cast(shiftright(__top, k) + 1 as int) as node, true as asks)), array(struct(__b + 1 as b, -1 as level, 0 as node, true as asks)))"
+    rows = ranked.select("__id", *keys, "__y", F.inline(F.expr(f"concat({stands}, {asks})")))
+    below = Window.partitionBy(*keys, "b", "level", "node").orderBy("__y").rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__c", F.count_if(~F.col("asks")).over(below)).where("asks").groupBy(F.col("__id").alias(id_col)).agg(F.sum("__c").alias(name))
+
+
 def overtaking(iv: DataFrame, id_col: str, key: list[str], start: str, end: str, span: int) -> DataFrame:
-    """(id, overtakers, left_behind) of intervals no longer than span: others that start later and end earlier, and the reverse."""
-    pairs = band_join(iv, iv, key, F.col(start) - span, F.col(end), start, span)
-    over = (F.col(f"e_{start}") > F.col(start)) & (F.col(f"e_{end}") < F.col(end))
-    left = (F.col(f"e_{start}") < F.col(start)) & (F.col(f"e_{end}") > F.col(end))
-    counted = pairs.where(over | left).groupBy(id_col).agg(F.count_if(over).alias("overtakers"), F.count_if(left).alias("left_behind"))
-    return iv.select(id_col).join(counted, id_col, "left").select(id_col, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("overtakers", "left_behind")])
+    """(id, overtakers, left_behind) of intervals of more than 0 and at most span: others that start later and end earlier, and the reverse."""
+    turned = iv.withColumns({start: -F.col(start), end: -F.col(end)})
+    over = dominated(iv, id_col, key, start, end, span, "overtakers")
+    left = dominated(turned, id_col, key, start, end, span, "left_behind")
+    both = iv.select(id_col).join(over, id_col, "left").join(left, id_col, "left")
+    return both.select(id_col, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("overtakers", "left_behind")])
 
 
 def neighbours(q: DataFrame, e: DataFrame, key: list[str], t: str, id_col: str, horizon: int, k: int, exclude: Column, tie: list[str]) -> DataFrame:

@@ -6,29 +6,21 @@ from pyspark.sql import functions as F
 
 from ..operators.weather import hour_grid, hourly, weather_table
 from ..sources.geometry import end_codes, strip_edges, strip_table, strips
-from ..sources.tables import month_files, read_strings, weather_observations
+from ..sources.tables import period_files, read_strings, weather_observations, write_periods
 from .audits import shared
 from .base import moves, query, rounded, table
 from .joins import EDGE_SQL, WTAB
 
 
-@query("s02_day_files", "{with}, c as (select min(t_us // 86400000000) as lo from m) select mvt_id, t_us from m, c where t_us // 86400000000 between lo and lo + 2")
+@query("s02_day_files", "{with} select mvt_id, t_us, strftime(make_timestamp(t_us), '%Y-%m-%d') as period from m where t_us is not null")
 def s02(spark, sf):
-    """Canonical files of three periods picked by name and counted; a copy of one beside them is ignored."""
+    """Every period of the table in folders of its own, written at once and read back by name; a copy of the first one beside them is ignored."""
     path = shared(spark, "periods")
-    m = moves(spark, sf).select("mvt_id", "t_us", F.floor(F.col("t_us") / 86_400_000_000).cast("long").alias("day"))
-    lo = m.agg(F.min("day")).first()[0] or 0
-    fs = spark._jvm.org.apache.hadoop.fs
-    for k in range(3):
-        for name in [f"training_2025-{k + 1:02d}-01.parquet"] + (["training_2025-01-01 (1).parquet"] if k == 0 else []):
-            part = f"{path}-{k}-{len(name)}"
-            m.where(F.col("day") == lo + k).drop("day").coalesce(1).write.parquet(part)
-            src = fs.Path(part)
-            hadoop = src.getFileSystem(spark._jsc.hadoopConfiguration())
-            file = next(s.getPath() for s in hadoop.listStatus(src) if s.getPath().getName().endswith(".parquet"))
-            hadoop.mkdirs(fs.Path(path))
-            hadoop.rename(file, fs.Path(f"{path}/{name}"))
-    return month_files(spark, path, expected=3)
+    m = moves(spark, sf).where("t_us is not null").select("mvt_id", "t_us", F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd").alias("period"))
+    size = m.agg(F.min("period").alias("first"), F.countDistinct("period").alias("n")).first()
+    copy = m.where(F.col("period") == size["first"]).withColumn("period", F.concat("period", F.lit(" (1)")))
+    write_periods(m.union(copy), path, "period")
+    return period_files(spark, path, "mvt_id bigint, t_us bigint", "period", size["n"])
 
 
 @query("s08_string_dimension", "select cast(c_custkey as varchar) as c_custkey, cast(c_nationkey as varchar) as c_nationkey from customer")

@@ -76,6 +76,20 @@ def month_files(spark: SparkSession, folder: str, expected: int = 12, pattern: s
     return df
 
 
+def write_periods(df: DataFrame, folder: str, period: str) -> None:
+    """Every period that the table holds in one write: a folder for each, of as many files as it needs."""
+    df.write.partitionBy(period).parquet(folder)
+
+
+def period_files(spark: SparkSession, folder: str, schema: str, period: str, expected: int, pattern: str = r"^\d{4}-\d{2}-\d{2}$") -> DataFrame:
+    """Rows of the canonical period folders; copies like 'x (1)' are pruned before the scan, another count of periods is an error."""
+    df = spark.read.schema(f"{schema}, {period} string").parquet(folder).where(F.col(period).rlike(pattern))
+    n = df.agg(F.countDistinct(period)).first()[0]
+    if n != expected:
+        raise ValueError(f"{n} periods instead of {expected}")
+    return df
+
+
 def refuse_labels(df: DataFrame, labels: tuple[str, ...], allowed: list[str] | None = None) -> DataFrame:
     """df unless it has a label-derived column, or columns other than the allow-list (order counts)."""
     bad = [c for c in df.columns if any(x in c.lower() for x in labels)]

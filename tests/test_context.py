@@ -88,3 +88,15 @@ def test_partition_count_does_not_matter(spark, rows):
 def test_unique_keys(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert [r["k"] for r in unique_keys(df, ["k"]).collect()] == [2]
+
+
+def test_overtaking_equals_pairs(spark):
+    """Ties, hot buckets, intervals over bucket borders and null keys against all pairs."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "b", None]), s, s + rng.randrange(1, 101)) for i in range(400) for s in [rng.randrange(-150, 350)]]
+    iv = spark.createDataFrame(rows, "id bigint, k string, s bigint, f bigint")
+    got = {r["id"]: (r["overtakers"], r["left_behind"]) for r in overtaking(iv, "id", ["k"], "s", "f", 100).collect()}
+    for i, k, s, f in rows:
+        same = [r for r in rows if k and r[1] == k]
+        assert got[i] == (sum(r[2] > s and r[3] < f for r in same), sum(r[2] < s and r[3] > f for r in same))
+    assert overtaking(iv.limit(0), "id", ["k"], "s", "f", 100).count() == 0

@@ -81,3 +81,12 @@ def test_streaming_counts(spark, tmp_path):
     got = {(r["k"], r["n"]) for r in spark.sql("select * from hours").collect()}
     assert ("a", 2) in got
     assert {(r["k"], r["n"]) for r in hourly_counts(df, "t", "k").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_period_folders(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"2025-01-{i % 5 + 1:02d}") for i in range(40)] + [(99, "2025-01-01 (1)")], "id bigint, period string")
+    tables.write_periods(df, str(tmp_path / "p"), "period")
+    back = tables.period_files(spark, str(tmp_path / "p"), "id bigint", "period", 5)
+    assert sorted(r["id"] for r in back.collect()) == list(range(40))
+    with pytest.raises(ValueError, match="5 periods"):
+        tables.period_files(spark, str(tmp_path / "p"), "id bigint", "period", 4)
