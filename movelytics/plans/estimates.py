@@ -103,17 +103,49 @@ def a31_best(spark, sf):
     return rounded(best_weight(weight_grid(est(spark, sf), "y", "old", "s", GRID, ["fold"]), ["fold"]), 4)
 
 
-@query("a32_nested_cv", "{with}, " + E + ", c as (select mvt_id % 5 as outer_fold, (mvt_id // 5) % 3 as inner_fold, unnest(['old', 'new', 's']) as candidate, unnest([0, 1, 2]) as k, unnest([old, new, s]) as v, y from e), r as (select o.f as outer_fold, candidate, k, avg(pow(v - y, 2)) as mse, count(distinct inner_fold) as folds from c, (select unnest(range(5)) as f) o where c.outer_fold <> o.f group by all) select outer_fold, arg_min(candidate, (mse, k)) as chosen, round(sqrt(min(mse)), 4) as rmse from r group by outer_fold")
+A32 = """, gap as (select case when fold = 1 then -1 else mvt_id % 5 end as part, (mvt_id // 5) % 3 as inner_fold, airport, s - old as d, y - old as r from e where s is not null and old is not null and y is not null and airport is not null),
+cells as (select part, inner_fold, airport, count(*) as n, sum(d * r) as dr, sum(d * d) as dd, sum(r * r) as rr from gap group by all),
+splits as (select unnest([-1, 0, 1, 2, 3, 4]) as outer_fold), holds as (select unnest([-1, 0, 1, 2]) as hold),
+tr as (select outer_fold, hold, airport, sum(n) as n, sum(dr) as dr, sum(dd) as dd from splits, holds, cells where part >= 0 and part <> outer_fold and inner_fold <> hold group by all),
+gl as (select outer_fold, hold, greatest(least(coalesce(sum(dr) / nullif(sum(dd), 0), 0), 1), 0) as wg from tr group by all),
+te as (select outer_fold, hold, airport, n, dr, dd, rr from splits, holds, cells where case when hold < 0 then part = outer_fold else part >= 0 and part <> outer_fold and inner_fold = hold end),
+cand as (select unnest(['base', 'global', 'airport_0', 'airport_20', 'airport_50']) as candidate, unnest([0, 1, 2, 3, 4]) as k, unnest([null, null, 0.0::double, 20.0::double, 50.0::double]) as strength),
+w as (select te.outer_fold, te.hold, candidate, k, te.n, te.dr, te.dd, te.rr, case when k = 0 then 0 when k = 1 or tr.n is null then wg else (tr.n * greatest(least(coalesce(tr.dr / nullif(tr.dd, 0), 0), 1), 0) + strength * wg) / (tr.n + strength) end as v from te join gl using (outer_fold, hold) left join tr on tr.outer_fold = te.outer_fold and tr.hold = te.hold and tr.airport = te.airport cross join cand),
+sc as (select outer_fold, hold < 0 as held, candidate, k, sum(n) as n, sqrt(greatest(sum(rr - 2 * v * dr + v * v * dd), 0) / sum(n)) as rmse from w group by all),
+best as (select outer_fold, arg_min(struct_pack(candidate := candidate, k := k), (round(rmse, 6), k)) as c, min(round(rmse, 6)) as inner_rmse from sc where not held group by 1)
+select outer_fold, c.candidate as chosen, round(inner_rmse, 4) as inner_rmse, round(sc.rmse, 4) as held_rmse, cast(sc.n as bigint) as n_held from best join sc using (outer_fold) where held and sc.k = c.k"""
+
+
+@query("a32_nested_cv", "{with}, " + E + A32)
 def a32(spark, sf):
-    """Nested folds by id: per outer fold the candidate with the least error outside of it, all from one pass of sums."""
-    e = est(spark, sf)
-    cand = F.array(*[F.struct(F.lit(n).alias("candidate"), F.lit(k).alias("k"), F.col(n).alias("v")) for k, n in enumerate(("old", "new", "s"))])
-    long = e.select((F.col("mvt_id") % 5).alias("f"), F.expr("mvt_id div 5 % 3").alias("inner_fold"), "y", F.inline(cand))
-    cells = long.groupBy("f", "inner_fold", "candidate", "k").agg(F.sum(F.pow(F.col("v") - F.col("y"), 2)).alias("sse"), F.count("*").alias("n"))
-    outer = spark.range(5).toDF("outer_fold")
-    r = cells.join(F.broadcast(outer), F.col("f") != F.col("outer_fold")).groupBy("outer_fold", "candidate", "k").agg((F.sum("sse") / F.sum("n")).alias("mse"))
-    best = r.groupBy("outer_fold").agg(F.min(F.struct("mse", "k", "candidate")).alias("m"))
-    return rounded(best.select("outer_fold", F.col("m.candidate").alias("chosen"), F.sqrt("m.mse").alias("rmse")), 4)
+    """Nested folds by id over blend weights: none, one for all, one for an airport drawn to that for all by three strengths.
+
+    For each outer fold the candidate with the least pooled error over three inner folds, each fitted on the other two, is fitted anew on all
+    that is not held out and scored on the outer fold; outer_fold -1 is the transfer of the choice on all folds to the forward fold. Fits
+    and errors are sums of one table of cells. An airport that a fit has not seen takes the weight for all.
+    """
+    e = est(spark, sf).dropna(subset=["s", "old", "y", "airport"])
+    d, r = F.col("s") - F.col("old"), F.col("y") - F.col("old")
+    part = F.when(F.col("fold") == 1, F.lit(-1).cast("long")).otherwise(F.col("mvt_id") % 5)
+    cells = e.groupBy(part.alias("part"), F.expr("mvt_id div 5 % 3").alias("inner_fold"), "airport").agg(F.count("*").alias("n"), F.sum(d * r).alias("dr"), F.sum(d * d).alias("dd"), F.sum(r * r).alias("rr"))
+    cells = cells.select("*", F.explode(F.array(*[F.lit(x) for x in range(-1, 5)])).alias("outer_fold")).select("*", F.explode(F.array(*[F.lit(x) for x in range(-1, 3)])).alias("hold"))
+    at = ["outer_fold", "hold"]
+    fitted = (F.col("part") >= 0) & (F.col("part") != F.col("outer_fold"))
+    held = F.when(F.col("hold") < 0, F.col("part") == F.col("outer_fold")).otherwise(fitted & (F.col("inner_fold") == F.col("hold")))
+    weight = lambda dr, dd: clipped(F.coalesce(dr / F.nullif(dd, F.lit(0.0)), F.lit(0.0)), 0.0, 1.0)
+    train = cells.where(fitted & (F.col("inner_fold") != F.col("hold"))).groupBy(*at, "airport").agg(F.sum("n").alias("n_fit"), F.sum("dr").alias("dr_fit"), F.sum("dd").alias("dd_fit"))
+    overall = train.groupBy(*at).agg(weight(F.sum("dr_fit"), F.sum("dd_fit")).alias("wg"))
+    test = cells.where(held).select(*at, "airport", "n", "dr", "dd", "rr").join(overall, at).join(train, [*at, "airport"], "left")
+    own = weight(F.col("dr_fit"), F.col("dd_fit"))
+    drawn = lambda k: F.coalesce((F.col("n_fit") * own + k * F.col("wg")) / (F.col("n_fit") + k), F.col("wg"))
+    ways = [("base", F.lit(0.0)), ("global", F.col("wg"))] + [(f"airport_{k}", drawn(k)) for k in (0, 20, 50)]
+    cand = F.inline(F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(i).alias("k"), v.alias("v")) for i, (c, v) in enumerate(ways)]))
+    v = F.col("v")
+    sse = F.sum(F.col("rr") - 2 * v * F.col("dr") + v * v * F.col("dd"))
+    scored = test.select(*at, "n", "dr", "dd", "rr", cand).groupBy("outer_fold", (F.col("hold") < 0).alias("held"), "candidate", "k").agg(F.sum("n").alias("n"), F.sqrt(F.greatest(sse, F.lit(0.0)) / F.sum("n")).alias("rmse"))
+    best = scored.where("not held").groupBy("outer_fold").agg(F.min(F.struct(F.round("rmse", 6).alias("inner_rmse"), "k", F.col("candidate").alias("chosen"))).alias("m")).select("outer_fold", "m.*")
+    out = best.join(scored.where("held").select("outer_fold", "k", F.col("rmse").alias("held_rmse"), F.col("n").alias("n_held")), ["outer_fold", "k"])
+    return rounded(out.select("outer_fold", "chosen", "inner_rmse", "held_rmse", "n_held"), 4)
 
 
 @query("a33_promotion_gate", "{with}, " + E + ", " + BOOT + ", f as (select fold, sqrt(avg(pow(new - y, 2))) < sqrt(avg(pow(old - y, 2))) as better from e group by fold) select (select bool_and(better) from f) as every_fold, (select quantile_cont(gain, 0.025) > 0 from gn) as bound, (select bool_and(better) from f) and (select quantile_cont(gain, 0.025) > 0 from gn) as promote")
@@ -219,9 +251,62 @@ def o07(spark, sf):
     return rounded(out.select("mvt_id", "estimate"), 4)
 
 
-@query("o08_expert_family", "{with}, " + E + " select mvt_id, " + ", ".join(f"case when s > {c} then s else old end as at_{int(c)}" for c in CUTS) + " from e")
+#: Candidates for rows without an off-block clock, null elsewhere: a direct one, a ratio, a mixture.
+MISSING = {"direct": "case when aobt_us is null and lobt_us is not null then 0.5 * l + 100 end", "ratio": "case when aobt_us is null then least(greatest(s, 0), 1200) end", "mixture": "case when aobt_us is null and s > 0 then 0.3 * s + 0.7 * old end"}
+#: Policy -> (candidate, share) steps, each over the result of the one before.
+VARIANTS = {"base": [], "direct_half": [("direct", 0.5)], "direct_full": [("direct", 1.0)], "ratio_half": [("ratio", 0.5)], "mixture_half": [("mixture", 0.5)], "direct_half_ratio_half": [("direct", 0.5), ("ratio", 0.5)], "direct_half_mixture_half": [("direct", 0.5), ("mixture", 0.5)]}
+
+
+def _variant_sql(steps) -> str:
+    text = "old"
+    for c, share in steps:
+        text = f"coalesce({1 - share} * {text} + {share} * {c}, {text})"
+    return text
+
+
+@query("o06_policy_variants", "{with}, " + E + ", k as (select *, " + ", ".join(f"{v} as {n}" for n, v in MISSING.items()) + " from e) select mvt_id, " + ", ".join(f"round(cast({_variant_sql(v)} as double), 6) + 0.0 as {n}" for n, v in VARIANTS.items()) + " from k")
+def o06_variants(spark, sf):
+    """All seven policies for missing clocks: steps that move the estimate towards a candidate where there is one."""
+    e = est(spark, sf).withColumns({n: F.expr(v) for n, v in MISSING.items()})
+
+    def value(steps):
+        out = F.col("old")
+        for c, share in steps:
+            out = F.coalesce((1 - share) * out + share * F.col(c), out)
+        return out
+
+    return rounded(e.select("mvt_id", *[value(v).cast("double").alias(n) for n, v in VARIANTS.items()]))
+
+
+#: The airport with experts of its own, and the experts' columns: `picked` is the schedule where an earlier clock agrees with it.
+HOME = "A0"
+PICKED = "case when abs(s - l) <= 3600 then s end"
+EXPERTS = {
+    "baseline_direct": "old",
+    "missing_direct": "new",
+    "missing_schedule": "coalesce(s, new)",
+    "grouped": "coalesce(grp, old)",
+    **{f"tail_gate_{int(c)}": f"case when s > {c} then coalesce(picked, old) else old end" for c in CUTS[1:]},
+    **{f"tail_schedule_{int(c)}": f"case when airport = '{HOME}' and s > {c} then coalesce(picked, old) when airport = '{HOME}' then coalesce(s, new) else old end" for c in CUTS[1:]},
+    "ratio_missing": f"case when airport = '{HOME}' then ratio else new end",
+    "ratio_baseline": f"case when airport = '{HOME}' then ratio else old end",
+    "ratio_analog": f"case when airport = '{HOME}' and s > 3600 and n_like >= 3 and picked is not null then picked when airport = '{HOME}' then ratio else old end",
+    "ratio_high_schedule": f"case when airport = '{HOME}' and s between 5400 and 6600 then 0.5 * ratio + 0.5 * s when airport = '{HOME}' then ratio else old end",
+}
+
+
+@query(
+    "o08_expert_family",
+    "{with}, " + E + f", h as (select airport, dest, count(*) as n_like, avg(y) as grp, sum(y) / nullif(sum(greatest(s, 1)), 0) as rate from e where fold >= 2 group by all), x as (select e.*, n_like, grp, {PICKED} as picked, greatest(s, 1) * coalesce(rate, 1) as ratio from e left join h on e.airport = h.airport and e.dest = h.dest) select mvt_id, "
+    + ", ".join(f"case when s > {c} then s else old end as at_{int(c)}" for c in CUTS) + ", " + ", ".join(f"round(cast({v} as double), 4) + 0.0 as {n}" for n, v in EXPERTS.items()) + " from x",
+)
 def o08(spark, sf):
-    return est(spark, sf).select("mvt_id", *[F.when(F.col("s") > c, F.col("s")).otherwise(F.col("old")).alias(f"at_{int(c)}") for c in CUTS])
+    """The schedule beyond each cut, and the fourteen experts for rows with a missing clock; history is that of the route in the fit folds."""
+    e = est(spark, sf)
+    h = e.where("fold >= 2").groupBy("airport", "dest").agg(F.count("*").alias("n_like"), F.avg("y").alias("grp"), (F.sum("y") / F.nullif(F.sum(F.greatest("s", F.lit(1.0))), F.lit(0.0))).alias("rate"))
+    x = e.join(h, ["airport", "dest"], "left").withColumns({"picked": F.expr(PICKED), "ratio": F.greatest("s", F.lit(1.0)) * F.coalesce("rate", F.lit(1.0))})
+    at = [F.when(F.col("s") > c, F.col("s")).otherwise(F.col("old")).alias(f"at_{int(c)}") for c in CUTS]
+    return x.select("mvt_id", *at, *[(F.round(F.expr(v).cast("double"), 4) + 0.0).alias(n) for n, v in EXPERTS.items()])
 
 
 @query("o10_stage_check", "{with}, " + E + " select count(*) filter (s > 3600 and s <= 6000 and s > 6000) as overlap, count(*) filter (s > 6000) as first, count(*) filter (s > 3600 and s <= 6000) as second, count(*) filter (s < 0) as third, 0 as changed_outside from e")

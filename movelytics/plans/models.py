@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..ml.fits import chance, classifier, out_of_fold, per_group, regressor
+from ..ml.fits import chance, classifier, out_of_fold, out_of_fold_union, per_group, regressor
 from ..operators.context import Win, context_agg
 from .audits import shared
 from .base import MIN, arrs, deps, query, rounded
@@ -35,10 +35,16 @@ def m01(spark, sf):
 
 @query("m02_airport_models")
 def m02(spark, sf):
-    """One regressor per airport."""
+    """One regressor per airport; those with under 20 rows, or without a code, take one that is fitted on all rows."""
     df = features(spark, sf)
-    names = [r["airport"] for r in df.groupBy("airport").count().where("count >= 20").orderBy("airport").collect()]
-    return rounded(per_group(df, "airport", names, lambda t: regressor(t, "y", NUM, ["ac_type"], rounds=5), ["mvt_id", "airport"]))
+    names = [r["airport"] for r in df.groupBy("airport").count().where("count >= 20 and airport is not null").orderBy("airport").collect()]
+    fit = lambda t: regressor(t, "y", NUM, ["ac_type"], rounds=5)
+    small = df.where(F.col("airport").isNull() | ~F.col("airport").isin(names))
+    keep = ["mvt_id", "airport"]
+    parts = [per_group(df, "airport", names, fit, keep)] if names else []
+    if not small.isEmpty():
+        parts.append(fit(df).transform(small).select(*keep, "fitted"))
+    return rounded(out_of_fold_union(parts) if parts else df.select(*keep, F.lit(None).cast("double").alias("fitted")))
 
 
 @query("m03_match_classifier")

@@ -198,12 +198,30 @@ def w16(spark, sf):
     return overtaking(i, "mvt_id", ["airport"], "aobt_us", "t_us", 7200 * S)
 
 
-@query("w18_id_neighbours", "{with} select mvt_id, mvt_id - lag(mvt_id) over w as id_gap, (t_us - lag(t_us) over w) / 1000000.0 as step_s, coalesce(cast(phase = lag(phase) over w as int), 0) as same_phase, coalesce(cast(ac_type = lag(ac_type) over w as int), 0) as same_type, coalesce(cast(flight = lead(flight) over w as int), 0) as same_next_flight from m window w as (partition by airport order by mvt_id)")
+def _step_sql(scope: str, side: str) -> str:
+    f, w = ("lag" if side == "prev" else "lead"), f"w_{scope}"
+    sign = "" if side == "prev" else "-"
+    same = "".join(f", coalesce(cast({c} = {f}({c}) over {w} as int), 0) as {scope}_{side}_{n}" for n, c in SAME.items())
+    return f"abs(mvt_id - {f}(mvt_id) over {w}) as {scope}_{side}_id_gap, {sign}(t_us - {f}(t_us) over {w}) / 1000000.0 as {scope}_{side}_step_s{same}"
+
+
+SAME = {"same_airport": "airport", "same_phase": "phase", "same_type": "ac_type", "same_flight": "flight"}
+SIDES = [(scope, side) for scope in ("airport", "global") for side in ("prev", "next")]
+
+
+@query("w18_id_neighbours", "{with} select mvt_id, " + ", ".join(_step_sql(a, b) for a, b in SIDES) + " from m window w_airport as (partition by airport order by mvt_id), w_global as (order by mvt_id)")
 def w18(spark, sf):
-    """Differences to the neighbour in id order at the airport."""
-    m = with_neighbours(moves(spark, sf), ["airport"], "mvt_id", ["mvt_id", "t_us", "phase", "ac_type", "flight"], 4096)
-    same = lambda c, side: F.coalesce((F.col(c) == F.col(f"{side}.{c}")).cast("int"), F.lit(0))
-    return m.select("mvt_id", (F.col("mvt_id") - F.col("prev.mvt_id")).alias("id_gap"), ((F.col("t_us") - F.col("prev.t_us")) / 1_000_000.0).alias("step_s"), same("phase", "prev").alias("same_phase"), same("ac_type", "prev").alias("same_type"), same("flight", "next").alias("same_next_flight"))
+    """Differences to the neighbours in id order on both sides, at the airport and over all rows."""
+    m = moves(spark, sf).select("mvt_id", "t_us", *SAME.values())
+    for scope, by in (("airport", ["airport"]), ("global", [])):
+        m = with_neighbours(m, by, "mvt_id", ["mvt_id", "t_us", *SAME.values()], 4096).withColumnsRenamed({"prev": f"{scope}_prev", "next": f"{scope}_next"})
+    out = []
+    for scope, side in SIDES:
+        at = f"{scope}_{side}"
+        step = (F.col("t_us") - F.col(f"{at}.t_us")) / 1_000_000.0
+        out += [F.abs(F.col("mvt_id") - F.col(f"{at}.mvt_id")).alias(f"{at}_id_gap"), (step if side == "prev" else -step).alias(f"{at}_step_s")]
+        out += [F.coalesce((F.col(c) == F.col(f"{at}.{c}")).cast("int"), F.lit(0)).alias(f"{at}_{n}") for n, c in SAME.items()]
+    return m.select("mvt_id", *out)
 
 
 @query("w19_flight_nearby", "{with}, n as (select *, row_number() over (partition by airport order by mvt_id) as i from m) select q.mvt_id, exists (select 1 from n e where e.airport = q.airport and e.flight = q.flight and e.i <> q.i and abs(e.i - q.i) <= 5 and abs(e.mvt_id - q.mvt_id) <= 50) as nearby from n q")

@@ -62,6 +62,12 @@ def test_models_give_a_value_for_every_row(spark, name):
     assert numbers.notna().all().all() or name == "m07_movement_fit"
 
 
+def test_airport_models_lose_no_rows(spark):
+    from movelytics.plans.models import features
+
+    assert plans.queries()["m02_airport_models"](spark, SF).count() == features(spark, SF).count()
+
+
 def test_entry(spark):
     import __spark_entry__
 
