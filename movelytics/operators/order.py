@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucketed(df: DataFrame, by: list[str], order: str, parts: int = 32) -> DataFrame:
-    """df with __b: the bucket of a numeric column within its group, by approximate quantiles; null order values come first."""
-    cuts = df.groupBy(*by).agg(F.approx_percentile(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("__cuts"))
+def bucketed(df: DataFrame, by: list[str], order: str, parts: int | None = None) -> DataFrame:
+    """df with __b: the bucket of a numeric column within its group, by approximate quantiles; null order values come first.
+
+    There are as many buckets as shuffle partitions, 32 at least, unless parts says otherwise; rows of one value share a bucket.
+    """
+    parts = parts or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.groupBy(*by).agg(F.approx_percentile(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(32 * parts)).alias("__cuts"))
     both = df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))
     inside = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
     return both.withColumn("__b", F.when(F.col(order).isNull() | F.col("__cuts").isNull(), F.lit(-1)).otherwise(inside)).drop("__cuts")
 
 
-def running(df: DataFrame, by: list[str], order: str, ties: list[str | Column], value: Column, name: str, parts: int = 32) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: str, ties: list[str | Column], value: Column, name: str, parts: int | None = None) -> DataFrame:
     """df with the sum of value over the rows before each row, in the order (order, ties) of its group (keys not null)."""
     b = bucketed(df.withColumn("__v", value), by, order, parts)
     sums = b.groupBy(*by, "__b").agg(F.sum("__v").alias("__s"))
@@ -29,11 +33,36 @@ def running(df: DataFrame, by: list[str], order: str, ties: list[str | Column],
     return local.join(before, [*by, "__b"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__v", "__in", "__before", "__b")
 
 
-def row_numbers(df: DataFrame, by: list[str], order: str, ties: list[str | Column], name: str, parts: int = 32) -> DataFrame:
+def row_numbers(df: DataFrame, by: list[str], order: str, ties: list[str | Column], name: str, parts: int | None = None) -> DataFrame:
     """df with the row number (from 1) in its group."""
     return running(df, by, order, ties, F.lit(1).cast("long"), name, parts).withColumn(name, F.col(name) + 1)
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, points: list[float], name: str) -> DataFrame:
+    """(by, name): an array of the exact percentiles of the non-null values, interpolated between neighbours.
+
+    Counts per distinct value and their running sums find the values around each place, so that neither a hot value nor the values of a
+    whole group are gathered. Groups without a value have no row; null keys are a group like any other.
+    """
+    group = F.struct(*by) if by else F.lit(True)
+    counts = df.where(F.col(value).isNotNull()).groupBy(group.alias("__g"), F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
+    sizes = counts.groupBy("__g").agg(F.sum("__c").alias("__n"))
+    placed = running(counts, ["__g"], "__x", [], F.col("__c"), "__lo").join(sizes, "__g")
+    last = F.col("__lo") + F.col("__c")
+
+    def at(place):
+        return F.max(F.when((F.col("__lo") <= place) & (place < last), F.col("__x")))
+
+    sides = []
+    for i, p in enumerate(points):
+        place = (F.col("__n") - 1) * p
+        sides += [at(F.floor(place)).alias(f"__a{i}"), at(F.ceil(place)).alias(f"__b{i}")]
+    found = placed.groupBy("__g").agg(F.max("__n").alias("__n"), *sides)
+    part = [(F.col("__n") - 1) * p - F.floor((F.col("__n") - 1) * p) for p in points]
+    values = [F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * f for i, f in enumerate(part)]
+    return found.select(*[F.col(f"__g.{c}").alias(c) for c in by], F.array(*values).alias(name))
+
+
 def with_neighbours(df: DataFrame, by: list[str], order: str, columns: list[str], width: int) -> DataFrame:
     """df with structs prev and next: the given columns of the neighbouring rows in the order of a unique integer column.
 

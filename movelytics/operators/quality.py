@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import percentiles
+
 
 def exact_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: ids only in a, only in b, null and repeated ids on either side; all zero for equal id sets."""
@@ -48,21 +50,32 @@ def coverage(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame
     return wide.unpivot(list(by), columns, "column", "share")
 
 
-def quantiles(df: DataFrame, value: str, points: list[float], by: list[str] = (), exact: bool = True) -> DataFrame:
-    """(by, n, coverage, mean, min, max, q_i): exact percentiles, or Spark's sketch where groups are too large for exact ones."""
-    qs = F.array(*[F.lit(p) for p in points])
-    p = F.percentile(value, qs) if exact else F.approx_percentile(value, qs, F.lit(10_000))
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(value).isNotNull().cast("double")).alias("coverage"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), p.alias("__q"))
-    return out.select(*by, "n", "coverage", "mean", "min", "max", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(points))])
+def quantiles(df: DataFrame, value: str, points: list[float], by: list[str] = ()) -> DataFrame:
+    """(by, n, coverage, mean, min, max, q_i) with exact percentiles; q_i are null where a group has no value."""
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(value).isNotNull().cast("double")).alias("coverage"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return with_percentiles(out, df, value, points, by).select(*by, "n", "coverage", "mean", "min", "max", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(points))])
+
+
+def with_percentiles(groups: DataFrame, df: DataFrame, value: str, points: list[float], by: list[str], name: str = "__q") -> DataFrame:
+    """groups (one row per by) with the percentiles of df's values in each."""
+    if not by:
+        return groups.join(percentiles(df, [], value, points, name), F.lit(True), "left")  # one row a side
+    found = percentiles(df, list(by), value, points, name).withColumnsRenamed({c: f"__q_{c}" for c in by})
+    on = [groups[c].eqNullSafe(found[f"__q_{c}"]) for c in by]
+    return groups.join(found, on, "left").drop(*[f"__q_{c}" for c in by])
 
 
 def drift(old: DataFrame, new: DataFrame, by: str, numeric: list[str], categories: list[str]) -> DataFrame:
     """(by, column, coverage_delta, median_delta, novel_rate): how columns of new differ from the same group of old."""
     rows = None
-    for c in numeric:
-        side = lambda df, s, c=c: df.groupBy(by).agg(F.avg(F.col(c).isNotNull().cast("double")).alias(f"cov_{s}"), F.percentile(c, 0.5).alias(f"med_{s}"))
-        one = side(new, "n").join(side(old, "o"), by).select(by, F.lit(c).alias("column"), (F.col("cov_n") - F.col("cov_o")).alias("coverage_delta"), (F.col("med_n") - F.col("med_o")).alias("median_delta"), F.lit(None).cast("double").alias("novel_rate"))
-        rows = one if rows is None else rows.union(one)
+    if numeric:
+        marked = [df.where(F.col(by).isNotNull()).select(by, F.lit(s).alias("__side"), *[F.col(c).cast("double").alias(c) for c in numeric]) for df, s in ((new, 1), (old, 0))]
+        long = marked[0].union(marked[1]).unpivot([by, "__side"], numeric, "column", "__v")
+        each = [by, "__side", "column"]
+        stats = with_percentiles(long.groupBy(*each).agg(F.avg(F.col("__v").isNotNull().cast("double")).alias("cov")), long, "__v", [0.5], each, "__m")
+        gap = lambda c: F.max(F.when(F.col("__side") == 1, c)) - F.max(F.when(F.col("__side") == 0, c))
+        both = stats.groupBy(by, "column").agg(gap(F.col("cov")).alias("coverage_delta"), gap(F.col("__m")[0]).alias("median_delta"), F.count("*").alias("sides"))
+        rows = both.where("sides = 2").select(by, "column", "coverage_delta", "median_delta", F.lit(None).cast("double").alias("novel_rate"))
     for c in categories:
         seen = old.where(F.col(c).isNotNull()).select(by, c).distinct().withColumn("__seen", F.lit(1))
         one = new.join(seen, [by, c], "left").groupBy(by).agg(F.avg(F.when(F.col(c).isNotNull(), F.col("__seen").isNull().cast("double"))).alias("novel_rate"), F.avg(F.col(c).isNotNull().cast("double")).alias("cov_n"))

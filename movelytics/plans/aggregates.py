@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..functions.keys import seconds
 from ..operators.evaluate import auc, centred_slope, error_shares, scores
-from ..operators.order import running
-from ..operators.quality import drift, quantiles
+from ..operators.order import percentiles, running
+from ..operators.quality import drift, quantiles, with_percentiles
 from ..operators.context import Win, context_agg
 from ..operators.order import dense_codes
 from .audits import shared
@@ -110,7 +110,9 @@ def a17(spark, sf):
     t = F.col("t_us")
     wide = deps(spark, sf).select("taxi_sec", *[seconds(t, F.col(f"{c}_us")).alias(c) for c in ("aobt", "lobt", "sched")])
     e = F.abs(F.col("v") - F.col("taxi_sec"))
-    return rounded(wide.unpivot(["taxi_sec"], ["aobt", "lobt", "sched"], "source", "v").groupBy("source").agg(F.count("v").alias("available"), F.percentile(e, 0.5).alias("median_error"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count_if(e <= 60).alias("within60"), F.count_if(e <= 300).alias("within300")), 4)
+    long = wide.unpivot(["taxi_sec"], ["aobt", "lobt", "sched"], "source", "v").withColumn("error", e)
+    out = long.groupBy("source").agg(F.count("v").alias("available"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count_if(e <= 60).alias("within60"), F.count_if(e <= 300).alias("within300"))
+    return rounded(with_percentiles(out, long, "error", [0.5], ["source"]).withColumn("median_error", F.col("__q")[0]).drop("__q"), 4)
 
 
 BANDS = [(-1e9, 0.0), (0.0, 1800.0), (1800.0, 3600.0), (3600.0, 7200.0), (7200.0, 1e9)]
@@ -153,8 +155,9 @@ def a22_top(spark, sf):
 
 @query("a23_correlations", "{with}, " + PX + " select fold, count(*) as n, round(corr(p, taxi_sec), 6) as r, round(quantile_cont(abs(p - taxi_sec), 0.95), 4) as p95, round(avg(p * taxi_sec), 3) as product from x where p is not null group by fold")
 def a23(spark, sf):
-    x = _x(spark, sf).where("p is not null")
-    return rounded(x.groupBy("fold").agg(F.count("*").alias("n"), F.corr("p", "taxi_sec").alias("r"), F.round(F.percentile(F.abs(F.col("p") - F.col("taxi_sec")), 0.95), 4).alias("p95"), F.round(F.avg(F.col("p") * F.col("taxi_sec")), 3).alias("product")))
+    x = _x(spark, sf).where("p is not null").withColumn("error", F.abs(F.col("p") - F.col("taxi_sec")))
+    out = x.groupBy("fold").agg(F.count("*").alias("n"), F.corr("p", "taxi_sec").alias("r"), F.round(F.avg(F.col("p") * F.col("taxi_sec")), 3).alias("product"))
+    return rounded(with_percentiles(out, x, "error", [0.95], ["fold"]).withColumn("p95", F.round(F.col("__q")[0], 4)).drop("__q"))
 
 
 @query("a24_centred_slope", "{with}, " + PX + ", s as (select *, avg(p) over w as mp, avg(taxi_sec) over w as mt, count(*) over w as n from x where p is not null window w as (partition by airport, ac_type)) select round(sum((p - mp) * (taxi_sec - mt)) / sum((p - mp) * (p - mp)), 6) as slope, count(*) as n from s where n >= 20")
@@ -166,9 +169,9 @@ def a24(spark, sf):
 def a36(spark, sf):
     """Median and quartile scaling learned on the fit folds; clipped, and a code for missing values."""
     x = _x(spark, sf)
-    f = x.where("fold >= 2").agg(F.percentile("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    f = percentiles(x.where("fold >= 2"), [], "p", [0.25, 0.5, 0.75], "q")
     z = (F.col("p") - F.col("q")[1]) / F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1.0))
-    return rounded(x.crossJoin(F.broadcast(f)).select("mvt_id", F.when(F.col("p").isNull(), F.lit(-11.0)).otherwise(F.greatest(F.least(z, F.lit(10.0)), F.lit(-10.0))).alias("z")))
+    return rounded(x.join(F.broadcast(f), F.lit(True), "left").select("mvt_id", F.when(F.col("p").isNull(), F.lit(-11.0)).otherwise(F.greatest(F.least(z, F.lit(10.0)), F.lit(-10.0))).alias("z")))
 
 
 @query("a37_vocabulary_codes", "{with}, v as (select flight, row_number() over (order by count(*) desc, flight) as k from d where mvt_id % 2 = 0 group by flight) select mvt_id, cast(case when d.flight is null then 0 when v.flight is null or k > 20 then 1 else k + 1 end as int) as code from d left join v using (flight)")

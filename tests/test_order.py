@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from movelytics.operators.order import row_numbers, running, with_neighbours
+from movelytics.operators.order import percentiles, row_numbers, running, with_neighbours
 
 
 def test_ranks_and_neighbours(spark):
@@ -28,3 +28,16 @@ def test_ranks_and_neighbours(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id bigint, k string, x int")
     assert row_numbers(df, ["k"], "x", ["id"], "r").count() == 0 and with_neighbours(df, ["k"], "id", ["x"], 10).count() == 0
+
+
+def test_percentiles(spark):
+    """Heavy ties, null values, a null key and a single value, against Spark's own exact percentiles."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.5, 1.5, 1.5, rng.random() * 9])) for _ in range(300)] + [("c", 4.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    points = [0.0, 0.05, 0.5, 0.95, 1.0]
+    want = {r["k"]: r["q"] for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*[F.lit(p) for p in points])).alias("q")).collect()}
+    got = {r["k"]: r["q"] for r in percentiles(df, ["k"], "v", points, "q").collect()}
+    assert set(got) == set(want) == {"a", "b", "c", None}
+    assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+    assert percentiles(df.where("v > 99"), [], "v", points, "q").count() == 0
