@@ -9,6 +9,7 @@ from ..functions.keys import clipped, seconds, valid_proxy
 from ..operators.context import Win, context_agg
 from ..operators.estimates import Policy, best_expert, blend_weight, compose, moments, shrink_ladder, simplex
 from ..operators.evaluate import best_weight, day_bootstrap, interval, paired_bootstrap, scores, weight_grid
+from ..operators.quality import with_percentiles
 from .base import MIN, S, arrs, deps, query, rounded
 
 #: Departures with a proxy, two estimates and a fold: `e`.
@@ -47,7 +48,9 @@ def a03_scored(spark, sf):
 @query("a04_route_evidence", "{with}, " + E + " select airport, dest, count(*) as n, round(avg((abs(s - y) <= 60)::int), 6) as match_rate, round(median(y - s), 4) as median_residual from e where fold >= 2 and s > 3600 group by all")
 def a04(spark, sf):
     e = est(spark, sf).where("fold >= 2 and s > 3600")
-    return rounded(e.groupBy("airport", "dest").agg(F.count("*").alias("n"), F.avg((F.abs(F.col("s") - F.col("y")) <= 60).cast("int")).alias("match_rate"), F.round(F.percentile(F.col("y") - F.col("s"), 0.5), 4).alias("median_residual")))
+    e = e.withColumn("residual", F.col("y") - F.col("s"))
+    out = e.groupBy("airport", "dest").agg(F.count("*").alias("n"), F.avg((F.abs(F.col("s") - F.col("y")) <= 60).cast("int")).alias("match_rate"))
+    return rounded(with_percentiles(out, e, "residual", [0.5], ["airport", "dest"]).withColumn("median_residual", F.round(F.col("__q")[0], 4)).drop("__q"))
 
 
 @query("a05_analogs", "{with}, " + E + " select airport, ac_type, count(*) as n, round(avg(y), 6) as target, round(avg(y - old), 6) as residual, round(avg(s), 6) as schedule, round(avg((y > 600)::int), 6) as long_rate from e where fold not in (0, 1) group by all")
@@ -245,7 +248,8 @@ def o07(spark, sf):
     """Long schedules: the schedule plus a reliable route's median offset, else the mean of long rows."""
     e = est(spark, sf)
     tail = e.where("fold >= 2 and s > 3600")
-    routes = tail.groupBy("airport", "dest").agg(F.count("*").alias("n"), F.avg((F.abs(F.col("s") - F.col("y")) <= 600).cast("int")).alias("rate"), F.percentile(F.col("y") - F.col("s"), 0.5).alias("offs"))
+    routes = tail.groupBy("airport", "dest").agg(F.count("*").alias("n"), F.avg((F.abs(F.col("s") - F.col("y")) <= 600).cast("int")).alias("rate"))
+    routes = with_percentiles(routes, tail.withColumn("residual", F.col("y") - F.col("s")), "residual", [0.5], ["airport", "dest"]).withColumn("offs", F.col("__q")[0]).drop("__q")
     both = e.join(routes, ["airport", "dest"], "left").crossJoin(F.broadcast(tail.agg(F.avg("y").alias("m")))).withColumn("estimate", F.col("old"))
     out = compose(both, [Policy(F.col("s") > 3600, F.col("m")), Policy((F.col("s") > 3600) & (F.col("n") >= 3) & (F.col("rate") >= 0.1), F.col("s") + F.col("offs"))])
     return rounded(out.select("mvt_id", "estimate"), 4)
