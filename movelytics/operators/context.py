@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import so_far
+
 
 @dataclass(frozen=True)
 class Win:
@@ -251,3 +253,24 @@ def nearest_events(q: DataFrame, e: DataFrame, key: str, t: str, id_col: str, fl
     slow = some.join(pairs.groupBy(id_col).agg(*sides), id_col, "left")
     kind = quick.schema["past"].dataType
     return quick.unionByName(slow.select(*q.columns, *[F.coalesce(F.col(s), F.array()).cast(kind).alias(s) for s in ("past", "future")]))
+
+
+def quota(e: DataFrame, key: str, t: str, span: int, slots: int, budget: int) -> DataFrame:
+    """e (uses of a key with bytes and version) with what a rolling quota says of each, by the uses of its key at strictly earlier times.
+
+    used and volume within the span, remaining slots, next_slot (t, or the time of the last-but-(slots-1) use plus span if all slots are
+    taken), projected bytes with all that is held, version_is_new, and allowed: all three hold. Null keys or times have no earlier uses.
+    """
+    windowed = context_agg(e, e, [key], t, [Win("w", -span, -1)], {"n": ("count", None), "v": ("sum", "bytes")})
+    moments = e.where(F.col(key).isNotNull() & F.col(t).isNotNull()).groupBy(key, t).agg(F.count("*").alias("__n"), F.sum("bytes").alias("__bytes"), F.max("version").alias("__version"))
+    past = so_far(moments, [key], t, {"__uses": "__n", "__held": "__bytes"}, {"__latest": "__version"}).drop("__bytes", "__version")
+    numbered = past.select(key, F.col(t).alias("__at"), F.explode(F.sequence(F.col("__uses") + 1, F.col("__uses") + F.col("__n"))).alias("__no"))
+    f = windowed.join(past, [key, t], "left").withColumn("used", F.coalesce("w_n", F.lit(0)))
+    f = f.withColumn("__no", F.when(F.col("used") >= slots, F.col("__uses") - (slots - 1))).join(numbered, [key, "__no"], "left")
+    projected = F.coalesce("__held", F.lit(0)) + F.col("bytes")
+    new = F.col("version") > F.coalesce("__latest", F.lit(0))
+    return f.select(
+        *e.columns, "used", F.greatest(F.lit(slots) - F.col("used"), F.lit(0)).alias("remaining"), F.coalesce("w_v", F.lit(0)).alias("volume"),
+        F.when(F.col("used") >= slots, F.col("__at") + span).otherwise(F.col(t)).alias(f"next_slot_{t}"), projected.alias("projected"), new.alias("version_is_new"),
+        ((F.col("used") < slots) & (projected <= budget) & new).alias("allowed"),
+    )

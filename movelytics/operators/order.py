@@ -38,6 +38,19 @@ def row_numbers(df: DataFrame, by: list[str], order: str, ties: list[str | Colum
     return running(df, by, order, ties, F.lit(1).cast("long"), name, parts).withColumn(name, F.col(name) + 1)
 
 
+def so_far(df: DataFrame, by: list[str], order: str, sums: dict[str, str], maxima: dict[str, str]) -> DataFrame:
+    """df with sums and maxima (name -> column) of the rows before each row of its group; `order` is unique in a group, sums start at 0, maxima at null."""
+    b = bucketed(df, by, order)
+    made = {n: (F.sum, c) for n, c in sums.items()} | {n: (F.max, c) for n, c in maxima.items()}
+    join = lambda n, a, c: F.coalesce(a, F.lit(0)) + F.coalesce(c, F.lit(0)) if n in sums else F.greatest(a, c)
+    w = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = b.groupBy(*by, "__b").agg(*[f(c).alias(f"__e_{n}") for n, (f, c) in made.items()])
+    ends = ends.select(*by, "__b", *[f(f"__e_{n}").over(w).alias(f"__p_{n}") for n, (f, _) in made.items()])  # one row per bucket
+    inner = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = b.withColumns({f"__i_{n}": f(c).over(inner) for n, (f, c) in made.items()}).join(ends, [*by, "__b"])
+    return local.select(*df.columns, *[join(n, F.col(f"__p_{n}"), F.col(f"__i_{n}")).alias(n) for n in made])
+
+
 def percentiles(df: DataFrame, by: list[str], value: str, points: list[float], name: str) -> DataFrame:
     """(by, name): an array of the exact percentiles of the non-null values, interpolated between neighbours.
 

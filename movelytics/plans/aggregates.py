@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.keys import seconds
-from ..operators.evaluate import auc, centred_slope, error_shares, scores
+from ..operators.evaluate import auc, centred_slope, error_shares, scores, top_shares
 from ..operators.order import percentiles, running
 from ..operators.quality import drift, quantiles, with_percentiles
-from ..operators.context import Win, context_agg
+from ..operators.context import quota
 from ..operators.order import dense_codes
 from .audits import shared
 from .base import S, arrs, deps, moves, query, rounded, table
@@ -38,12 +38,13 @@ def a08(spark, sf):
     return rounded(scores(_x(spark, sf), "taxi_sec", "p", ["airport"]), 4)
 
 
-@query("a09_grouping_sets", "{with}, " + PX + " select fold, airport, day, count(*) as n, round(avg((p - taxi_sec) * (p - taxi_sec)), 3) as mse from x where p is not null group by grouping sets ((fold), (fold, airport), (fold, day), (fold, airport, day))")
+@query("a09_grouping_sets", "{with}, " + PX + ", k as (select *, month(make_timestamp(t_us)) as month from x) select fold, airport, day, month, count(*) as n, round(avg((p - taxi_sec) * (p - taxi_sec)), 3) as mse from k where p is not null group by grouping sets ((fold), (fold, airport), (fold, day), (fold, airport, day), (fold, month))")
 def a09(spark, sf):
     """Scores by several key sets in one pass."""
-    x, f = _x(spark, sf).where("p is not null"), F.col
-    sets = [[f("fold")], [f("fold"), f("airport")], [f("fold"), f("day")], [f("fold"), f("airport"), f("day")]]
-    return x.groupingSets(sets, f("fold"), f("airport"), f("day")).agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("taxi_sec"), 2)), 3).alias("mse"))
+    f = F.col
+    x = _x(spark, sf).where("p is not null").withColumn("month", F.month(F.date_from_unix_date(f("day").cast("int"))).cast("long"))
+    sets = [[f("fold")], [f("fold"), f("airport")], [f("fold"), f("day")], [f("fold"), f("airport"), f("day")], [f("fold"), f("month")]]
+    return x.groupingSets(sets, f("fold"), f("airport"), f("day"), f("month")).agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("taxi_sec"), 2)), 3).alias("mse"))
 
 
 QS = [0.01, 0.05, 0.5, 0.95, 0.99, 0.999]
@@ -143,14 +144,19 @@ def a22(spark, sf):
     return rounded(error_shares(_x(spark, sf).where("p is not null"), "taxi_sec", "p", ["airport", "fold"]))
 
 
-@query("a22_top_shares", "{with}, " + PX + ", r as (select (p - taxi_sec) * (p - taxi_sec) as s, row_number() over (order by abs(p - taxi_sec) desc, mvt_id) as k from x where p is not null), g as (select unnest([1, 2, 10, 100]) as top) select top, round(sum(s) filter (k <= top) / sum(s), 6) as share from r, g group by top")
+TOPS = (1, 2, 10, 100, 1000)
+
+
+@query(
+    "a22_top_shares",
+    "{with}, " + PX + ", r as (select (p - taxi_sec) * (p - taxi_sec) as s, row_number() over (order by abs(p - taxi_sec) desc, mvt_id) as k from x where p is not null), "
+    + f"g as (select unnest({list(TOPS)}) as rows, unnest({[str(k) for k in TOPS]}) as top union all select greatest(1, (count(*) + 99) // 100), '1%' from r)"
+    + " select top, rows, round(sum(s) filter (k <= rows) / sum(s), 6) as share from r, g group by all",
+)
 def a22_top(spark, sf):
-    """Share of the squared error in the largest 1, 2, 10, 100 rows: top-100 rows only are ranked."""
-    sq = F.pow(F.col("p") - F.col("taxi_sec"), 2)
-    x = _x(spark, sf).where("p is not null").select("mvt_id", sq.alias("s"))
-    top = x.orderBy(F.desc("s"), "mvt_id").limit(100).withColumn("k", F.row_number().over(Window.orderBy(F.desc("s"), "mvt_id")))
-    long = top.withColumn("top", F.explode(F.array(*[F.lit(k) for k in (1, 2, 10, 100)]))).where("k <= top").groupBy("top").agg(F.sum("s").alias("part"))
-    return rounded(long.crossJoin(F.broadcast(x.agg(F.sum("s").alias("whole")))).select("top", (F.col("part") / F.col("whole")).alias("share")))
+    """Share of the squared error in the largest 1, 2, 10, 100, 1000 rows and in the largest hundredth."""
+    x = _x(spark, sf).where("p is not null").select(F.pow(F.col("p") - F.col("taxi_sec"), 2).alias("s"))
+    return rounded(top_shares(x, "s", TOPS))
 
 
 @query("a23_correlations", "{with}, " + PX + " select fold, count(*) as n, round(corr(p, taxi_sec), 6) as r, round(quantile_cont(abs(p - taxi_sec), 0.95), 4) as p95, round(avg(p * taxi_sec), 3) as product from x where p is not null group by fold")
@@ -226,12 +232,22 @@ def a43(spark, sf):
     return d.join(groups, "flight", "left").select("mvt_id", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
-@query("l01_rolling_quota", "select event_id, (select count(*) from events e where e.user_id = q.user_id and epoch_us(e.ts) between epoch_us(q.ts) - 86400000000 and epoch_us(q.ts) - 1) as used, greatest(5 - (select count(*) from events e where e.user_id = q.user_id and epoch_us(e.ts) between epoch_us(q.ts) - 86400000000 and epoch_us(q.ts) - 1), 0) as remaining, coalesce((select round(sum(e.value), 4) from events e where e.user_id = q.user_id and epoch_us(e.ts) between epoch_us(q.ts) - 86400000000 and epoch_us(q.ts) - 1), 0.0) as volume from events q")
+QUOTA, BUDGET = 5, 40_000_000
+L01 = f"""with q as materialized (select event_id, user_id, epoch_us(ts) as us, cast(round(value * 1000) as bigint) as bytes, event_id % 40 + 1 as version from events),
+r as (select q.event_id, q.us, q.bytes, q.version, count(e.us) filter (e.us >= q.us - 86400000000) as used, coalesce(sum(e.bytes) filter (e.us >= q.us - 86400000000), 0) as volume, coalesce(sum(e.bytes), 0) as held, coalesce(max(e.version), 0) as latest,
+  list(e.us order by e.us desc) filter (e.us is not null) as times from q left join q e on e.user_id = q.user_id and e.us < q.us group by all)
+select event_id, used, greatest({QUOTA} - used, 0) as remaining, cast(volume as bigint) as volume, case when used >= {QUOTA} then times[{QUOTA}] + 86400000000 else us end as next_slot_us, cast(held + bytes as bigint) as projected, version > latest as version_is_new,
+  used < {QUOTA} and held + bytes <= {BUDGET} and version > latest as allowed from r"""
+
+
+@query("l01_rolling_quota", L01)
 def l01(spark, sf):
-    """Uses of a key in the last 24 hours, what is left of a quota of five, and the volume used."""
-    e = table(spark, sf, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp))").alias("us"), "value")
-    out = context_agg(e, e, ["user_id"], "us", [Win("w", -86_400 * S, -1)], {"n": ("count", None), "v": ("sum", "value")})
-    return out.select("event_id", F.col("w_n").alias("used"), F.greatest(F.lit(5) - F.col("w_n"), F.lit(0)).alias("remaining"), F.coalesce(F.round("w_v", 4), F.lit(0.0)).alias("volume"))
+    """Uses of a key in the last 24 hours, what is left of a quota, when the next slot is free, the size with all held before, and whether the version is new.
+
+    The derived sizes and versions of a use come from its value and id. The fifth-latest use is found by its number in the key's order.
+    """
+    e = table(spark, sf, "events").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp))").alias("us"), F.round(F.col("value") * 1000).cast("long").alias("bytes"), (F.col("event_id") % 40 + 1).alias("version"))
+    return quota(e, "user_id", "us", 86_400 * S, QUOTA, BUDGET).select("event_id", "used", "remaining", "volume", "next_slot_us", "projected", "version_is_new", "allowed")
 
 
 @query("l02_leader_position", "with b as (select user_id, min(value) as best from events group by user_id) select user_id, best, 1 + (select count(*) from b o where o.best < b.best) as position from b")

@@ -17,6 +17,19 @@ M = "m as materialized (" + MOVEMENTS_SQL.replace("{US}", "epoch_us(ts)").replac
 DEP = "d as materialized (select * from m where phase = 'DEP'), a as materialized (select * from m where phase = 'ARR')"
 WX = "wx as materialized (" + WEATHER_SQL.replace("{US}", "epoch_us(ts)").replace("{events}", "events") + ")"
 WITH = f"with {M}, {DEP}"
+#: Flights have clocks (planned and flown arrival among them) and attributes that the movements view lacks; they are derived from it.
+FLIGHTS_SQL = """select *,
+ case when mvt_id % 13 = 0 then null else lobt_us + ((mvt_id % 5) - 2) * 120000000 end as iobt_us,
+ case when mvt_id % 17 = 0 then null else sched_us + ((mvt_id % 7) - 3) * 60000000 end as eobt_us,
+ case when mvt_id % 25 = 0 then null else sched_us + (3600 + (mvt_id % 4) * 1800) * 1000000 end as planned_us,
+ case when mvt_id % 27 = 0 then null else t_us + (3300 + (mvt_id % 5) * 1700) * 1000000 end as flown_us,
+ case when mvt_id % 19 = 0 then null else concat(flight, 'X') end as callsign,
+ case when mvt_id % 23 = 0 then dest else airport end as adep_flt,
+ case when mvt_id % 29 = 0 then null else ac_type end as type_flt,
+ case when mvt_id % 31 = 0 then airport else dest end as ades_flt,
+ case when mvt_id % 3 = 0 then 'V' else 'I' end as rule
+from {d}"""
+FL = "fl as materialized (" + FLIGHTS_SQL.replace("{d}", "d") + ")"
 S = 1_000_000
 MIN = 60 * S
 
@@ -45,9 +58,13 @@ def arrs(spark: SparkSession, sf: str) -> DataFrame:
     return movements(spark, sf).where("phase = 'ARR'")
 
 
+def flights(spark, sf) -> DataFrame:
+    return spark.sql(FLIGHTS_SQL, d=deps(spark, sf))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double rounded, so that engines that add in another order agree; -0 becomes 0."""
     return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-__all__ = ["MIN", "ORACLES", "QUERIES", "S", "arrs", "deps", "moves", "query", "rounded", "table"]
+__all__ = ["FL", "MIN", "ORACLES", "QUERIES", "S", "arrs", "deps", "flights", "moves", "query", "rounded", "table"]

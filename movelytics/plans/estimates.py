@@ -70,6 +70,17 @@ def a26(spark, sf):
     return rounded(interval(paired_bootstrap(est(spark, sf), "y", "old", "new", F.col("day"), REPLICATES)), 5)
 
 
+MONTHS = """ds as (select month(make_timestamp(day * 86400000000)) as m, day, count(*) as n, sum((old - y) * (old - y)) as so, sum((new - y) * (new - y)) as sn, row_number() over (partition by month(make_timestamp(day * 86400000000)) order by day) - 1 as i from e group by day), nd as (select m, count(*) as days from ds group by m),
+dr as (select r, m, ((r*7919 + s*104729 + r*s*31 + 12345 + m*611953) % 1000003) % days as i from nd, range({REPLICATES}) a(r), range(days) b(s)), gn as (select r, sqrt(sum(so) / sum(n)) - sqrt(sum(sn) / sum(n)) as gain from dr join ds using (m, i) group by r)""".replace("{REPLICATES}", str(REPLICATES))
+
+
+@query("a26_month_bootstrap", "{with}, " + E + ", " + MONTHS + " select round(quantile_cont(gain, 0.025), 5) as lo, round(quantile_cont(gain, 0.5), 5) as mid, round(quantile_cont(gain, 0.975), 5) as hi, round(avg((gain > 0)::int), 5) as positive, count(*) as replicates from gn")
+def a26_month(spark, sf):
+    """The paired day bootstrap with days drawn within each calendar month."""
+    e = est(spark, sf).withColumn("month", F.month(F.date_from_unix_date(F.col("day").cast("int"))).cast("long"))
+    return rounded(interval(paired_bootstrap(e, "y", "old", "new", F.col("day"), REPLICATES, "month")), 5)
+
+
 @query("a27_blend_weights", "{with}, " + E + " select airport, count(*) as n, round(greatest(0, least(1, coalesce(sum((s - old) * (y - old)) / nullif(sum((s - old) * (s - old)), 0), 0))), 6) as weight from e where fold >= 2 group by airport")
 def a27(spark, sf):
     return rounded(blend_weight(est(spark, sf).where("fold >= 2"), "y", "old", "s", ["airport"]))

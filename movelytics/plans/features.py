@@ -14,26 +14,10 @@ from ..functions.keys import EVENT_PLACEHOLDERS, normal_key
 from ..operators.context import Win, context_agg, nearest_events, occupancy
 from ..operators.weather import CODES, MAXIMA, MEDIANS, MINIMA, at_hour, weather_table
 from ..sources.tables import refuse_labels, weather_observations
-from .base import MIN, ORACLES, QUERIES, S, deps, moves, query, rounded
+from .base import FL, MIN, ORACLES, QUERIES, S, deps, flights, moves, query, rounded
 from .scalars import ZONES
 from .windows import W01, w01, w02, w03  # noqa: F401  (registers what the stacks are made of)
 
-FLIGHTS_SQL = """select *,
- case when mvt_id % 13 = 0 then null else lobt_us + ((mvt_id % 5) - 2) * 120000000 end as iobt_us,
- case when mvt_id % 17 = 0 then null else sched_us + ((mvt_id % 7) - 3) * 60000000 end as eobt_us,
- case when mvt_id % 19 = 0 then null else concat(flight, 'X') end as callsign,
- case when mvt_id % 23 = 0 then dest else airport end as adep_flt,
- case when mvt_id % 29 = 0 then null else ac_type end as type_flt,
- case when mvt_id % 31 = 0 then airport else dest end as ades_flt,
- case when mvt_id % 3 = 0 then 'V' else 'I' end as rule
-from {d}"""
-
-
-def flights(spark, sf) -> DataFrame:
-    return spark.sql(FLIGHTS_SQL, d=deps(spark, sf))
-
-
-FL = "fl as materialized (" + FLIGHTS_SQL.replace("{d}", "d") + ")"
 _ZONE = "case airport " + " ".join(f"when '{a}' then '{z}'" for a, z in ZONES.items()) + " end"
 _SPARK = {"div": "div", "ts": "timestamp_micros({})", "local": "unix_micros(from_utc_timestamp(timestamp_micros({}), " + _ZONE + "))"}
 _DUCK = {"div": "//", "ts": "make_timestamp({})", "local": "epoch_us(make_timestamptz({}) at time zone (" + _ZONE + "))"}
@@ -81,7 +65,7 @@ def _same(a: str, b: str) -> str:
     return f"case when {a} = {b} then 1 else 0 end"
 
 
-CLOCKS = ("aobt_us", "lobt_us", "iobt_us", "eobt_us", "sched_us")
+CLOCKS = ("aobt_us", "lobt_us", "iobt_us", "eobt_us", "sched_us", "planned_us", "flown_us")
 PAIRS = (("aobt_us", "lobt_us"), ("aobt_us", "iobt_us"), ("aobt_us", "eobt_us"), ("lobt_us", "eobt_us"), ("sched_us", "lobt_us"))
 PROXY = "((t_us - aobt_us) / 1e6)"
 _LOCAL = "LOCAL(t_us)"
@@ -163,10 +147,11 @@ def f01(spark, sf):
 STAMPS = ("t_us", *CLOCKS)
 STAMP_BLOCK = Block(
     **{f"{c[:-3]}_{n}": e for c in STAMPS for n, e in (("second", f"({c} ~ 1000000) % 60"), ("minute", f"(({c} ~ 1000000) % 3600) ~ 60"), ("hour", f"{_sod(c)} ~ 3600"), ("weekday", f"({_day(c)} + 3) % 7"))},
-    planned_duration="(eobt_us - sched_us) / 1e6", flown_duration="(t_us - aobt_us) / 1e6", revision="(lobt_us - iobt_us) / 1e6", lobt_aobt="(aobt_us - lobt_us) / 1e6",
+    planned_duration="(planned_us - eobt_us) / 1e6", flown_duration="(flown_us - aobt_us) / 1e6", arrival_delay="(flown_us - planned_us) / 1e6", revision="(eobt_us - iobt_us) / 1e6", schedule_gap="(t_us - sched_us) / 1e6",
+    flight_id_missing="case when flight_id is null then 1 else 0 end",
     gap_days="cast(floor((t_us - sched_us) / 86400e6) as bigint)", callsign_is_flight="case when callsign = flight || 'X' then 1 else 0 end",
 )
-_F02_DOUBLE = ["planned_duration", "flown_duration", "revision", "lobt_aobt"]
+_F02_DOUBLE = ["planned_duration", "flown_duration", "arrival_delay", "revision", "schedule_gap"]
 
 
 @query("f02_timestamp_block", _rounded_sql(_joined_sql(f"mvt_id, {STAMP_BLOCK.sql()}"), _F02_DOUBLE))

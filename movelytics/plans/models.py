@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import median
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -20,16 +22,28 @@ def folds():
     return [("seasonal", F.col("fold") == 0), ("forward", F.col("fold") == 1)]
 
 
-def features(spark, sf):
-    f = baseline_features(spark, sf).where("y between 0 and 86400")
+def features(spark, sf, labelled: bool = True):
+    """Features of the rows with a target in range, or of the others."""
+    f = baseline_features(spark, sf).where(("" if labelled else "not ") + "coalesce(y between 0 and 86400, false)")
     return f.select(*[F.col(c).cast("double").alias(c) if c in NUM else F.col(c) for c in f.columns]).withColumns({"resid": F.col("y") - F.coalesce("p", F.lit(200.0)), "early": F.pmod(F.xxhash64("mvt_id"), F.lit(10)) == 0})
 
 
 @query("m01_residual_fit")
 def m01(spark, sf):
-    """Out-of-fold estimates: proxy plus a fitted residual, stopped early on a hash split."""
-    df = features(spark, sf)
-    out = out_of_fold(df, folds(), lambda t: regressor(t, "resid", NUM, CAT, early="early"), ["mvt_id", "y", "p"])
+    """Out-of-fold estimates: proxy plus a fitted residual, stopped early on a hash split.
+
+    Rows without a target in range are scored by a final model, fitted on all others with the median number of rounds of the hold-outs.
+    """
+    df, rounds = features(spark, sf), []
+
+    def fit(t):
+        m = regressor(t, "resid", NUM, CAT, early="early")
+        rounds.append(m.stages[-1].getNumTrees)
+        return m
+
+    out = out_of_fold(df, folds(), fit, ["mvt_id", "p"])
+    final = regressor(df, "resid", NUM, CAT, rounds=int(median(rounds))).transform(features(spark, sf, labelled=False))
+    out = out.unionByName(final.select("mvt_id", "p", "fitted", F.lit("final").alias("holdout")))
     return rounded(out.select("mvt_id", "holdout", F.greatest(F.coalesce("p", F.lit(200.0)) + F.col("fitted"), F.lit(0.0)).alias("estimate")))
 
 
@@ -83,16 +97,20 @@ def m05(spark, sf):
 
 @query("m06_tail_mixture")
 def m06(spark, sf):
-    """Robust fit of ordinary rows, tail chance, and their mixture with the tail's mean ratio."""
+    """Robust fit of ordinary rows, tail chance, and their mixture with a fitted ratio of the tail to the schedule (ten minutes at least)."""
     df = features(spark, sf).withColumn("tail", (F.col("y") > 600).cast("int"))
     train = df.where("fold >= 2")
     plain = regressor(train.where("tail = 0"), "y", NUM, CAT, robust=True)
     tail = classifier(train, "tail", NUM, CAT, rounds=5)
-    mean = train.where("tail = 1").agg(F.avg("y").alias("tail_mean"))
+    base = F.greatest("s", F.lit(600.0))  # a missing schedule is ten minutes
+    of_base = train.where("tail = 1").withColumns({"ratio": F.least(F.col("y") / base, F.lit(4.0)), "w": F.pow(base / 1000.0, 2)})
+    ratio = regressor(of_base, "ratio", NUM, CAT, rounds=5, weight="w", out="tail_ratio")
     drop = [c for c in ("features", *[f"{c}_f" for c in NUM], *[f"{c}_i" for c in CAT])]
-    both = tail.transform(plain.transform(df.where("fold < 2")).drop(*drop)).crossJoin(F.broadcast(mean))
-    p = chance("chance")
-    return rounded(both.select("mvt_id", F.greatest((1 - p) * F.col("fitted") + p * F.col("tail_mean"), F.lit(0.0)).alias("estimate")), 4)
+    both = df.where("fold < 2")
+    for model in (plain, tail, ratio):
+        both = model.transform(both).drop(*drop)
+    p, high = chance("chance"), base * F.greatest(F.least("tail_ratio", F.lit(4.0)), F.lit(0.0))
+    return rounded(both.select("mvt_id", F.greatest((1 - p) * F.col("fitted") + p * high, F.lit(0.0)).alias("estimate")), 4)
 
 
 @query("m07_movement_fit")

@@ -7,22 +7,34 @@ from pyspark.sql import functions as F
 from ..functions import clock, geo
 from ..functions.keys import EVENT_PLACEHOLDERS, RUNWAY_PLACEHOLDERS, agree, clipped, cut_right, grouped_key, identity, normal_key, seconds, strictly_above, text_identity, valid_proxy, within
 from ..sources.tables import weather_observations
-from .base import deps, moves, query, rounded
+from .base import FL, deps, flights, moves, query, rounded
 
-CLOCKS = ("aobt_us", "lobt_us", "sched_us")
+CLOCKS = ("aobt_us", "lobt_us", "iobt_us", "eobt_us", "sched_us", "planned_us", "flown_us")
+GAPS = {
+    **{f"takeoff_{c[:-3]}": ("t_us", c) for c in CLOCKS},
+    **{f"{a}_{b}": (f"{a}_us", f"{b}_us") for a, b in (("aobt", "lobt"), ("aobt", "iobt"), ("aobt", "eobt"), ("lobt", "eobt"), ("sched", "lobt"))},
+}
+RAW_GAPS = {"gap": ("t_us", "sched_us"), "planned_duration": ("planned_us", "eobt_us"), "flown_duration": ("flown_us", "aobt_us"), "arrival_delay": ("flown_us", "planned_us"), "revision": ("eobt_us", "iobt_us")}
 
 
-@query("p01_clock_gaps", "{with} select mvt_id, " + ", ".join(f"case when {a} - {b} is not null then greatest(least(({a} - {b}) / 1000000.0, 86400.0), -86400.0) end as {n}" for a, b, n in (*(("t_us", c, f"gap_{c[:-3]}") for c in CLOCKS), ("lobt_us", "aobt_us", "lobt_aobt"), ("sched_us", "aobt_us", "sched_aobt"))) + " from d")
+@query(
+    "p01_clock_gaps",
+    "{with}, " + FL + " select mvt_id, "
+    + ", ".join(f"case when {a} - {b} is not null then greatest(least(({a} - {b}) / 1000000.0, 86400.0), -86400.0) end as {n}" for n, (a, b) in GAPS.items()) + " from fl",
+)
 def p01(spark, sf):
-    """Take-off minus each clock, and clock pairs, clipped to a day."""
-    gap = lambda a, b: clipped(seconds(F.col(a), F.col(b)), -86400.0, 86400.0)
-    return deps(spark, sf).select("mvt_id", *[gap("t_us", c).alias(f"gap_{c[:-3]}") for c in CLOCKS], gap("lobt_us", "aobt_us").alias("lobt_aobt"), gap("sched_us", "aobt_us").alias("sched_aobt"))
+    """Take-off minus each of the seven clocks, and five pairs of clocks, clipped to a day."""
+    return flights(spark, sf).select("mvt_id", *[clipped(seconds(F.col(a), F.col(b)), -86400.0, 86400.0).alias(n) for n, (a, b) in GAPS.items()])
 
 
-@query("p02_raw_gaps", "{with} select mvt_id, (t_us - sched_us) / 1000000.0 as gap, cast(floor((t_us - sched_us) / 86400000000.0) as bigint) as days, (lobt_us - sched_us) / 1000000.0 as revision from d")
+@query(
+    "p02_raw_gaps",
+    "{with}, " + FL + " select mvt_id, cast(floor((t_us - sched_us) / 86400000000.0) as bigint) as days, " + ", ".join(f"({a} - {b}) / 1000000.0 as {n}" for n, (a, b) in RAW_GAPS.items()) + " from fl",
+)
 def p02(spark, sf):
-    gap = F.col("t_us") - F.col("sched_us")
-    return deps(spark, sf).select("mvt_id", seconds(F.col("t_us"), F.col("sched_us")).alias("gap"), F.floor(gap / 86_400_000_000.0).alias("days"), seconds(F.col("lobt_us"), F.col("sched_us")).alias("revision"))
+    """Gap to the schedule and its days, planned and flown duration, arrival delay, revision; not clipped."""
+    days = F.floor((F.col("t_us") - F.col("sched_us")) / 86_400_000_000.0)
+    return flights(spark, sf).select("mvt_id", days.alias("days"), *[seconds(F.col(a), F.col(b)).alias(n) for n, (a, b) in RAW_GAPS.items()])
 
 
 @query("p03_valid_proxy", "{with}, p as (select mvt_id, (t_us - aobt_us) / 1000000.0 as x from d) select mvt_id, coalesce(x between 0 and 7200, false) as closed, coalesce(x > 0 and x <= 7200, false) as half_open, coalesce(x between 0 and 3600, false) as arrival, coalesce(x > 0, false) as ordered from p")
@@ -52,11 +64,29 @@ def p06(spark, sf):
 ALT = "p as (select mvt_id, (t_us - aobt_us) / 1000000.0 as proxy, (t_us - sched_us) / 1000000.0 as s, (t_us - lobt_us) / 1000000.0 as l, lobt_us, sched_us, taxi_sec from d)"
 
 
-@query("p07_option_gate", "{with}, " + ALT + " select mvt_id, coalesce(s between 0 and 7200 and abs(s - proxy) > 600, false) as sched_option, coalesce(l between 0 and 7200 and abs(l - proxy) > 600 and abs((lobt_us - sched_us) / 1000000.0) > 120, false) as lobt_option from p")
+_OPTION = "coalesce((t_us - {c}) / 1000000.0 between 0 and 7200 and abs((aobt_us - {c}) / 1000000.0) > 600, false)"
+
+
+@query(
+    "p07_option_gate",
+    "{with}, " + FL + ", o as (select mvt_id, lobt_us, iobt_us, coalesce((t_us - aobt_us) / 1000000.0 between 0 and 7200, false) as valid, "
+    + ", ".join(f"{_OPTION.format(c=f'{n}_us')} as {n}" for n in ("lobt", "iobt", "sched"))
+    + """ from fl), i as (select mvt_id, valid, lobt as lobt_option, iobt and (not lobt or abs((iobt_us - lobt_us) / 1000000.0) > 120) as iobt_option, sched as sched_option from o)
+select mvt_id, lobt_option, iobt_option, sched_option, valid and (lobt_option or iobt_option or sched_option) as candidate from i""",
+)
 def p07(spark, sf):
-    d = _alternates(spark, sf)
-    far = lambda c: F.col(c).between(0, 7200) & (F.abs(F.col(c) - F.col("proxy")) > 600)
-    return d.select("mvt_id", F.coalesce(far("s"), F.lit(False)).alias("sched_option"), F.coalesce(far("l") & (F.abs(seconds(F.col("lobt_us"), F.col("sched_us"))) > 120), F.lit(False)).alias("lobt_option"))
+    """Three alternates of a valid proxy: plausible and far from it; the initial time counts beside the last planned one only if they differ."""
+    f, t = flights(spark, sf), F.col("t_us")
+    proxy = seconds(t, F.col("aobt_us"))
+
+    def option(c):
+        apart = F.abs(seconds(F.col("aobt_us"), F.col(c)))  # whole microseconds, not a difference of doubles
+        return F.coalesce(seconds(t, F.col(c)).between(0, 7200) & (apart > 600), F.lit(False))
+
+    f = f.withColumns({"lobt_option": option("lobt_us"), "sched_option": option("sched_us"), "valid": F.coalesce(valid_proxy(proxy), F.lit(False))})
+    f = f.withColumn("iobt_option", option("iobt_us") & (~F.col("lobt_option") | (F.abs(seconds(F.col("iobt_us"), F.col("lobt_us"))) > 120)))
+    names = ["lobt_option", "iobt_option", "sched_option"]
+    return f.select("mvt_id", *names, (F.col("valid") & (F.col(names[0]) | F.col(names[1]) | F.col(names[2]))).alias("candidate"))
 
 
 def _alternates(spark, sf):
