@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, merkle, packing, quality, simhash, substring, toxicity, warc
+from . import chat, codes, decontam, linededup, merkle, packing, quality, secretscan, simhash, substring, toxicity, warc, whitening
 from .common import table
 
 
@@ -81,5 +81,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", sound.alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_linededup, op5_merkle, op6_substring, op7_packing, op8_decontamination, op9_chat, op10_warc)}
+COMPONENTS = 4
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of each embedding, fitted on the distinct whole-number vectors. A deviation beyond a long raises."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = whitening.whiten(vectors, whitening.fit(vectors, COMPONENTS))
+    parts = found.select(F.col("id").alias("vec_id"), "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of"))
+    return parts.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("of.whitened").alias("whitened"), F.col("of.explained").alias("explained"), "identity_error")
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of each embedding: 16 parts, 64 entries, two rounds."""
+    return codes.codes(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id").select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each text: the patterns' spans and those that the network adds."""
+    return secretscan.secrets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("scores")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_quality, op4_linededup, op5_merkle, op6_substring, op7_packing, op8_decontamination, op9_chat, op10_warc, op11_whitening, op12_codes, op13_secrets)}
 ORACLES: dict[str, str] = {"op4_linededup": linededup.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
