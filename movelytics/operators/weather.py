@@ -37,7 +37,8 @@ def weather_table(obs: DataFrame) -> DataFrame:
 
 
 def at_hour(rows: DataFrame, weather: DataFrame, t: str = "t_us") -> DataFrame:
-    """rows joined to the weather of their airport and hour; a missing hour gives nulls, a repeated key is an error."""
-    if weather.groupBy("airport", "hour_us").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        raise ValueError("weather has repeated hours")
-    return rows.withColumn("hour_us", F.floor(F.col(t) / HOUR).cast("long") * HOUR).join(weather, ["airport", "hour_us"], "left")
+    """rows joined to the weather of their airport and hour; a missing hour gives nulls, a repeated key is an error of the join itself."""
+    values = [c for c in weather.columns if c not in ("airport", "hour_us")]
+    once = weather.groupBy("airport", "hour_us").agg(F.count("*").alias("__n"), *[F.any_value(c).alias(c) for c in values])
+    sound = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("weather has repeated hours")).cast("boolean"))
+    return rows.withColumn("hour_us", F.floor(F.col(t) / HOUR).cast("long") * HOUR).join(once.where(sound).drop("__n"), ["airport", "hour_us"], "left")

@@ -27,7 +27,13 @@ FLIGHTS_SQL = """select *,
  case when mvt_id % 23 = 0 then dest else airport end as adep_flt,
  case when mvt_id % 29 = 0 then null else ac_type end as type_flt,
  case when mvt_id % 31 = 0 then airport else dest end as ades_flt,
- case when mvt_id % 3 = 0 then 'V' else 'I' end as rule
+ case when mvt_id % 3 = 0 then 'V' else 'I' end as rule,
+ case when mvt_id % 33 = 0 then null when mvt_id % 35 = 0 then airport else dest end as filed_dest,
+ case when mvt_id % 37 = 0 then null else substr(flight, 1, 4) end as operator,
+ case when mvt_id % 21 = 0 then null else concat('M', cast(mvt_id % 6 as varchar(9))) end as segment,
+ case when mvt_id % 39 = 0 then null when mvt_id % 4 = 0 then 'H' else 'L' end as wake,
+ case when mvt_id % 41 = 0 then null when mvt_id % 3 = 0 then 'V' else 'I' end as rule_flt,
+ case when mvt_id % 43 = 0 then null else concat('S', cast(mvt_id % 2 as varchar(9))) end as kind
 from {d}"""
 FL = "fl as materialized (" + FLIGHTS_SQL.replace("{d}", "d") + ")"
 S = 1_000_000

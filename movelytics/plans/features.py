@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import EVENT_PLACEHOLDERS, normal_key
-from ..operators.context import Win, context_agg, nearest_events, occupancy
+from ..operators.context import nearest_events
 from ..operators.weather import CODES, MAXIMA, MEDIANS, MINIMA, at_hour, weather_table
 from ..sources.tables import refuse_labels, weather_observations
-from .base import FL, MIN, ORACLES, QUERIES, S, deps, flights, moves, query, rounded
+from .base import FL, ORACLES, QUERIES, S, flights, moves, query, rounded
+from .passes import BLOCKS, OVERTAKING, with_blocks
 from .scalars import ZONES
-from .windows import W01, w01, w02, w03  # noqa: F401  (registers what the stacks are made of)
+from .windows import W01
 
 _ZONE = "case airport " + " ".join(f"when '{a}' then '{z}'" for a, z in ZONES.items()) + " end"
 _SPARK = {"div": "div", "ts": "timestamp_micros({})", "local": "unix_micros(from_utc_timestamp(timestamp_micros({}), " + _ZONE + "))"}
@@ -90,7 +91,7 @@ ROWWISE = Block(
     hour_cos=f"cos(2e0 * pi() * ({_sod(_LOCAL)} ~ 3600 + (({_sod(_LOCAL)} % 3600) ~ 60) / 60e0) / 24e0)",
     year_sin="sin(2e0 * pi() * dayofyear(TS(t_us)) / 365.25e0)",
     year_cos="cos(2e0 * pi() * dayofyear(TS(t_us)) / 365.25e0)",
-    **{f"{c}_category": f"coalesce({c}, '__MISSING__')" for c in ("airport", "dest", "runway", "stand", "ac_type", "rule", "adep_flt", "ades_flt", "type_flt")},
+    **{f"{c}_category": f"coalesce({c}, '__MISSING__')" for c in ("airport", "dest", "runway", "stand", "ac_type", "rule", "adep_flt", "ades_flt", "type_flt", "filed_dest", "operator", "segment", "wake", "rule_flt", "kind")},
     flight_prefix=f"coalesce({_text('flight', '^([A-Za-z]{1,3})')}, '__MISSING__')",
     callsign_prefix=f"coalesce({_text('callsign', '^([A-Za-z]{1,3})')}, '__MISSING__')",
     flight_number=f"cast({_text('flight', '([0-9]{1,4})')} as double)",
@@ -104,21 +105,8 @@ ROWWISE = Block(
 TRAFFIC = (*W01, "same_runway_prev15", "airport_backlog", "runway_backlog")
 
 
-def with_traffic(spark, sf, f: DataFrame) -> DataFrame:
-    """f (departures) with TRAFFIC: one pass over the airport's movements, one over the runway's, and the open intervals of each."""
-    m = moves(spark, sf).select("airport", "runway", "t_us", "aobt_us", *[F.when(F.col("phase") == p, F.lit(1)).alias(n) for p, n in (("DEP", "d"), ("ARR", "a"))])
-    spans = sorted({(lo, hi) for _, lo, hi in W01.values()})
-    f = context_agg(f, m, ["airport"], "t_us", [Win(f"w{i}", lo * MIN, hi * MIN) for i, (lo, hi) in enumerate(spans)], {"d": ("count", "d"), "a": ("count", "a")})
-    at = lambda s, lo, hi: F.col(f"w{spans.index((lo, hi))}_{s}")
-    f = f.withColumns({n: F.greatest(at(s, lo, hi) - (1 if s == "d" else 0), F.lit(0)) for n, (s, lo, hi) in W01.items()}).drop(*[f"w{i}_{s}" for i in range(len(spans)) for s in "da"])
-    d = m.where("d = 1").withColumn("rk", F.coalesce("runway", F.lit("__MISSING__")))
-    f = context_agg(f.withColumn("rk", F.coalesce("runway", F.lit("__MISSING__"))), d, ["airport", "rk"], "t_us", [Win("rw", -15 * MIN, 0)], {"n": ("count", None)})
-    f = f.withColumn("same_runway_prev15", F.greatest(F.col("rw_n") - 1, F.lit(0))).drop("rk", "rw_n")
-    open_ = d.where("aobt_us < t_us").select("airport", "runway", "aobt_us", "t_us")
-    for key, name in ((["airport"], "airport_backlog"), (["airport", "runway"], "runway_backlog")):
-        f = occupancy(f, open_, key, "aobt_us", "aobt_us", "t_us", True, False, name, 7200 * S, F.lit(1))
-        f = f.withColumn(name, F.when(F.col("aobt_us") < F.col("t_us"), F.col(name)))
-    return f
+#: Names of TRAFFIC in the passes.
+PASSED = {n: f"w01_{n}" for n in W01} | {"same_runway_prev15": "w02_n", "airport_backlog": "w03_airport_backlog", "runway_backlog": "w03_runway_backlog"}
 
 
 def _joined_sql(columns: str, *names: str) -> str:
@@ -141,7 +129,8 @@ F01_SQL = _rounded_sql(_joined_sql(f"mvt_id, {ROWWISE.sql()}, {TRAFFIC_SQL}", "w
 @query("f01_baseline_features", F01_SQL)
 def f01(spark, sf):
     """Baseline features of every departure: clock gaps, flags, agreement, calendar, keys, traffic."""
-    return rounded(ROWWISE.spark(with_traffic(spark, sf, flights(spark, sf))).select("mvt_id", *_F01, *TRAFFIC))
+    f = with_blocks(spark, sf, flights(spark, sf), ["w01", "w02", "w03"]).withColumnsRenamed({p: n for n, p in PASSED.items()})
+    return rounded(ROWWISE.spark(f).select("mvt_id", *_F01, *TRAFFIC))
 
 
 STAMPS = ("t_us", *CLOCKS)
@@ -185,11 +174,16 @@ ARRIVAL = {
     "arr_taxiing_now": "w07.n", "arr_block_prev_60m": "w06.n", "arr_same_stand_last_block_gap": "w08.gap_s", "arr_same_stand_last_taxi": "w08.last_taxi", "arr_same_stand_blocks_4h": "w08.n4h",
 }
 WEATHER = ["n_obs", *MEDIANS, *MAXIMA, *MINIMA, *CODES, "wind_dir", "fog_hour", "deicing"]
+#: Wind along and across the runway, by the heading that its number says.
+_HEADING = "(case when cast(nullif(regexp_extract(runway, '^([0-9][0-9])', 1), '') as int) between 1 and 36 then cast(regexp_extract(runway, '^([0-9][0-9])', 1) as int) * 10 end)"
+_ANGLE = f"radians(wx_wind_dir - {_HEADING})"
+WIND = {"wx_headwind": f"wx_wind_speed * cos({_ANGLE})", "wx_crosswind": f"wx_wind_speed * abs(sin({_ANGLE}))"}
 SAFE_NUMERIC = [*W01, "same_runway_prev15", "utc_hour", "utc_weekday", "utc_month", "utc_dayofyear", "is_weekend", "local_hour", "local_weekday", "hour_sin", "hour_cos", "year_sin", "year_cos", "stand_number", "flight_number"]
 SAFE_TEXT = [*[f"{c}_category" for c in ("airport", "dest", "runway", "stand", "ac_type", "rule")], "flight_prefix", "stand_zone", "route", "airport_runway", "airport_stand", "airport_stand_runway"]
 #: The ordered allow-list of the movement-only view, and parts of names that give away flight clocks or labels.
-ALLOWED = [*SAFE_NUMERIC, *SAFE_TEXT, *DERIVED.columns, *[f"wx_{c}" for c in WEATHER], *ARRIVAL]
-FORBIDDEN = ("_flt", "aobt", "lobt", "iobt", "eobt", "callsign", "flight_id", "mvt_id", "taxitime", "target")
+ALLOWED = [*SAFE_NUMERIC, *SAFE_TEXT, *DERIVED.columns, *[f"wx_{c}" for c in WEATHER], *WIND, *ARRIVAL]
+#: Parts of our own names that give away clocks or attributes of the flight plan, identities or labels.
+FORBIDDEN = tuple(c.removesuffix("_us") for c in CLOCKS if c not in ("sched_us", "planned_us", "flown_us")) + ("_flt", "callsign", "_id", "taxi_sec", "block_us")
 
 WEATHER_SQL = (
     "wh as (select airport, (t_us // 3600000000) * 3600000000 as hour_us, count(*) as n_obs, "
@@ -203,29 +197,34 @@ WEATHER_SQL = (
     + ", coalesce(wh.fog, false) or coalesce(visibility < 1000, false) as fog_hour, coalesce(temperature <= 0 and (wh.snow or wh.freezing or precip > 0), false) as deicing"
     + " from wg left join wh on wg.airport = wh.airport and wg.hour_us = wh.hour_us)"
 )
-_F04_DOUBLE = [c for c in ALLOWED if c in _F01_DOUBLE or c == "mvt_schedule_gap_seconds" or "mean" in c or "highshare" in c or c.startswith("arr_same_stand_last") or c[3:] in MEDIANS or c[3:] in ("gust", "precip", "visibility", "ceiling")]
+_WIND_SQL = {n: e.replace("wx_wind", "wf.wind") for n, e in WIND.items()}
+_F04_DOUBLE = [c for c in ALLOWED if c in WIND or c in _F01_DOUBLE or c == "mvt_schedule_gap_seconds" or "mean" in c or "highshare" in c or c.startswith("arr_same_stand_last") or c[3:] in MEDIANS or c[3:] in ("gust", "precip", "visibility", "ceiling")]
 F04_SQL = _rounded_sql(
     "{with}, {wx}, " + WEATHER_SQL + ", " + FL + ", base as (select fl.*, " + ROWWISE.sql([c for c in [*SAFE_NUMERIC, *SAFE_TEXT] if c in ROWWISE.columns]) + ", " + DERIVED.sql() + " from fl) select mvt_id, "
-    + ", ".join([*[f"w01.{c}" for c in W01], "w02.n as same_runway_prev15", *[f"base.{c}" for c in SAFE_NUMERIC[8:]], *[f"base.{c}" for c in SAFE_TEXT], *[f"base.{c}" for c in DERIVED.columns], *[f"wf.{c} as wx_{c}" for c in WEATHER], *[f"{e} as {n}" for n, e in ARRIVAL.items()]])
+    + ", ".join([*[f"w01.{c}" for c in W01], "w02.n as same_runway_prev15", *[f"base.{c}" for c in SAFE_NUMERIC[8:]], *[f"base.{c}" for c in SAFE_TEXT], *[f"base.{c}" for c in DERIVED.columns], *[f"wf.{c} as wx_{c}" for c in WEATHER]])
+    + ", " + ", ".join([*[f"{e} as {n}" for n, e in _WIND_SQL.items()], *[f"{e} as {n}" for n, e in ARRIVAL.items()]])
     + " from base left join wf on base.airport = wf.airport and wf.hour_us = (base.t_us // 3600000000) * 3600000000"
     + "".join(f" left join ({ORACLES[n]}) {n[:3]} using (mvt_id)" for n in ("w01_airport_counts", "w02_runway_counts", "w05_arrival_taxi", "w06_inblocks", "w07_arrivals_taxiing", "w08_same_stand")),
     _F04_DOUBLE,
 )
 
 
-def _named(spark, sf, name: str, columns: dict[str, str]) -> DataFrame:
-    """A registered query's columns under other names."""
-    return QUERIES[name](spark, sf).select("mvt_id", *[F.col(c).alias(n) for n, c in columns.items()])
+#: Names of ARRIVAL in the passes.
+ARRIVED = {n: e.replace(".", "_") for n, e in ARRIVAL.items()}
+ARRIVAL_BLOCKS = ["w05", "w06", "w07", "w08"]
+
+
+def _with_weather(spark, sf, f: DataFrame) -> DataFrame:
+    wx = weather_table(weather_observations(spark, sf)).select("airport", "hour_us", *[F.col(c).alias(f"wx_{c}") for c in WEATHER])
+    f = at_hour(f, wx)
+    return f.select("*", *[F.expr(e).alias(n) for n, e in WIND.items()])
 
 
 @query("f04_movement_only", F04_SQL)
 def f04(spark, sf):
     """The movement-only view: calendar, keys, traffic, schedule, weather and arrivals, in the order of the allow-list and held against it."""
-    f = DERIVED.spark(ROWWISE.spark(with_traffic(spark, sf, flights(spark, sf)), [c for c in [*SAFE_NUMERIC, *SAFE_TEXT] if c in ROWWISE.columns]))
-    wx = weather_table(weather_observations(spark, sf)).select("airport", "hour_us", *[F.col(c).alias(f"wx_{c}") for c in WEATHER])
-    f = at_hour(f, wx)
-    for name in ("w05_arrival_taxi", "w06_inblocks", "w07_arrivals_taxiing", "w08_same_stand"):
-        f = f.join(_named(spark, sf, name, {n: c.partition(".")[2] for n, c in ARRIVAL.items() if c.startswith(f"{name[:3]}.")}), "mvt_id", "left")
+    f = with_blocks(spark, sf, flights(spark, sf), ["w01", "w02", *ARRIVAL_BLOCKS]).withColumnsRenamed({p: n for n, p in (PASSED | ARRIVED).items()})
+    f = DERIVED.spark(ROWWISE.spark(_with_weather(spark, sf, f), [c for c in [*SAFE_NUMERIC, *SAFE_TEXT] if c in ROWWISE.columns]))
     return rounded(f.select("mvt_id", *refuse_labels(f.select(*ALLOWED), FORBIDDEN, ALLOWED).columns))
 
 
@@ -242,16 +241,23 @@ def wide_sql() -> str:
 
 
 def wide(spark, sf) -> DataFrame:
-    """One row per departure with the columns of all blocks of STACK, each under its prefix; a block that repeats an id, or names that collide, are errors."""
-    out, seen = deps(spark, sf).select("mvt_id"), {"mvt_id"}
+    """One row per departure with the columns of all blocks of STACK, each under its prefix; names that collide are errors.
+
+    Blocks of the passes are asked for together; those with tables of their own are joined by id.
+    """
+    passed = {p: name[:3] for p, name in STACK.items() if name[:3] in BLOCKS or name[:3] == "w16"}
+    f = with_blocks(spark, sf, flights(spark, sf), list(passed.values()))
+    own = {p: {c: f"{p}_{c[4:]}" for c in (OVERTAKING if b == "w16" else BLOCKS[b].columns)} for p, b in passed.items()}
+    stamps = {c: f"ts_{c}" for c in STAMP_BLOCK.columns}
+    out = STAMP_BLOCK.spark(f).select("mvt_id", *[F.col(c).alias(n) for names in (stamps, *own.values()) for c, n in names.items()])
     for p, name in STACK.items():
-        block = QUERIES[name](spark, sf)
-        names = {c: f"{p}_{c}" for c in block.columns if c != "mvt_id"}
-        if clash := seen & set(names.values()):
-            raise ValueError(f"columns collide: {clash}")
-        seen |= set(names.values())
-        out = out.join(block.withColumnsRenamed(names), "mvt_id", "left")
-    return out
+        if p not in passed and p != "ts":
+            block = QUERIES[name](spark, sf)
+            names = {c: f"{p}_{c}" for c in block.columns if c != "mvt_id"}
+            if clash := set(out.columns) & set(names.values()):
+                raise ValueError(f"columns collide: {clash}")
+            out = out.join(block.withColumnsRenamed(names), "mvt_id", "left")
+    return rounded(out)
 
 
 FAR = 600
@@ -270,21 +276,36 @@ def f06(spark, sf):
 
 
 NO_CLOCK = "aobt_us is null and lobt_us is null"
+MASK = ["proxy_valid", "aobt_missing", "lobt_missing"]
+CLOCK_BLOCK = Block(
+    schedule_unclipped_sec="(t_us - sched_us) / 1e6", schedule_day_offset="cast(floor((t_us - sched_us) / 86400e6) as bigint)",
+    schedule_hour=f"{_sod('sched_us')} ~ 3600", schedule_minute="((sched_us ~ 1000000) % 3600) ~ 60", schedule_second="(sched_us ~ 1000000) % 60", schedule_weekday=f"({_day('sched_us')} + 3) % 7",
+    schedule_quarter_distance="least((sched_us ~ 1000000) % 900, 900 - (sched_us ~ 1000000) % 900)",
+    schedule_long_7200="case when t_us - sched_us > 7200000000 then 1 else 0 end", schedule_long_20000="case when t_us - sched_us > 20000000000 then 1 else 0 end",
+    schedule_local_hour=f"{_sod(_SL)} ~ 3600", schedule_local_weekday=f"({_day(_SL)} + 3) % 7", flight_name="coalesce(flight, '?')",
+)
+_F07 = [*MASK, *CLOCK_BLOCK.columns, *[f"wx_{c}" for c in WEATHER], *WIND, *ARRIVAL]
+_F07_DOUBLE = [c for c in _F07 if c in _F04_DOUBLE or c == "schedule_unclipped_sec"]
 
 
 @query(
     "f07_no_clock_subset",
-    "{with}, {wx}, " + WEATHER_SQL + ", " + FL + f" select mvt_id, fl.airport, round((t_us - sched_us) / 1e6, 6) + 0e0 as schedule_gap, {SCHEDULE_BLOCK.sql().replace('case airport when', 'case fl.airport when')}, w05.w60_n as arr60, w05.w60_mean as arr60_taxi, w07.n as taxiing, wf.n_obs as wx_n_obs, round(wf.temperature, 6) + 0e0 as wx_temperature, wf.fog_hour as wx_fog_hour"
-    + " from fl left join wf on fl.airport = wf.airport and wf.hour_us = (t_us // 3600000000) * 3600000000"
-    + "".join(f" left join ({ORACLES[n]}) {n[:3]} using (mvt_id)" for n in ("w05_arrival_taxi", "w07_arrivals_taxiing"))
-    + f" where {NO_CLOCK}",
-)
+    _rounded_sql(
+        "{with}, {wx}, " + WEATHER_SQL + ", " + FL + ", base as (select fl.*, " + ROWWISE.sql(MASK) + ", " + CLOCK_BLOCK.sql() + f" from fl where {NO_CLOCK}) select mvt_id, base.airport, "
+        + ", ".join([*[f"base.{c}" for c in [*MASK, *CLOCK_BLOCK.columns]], *[f"wf.{c} as wx_{c}" for c in WEATHER], *[f"{e} as {n}" for n, e in _WIND_SQL.items()], *[f"{e} as {n}" for n, e in ARRIVAL.items()]])
+        + " from base left join wf on base.airport = wf.airport and wf.hour_us = (base.t_us // 3600000000) * 3600000000"
+        + "".join(f" left join ({ORACLES[n]}) {n[:3]} using (mvt_id)" for n in ("w05_arrival_taxi", "w06_inblocks", "w07_arrivals_taxiing", "w08_same_stand")),
+        _F07_DOUBLE,
+    ),
+)
 def f07(spark, sf):
-    """Departures without off-block and last planned times: schedule clock, arrivals and weather."""
-    f = SCHEDULE_BLOCK.spark(flights(spark, sf).where(NO_CLOCK)).withColumn("schedule_gap", (F.col("t_us") - F.col("sched_us")) / F.lit(1e6))
-    wx = weather_table(weather_observations(spark, sf)).select("airport", "hour_us", *[F.col(c).alias(f"wx_{c}") for c in ("n_obs", "temperature", "fog_hour")])
-    f = at_hour(f, wx).join(_named(spark, sf, "w05_arrival_taxi", {"arr60": "w60_n", "arr60_taxi": "w60_mean"}), "mvt_id", "left").join(_named(spark, sf, "w07_arrivals_taxiing", {"taxiing": "n"}), "mvt_id", "left")
-    return rounded(f.select("mvt_id", "airport", "schedule_gap", *SCHEDULE_BLOCK.columns, "arr60", "arr60_taxi", "taxiing", "wx_n_obs", "wx_temperature", "wx_fog_hour"))
+    """Departures without off-block and last planned times: the mask's columns, schedule clock, weather with wind along the runway, and all arrival columns.
+
+    The subset is taken before any join, so that the passes answer for its rows alone.
+    """
+    f = with_blocks(spark, sf, flights(spark, sf).where(NO_CLOCK), ARRIVAL_BLOCKS).withColumnsRenamed({p: n for n, p in ARRIVED.items()})
+    f = CLOCK_BLOCK.spark(ROWWISE.spark(_with_weather(spark, sf, f), MASK))
+    return rounded(f.select("mvt_id", "airport", *_F07))
 
 
 SLOTS = 16
