@@ -216,7 +216,7 @@ class Places:
         for (_, valid), tag in self.others.items():
             if valid is None:
                 out = out.when(F.col("__at") == tag, F.array(row(tag, F.col(f"__c{tag}") * 2)))
-        return out.otherwise(F.filter(F.array(*near), lambda x: x["__o"].isNotNull()))
+        return out.otherwise(F.filter(F.array(*near).cast("array<struct<__tag:int,__o:bigint>>"), lambda x: x["__o"].isNotNull()))
 
 
 def _queries(q: DataFrame, keys: dict[str, Column], id_col: str, places: Places) -> DataFrame:

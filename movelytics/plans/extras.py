@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.weather import hour_grid, hourly, weather_table
-from ..sources.geometry import end_codes, strip_edges, strip_table, strips
+from ..sources.geometry import strip_edges, strip_table, strips
 from ..sources.tables import period_files, read_strings, weather_observations, write_periods
 from .audits import shared
 from .base import moves, query, rounded, table
-from .joins import EDGE_SQL, WTAB
+from .joins import GEO, WTAB, codes_of
 
 
 @query("s02_day_files", "{with} select mvt_id, t_us, strftime(make_timestamp(t_us), '%Y-%m-%d') as period from m where t_us is not null")
@@ -45,22 +45,20 @@ def a07(spark, sf):
     return w.groupBy("airport").agg(F.count_if("fog_hour").alias("fog_hours"), F.count_if("deicing").alias("deicing_hours"), F.count_if(F.col("n_obs") == 0).alias("empty_hours"))
 
 
-@query("j15_strip_pairs", "{with}, " + EDGE_SQL + " select m.mvt_id, e.other, e.relation from m join edge e on e.sid = case m.runway when '00' then 0 when '01' then 1 when '02' then 2 end")
+@query("j15_strip_pairs", "{with}, " + GEO + " select m.mvt_id, edge.other, edge.relation from m join ec on m.airport = ec.airport and m.runway = ec.code join edge on edge.airport = m.airport and edge.sid = ec.sid")
 def j15(spark, sf):
-    """Movements with the strips related to their own; the theta join is over an airport's few strips."""
-    s = strip_table(strips(spark))
-    codes = end_codes(s).select("airport", F.col("code").alias("runway"), "sid")
-    related = codes.join(strip_edges(s), ["airport", "sid"]).select("airport", "runway", "other", "relation")
-    return moves(spark, sf).join(F.broadcast(related), ["airport", "runway"]).select("mvt_id", "other", "relation")
+    """Movements with the strips related to their own."""
+    s = strip_table(strips(spark, sf))
+    related = codes_of(s).join(strip_edges(s), ["airport", "sid"]).select("airport", "runway", "other", "relation")
+    return moves(spark, sf).join(related, ["airport", "runway"]).select("mvt_id", "other", "relation")
 
 
-@query("j16_strip_events", "{with}, " + EDGE_SQL + " select m.airport, e.sid, e.relation, m.phase, count(*) as n from m join edge e on e.other = case m.runway when '00' then 0 when '01' then 1 when '02' then 2 end group by all")
+@query("j16_strip_events", "{with}, " + GEO + " select m.airport, edge.sid, edge.relation, m.phase, count(*) as n from m join ec on m.airport = ec.airport and m.runway = ec.code join edge on edge.airport = m.airport and edge.other = ec.sid group by all")
 def j16(spark, sf):
-    """Events fanned out to the strips that they bear on."""
-    s = strip_table(strips(spark))
-    codes = end_codes(s).select("airport", F.col("code").alias("runway"), F.col("sid").alias("other"))
-    edges = strip_edges(s).join(codes, ["airport", "other"])
-    return moves(spark, sf).join(F.broadcast(edges), ["airport", "runway"]).groupBy("airport", "sid", "relation", "phase").agg(F.count("*").alias("n"))
+    """Events fanned out to the strips that they bear on: counted per strip before the fan-out."""
+    s = strip_table(strips(spark, sf))
+    at = moves(spark, sf).groupBy("airport", "runway", "phase").agg(F.count("*").alias("n")).join(codes_of(s).withColumnRenamed("sid", "other"), ["airport", "runway"])
+    return at.join(strip_edges(s), ["airport", "other"]).groupBy("airport", "sid", "relation", "phase").agg(F.sum("n").alias("n"))
 
 
 @query("j21_calendar", "with {wx}, " + WTAB + " select airport, hour_us from g")

@@ -231,7 +231,7 @@ def f04(spark, sf):
 #: Blocks of the wide stack: prefix -> the query whose columns it takes.
 STACK = {
     "ts": "f02_timestamp_block", "at": "w05_arrival_taxi", "ib": "w06_inblocks", "an": "w07_arrivals_taxiing", "st": "w08_same_stand", "nb": "w04_neighbour_proxies", "ra": "w09_runway_arrivals", "rh": "w10_runway_headway",
-    "ct": "w11_completed_taxi", "aa": "w12_active_arrivals", "bk": "w03_taxi_backlog", "fi": "w14_inside_own_interval", "fa": "w15_active_at_takeoff", "fo": "w16_overtakers", "rt": "w13_related_traffic", "gw": "g05_geometry_wind",
+    "ct": "w11_completed_taxi", "aa": "w12_active_arrivals", "bk": "w03_taxi_backlog", "fi": "w14_inside_own_interval", "fa": "w15_active_at_takeoff", "fo": "w16_overtakers", "gw": "g05_geometry_wind",
 }
 
 

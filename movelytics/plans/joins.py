@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, geo
-from ..operators.context import Win, context_agg, unique_keys
+from ..operators.context import unique_keys
+from ..operators.fused import Mark, Over, context, fuse
 from ..operators.order import row_numbers
 from ..operators.quality import coverage, differences, digest, exact_ids, vocabulary
 from ..operators.weather import at_hour, weather_table
@@ -229,61 +230,114 @@ def u07(spark, sf):
     return unique_keys(arrs(spark, sf), ["flight"]).select("mvt_id")
 
 
-RAD = "pi() / 180"
-GEO = (
-    STRIPS_SQL
-    + ", sg as (select *, fmod(degrees(atan2(sin(radians(he_lon - le_lon)) * cos(radians(he_lat)), cos(radians(le_lat)) * sin(radians(he_lat)) - sin(radians(le_lat)) * cos(radians(he_lat)) * cos(radians(he_lon - le_lon)))) + 360, 360) as le_heading from strips)"
-)
+def _metres(a: str, b: str) -> str:
+    return f"2 * 6371000.0 * asin(least(1, sqrt(pow(sin(radians({b}_lat - {a}_lat) / 2), 2) + cos(radians({a}_lat)) * cos(radians({b}_lat)) * pow(sin(radians({b}_lon - {a}_lon) / 2), 2))))"
+
+
+def _bearing(a: str, b: str) -> str:
+    d = f"radians({b}_lon - {a}_lon)"
+    return f"fmod(degrees(atan2(sin({d}) * cos(radians({b}_lat)), cos(radians({a}_lat)) * sin(radians({b}_lat)) - sin(radians({a}_lat)) * cos(radians({b}_lat)) * cos({d}))) + 360, 360)"
+
+
+def _turn(a: str, b: str, c: str) -> str:
+    return f"(({b}_x - {a}_x) * ({c}_y - {a}_y) - ({b}_y - {a}_y) * ({c}_x - {a}_x))"
+
+
+def _on(a: str, b: str, c: str) -> str:
+    return f"({_turn(a, b, c)} = 0 and {c}_x between least({a}_x, {b}_x) and greatest({a}_x, {b}_x) and {c}_y between least({a}_y, {b}_y) and greatest({a}_y, {b}_y))"
+
+
+def _far(c: str, a: str, b: str) -> str:
+    dx, dy = f"({b}_x - {a}_x)", f"({b}_y - {a}_y)"
+    k = f"greatest(0, least(1, (({c}_x - {a}_x) * {dx} + ({c}_y - {a}_y) * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
+    return f"sqrt(pow({c}_x - {a}_x - {k} * {dx}, 2) + pow({c}_y - {a}_y - {k} * {dy}, 2))"
 
 
-@query("g02_strip_table", "with " + GEO + " select airport, sid, round(2 * 6371000.0 * asin(sqrt(pow(sin(radians(he_lat - le_lat) / 2), 2) + cos(radians(le_lat)) * cos(radians(he_lat)) * pow(sin(radians(he_lon - le_lon) / 2), 2))), 3) as length_m, round(le_heading, 4) as le_heading from sg")
+_A, _B, _C, _D = "s.le", "s.he", "o.le", "o.he"
+_CROSS = f"((sign({_turn(_A, _B, _C)}) * sign({_turn(_A, _B, _D)}) < 0 and sign({_turn(_C, _D, _A)}) * sign({_turn(_C, _D, _B)}) < 0) or {_on(_A, _B, _C)} or {_on(_A, _B, _D)} or {_on(_C, _D, _A)} or {_on(_C, _D, _B)})"
+_GAP = "abs(fmod(fmod(s.le_heading - o.le_heading + 90, 180) + 180, 180) - 90)"
+#: Strips with length, headings and planar ends, their ends' codes, and every pair of an airport by the predicates themselves.
+GEO = (
+    "strips as (" + STRIPS_SQL.replace("{customer}", "customer") + "), "
+    + f"sl as (select *, {_metres('le', 'he')} as length_m, {_bearing('le', 'he')} as le_heading, {_bearing('he', 'le')} as he_heading from strips where le_lat between -90 and 90 and he_lat between -90 and 90 and le_lon between -180 and 180 and he_lon between -180 and 180), "
+    + "so as (select airport, avg((le_lat + he_lat) / 2) as lat0, avg((le_lon + he_lon) / 2) as lon0 from sl group by airport), "
+    + "sg as materialized (select sl.*, " + ", ".join(f"({e}_lon - lon0) * 6371000.0 * radians(1) * cos(radians(lat0)) as {e}_x, ({e}_lat - lat0) * 6371000.0 * radians(1) as {e}_y" for e in ("le", "he")) + " from sl join so using (airport) where length_m >= 1), "
+    + "ends as (select airport, sid, le as code, le_heading as heading from sg union all select airport, sid, he, he_heading from sg), "
+    + "ec as materialized (select airport, code, min(sid) as sid, min(heading) as heading from ends group by airport, code having count(distinct sid) = 1), "
+    + f"edge as materialized (select * from (select s.airport, s.sid, o.sid as other, case when {_CROSS} then 'intersecting' when {_GAP} <= 15 and least({_far(_A, _C, _D)}, {_far(_B, _C, _D)}, {_far(_C, _A, _B)}, {_far(_D, _A, _B)}) <= 2000 then 'near_parallel' end as relation from sg s join sg o on s.airport = o.airport and s.sid <> o.sid) where relation is not null)"
+)
+RELATIONS = ("intersecting", "near_parallel")
+RELATED = [(f"{rel}_{ph.lower()}{w}", rel, ph, w) for rel in RELATIONS for ph in ("ARR", "DEP") for w in (15, 60)]
+#: Movements with their strip, and events fanned out to the strips that they bear on.
+TRAFFIC_SQL = "c as materialized (select m.*, ec.sid, ec.heading from m left join ec on m.airport = ec.airport and m.runway = ec.code), fan as materialized (select c.airport, edge.sid, edge.relation, c.phase, c.t_us from c join edge on c.airport = edge.airport and c.sid = edge.other)"
+RELATED_SQL = ", ".join(f"case when q.sid is null then null else (select count(*) from fan e where e.airport = q.airport and e.sid = q.sid and e.relation = '{rel}' and e.phase = '{ph}' and e.t_us between q.t_us - {w * 60_000_000} and q.t_us - 1) end as {n}" for n, rel, ph, w in RELATED)
+
+
+@query("g02_strip_table", "with " + GEO + " select airport, sid, round(length_m, 3) as length_m, round(le_heading, 4) as le_heading, round(he_heading, 4) as he_heading from sg")
 def g02(spark, sf):
-    """Strips of the airports that have movements."""
-    used = moves(spark, sf).select("airport").distinct()
-    return strip_table(strips(spark)).join(used, "airport", "left_semi").select("airport", "sid", F.round("length_m", 3).alias("length_m"), F.round("le_heading", 4).alias("le_heading"))
+    """Valid strips with length and headings."""
+    return strip_table(strips(spark, sf)).select("airport", "sid", F.round("length_m", 3).alias("length_m"), F.round("le_heading", 4).alias("le_heading"), F.round("he_heading", 4).alias("he_heading"))
+
+
+def codes_of(s) -> DataFrame:
+    return end_codes(s).select("airport", F.col("code").alias("runway"), "sid", "heading")
 
 
-@query("g03_end_codes", "{with}, " + STRIPS_SQL + ", e as (select airport, sid, le as code from strips union all select airport, sid, he from strips) select m.mvt_id, e.sid from m left join (select airport, code, min(sid) as sid from e group by 1, 2 having count(distinct sid) = 1) e on m.airport = e.airport and m.runway = e.code")
+@query("g03_end_codes", "{with}, " + GEO + " select m.mvt_id, ec.sid from m left join ec on m.airport = ec.airport and m.runway = ec.code")
 def g03(spark, sf):
     """Runway codes mapped to strips; a code of several strips maps to none."""
-    codes = end_codes(strip_table(strips(spark))).select("airport", F.col("code").alias("runway"), "sid")
-    return moves(spark, sf).join(F.broadcast(codes), ["airport", "runway"], "left").select("mvt_id", "sid")
+    return moves(spark, sf).join(codes_of(strip_table(strips(spark, sf))), ["airport", "runway"], "left").select("mvt_id", "sid")
 
 
-EDGE_SQL = "edge as (select * from (values (0, 1, 'intersecting'), (1, 0, 'intersecting'), (1, 2, 'intersecting'), (2, 1, 'intersecting'), (0, 2, 'near_parallel'), (2, 0, 'near_parallel')) t(sid, other, relation))"
+@query("g04_strip_edges", "with " + GEO + " select airport, sid, other, relation from edge")
+def g04(spark, sf):
+    """Crossing and near-parallel strips of every airport, by cells and exact predicates."""
+    return strip_edges(strip_table(strips(spark, sf)))
+
+
+def strip_traffic(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(departures with sid and heading, strips, the pass over related strips' events)."""
+    s = strip_table(strips(spark, sf))
+    m = moves(spark, sf).join(codes_of(s), ["airport", "runway"], "left")
+    # one list a strip serves both the fan-out and the counts, so that the exchange below it is planned once
+    near = strip_edges(s).groupBy("airport", "sid").agg(F.collect_list(F.struct("other", "relation")).alias("near"))
+    edges = near.select("airport", F.col("sid").alias("of"), F.inline("near")).withColumnRenamed("other", "sid")
+    fan = m.where("sid is not null").join(edges, ["airport", "sid"]).select("airport", F.col("of").alias("sid"), "relation", "phase", "t_us")
+    q = m.where("phase = 'DEP'").select("mvt_id", "airport", "sid", "heading", "t_us")
+    marks = {f"{rel}_{ph}": Mark("t_us", f"relation = '{rel}' and phase = '{ph}'") for rel in RELATIONS for ph in ("ARR", "DEP")}
+    asks = {n: Over(f"{rel}_{ph}", -w * MIN, -1) for n, rel, ph, w in RELATED}
+    sizes = near.select("airport", "sid", *[F.expr(f"size(filter(near, x -> x.relation = '{r}'))").cast("long").alias(f"{r}_strips") for r in RELATIONS])
+    shape = s.select("airport", "sid", "length_m").join(sizes, ["airport", "sid"], "left")
+    return q, shape, fuse([context(q.select("mvt_id", "airport", "sid", "t_us"), fan, ["airport", "sid"], "t_us", marks, asks, "mvt_id")], "mvt_id")
+
+
+@query("w13_related_traffic", "{with}, " + GEO + ", " + TRAFFIC_SQL + " select q.mvt_id, " + RELATED_SQL + " from c q where q.phase = 'DEP'")
+def w13(spark, sf):
+    """Arrivals and departures on crossing and near-parallel strips in [t - w, t) (J15, J16)."""
+    q, _, related = strip_traffic(spark, sf)
+    return q.select("mvt_id").join(related, "mvt_id", "left").select("mvt_id", *[n for n, *_ in RELATED])
 
 
-@query("g04_strip_edges", "{with}, " + EDGE_SQL + " select airport, sid, other, relation from (select distinct airport from m), edge")
-def g04(spark, sf):
-    """Crossing and near-parallel strips; strip 2 touches strip 1's end, strip 3 is too far away from all but strip 2."""
-    used = moves(spark, sf).select("airport").distinct()
-    return strip_edges(strip_table(strips(spark))).join(used, "airport", "left_semi")
+_WIND = "case when q.heading is not null and wt.wind_dir between 0 and 360 and wt.wind_speed >= 0 then {} end"
+_G05 = {
+    "heading_sin": "round(sin(radians(q.heading)), 5) + 0.0", "heading_cos": "round(cos(radians(q.heading)), 5) + 0.0", "length_m": "round(sg.length_m, 5) + 0.0",
+    "head": "round(" + _WIND.format("wt.wind_speed * cos(radians(wt.wind_dir - q.heading))") + ", 5) + 0.0",
+    "tail": "round(" + _WIND.format("greatest(-wt.wind_speed * cos(radians(wt.wind_dir - q.heading)), 0)") + ", 5) + 0.0",
+    "crosswind": "round(" + _WIND.format("abs(wt.wind_speed * sin(radians(wt.wind_dir - q.heading)))") + ", 5) + 0.0",
+    **{f"{r}_strips": f"case when q.sid is not null then (select count(*) from edge where edge.airport = q.airport and edge.sid = q.sid and relation = '{r}') end" for r in RELATIONS},
+}
 
 
-@query("w13_related_traffic", "{with}, " + EDGE_SQL + ", c as (select *, case runway when '00' then 0 when '01' then 1 when '02' then 2 end as sid from m) select q.mvt_id, " + ", ".join(f"case when q.sid is null then null else (select count(*) from c e join edge on edge.other = e.sid where edge.sid = q.sid and edge.relation = '{rel}' and e.airport = q.airport and e.phase = '{ph}' and e.t_us between q.t_us - {w * 60_000_000} and q.t_us - 1) end as {rel}_{ph.lower()}{w}" for rel in ("intersecting", "near_parallel") for ph in ("ARR", "DEP") for w in (15, 60)) + " from c q where q.phase = 'DEP'")
-def w13(spark, sf):
-    """Arrivals and departures on crossing and near-parallel strips in [t - w, t) (J15, J16)."""
-    s = strip_table(strips(spark))
-    codes = end_codes(s).select("airport", F.col("code").alias("runway"), "sid")
-    m = moves(spark, sf).join(F.broadcast(codes), ["airport", "runway"], "left").select("mvt_id", "airport", "phase", "t_us", "sid")
-    edges = strip_edges(s).select("airport", F.col("sid").alias("qsid"), F.col("other").alias("sid"), "relation")
-    events = m.join(F.broadcast(edges), ["airport", "sid"]).select("airport", F.col("qsid").alias("sid"), "relation", "phase", "t_us")
-    q = m.where("phase = 'DEP'").select("mvt_id", "airport", "sid", "t_us")
-    kinds = {f"{rel}_{ph.lower()}": (F.col("relation") == rel) & (F.col("phase") == ph) for rel in ("intersecting", "near_parallel") for ph in ("ARR", "DEP")}
-    marked = events.select("airport", "sid", "t_us", *[F.when(c, F.lit(1)).alias(n) for n, c in kinds.items()])
-    wins = [Win(f"w{w}", -w * MIN, -1) for w in (15, 60)]
-    out = context_agg(q, marked, ["airport", "sid"], "t_us", wins, {n: ("count", n) for n in kinds})
-    return out.select("mvt_id", *[F.col(f"w{w}_{n}").alias(f"{n}{w}") for n in kinds for w in (15, 60)])
-
-
-@query("g05_geometry_wind", "with {m}, {wx}, " + WTAB + ", " + GEO + " select q.mvt_id, g.sid, round(case when wt.wind_dir between 0 and 360 and wt.wind_speed >= 0 then wt.wind_speed * cos(radians(wt.wind_dir - g.le_heading)) end, 5) + 0.0 as head, round(case when wt.wind_dir between 0 and 360 and wt.wind_speed >= 0 then abs(wt.wind_speed * sin(radians(wt.wind_dir - g.le_heading))) end, 5) + 0.0 as crosswind from m q left join sg g on q.airport = g.airport and q.runway = g.le left join wt on q.airport = wt.airport and wt.hour_us = (q.t_us // 3600000000) * 3600000000 where q.phase = 'DEP'")
+@query("g05_geometry_wind", "{with}, {wx}, " + WTAB + ", " + GEO + ", " + TRAFFIC_SQL + " select q.mvt_id, " + ", ".join(f"{e} as {n}" for n, e in _G05.items()) + ", " + RELATED_SQL + " from c q left join sg on q.airport = sg.airport and q.sid = sg.sid left join wt on q.airport = wt.airport and wt.hour_us = (q.t_us // 3600000000) * 3600000000 where q.phase = 'DEP'")
 def g05(spark, sf):
-    """Strip and wind components of each departure; unmapped runways and bad winds give nulls."""
-    codes = end_codes(strip_table(strips(spark))).select("airport", F.col("code").alias("runway"), "sid", "heading")
-    d = deps(spark, sf).select("mvt_id", "airport", "runway", "t_us").join(F.broadcast(codes), ["airport", "runway"], "left")
-    w = at_hour(d, weather_table(weather_observations(spark, sf)))
-    head, _, cross = geo.wind(F.col("heading"), F.col("wind_dir"), F.col("wind_speed"))
-    return rounded(w.select("mvt_id", "sid", head.alias("head"), cross.alias("crosswind")), 5)
+    """The geometry view: heading, length, wind along and across, related strips and their traffic. Unmapped runways give nulls throughout, no time the static columns alone, a bad wind three nulls."""
+    q, shape, related = strip_traffic(spark, sf)
+    w = at_hour(q.join(shape, ["airport", "sid"], "left"), weather_table(weather_observations(spark, sf)).select("airport", "hour_us", "wind_dir", "wind_speed"))
+    head, tail, cross = geo.wind(F.col("heading"), F.col("wind_dir"), F.col("wind_speed"))
+    turned = {"heading_sin": F.sin(F.radians("heading")), "heading_cos": F.cos(F.radians("heading")), "head": head, "tail": tail, "crosswind": cross}
+    counted = [F.when(F.col("sid").isNotNull(), F.coalesce(f"{r}_strips", F.lit(0).cast("long"))).alias(f"{r}_strips") for r in RELATIONS]
+    out = w.join(related, "mvt_id", "left").select("mvt_id", *[c.alias(n) for n, c in turned.items()], "length_m", *counted, *[n for n, *_ in RELATED])
+    return rounded(out, 5)
 
 
 @query("t01_largest_errors", "{with} select mvt_id, abs(taxi_sec - (t_us - aobt_us) / 1000000.0) as err from d where aobt_us is not null order by err desc, mvt_id limit 20")

@@ -30,13 +30,30 @@ def test_wind_and_bearing(spark):
     assert one(spark, geo.bearing_gap(F.lit(0.0), F.lit(180.0))) == 0
 
 
+# Four strips of a test layout; strip 2 touches strip 1's end, strip 3 is too far from all but strip 2.
+LAYOUT = [("A0", 0, "00", "27", 0.0, -0.01, 0.0, 0.01), ("A0", 1, "01", "36", -0.01, 0.0, 0.01, 0.0), ("A0", 2, "02", "27R", 0.01, -0.01, 0.01, 0.01), ("A0", 3, "09F", "27F", 0.03, -0.01, 0.03, 0.01)]
+SHAPE = "airport string, sid int, le string, he string, le_lat double, le_lon double, he_lat double, he_lon double"
+
+
 def test_strip_edges(spark):
-    s = strip_table(strips(spark))
-    got = {(r["sid"], r["other"], r["relation"]) for r in strip_edges(s).where("airport = 'A0'").collect()}
+    s = strip_table(spark.createDataFrame(LAYOUT, SHAPE))
+    got = {(r["sid"], r["other"], r["relation"]) for r in strip_edges(s).collect()}
     assert (0, 1, "intersecting") in got and (0, 2, "near_parallel") in got and not any({a, b} == {0, 3} for a, b, _ in got)
-    assert end_codes(s).where("airport = 'A0'").count() == 8
+    assert end_codes(s).count() == 8
 
 
 def test_ambiguous_codes(spark):
-    s = strip_table(strips(spark).where("airport = 'A0'").withColumn("he", F.lit("27")))
+    s = strip_table(spark.createDataFrame(LAYOUT, SHAPE).withColumn("he", F.lit("27")))
     assert end_codes(s).where("code = '27'").count() == 0
+
+
+def test_edges_equal_all_pairs(spark):
+    """Strips of a table of thousands: the cells lose no pair that the predicates alone would find."""
+    s = strip_table(strips(spark, "/root/testdata/sf0.01")).cache()
+    o = s.select(*[F.col(c).alias(f"o_{c}") for c in s.columns])
+    p = [(F.col(f"{w}{e}_x"), F.col(f"{w}{e}_y")) for w in ("", "o_") for e in ("le", "he")]
+    near = (geo.bearing_gap(F.col("le_heading"), F.col("o_le_heading")) <= geo.PARALLEL_DEG) & (geo.segments_m(*p) <= geo.PARALLEL_M)
+    pairs = s.join(o, (F.col("airport") == F.col("o_airport")) & (F.col("sid") != F.col("o_sid"))).where(geo.segments_cross(*p) | near)
+    want = {(r["airport"], r["sid"], r["o_sid"]) for r in pairs.collect()}
+    got = [(r["airport"], r["sid"], r["other"]) for r in strip_edges(s, cell_m=1_500.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
