@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.weather import hour_grid, hourly, weather_table
-from ..sources.geometry import strip_edges, strip_table, strips
 from ..sources.tables import period_files, read_strings, weather_observations, write_periods
 from .audits import shared
 from .base import moves, query, rounded, table
-from .joins import GEO, WTAB, codes_of
+from .joins import GEO, WTAB, layout
 
 
 @query("s02_day_files", "{with} select mvt_id, t_us, strftime(make_timestamp(t_us), '%Y-%m-%d') as period from m where t_us is not null")
@@ -48,17 +47,17 @@ def a07(spark, sf):
 @query("j15_strip_pairs", "{with}, " + GEO + " select m.mvt_id, edge.other, edge.relation from m join ec on m.airport = ec.airport and m.runway = ec.code join edge on edge.airport = m.airport and edge.sid = ec.sid")
 def j15(spark, sf):
     """Movements with the strips related to their own."""
-    s = strip_table(strips(spark, sf))
-    related = codes_of(s).join(strip_edges(s), ["airport", "sid"]).select("airport", "runway", "other", "relation")
+    _, codes, near = layout(spark, sf)
+    related = codes.join(near, ["airport", "sid"]).select("airport", "runway", F.inline("near"))
     return moves(spark, sf).join(related, ["airport", "runway"]).select("mvt_id", "other", "relation")
 
 
 @query("j16_strip_events", "{with}, " + GEO + " select m.airport, edge.sid, edge.relation, m.phase, count(*) as n from m join ec on m.airport = ec.airport and m.runway = ec.code join edge on edge.airport = m.airport and edge.other = ec.sid group by all")
 def j16(spark, sf):
     """Events fanned out to the strips that they bear on: counted per strip before the fan-out."""
-    s = strip_table(strips(spark, sf))
-    at = moves(spark, sf).groupBy("airport", "runway", "phase").agg(F.count("*").alias("n")).join(codes_of(s).withColumnRenamed("sid", "other"), ["airport", "runway"])
-    return at.join(strip_edges(s), ["airport", "other"]).groupBy("airport", "sid", "relation", "phase").agg(F.sum("n").alias("n"))
+    _, codes, near = layout(spark, sf)
+    at = moves(spark, sf).groupBy("airport", "runway", "phase").agg(F.count("*").alias("n")).join(codes.withColumnRenamed("sid", "other"), ["airport", "runway"])
+    return at.join(near.select("airport", "sid", F.inline("near")), ["airport", "other"]).groupBy("airport", "sid", "relation", "phase").agg(F.sum("n").alias("n"))
 
 
 @query("j21_calendar", "with {wx}, " + WTAB + " select airport, hour_us from g")

@@ -283,6 +283,16 @@ def codes_of(s) -> DataFrame:
     return end_codes(s).select("airport", F.col("code").alias("runway"), "sid", "heading")
 
 
+def layout(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(strips, codes, near) from tables in the shared folder: near has each strip's list of related ones. Built once, so that views over it don't plan the geometry again."""
+    out = []
+    for name, made in (("strips", lambda: strip_table(strips(spark, sf))), ("codes", lambda: codes_of(out[0])), ("near", lambda: strip_edges(out[0]).groupBy("airport", "sid").agg(F.collect_list(F.struct("other", "relation")).alias("near")))):
+        df, path = made(), shared(spark, f"layout-{name}")
+        df.write.parquet(path)
+        out.append(spark.read.schema(df.schema).parquet(path))
+    return tuple(out)
+
+
 @query("g03_end_codes", "{with}, " + GEO + " select m.mvt_id, ec.sid from m left join ec on m.airport = ec.airport and m.runway = ec.code")
 def g03(spark, sf):
     """Runway codes mapped to strips; a code of several strips maps to none."""
@@ -297,10 +307,8 @@ def g04(spark, sf):
 
 def strip_traffic(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(departures with sid and heading, strips, the pass over related strips' events)."""
-    s = strip_table(strips(spark, sf))
-    m = moves(spark, sf).join(codes_of(s), ["airport", "runway"], "left")
-    # one list a strip serves both the fan-out and the counts, so that the exchange below it is planned once
-    near = strip_edges(s).groupBy("airport", "sid").agg(F.collect_list(F.struct("other", "relation")).alias("near"))
+    s, codes, near = layout(spark, sf)
+    m = moves(spark, sf).join(codes, ["airport", "runway"], "left")
     edges = near.select("airport", F.col("sid").alias("of"), F.inline("near")).withColumnRenamed("other", "sid")
     fan = m.where("sid is not null").join(edges, ["airport", "sid"]).select("airport", F.col("of").alias("sid"), "relation", "phase", "t_us")
     q = m.where("phase = 'DEP'").select("mvt_id", "airport", "sid", "heading", "t_us")
