@@ -203,17 +203,6 @@ def a40(spark, sf):
     return moves(spark, sf).agg(F.count("*").alias("n"), F.countDistinct("mvt_id").alias("ids"), (F.count("*") - F.countDistinct("airport", "t_us")).alias("repeated_times"))
 
 
-@query("a41_match_audit", "{with} select airport, count(*) as n, round(avg((stand in ('S0','S1','S2','S3'))::int), 6) as stand_share, round(avg(coalesce(runway in ('00','01'), false)::int), 6) as runway_share, round(avg((stand in ('S0','S1','S2','S3') and coalesce(runway in ('00','01'), false))::int), 6) as both_share from m group by airport")
-def a41(spark, sf):
-    """Share of movements whose stand and runway are on the map."""
-    m = moves(spark, sf)
-    stands = spark.createDataFrame([(f"S{i}", 1) for i in range(4)], "stand string, s int")
-    ways = spark.createDataFrame([("00", 1), ("01", 1)], "runway string, r int")
-    j = m.join(F.broadcast(stands), "stand", "left").join(F.broadcast(ways), "runway", "left")
-    s, r = F.coalesce("s", F.lit(0)), F.coalesce("r", F.lit(0))
-    return rounded(j.groupBy("airport").agg(F.count("*").alias("n"), F.avg(s).alias("stand_share"), F.avg(r).alias("runway_share"), F.avg(s * r).alias("both_share")))
-
-
 @query("a42_cells", "{with}, c as (select cast(floor((t_us - lobt_us) / 600000000.0) as bigint) as cell, taxi_sec, (t_us - aobt_us) / 1000000.0 as p from d where (t_us - sched_us) / 1000000.0 between 0 and 3600) select cell, count(*) as n, round(avg(taxi_sec), 4) as mean, round(avg(p - taxi_sec), 4) as error, round(avg((taxi_sec > 600)::int), 6) as long_rate from c where cell is not null group by cell having count(*) >= 10")
 def a42(spark, sf):
     """Cells of one gap within a band of another, those with ten rows or more."""

@@ -10,12 +10,33 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.maps import crosswalk, map_elements, runway_thresholds, stand_centroids
+from ..sources.maps import crosswalk, map_elements, match_audit, runway_thresholds, stand_centroids
 from ..sources.tables import cached, fingerprints, publish, refuse_labels
 from .base import arrs, deps, moves, query, rounded, table
 
-#: Map elements made from movements: a node per movement's stand, a way per airport and runway.
-NODES = "n as (select mvt_id, airport, concat('Stand ', stand) as ref, (mvt_id % 8) * 0.001 + (mvt_id % 3) * 0.0001 as lat, (mvt_id % 8) * 0.002 as lon from m)"
+#: Map elements made from movements: a node per movement's stand (one stand's positions lie far apart), a way per movement on a runway, every other one drawn from its far end.
+_LAT = "(mvt_id % 8) * 0.001e0 + (mvt_id % 3) * 0.0001e0 + case when mvt_id % 24 = 23 then 0.0015e0 else 0e0 end"
+NODES = f"n as (select mvt_id, airport, concat('Stand ', stand) as ref, {_LAT} as lat, (mvt_id % 8) * 0.002e0 as lon from m)"
+
+
+def _metres(a: str, b: str) -> str:
+    return f"2 * 6371000.0 * asin(sqrt(least(1, pow(sin(radians({b}_lat - {a}_lat) / 2), 2) + cos(radians({a}_lat)) * cos(radians({b}_lat)) * pow(sin(radians({b}_lon - {a}_lon) / 2), 2))))"
+
+
+_D = "radians(l_lon - f_lon)"
+_BEARING = f"fmod(degrees(atan2(sin({_D}) * cos(radians(l_lat)), cos(radians(f_lat)) * sin(radians(l_lat)) - sin(radians(f_lat)) * cos(radians(l_lat)) * cos({_D}))) + 360, 360)"
+#: What the map says, in SQL: cen(metres) of stands, and thr, the threshold of each runway code.
+MAP_SQL = (
+    NODES
+    + ", ns as materialized (select airport, regexp_replace(upper(ref), '(STAND|GATE|[^A-Z0-9])', '', 'g') as stand, lat as s_lat, lon as s_lon from n)"
+    + ", no as (select airport, stand, s_lat as o_lat, s_lon as o_lon from (select *, row_number() over (partition by airport, stand order by s_lat, s_lon) as r from ns) where r = 1)"
+    + f", cen as materialized (select airport, stand, avg(s_lat) as c_lat, avg(s_lon) as c_lon, max({_metres('s', 'o')}) as spread from ns join no using (airport, stand) group by all)"
+    + ", we as (select mvt_id, airport, unnest([runway, '1' || substring(runway, 2, 1)]) as runway, case when mvt_id % 2 = 0 then 0e0 else (mvt_id % 5 + 1) * 0.004e0 end as f_lon, case when mvt_id % 2 = 0 then (mvt_id % 5 + 1) * 0.004e0 else 0e0 end as l_lon, 0e0 as f_lat, 0e0 as l_lat from m where runway in ('00', '01', '02'))"
+    + f", wl as (select *, {_metres('f', 'l')} as length_m, {_BEARING} as bearing from we)"
+    + ", wb as (select *, row_number() over (partition by airport, runway order by length_m desc, f_lat desc, f_lon desc, l_lat desc, l_lon desc) as r from wl where length_m >= 400)"
+    + ", wt as (select *, abs(fmod(cast(substring(runway, 1, 2) as int) * 10 - bearing + 180 + 720, 360) - 180) as turn from wb where r = 1)"
+    + ", thr as materialized (select airport, runway, case when turn <= 90 then f_lat else l_lat end as t_lat, case when turn <= 90 then f_lon else l_lon end as t_lon, length_m from wt)"
+)
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -28,14 +49,24 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _map(spark, sf, spread_m: float) -> tuple[DataFrame, DataFrame]:
+    """(stands, runway thresholds) of the map."""
+    e = map_elements(elements(spark, sf))
+    return stand_centroids(e, spread_m), runway_thresholds(e, 400.0)
+
+
 def elements(spark, sf) -> DataFrame:
     """Nested map elements with tags and geometry."""
     m = moves(spark, sf)
-    lat = (F.col("mvt_id") % 8) * 0.001 + (F.col("mvt_id") % 3) * 0.0001
+    lat = F.expr(_LAT)
     lon = (F.col("mvt_id") % 8) * 0.002
     nodes = m.select("airport", F.lit("node").alias("type"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.create_map(F.lit("aeroway"), F.lit("parking_position"), F.lit("ref"), F.concat(F.lit("Stand "), "stand")).alias("tags"), F.array().cast("array<struct<lat:double,lon:double>>").alias("geometry"))
     point = lambda a, b: F.struct(a.cast("double").alias("lat"), b.cast("double").alias("lon"))
-    ways = m.where("runway in ('00', '01', '02')").select("airport", F.lit("way").alias("type"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.create_map(F.lit("aeroway"), F.lit("runway"), F.lit("ref"), F.concat(F.col("runway"), F.lit("/"), F.concat(F.lit("1"), F.substring("runway", 2, 1)))).alias("tags"), F.array(point(F.lit(0.0), F.lit(0.0)), point(F.lit(0.0), (F.col("mvt_id") % 5 + 1) * 0.004)).alias("geometry"))
+    none = F.lit(None).cast("double")
+    ends = [point(F.lit(0.0), F.lit(0.0)), point(F.lit(0.0), (F.col("mvt_id") % 5 + 1) * 0.004)]
+    drawn = F.when(F.col("mvt_id") % 2 == 0, F.array(*ends)).otherwise(F.array(*ends[::-1]))
+    tags = F.create_map(F.lit("aeroway"), F.lit("runway"), F.lit("ref"), F.concat(F.col("runway"), F.lit("/1"), F.substring("runway", 2, 1)))
+    ways = m.where("runway in ('00', '01', '02')").select("airport", F.lit("way").alias("type"), none.alias("lat"), none.alias("lon"), tags.alias("tags"), drawn.alias("geometry"))
     return nodes.unionByName(ways)
 
 
@@ -46,25 +77,31 @@ def s10(spark, sf):
     return rounded(s.groupBy("airport", "ref").agg(F.count("*").alias("n"), F.min("lat").alias("lat")))
 
 
-@query("g06_stand_centroids")
+@query("g06_stand_centroids", "{with}, " + MAP_SQL + " select airport, stand, round(c_lat, 6) + 0e0 as lat, round(c_lon, 6) + 0e0 as lon from cen where spread <= 100")
 def g06(spark, sf):
     """Mean position of each stand; those spread over more than the limit are ambiguous and go."""
     return rounded(stand_centroids(map_elements(elements(spark, sf)), 100.0))
 
 
-@query("g07_runway_thresholds")
+@query("g07_runway_thresholds", "{with}, " + MAP_SQL + " select airport, runway, round(t_lat, 6) + 0e0 as lat, round(t_lon, 6) + 0e0 as lon, round(length_m, 6) + 0e0 as length_m from thr")
 def g07(spark, sf):
     """Of each runway code the longest way's nearer-heading end."""
     return rounded(runway_thresholds(map_elements(elements(spark, sf)), 400.0))
 
 
-@query("g08_crosswalk")
+@query("g08_crosswalk", "{with}, " + MAP_SQL + ", u as (select airport, regexp_replace(upper(stand), '(STAND|GATE|[^A-Z0-9])', '', 'g') as stand, runway, count(*) as n from m where runway is not null group by all) select u.airport, u.stand, u.runway, n, round(" + _metres("c", "t") + ", 3) + 0e0 as metres from u join cen using (airport, stand) join thr using (airport, runway) where spread <= 1000")
 def g08(spark, sf):
     """Distance from stands to thresholds, with the movements that used both."""
     e = map_elements(elements(spark, sf))
     return rounded(crosswalk(moves(spark, sf), stand_centroids(e, 1000.0), runway_thresholds(e, 400.0)), 3)
 
 
+@query("a41_match_audit", "{with}, " + MAP_SQL + ", j as (select m.airport, (cen.stand is not null)::int as s, (thr.runway is not null)::int as r from m left join cen on m.airport = cen.airport and regexp_replace(upper(m.stand), '(STAND|GATE|[^A-Z0-9])', '', 'g') = cen.stand and cen.spread <= 100 left join thr on m.airport = thr.airport and m.runway = thr.runway) select airport, count(*) as n, round(avg(s), 6) as stand_share, round(avg(r), 6) as runway_share, round(avg(s * r), 6) as both_share from j group by airport")
+def a41(spark, sf):
+    """Share of movements whose stand and runway are on the map, by the map's own tables; an ambiguous stand is not."""
+    return rounded(match_audit(moves(spark, sf), *_map(spark, sf, 100.0)))
+
+
 @query("g01_code_map", "{with}, c as (select concat('ID', flight) as ident, airport as gps, flight from m), u as (select gps, min(ident) as ident from c group by gps having count(distinct ident) = 1) select m.mvt_id, u.ident from m left join u on m.airport = u.gps")
 def g01(spark, sf):
     """Codes mapped to identifiers where the mapping is unique."""

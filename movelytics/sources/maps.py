@@ -58,3 +58,15 @@ def crosswalk(moves: DataFrame, stands: DataFrame, runways: DataFrame) -> DataFr
     r = runways.select("airport", "runway", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
     both = used.join(stands, ["airport", "stand"]).join(r, ["airport", "runway"])
     return both.select("airport", "stand", "runway", "n", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")).alias("metres"))
+
+
+def match_audit(moves: DataFrame, stands: DataFrame, runways: DataFrame) -> DataFrame:
+    """(airport, n, stand_share, runway_share, both_share): how many movements' stands and runways the map has.
+
+    Movements are counted per (airport, stand, runway) before the joins, so that the joins carry one row a combination.
+    """
+    used = moves.groupBy("airport", canonical(F.col("stand")).alias("stand"), "runway").agg(F.count("*").alias("n"))
+    known = used.join(stands.select("airport", "stand", F.lit(1).alias("s")), ["airport", "stand"], "left").join(runways.select("airport", "runway", F.lit(1).alias("r")), ["airport", "runway"], "left")
+    s, r = F.coalesce("s", F.lit(0)), F.coalesce("r", F.lit(0))
+    share = lambda c: F.sum(c * F.col("n")) / F.sum("n")
+    return known.groupBy("airport").agg(F.sum("n").alias("n"), share(s).alias("stand_share"), share(r).alias("runway_share"), share(s * r).alias("both_share"))
