@@ -13,7 +13,7 @@ from ..operators.quality import drift, quantiles, with_percentiles
 from ..operators.context import quota
 from ..operators.order import dense_codes
 from .audits import shared
-from .base import S, arrs, deps, moves, query, rounded, table
+from .base import FLIGHTS_SQL, S, arrs, deps, moves, query, rounded, table
 
 PX = "x as (select *, (t_us - aobt_us) / 1000000.0 as p, (t_us // 86400000000) % 4 as fold, t_us // 86400000000 as day from d)"
 
@@ -55,11 +55,26 @@ def a10(spark, sf):
     return rounded(quantiles(_x(spark, sf), "p", QS, ["airport"]))
 
 
-@query("a11_null_counts", "{with} select phase, count(*) filter (aobt_us is null) as no_aobt, count(*) filter (runway is null) as no_runway, count(*) filter (flight_id is null) as no_flight, count(flight_id) - count(distinct flight_id) as repeated_flights, count(*) filter (taxi_sec <> floor(taxi_sec)) as fractional from m group by phase")
+_CLOCKS = ("aobt_us", "lobt_us", "iobt_us", "eobt_us", "sched_us", "planned_us", "flown_us")
+_CODES = ("runway", "stand", "dest", "ac_type", "flight")
+#: Ids as they arrive: numbers that may be null, broken or too large to be told apart as doubles.
+_RAW_ID = "(case when mvt_id % 40 = 0 then null when mvt_id % 40 = 1 then mvt_id + 0.5e0 when mvt_id % 40 = 2 then 9007199254740994e0 + mvt_id else cast(mvt_id as double) end)"
+
+
+@query(
+    "a11_null_counts",
+    "with {m}, fm as (" + FLIGHTS_SQL.replace("{d}", "m") + ") select phase, count(*) as n, "
+    + ", ".join([*[f"count(*) filter ({c} is null) as no_{c.removesuffix('_us')}" for c in _CLOCKS], *[f"count(*) filter ({c} is null) as no_{c}" for c in _CODES]])
+    + f", count(*) filter (flight_id is null) as no_flight_id, count(flight_id) - count(distinct flight_id) as repeated_flights, count(*) filter ({_RAW_ID} is null) as null_ids, count(*) filter ({_RAW_ID} <> floor({_RAW_ID})) as fractional_ids, count(*) filter (abs({_RAW_ID}) > 9007199254740992e0) as inexact_ids from fm group by phase",
+)
 def a11(spark, sf):
-    return moves(spark, sf).groupBy("phase").agg(
-        F.count_if(F.col("aobt_us").isNull()).alias("no_aobt"), F.count_if(F.col("runway").isNull()).alias("no_runway"), F.count_if(F.col("flight_id").isNull()).alias("no_flight"),
-        (F.count("flight_id") - F.countDistinct("flight_id")).alias("repeated_flights"), F.count_if(F.col("taxi_sec") != F.floor("taxi_sec")).alias("fractional"),
+    """Missing clocks, categories and ids of each phase; ids that are null, fractional or beyond 2^53."""
+    f = spark.sql(FLIGHTS_SQL, d=moves(spark, sf)).withColumn("raw", F.expr(_RAW_ID))
+    raw = F.col("raw")
+    return f.groupBy("phase").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"no_{c.removesuffix('_us')}") for c in (*_CLOCKS, *_CODES)],
+        F.count_if(F.col("flight_id").isNull()).alias("no_flight_id"), (F.count("flight_id") - F.countDistinct("flight_id")).alias("repeated_flights"),
+        F.count_if(raw.isNull()).alias("null_ids"), F.count_if(raw != F.floor(raw)).alias("fractional_ids"), F.count_if(F.abs(raw) > F.lit(float(1 << 53))).alias("inexact_ids"),
     )
 
 
@@ -159,11 +174,19 @@ def a22_top(spark, sf):
     return rounded(top_shares(x, "s", TOPS))
 
 
-@query("a23_correlations", "{with}, " + PX + " select fold, count(*) as n, round(corr(p, taxi_sec), 6) as r, round(quantile_cont(abs(p - taxi_sec), 0.95), 4) as p95, round(avg(p * taxi_sec), 3) as product from x where p is not null group by fold")
+@query("a23_correlations", "{with}, " + PX + " select fold, count(*) as n, round(corr(p, taxi_sec), 6) as r, round(quantile_cont(abs(p - taxi_sec), 0.5), 4) as median, round(quantile_cont(abs(p - taxi_sec), 0.95), 4) as p95, round(avg(p * taxi_sec), 3) as product from x where p is not null group by fold")
 def a23(spark, sf):
     x = _x(spark, sf).where("p is not null").withColumn("error", F.abs(F.col("p") - F.col("taxi_sec")))
     out = x.groupBy("fold").agg(F.count("*").alias("n"), F.corr("p", "taxi_sec").alias("r"), F.round(F.avg(F.col("p") * F.col("taxi_sec")), 3).alias("product"))
-    return rounded(with_percentiles(out, x, "error", [0.95], ["fold"]).withColumn("p95", F.round(F.col("__q")[0], 4)).drop("__q"))
+    return rounded(with_percentiles(out, x, "error", [0.5, 0.95], ["fold"]).withColumns({"median": F.round(F.col("__q")[0], 4), "p95": F.round(F.col("__q")[1], 4)}).drop("__q"))
+
+
+@query("a23_binned_residuals", "{with}, " + PX + ", b as (select *, cast(floor(p / 300) as bigint) as bin, taxi_sec - p as r from x where p is not null) select bin, count(*) as n, round(avg(r), 4) as mean, round(quantile_cont(r, 0.5), 4) as median, round(sqrt(avg(r * r)), 4) as rmse from b group by bin")
+def a23b(spark, sf):
+    """What the proxy leaves, by bins of five minutes of the proxy."""
+    x = _x(spark, sf).where("p is not null").select(F.floor(F.col("p") / 300).alias("bin"), (F.col("taxi_sec") - F.col("p")).alias("r"))
+    out = x.groupBy("bin").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"))
+    return rounded(with_percentiles(out, x, "r", [0.5], ["bin"]).withColumn("median", F.col("__q")[0]).drop("__q"), 4)
 
 
 @query("a24_centred_slope", "{with}, " + PX + ", s as (select *, avg(p) over w as mp, avg(taxi_sec) over w as mt, count(*) over w as n from x where p is not null window w as (partition by airport, ac_type)) select round(sum((p - mp) * (taxi_sec - mt)) / sum((p - mp) * (p - mp)), 6) as slope, count(*) as n from s where n >= 20")
@@ -189,12 +212,12 @@ def a37(spark, sf):
     return d.join(F.broadcast(codes), "flight", "left").select("mvt_id", F.when(F.col("flight").isNull(), 0).when(F.col("k").isNull(), 1).otherwise(F.col("k") + 1).alias("code"))
 
 
-@query("a38_classifier_scores", "{with}, " + PX + ", s as (select case when taxi_sec > 300 then 1 else 0 end as y, least(greatest(p / 1000.0, 0.001), 0.999) as q from x where p is not null), r as (select *, rank() over (order by q) + (count(*) over (partition by q) - 1) / 2.0 as k from s) select round(avg((q - y) * (q - y)), 6) as brier, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) as log_loss, round((sum(k) filter (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) as auc from r")
+@query("a38_classifier_scores", "{with}, " + PX + ", s as (select case when taxi_sec > 300 then 1 else 0 end as y, least(greatest(p / 1000.0, 0.001), 0.999) as q from x where p is not null), r as (select *, rank() over (order by q) + (count(*) over (partition by q) - 1) / 2.0 as k from s) select round(avg(y), 6) as exact_rate, round(avg((q - y) * (q - y)), 6) as brier, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) as log_loss, round((sum(k) filter (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) as auc from r")
 def a38(spark, sf):
     q = F.least(F.greatest(F.col("p") / 1000.0, F.lit(0.001)), F.lit(0.999))
     s = _x(spark, sf).where("p is not null").select((F.col("taxi_sec") > 300).cast("int").alias("y"), q.alias("q"))
     y = F.col("y")
-    loss = s.agg(F.avg(F.pow(F.col("q") - y, 2)).alias("brier"), F.avg(-(y * F.ln("q") + (1 - y) * F.ln(1 - F.col("q")))).alias("log_loss"))
+    loss = s.agg(F.avg(y).alias("exact_rate"), F.avg(F.pow(F.col("q") - y, 2)).alias("brier"), F.avg(-(y * F.ln("q") + (1 - y) * F.ln(1 - F.col("q")))).alias("log_loss"))
     return rounded(loss.crossJoin(auc(s, "y", "q")))
 
 

@@ -183,11 +183,14 @@ def a34(spark, sf):
 CUTS = [1800.0, 3600.0, 5400.0, 6600.0]
 
 
-@query("a35_threshold_sweep", "{with}, " + E + ", g as (select unnest(" + str(CUTS) + ") as cut) select cut, count(*) filter (s > cut) as gated, round(sqrt(avg(pow(case when s > cut then s else old end - y, 2))), 4) as rmse from e, g group by cut")
+@query("a35_threshold_sweep", "{with}, " + E + ", g as (select unnest(" + str(CUTS) + ") as cut), w as (select cut, count(*) filter (s > cut) as gated, round(sqrt(avg(pow(case when s > cut then s else old end - y, 2))), 4) as rmse from e, g group by cut) select *, row_number() over (order by rmse, cut) = 1 as best from w")
 def a35(spark, sf):
+    """Pooled error of each threshold of the tail gate, and the best one: of equal errors the lowest threshold. One scan, a row a threshold."""
     e = est(spark, sf).select("s", "old", "y", F.explode(F.array(*[F.lit(c) for c in CUTS])).alias("cut"))
     v = F.when(F.col("s") > F.col("cut"), F.col("s")).otherwise(F.col("old"))
-    return rounded(e.groupBy("cut").agg(F.count_if(F.col("s") > F.col("cut")).alias("gated"), F.sqrt(F.avg(F.pow(v - F.col("y"), 2))).alias("rmse")), 4)
+    swept = rounded(e.groupBy("cut").agg(F.count_if(F.col("s") > F.col("cut")).alias("gated"), F.sqrt(F.avg(F.pow(v - F.col("y"), 2))).alias("rmse")), 4)
+    rows = F.array_sort(F.collect_list(F.struct("rmse", "cut", "gated")))  # as many as thresholds
+    return swept.agg(rows.alias("rows")).select(F.posexplode("rows").alias("i", "x")).select("x.cut", "x.gated", "x.rmse", (F.col("i") == 0).alias("best"))
 
 
 def _boot_sql(where: str, sums: dict[str, str], stat: str) -> str:

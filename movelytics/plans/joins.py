@@ -11,7 +11,7 @@ from ..functions import clock, geo
 from ..operators.context import unique_keys
 from ..operators.fused import Mark, Over, context, fuse
 from ..operators.order import row_numbers
-from ..operators.quality import coverage, differences, digest, exact_ids, vocabulary
+from ..operators.quality import coverage, differences, digest, exact_ids, ordered_digest, vocabulary
 from ..operators.weather import at_hour, weather_table
 from ..sources.geometry import STRIPS_SQL, end_codes, strip_edges, strip_table, strips
 from ..sources.tables import scan, weather_observations
@@ -60,9 +60,23 @@ def s13(spark, sf):
 LINE = "sha256(concat_ws('|', cast(mvt_id as varchar), airport, coalesce(runway, '~'), cast(t_us as varchar)))"
 
 
-@query("s15_digests", "{with} select phase, count(*) as n, cast(sum(cast(concat('0x', substring(h, 1, 7)) as bigint)) as bigint) as sum_a, cast(sum(cast(concat('0x', substring(h, 8, 7)) as bigint)) as bigint) as sum_b from (select phase, " + LINE + " as h from m) group by phase")
+LABEL_LINE = "sha256(concat_ws('|', cast(mvt_id as varchar), cast(cast(round(taxi_sec * 10) as bigint) as varchar)))"
+_PARTS = "cast(sum(cast(concat('0x', substring({h}, 1, 7)) as bigint)) as bigint) as {a}, cast(sum(cast(concat('0x', substring({h}, 8, 7)) as bigint)) as bigint) as {b}"
+
+
+@query(
+    "s15_digests",
+    "{with}, l as (select phase, " + LINE + " as h, " + LABEL_LINE + " as g, row_number() over (partition by phase order by mvt_id) - 1 as r from m), "
+    + "c1 as (select phase, r // 4096 as r, sha256(string_agg(h, '' order by r)) as h from l group by phase, r // 4096), c2 as (select phase, r // 4096 as r, sha256(string_agg(h, '' order by r)) as h from c1 group by phase, r // 4096), "
+    + "c3 as (select phase, sha256(string_agg(h, '' order by r)) as ordered from c2 group by phase) "
+    + "select phase, count(*) as n, " + _PARTS.format(h="h", a="sum_a", b="sum_b") + ", " + _PARTS.format(h="g", a="label_a", b="label_b") + ", any_value(ordered) as ordered from l join c3 using (phase) group by phase",
+)
 def s15(spark, sf):
-    return digest(moves(spark, sf), ["mvt_id", "airport", "runway", "t_us"], ["phase"])
+    """Digests of ids and keys and of labels, whatever the order, and one of the values in the order of ids."""
+    m = moves(spark, sf).withColumn("label", F.round(F.col("taxi_sec") * 10).cast("long"))
+    values = ["mvt_id", "airport", "runway", "t_us"]
+    labels = digest(m, ["mvt_id", "label"], ["phase"]).select("phase", F.col("sum_a").alias("label_a"), F.col("sum_b").alias("label_b"))
+    return digest(m, values, ["phase"]).join(labels, "phase").join(ordered_digest(m, values, "mvt_id", ["phase"]).drop("n"), "phase")
 
 
 @query("s16_vocabularies", "{with}, v as (select distinct 'airport' as c, airport as v from m union select distinct 'runway', runway from m union select distinct 'ac_type', ac_type from m) select c as \"column\", count(*) as n_values, cast(sum(cast(concat('0x', substring(sha256(v), 1, 7)) as bigint)) as bigint) as digest from v where v is not null group by c")
@@ -166,11 +180,21 @@ def j17(spark, sf):
     return out.withColumn("complete", F.col("p1").isNotNull() & F.col("p2").isNotNull() & F.col("p3").isNotNull())
 
 
-@query("j18_metadata_agreement", "{with}, o as (select mvt_id, case when mvt_id % 9 = 0 then null else airport end as airport, t_us from m) select count(*) filter (m.airport is distinct from o.airport) as airport, count(*) filter (m.t_us is distinct from o.t_us) as t_us from m join o using (mvt_id)")
+#: Fields on which two tables of the same movements must agree, and how the second one here departs from the first.
+META = {"airport": "airport", "t_us": "t_us", "taxi_sec": "taxi_sec", "fold": "mvt_id % 5", "month": "month(TS)", "gate": "coalesce(t_us - aobt_us between 0 and 7200000000, false)"}
+_OTHER = {"airport": "case when mvt_id % 9 <> 0 then airport end", "t_us": "t_us", "taxi_sec": "taxi_sec + case when mvt_id % 101 = 0 then 1 else 0 end", "fold": "mvt_id % 5", "month": "month(TS) + case when mvt_id % 1000 = 7 then 1 else 0 end", "gate": "coalesce(t_us - aobt_us between 0 and 7000000000, false)"}
+
+
+def _meta(fields: dict[str, str], ts: str) -> str:
+    return ", ".join(f"{e.replace('TS', ts)} as {n}" for n, e in fields.items())
+
+
+@query("j18_metadata_agreement", "{with}, x as (select mvt_id, " + _meta(META, "make_timestamp(t_us)") + " from m), o as (select mvt_id, " + _meta(_OTHER, "make_timestamp(t_us)") + " from m) select " + ", ".join(f"count(*) filter (x.{n} is distinct from o.{n}) as {n}" for n in META) + " from x join o using (mvt_id)")
 def j18(spark, sf):
-    m = moves(spark, sf).select("mvt_id", "airport", "t_us")
-    o = m.select("mvt_id", F.when(F.col("mvt_id") % 9 != 0, F.col("airport")).alias("o_airport"), F.col("t_us").alias("o_t_us"))
-    return m.join(o, "mvt_id").agg(*[F.count_if(~F.col(c).eqNullSafe(F.col(f"o_{c}"))).alias(c) for c in ("airport", "t_us")])
+    """On how many rows two tables of the same ids disagree, by field: place, time, target, fold, month, gate."""
+    m = moves(spark, sf)
+    x, o = (m.selectExpr("mvt_id", *[f"{e.replace('TS', 'timestamp_micros(t_us)')} as {p}{n}" for n, e in fields.items()]) for fields, p in ((META, ""), (_OTHER, "o_")))
+    return x.join(o, "mvt_id").agg(*[F.count_if(~F.col(n).eqNullSafe(F.col(f"o_{n}"))).alias(n) for n in META])
 
 
 @query("j19_matcher_agreement", "{with}, x as (select mvt_id, flight_id from d), u as (select flight_id, min(mvt_id) as m1, count(*) as n from a group by 1), y as (select d.mvt_id, min(a.mvt_id) as m2 from d left join a on a.flight = d.flight and a.airport = d.dest group by 1) select count(*) as n, count(*) filter (m1 is not null) as by_id, count(*) filter (m2 is not null) as by_name, count(*) filter (m1 = m2) as same from x left join u on x.flight_id = u.flight_id left join y on x.mvt_id = y.mvt_id")

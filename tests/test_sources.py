@@ -90,3 +90,19 @@ def test_period_folders(spark, tmp_path):
     assert sorted(r["id"] for r in back.collect()) == list(range(40))
     with pytest.raises(ValueError, match="5 periods"):
         tables.period_files(spark, str(tmp_path / "p"), "id bigint", "period", 4)
+
+
+def test_ordered_digest_tells_the_order(spark):
+    """Equal whatever the partitions, other after a swap of two rows' values; the order-free digest can't tell the swap."""
+    from pyspark.sql import functions as F
+
+    from movelytics.operators.quality import digest, ordered_digest
+
+    rows = [(i, f"v{i * 7 % 50}", "a" if i % 3 else None) for i in range(300)]
+    swapped = [(i, {10: rows[20][1], 20: rows[10][1]}.get(i, v), k) for i, v, k in rows]
+    frame = lambda r, n: spark.createDataFrame(r, "id long, v string, k string").repartition(n)
+    tree = lambda df: {(r["k"], r["n"], r["ordered"]) for r in ordered_digest(df, ["v"], "id", ["k"], chunk=8).collect()}
+    assert tree(frame(rows, 1)) == tree(frame(rows, 5)) and len(tree(frame(rows, 1))) == 2
+    assert tree(frame(rows, 3)) != tree(frame(swapped, 3))
+    assert digest(frame(rows, 2), ["v"]).collect() == digest(frame(swapped, 2), ["v"]).collect()
+    assert ordered_digest(frame(rows, 2).where(F.lit(False)), ["v"], "id", ["k"]).count() == 0
