@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 def shrink_ladder(train: DataFrame, rows: DataFrame, levels: list[list[str]], strengths: list[float], value: str, name: str) -> DataFrame:
     """rows with a hierarchical estimate: from the global mean down the levels, (sum + k * parent) / (n + k).
 
-    One rollup aggregates all levels; a group unseen in training keeps its parent's estimate. The levels' tables are
-    joined by their keys; Spark broadcasts the ones that are small.
+    train is aggregated once per level, and once for the mean; a group unseen in training keeps its parent's estimate.
+    The levels' tables are joined by their keys; Spark broadcasts the ones that are small.
     """
     out = rows
     top = train.agg(F.avg(value).alias("__p"))

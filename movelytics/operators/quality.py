@@ -48,17 +48,15 @@ def ordered_digest(df: DataFrame, columns: list[str], order: str, by: list[str]
     chunk ** (levels - 1) rows a node leave: 3 levels of 4096 serve 7e10 rows a group. Ranks come from range buckets; `order` is unique.
     """
     by = list(by)
-    lines = row_numbers(df.select(*by, order, _line(columns).alias("h")), by, order, [], "r").select(*by, (F.col("r") - 1).alias("r"), "h")
-    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
+    group = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"}) if by else F.lit("")
+    keyed = df.select(*by, group.alias("__g"), order, _line(columns).alias("h"))  # null keys are groups of their own
+    lines = row_numbers(keyed.select("__g", order, "h"), ["__g"], order, [], "r").select("__g", (F.col("r") - 1).alias("r"), "h")
     for level in range(levels):
         node = F.floor(F.col("r") / chunk).cast("long") if level < levels - 1 else F.lit(0).cast("long")
         inner = F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"])
-        lines = lines.groupBy(*by, node.alias("node")).agg(F.sha2(F.array_join(inner, ""), 256).alias("h")).select(*by, F.col("node").alias("r"), "h")
-    root = lines.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("h").alias("ordered"))
-    on = F.lit(True)
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return counts.join(root, on).drop(*[f"__{c}" for c in by])
+        lines = lines.groupBy("__g", node.alias("node")).agg(F.sha2(F.array_join(inner, ""), 256).alias("h")).select("__g", F.col("node").alias("r"), "h")
+    counts = keyed.groupBy("__g", *by).agg(F.count("*").alias("n"))
+    return counts.join(lines.select("__g", F.col("h").alias("ordered")), "__g").drop("__g")
 
 
 def vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -62,6 +62,25 @@ def test_models_give_a_value_for_every_row(spark, name):
     assert numbers.notna().all().all() or name == "m07_movement_fit"
 
 
+def test_fits_beat_a_constant(spark):
+    """Out-of-fold estimates have a smaller error than the mean of the target; chances are calibrated better than the base rate and add up to 1."""
+    import pandas as pd
+
+    from movelytics.plans.models import features
+
+    truth = features(spark, SF).select("mvt_id", "y").toPandas().set_index("mvt_id").y
+    for name, column in (("m01_residual_fit", "estimate"), ("m08_stacked_correction", "estimate"), ("m09_saved_model", "fitted"), ("m02_airport_models", "fitted")):
+        out = plans.queries()[name](spark, SF).toPandas().set_index("mvt_id")[column]
+        both = pd.concat([out, truth], axis=1, join="inner")
+        error, plain = ((both[column] - both.y) ** 2).mean(), ((both.y - truth.mean()) ** 2).mean()
+        assert len(both) and error < 0.9 * plain, (name, error, plain)
+    match = plans.queries()["m03_match_classifier"](spark, SF).toPandas()
+    assert ((match.chance - match.match) ** 2).mean() < ((match.match.mean() - match.match) ** 2).mean() and match.chance.nunique() > 5
+    source = plans.queries()["m04_source_classifier"](spark, SF).toPandas()
+    p = source[[f"p{k}" for k in range(4)]]
+    assert (abs(p.sum(axis=1) - 1) < 1e-5).all() and (p.values.argmax(1) == source.source).mean() > source.source.value_counts(normalize=True).min()
+
+
 def test_airport_models_lose_no_rows(spark):
     from movelytics.plans.models import features
 
