@@ -3,8 +3,9 @@
 Documents are tokenized (byte-level BPE, id 0 at the end); longer ones are cut so that only the first piece may be short,
 and full pieces are sequences of their own. The short pieces are dealt to groups of bounded size, and each group is packed
 by SIBLINGS islands that start from different populations of whole packings. Crossover injects well-filled bins of one
-parent into the other, drops bins that hold duplicates and re-inserts displaced pieces by best fit; the best of parents and
-children live on, until no packing can have fewer bins, but for one generation at least. Migration: an island's elite, its
+parent into the other, drops bins that hold duplicates and re-inserts displaced pieces by best fit; mutation empties a few bins
+of a child. While a packing could still have fewer bins, a displaced piece may first take a smaller one's place in a bin that it
+fills better. The best of parents and children live on for GENERATIONS, or until the bound is met after LEAST of them. Migration: an island's elite, its
 best packing, travels to the next island of its group, joins the population there and takes part in further generations;
 then the group's best packing wins. After each epoch the winners' bins that are nearly full settle, and the pieces of the
 other bins are dealt to merged groups, where they meet others' leftovers; the last epoch packs what is left.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ LENGTH = 2048
 ISLAND = 4096
 SIBLINGS = 2
 ELITE = 0.995
-POPULATION, GENERATIONS = 3, 2
+POPULATION, GENERATIONS, LEAST = 6, 8, 2
+MUTATED = 0.05
 EPOCHS = 3
 _CACHE = 400_000
 _BATCH, _JOINED = 1 << 22, 1 << 13
@@ -162,49 +165,112 @@ def best_fit(order: list[int], size: list[int], bins: list[list[int]], room: lis
             insort(free, (room[k], k))
 
 
+def _fills(bins: list[list[int]], size: list[int]) -> list[int]:
+    return [sum([size[i] for i in b]) for b in bins]
+
+
 def _pack(order: list[int], size: list[int], keep: list[list[int]] = ()) -> list[list[int]]:
     bins = [list(b) for b in keep]
-    best_fit(order, size, bins, [LENGTH - sum(size[i] for i in b) for b in bins])
+    best_fit(order, size, bins, [LENGTH - f for f in _fills(bins, size)])
     return bins
 
 
 def _fitness(bins: list[list[int]], size: list[int]) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    return len(bins), -sum((sum(size[i] for i in b) / LENGTH) ** 2 for b in bins)
+    return len(bins), -sum([f * f for f in _fills(bins, size)]) / LENGTH**2
 
 
-def crossover(a: list[list[int]], b: list[list[int]], size: list[int], down: list[int], share: float) -> list[list[int]]:
-    """The best-filled bins of a, then the bins of b that hold none of their pieces, and what is displaced by best fit, largest first."""
-    fill = sorted(a, key=lambda x: -sum(size[i] for i in x))
-    injected = fill[: int(len(fill) * share)]
+def exchange(bins: list[list[int]], loose: list[int], size: list[int]) -> tuple[list[list[int]], list[int]]:
+    """Bins made fuller by loose pieces: one or two pieces of a bin give way to a loose one, or to two, that fit their place better.
+
+    Of all such swaps of a bin the one that leaves the least room is made. The pieces that gave way are loose then.
+    """
+    free = sorted((size[i], i) for i in loose)
+    out = []
+    for b in bins:
+        room, best = LENGTH - sum([size[i] for i in b]), None
+        for old in [*combinations(b, 1), *combinations(b, 2)] if room else ():
+            if best is not None and best[0] == 0:
+                break
+            place = room + sum([size[i] for i in old])
+            at = bisect_left(free, (place + 1, -1)) - 1
+            if at >= 0 and (best is None or place - free[at][0] < best[0]):
+                best = place - free[at][0], old, (at,)
+                if best[0] == 0:
+                    break
+            low, high = 0, len(free) - 1
+            while low < high:  # two loose pieces with the greatest sum that has a place
+                left = place - free[low][0] - free[high][0]
+                if left >= 0 and (best is None or left < best[0]):
+                    best = left, old, (low, high)
+                if left == 0:
+                    break
+                low, high = (low + 1, high) if left > 0 else (low, high - 1)
+        if best is not None and best[0] < room:
+            new = [free[k][1] for k in best[2]]
+            for k in reversed(best[2]):
+                free.pop(k)
+            for i in best[1]:
+                insort(free, (size[i], i))
+            b = [i for i in b if i not in best[1]] + new
+        out.append(b)
+    return out, [i for _, i in free]
+
+
+def _settle(bins: list[list[int]], loose: set[int], size: list[int], down: list[int], least: int) -> list[list[int]]:
+    """Loose pieces back into bins by best fit, largest first; after exchanges if the packing has more than the least number of bins then."""
+    packed = _pack([i for i in down if i in loose], size, bins)
+    if len(packed) <= least:
+        return packed
+    better, left = exchange(bins, sorted(loose), size)
+    better = _pack(sorted(left, key=lambda i: -size[i]), size, better)
+    return min(packed, better, key=lambda p: _fitness(p, size))
+
+
+def crossover(a: list[list[int]], b: list[list[int]], size: list[int], down: list[int], share: float, least: int = 0) -> list[list[int]]:
+    """The best-filled bins of a, then the bins of b that hold none of their pieces; what is displaced goes back into bins."""
+    fills = _fills(a, size)
+    injected = [a[k] for k in sorted(range(len(a)), key=lambda k: -fills[k])[: int(len(a) * share)]]
     taken = {i for x in injected for i in x}
     whole = [x for x in b if taken.isdisjoint(x)]
-    held = taken.union(*whole)
-    return _pack([i for i in down if i not in held], size, injected + whole)
+    return _settle(injected + whole, set(down).difference(taken, *whole), size, down, least)
+
+
+def mutate(bins: list[list[int]], size: list[int], down: list[int], rng: np.random.Generator, least: int = 0) -> list[list[int]]:
+    """The emptiest bin and a few others at random are emptied; their pieces go back into bins."""
+    fills = _fills(bins, size)
+    gone = {min(range(len(bins)), key=lambda k: fills[k]), *rng.choice(len(bins), max(1, int(len(bins) * MUTATED))).tolist()}
+    return _settle([b for k, b in enumerate(bins) if k not in gone], {i for k in gone for i in bins[k]}, size, down, least)
 
 
-def evolve(size: list[int], seed: int, elites: list[list[list[int]]] = ()) -> list[list[int]]:
+def evolve(size: list[int], seed: int, elites: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS, least_generations: int = LEAST) -> list[list[int]]:
     """Pack one group: bins as lists of positions in size. elites: packings that join the population at the start.
 
-    One generation is bred whatever the first packings are worth; further ones only while a packing could still have fewer bins.
+    A generation breeds half as many children as the population has members, one of them mutated. least_generations are bred
+    whatever the packings are worth; further ones only while a packing could still have fewer bins.
     """
     down = sorted(range(len(size)), key=lambda i: -size[i])
     least = -(-sum(size) // LENGTH)
     rng = np.random.default_rng(seed)
     people = [list(e) for e in elites] or [_pack(down, size)]
-    while len(people) < POPULATION:  # the same rule on orders that are only nearly by size
+    while len(people) < population:  # the same rule on orders that are only nearly by size
         noise = rng.normal(1, 0.15, len(size))
-        people.append(_pack(sorted(range(len(size)), key=lambda i: -size[i] * noise[i]), size))
-    people.sort(key=lambda p: _fitness(p, size))
-    for _ in range(GENERATIONS):
-        children = []
-        for _ in range(max(1, POPULATION // 2)):
-            i, j = rng.choice(len(people), 2, replace=False)
-            children.append(crossover(people[i], people[j], size, down, rng.uniform(0.2, 0.7)))
-        people = sorted(people + children, key=lambda p: _fitness(p, size))[:POPULATION]
-        if len(people[0]) <= least:
+        people.append(_pack(np.argsort(-np.array(size) * noise, kind="stable").tolist(), size))
+    ranked = sorted(((_fitness(p, size), k, p) for k, p in enumerate(people)))
+    born = len(ranked)
+    for generation in range(generations):
+        if generation >= least_generations and ranked[0][0][0] <= least:
             break
-    return people[0]
+        goal = least if ranked[0][0][0] > least else len(size)  # exchanges only where they can still save a bin
+        for child in range(max(2, population // 2)):
+            i, j = rng.choice(population, 2, replace=False)
+            made = crossover(ranked[i][2], ranked[j][2], size, down, rng.uniform(0.2, 0.7), goal)
+            if child == 0:
+                made = mutate(made, size, down, rng, goal)
+            ranked.append((_fitness(made, size), born, made))
+            born += 1
+        ranked = sorted(ranked)[:population]
+    return ranked[0][2]
 
 
 _PACKING = "row bigint, length bigint, grp bigint, island int, bin bigint, offset bigint, done boolean, bins bigint, fill double"
