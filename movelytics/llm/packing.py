@@ -189,22 +189,23 @@ def exchange(bins: list[list[int]], loose: list[int], size: list[int]) -> tuple[
     out = []
     for b in bins:
         room, best = LENGTH - sum([size[i] for i in b]), None
-        for old in [*combinations(b, 1), *combinations(b, 2)] if room else ():
-            if best is not None and best[0] == 0:
-                break
-            place = room + sum([size[i] for i in old])
+        places = [(room + sum([size[i] for i in old]), old) for old in [*combinations(b, 1), *combinations(b, 2)]] if room else []
+        for place, old in places:  # the largest loose piece that has a place
             at = bisect_left(free, (place + 1, -1)) - 1
             if at >= 0 and (best is None or place - free[at][0] < best[0]):
                 best = place - free[at][0], old, (at,)
                 if best[0] == 0:
                     break
-            low, high = 0, len(free) - 1
-            while low < high:  # two loose pieces with the greatest sum that has a place
+        for place, old in places:  # two loose pieces with the greatest sum that has a place
+            if best is not None and best[0] == 0:
+                break
+            low, high = 0, bisect_left(free, (place - free[0][0] + 1, -1)) - 1 if free else -1
+            while low < high:
                 left = place - free[low][0] - free[high][0]
                 if left >= 0 and (best is None or left < best[0]):
                     best = left, old, (low, high)
-                if left == 0:
-                    break
+                    if left == 0:
+                        break
                 low, high = (low + 1, high) if left > 0 else (low, high - 1)
         if best is not None and best[0] < room:
             new = [free[k][1] for k in best[2]]
