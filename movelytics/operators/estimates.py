@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,48 +52,53 @@ def moments(df: DataFrame, experts: list[str], target: str, by: list[str] = ())
     return df.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
 
 
-def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """Weights at least 0 that sum to 1 and minimise the squared error, for at most about five experts: all faces are tried."""
-    k, best = len(cross), (np.inf, None)
-    for mask in range(1, 1 << k):
-        idx = [i for i in range(k) if mask >> i & 1]
-        a = np.zeros((len(idx) + 1, len(idx) + 1))
-        a[:-1, :-1], a[:-1, -1], a[-1, :-1] = gram[np.ix_(idx, idx)], 1, 1
-        try:
-            w = np.linalg.solve(a, np.concatenate([cross[idx], [1.0]]))[:-1]
-        except np.linalg.LinAlgError:
-            continue
-        if (w < -1e-12).any():
-            continue
-        full = np.zeros(k)
-        full[idx] = w
-        cost = full @ gram @ full - 2 * full @ cross
-        if cost < best[0] - 1e-12:
-            best = (cost, full)
-    return best[1]
-
-
-def gram_of(row, k: int) -> tuple[np.ndarray, np.ndarray]:
-    g = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
-    return g, np.array([row[f"b_{i}"] for i in range(k)])
+def error_products(df: DataFrame, experts: list[str], target: str, by: list[str] = ()) -> DataFrame:
+    """(by, n, g): sums of the products of the experts' errors, g an array of rows; rows that lack the target or an expert are left out."""
+    k = len(experts)
+    err = df.dropna(subset=[target, *experts]).select(*by, *[(F.col(x) - F.col(target)).alias(f"__e{i}") for i, x in enumerate(experts)])
+    sums = [F.sum(F.col(f"__e{i}") * F.col(f"__e{j}")).alias(f"__g{i}{j}") for i in range(k) for j in range(i, k)]
+    out = err.groupBy(*by).agg(F.count("*").alias("n"), *sums)
+    return out.select(*by, "n", square([[F.col(f"__g{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)]).alias("g"))
 
 
-def simplex(df: DataFrame, experts: list[str], target: str, by: str, strength: float) -> DataFrame:
-    """(group, w_0.., n): weights of each group shrunk to the global ones by n / (n + strength).
+def square(rows: list[list[Column]]) -> Column:
+    return F.array(*[F.array(*r) for r in rows])
+
+
+def simplex_weights(g: str, k: int) -> Column:
+    """Weights at least 0 that sum to 1 and minimise w'Gw, where column g holds the products of k experts' errors (at most about five).
 
-    The driver gets k^2 moments of each group; groups are few (airports).
+    All faces of the simplex are tried, in one expression without a shuffle: on the face of a set of experts the weights are in
+    proportion to the solution of Gx = 1, found by Gauss-Jordan elimination over arrays. The same number added to every entry of G
+    changes no weight and keeps a faultless expert's row from being zero. Faces whose pivots vanish and weights below 0 drop
+    out; of equals the face with the lowest number wins. Null where G is null.
     """
-    spark, k = df.sparkSession, len(experts)
-    top = simplex_weights(*gram_of(moments(df, experts, target).first(), k))
-    rows = []
-    for r in moments(df, experts, target, [by]).orderBy(by).collect():
-        w = simplex_weights(*gram_of(r, k))
-        s = r["n"] / (r["n"] + strength)
-        rows.append((r[by], int(r["n"]), *(float(x) for x in s * w + (1 - s) * top)))
-    return spark.createDataFrame(rows, f"{by} string, n bigint, " + ", ".join(f"w_{i} double" for i in range(k)))
+    nan = "double('NaN')"
+    lift = f"(1D + aggregate(transform({g}, (r, i) -> r[i]), 0D, (s, x) -> s + x))"
+    start = (
+        f"transform({g}, (r, i) -> if(getbit(face, i) = 1, concat(transform(r, (x, j) -> if(getbit(face, j) = 1, x / {lift} + 1D, 0D)), array(1D)), "
+        f"transform(sequence(0, {k}), j -> if(j = i, 1D, 0D))))"
+    )
+    solved = (
+        f"aggregate(sequence(0, {k - 1}), {start}, (m, p) -> transform(m, (r, i) -> if(not m[p][p] > 1e-12D, transform(r, x -> {nan}), "
+        "if(i = p, transform(r, x -> x / m[p][p]), zip_with(r, m[p], (x, y) -> x - y * r[p] / m[p][p])))), m -> transform(m, r -> r[size(r) - 1]))"
+    )
+    dot = "aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    scaled = f"transform(transform(sequence(1, {(1 << k) - 1}), face -> {solved}), x -> transform(x, v -> if(isnan(v) or v < -1e-12D, {nan}, v) / aggregate(x, 0D, (s, v) -> s + if(v > 0, v, 0D))))"
+    valid = f"filter({scaled}, w -> not exists(w, v -> isnan(v)))"
+    cost = dot.format(a="w", b=f"transform({g}, r -> {dot.format(a='w', b='r')})")
+    return F.expr(f"array_min(transform({valid}, (w, face) -> struct({cost} as cost, face, w))).w")
+
+
+def simplex(df: DataFrame, experts: list[str], target: str, by: str, strength: float) -> DataFrame:
+    """(group, n, w_0..): weights of each group, drawn to those of all rows by n / (n + strength); all from one aggregation of df."""
+    k = len(experts)
+    each = error_products(df, experts, target, [by])
+    total = square([[F.sum(F.col("g")[i][j]) for j in range(k)] for i in range(k)])
+    top = each.agg(total.alias("g")).select(simplex_weights("g", k).alias("top"))
+    share = F.col("n") / (F.col("n") + strength)
+    own = each.select(by, "n", simplex_weights("g", k).alias("own")).crossJoin(F.broadcast(top))  # one row
+    return own.select(by, "n", *[(share * F.col("own")[i] + (1 - share) * F.col("top")[i]).alias(f"w_{i}") for i in range(k)])
 
 
 def best_expert(df: DataFrame, experts: list[str], target: str, by: str, strength: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..functions.keys import clipped, seconds, valid_proxy
 from ..operators.context import Win, context_agg
-from ..operators.estimates import Policy, best_expert, blend_weight, compose, moments, shrink_ladder, simplex
+from ..operators.estimates import Policy, best_expert, blend_weight, compose, error_products, moments, shrink_ladder, simplex, simplex_weights, square
 from ..operators.evaluate import best_weight, day_bootstrap, interval, paired_bootstrap, scores, weight_grid
 from ..operators.quality import with_percentiles
 from .base import MIN, S, arrs, deps, query, rounded
@@ -92,10 +92,41 @@ def a28(spark, sf):
     return rounded(moments(est(spark, sf), ["old", "s"], "y", ["airport"]), 2)
 
 
-@query("a29_airport_simplex")
+def simplex_sql(src: str, keys: str) -> str:
+    """w0, w1, w2 of three experts from sums g00..g22 of products of errors: the inner solution if it is one, else the best of the edges."""
+    edge = lambda i, j: f"greatest(0, least(1, coalesce((g{j}{j} - g{i}{j}) / nullif(g{i}{i} + g{j}{j} - 2 * g{i}{j}, 0), 1)))"
+    cost = "{a} * {a} * g{i}{i} + 2 * {a} * (1 - {a}) * g{i}{j} + (1 - {a}) * (1 - {a}) * g{j}{j}"
+    at = {(0, 1): "[a01, 1 - a01, 0]", (0, 2): "[a02, 0, 1 - a02]", (1, 2): "[0, a12, 1 - a12]"}
+    x0 = "(g11 * g22 - g12 * g12) - (g01 * g22 - g12 * g02) + (g01 * g12 - g11 * g02)"
+    x1 = "(g00 * g22 - g02 * g02) - (g01 * g22 - g02 * g12) - (g00 * g12 - g01 * g02)"
+    x2 = "(g01 * g12 - g02 * g11) - (g00 * g12 - g01 * g02) + (g00 * g11 - g01 * g01)"
+    inner = f"select *, {x0} as x0, {x1} as x1, {x2} as x2, {', '.join(f'{edge(i, j)} as a{i}{j}' for i, j in at)} from {src}"
+    edges = ", ".join(f"struct_pack(cost := {cost.format(a=f'a{i}{j}', i=i, j=j)}, w := {w})" for (i, j), w in at.items())
+    best = f"select *, case when least(x0, x1, x2) >= 0 and x0 + x1 + x2 > 0 then [x0 / (x0 + x1 + x2), x1 / (x0 + x1 + x2), x2 / (x0 + x1 + x2)] else list_sort([{edges}])[1].w end as w from ({inner})"
+    return f"select {keys}, w[1] as w0, w[2] as w1, w[3] as w2 from ({best})"
+
+
+_ERR = "(select *, old - y as e0, new - y as e1, s - y as e2 from e where old is not null and new is not null and s is not null and y is not null)"
+_PAIRS = ("00", "01", "02", "11", "12", "22")
+_G = ", ".join(f"sum(e{i} * e{j}) as g{i}{j}" for i, j in _PAIRS)
+CONVEX = "ga as (select airport, count(*) as n, " + _G + " from " + _ERR + " group by airport), ws as (" + simplex_sql("ga", "airport, n") + ")"
+
+
+@query("a28_simplex_weights", "{with}, " + E + ", " + CONVEX + " select airport, n, round(w0, 5) + 0e0 as w_0, round(w1, 5) + 0e0 as w_1, round(w2, 5) + 0e0 as w_2 from ws")
+def a28_weights(spark, sf):
+    """Convex weights of three experts for each airport, solved within the aggregation's own rows."""
+    g = error_products(est(spark, sf), ["old", "new", "s"], "y", ["airport"]).select("airport", "n", simplex_weights("g", 3).alias("w"))
+    return rounded(g.select("airport", "n", *[F.col("w")[i].alias(f"w_{i}") for i in range(3)]), 5)
+
+
+@query(
+    "a29_airport_simplex",
+    "{with}, " + E + ", " + CONVEX + ", gt as (select " + _G + " from " + _ERR + "), wt as (" + simplex_sql("gt", "0 as k") + ") select ws.airport, n, "
+    + ", ".join(f"round((n * ws.w{i} + 500 * wt.w{i}) / (n + 500), 7) + 0e0 as w_{i}" for i in range(3)) + " from ws, wt",
+)
 def a29(spark, sf):
     """Simplex weights per airport, shrunk to the overall ones."""
-    return rounded(simplex(est(spark, sf), ["old", "new", "s"], "y", "airport", 500.0))
+    return rounded(simplex(est(spark, sf), ["old", "new", "s"], "y", "airport", 500.0), 7)
 
 
 @query("a30_best_expert", "{with}, " + E + ", l as (select airport, y, unnest(['old', 'new', 's']) as expert, unnest([0, 1, 2]) as k, unnest([old, new, s]) as v from e), t as (select expert, avg((v - y) * (v - y)) as top from l group by 1), r as (select airport, expert, k, (sum((v - y) * (v - y)) + 50 * any_value(top)) / (count(*) + 50) as risk from l join t using (expert) group by all) select airport, arg_min(expert, (risk, k)) as expert from r group by airport")
@@ -117,39 +148,45 @@ def a31_best(spark, sf):
     return rounded(best_weight(weight_grid(est(spark, sf), "y", "old", "s", GRID, ["fold"]), ["fold"]), 4)
 
 
-A32 = """, gap as (select case when fold = 1 then -1 else mvt_id % 5 end as part, (mvt_id // 5) % 3 as inner_fold, airport, s - old as d, y - old as r from e where s is not null and old is not null and y is not null and airport is not null),
-cells as (select part, inner_fold, airport, count(*) as n, sum(d * r) as dr, sum(d * d) as dd, sum(r * r) as rr from gap group by all),
+A32 = """, gap as (select case when fold = 1 then -1 else mvt_id % 5 end as part, (mvt_id // 5) % 3 as inner_fold, airport, s - old as d, y - old as r, old - y as e0, new - y as e1, s - y as e2 from e where s is not null and old is not null and y is not null and airport is not null),
+cells as (select part, inner_fold, airport, count(*) as n, sum(d * r) as dr, sum(d * d) as dd, sum(r * r) as rr, {G} from gap group by all),
 splits as (select unnest([-1, 0, 1, 2, 3, 4]) as outer_fold), holds as (select unnest([-1, 0, 1, 2]) as hold),
-tr as (select outer_fold, hold, airport, sum(n) as n, sum(dr) as dr, sum(dd) as dd from splits, holds, cells where part >= 0 and part <> outer_fold and inner_fold <> hold group by all),
+tr as (select outer_fold, hold, airport, sum(n) as n, sum(dr) as dr, sum(dd) as dd, {S} from splits, holds, cells where part >= 0 and part <> outer_fold and inner_fold <> hold group by all),
 gl as (select outer_fold, hold, greatest(least(coalesce(sum(dr) / nullif(sum(dd), 0), 0), 1), 0) as wg from tr group by all),
-te as (select outer_fold, hold, airport, n, dr, dd, rr from splits, holds, cells where case when hold < 0 then part = outer_fold else part >= 0 and part <> outer_fold and inner_fold = hold end),
+te as (select outer_fold, hold, airport, n, dr, dd, rr, {N} from splits, holds, cells where case when hold < 0 then part = outer_fold else part >= 0 and part <> outer_fold and inner_fold = hold end),
+ct as (select outer_fold, hold, {S} from tr group by all), cw as ({CW}),
 cand as (select unnest(['base', 'global', 'airport_0', 'airport_20', 'airport_50']) as candidate, unnest([0, 1, 2, 3, 4]) as k, unnest([null, null, 0.0::double, 20.0::double, 50.0::double]) as strength),
 w as (select te.outer_fold, te.hold, candidate, k, te.n, te.dr, te.dd, te.rr, case when k = 0 then 0 when k = 1 or tr.n is null then wg else (tr.n * greatest(least(coalesce(tr.dr / nullif(tr.dd, 0), 0), 1), 0) + strength * wg) / (tr.n + strength) end as v from te join gl using (outer_fold, hold) left join tr on tr.outer_fold = te.outer_fold and tr.hold = te.hold and tr.airport = te.airport cross join cand),
-sc as (select outer_fold, hold < 0 as held, candidate, k, sum(n) as n, sqrt(greatest(sum(rr - 2 * v * dr + v * v * dd), 0) / sum(n)) as rmse from w group by all),
+sc as (select outer_fold, hold < 0 as held, candidate, k, sum(n) as n, sqrt(greatest(sum(rr - 2 * v * dr + v * v * dd), 0) / sum(n)) as rmse from w group by all
+ union all select te.outer_fold, te.hold < 0, 'convex', 5, sum(te.n), sqrt(greatest(sum(w0 * w0 * g00 + w1 * w1 * g11 + w2 * w2 * g22 + 2 * (w0 * w1 * g01 + w0 * w2 * g02 + w1 * w2 * g12)), 0) / sum(te.n)) from te join cw using (outer_fold, hold) group by all),
 best as (select outer_fold, arg_min(struct_pack(candidate := candidate, k := k), (round(rmse, 6), k)) as c, min(round(rmse, 6)) as inner_rmse from sc where not held group by 1)
 select outer_fold, c.candidate as chosen, round(inner_rmse, 4) as inner_rmse, round(sc.rmse, 4) as held_rmse, cast(sc.n as bigint) as n_held from best join sc using (outer_fold) where held and sc.k = c.k"""
+A32 = A32.replace("{G}", _G).replace("{S}", ", ".join(f"sum(g{p}) as g{p}" for p in _PAIRS)).replace("{N}", ", ".join(f"g{p}" for p in _PAIRS)).replace("{CW}", simplex_sql("ct", "outer_fold, hold"))
 
 
 @query("a32_nested_cv", "{with}, " + E + A32)
 def a32(spark, sf):
-    """Nested folds by id over blend weights: none, one for all, one for an airport drawn to that for all by three strengths.
+    """Nested folds by id over blend weights: none, one for all, one for an airport drawn to that for all by three strengths, and the convex mix of three experts.
 
     For each outer fold the candidate with the least pooled error over three inner folds, each fitted on the other two, is fitted anew on all
     that is not held out and scored on the outer fold; outer_fold -1 is the transfer of the choice on all folds to the forward fold. Fits
     and errors are sums of one table of cells. An airport that a fit has not seen takes the weight for all.
     """
     e = est(spark, sf).dropna(subset=["s", "old", "y", "airport"])
+    err = [F.col(x) - F.col("y") for x in ("old", "new", "s")]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    g = [f"g{i}{j}" for i, j in pairs]
     d, r = F.col("s") - F.col("old"), F.col("y") - F.col("old")
     part = F.when(F.col("fold") == 1, F.lit(-1).cast("long")).otherwise(F.col("mvt_id") % 5)
-    cells = e.groupBy(part.alias("part"), F.expr("mvt_id div 5 % 3").alias("inner_fold"), "airport").agg(F.count("*").alias("n"), F.sum(d * r).alias("dr"), F.sum(d * d).alias("dd"), F.sum(r * r).alias("rr"))
+    cells = e.groupBy(part.alias("part"), F.expr("mvt_id div 5 % 3").alias("inner_fold"), "airport").agg(F.count("*").alias("n"), F.sum(d * r).alias("dr"), F.sum(d * d).alias("dd"), F.sum(r * r).alias("rr"), *[F.sum(err[i] * err[j]).alias(f"g{i}{j}") for i, j in pairs])
     cells = cells.select("*", F.explode(F.array(*[F.lit(x) for x in range(-1, 5)])).alias("outer_fold")).select("*", F.explode(F.array(*[F.lit(x) for x in range(-1, 3)])).alias("hold"))
     at = ["outer_fold", "hold"]
     fitted = (F.col("part") >= 0) & (F.col("part") != F.col("outer_fold"))
     held = F.when(F.col("hold") < 0, F.col("part") == F.col("outer_fold")).otherwise(fitted & (F.col("inner_fold") == F.col("hold")))
     weight = lambda dr, dd: clipped(F.coalesce(dr / F.nullif(dd, F.lit(0.0)), F.lit(0.0)), 0.0, 1.0)
-    train = cells.where(fitted & (F.col("inner_fold") != F.col("hold"))).groupBy(*at, "airport").agg(F.sum("n").alias("n_fit"), F.sum("dr").alias("dr_fit"), F.sum("dd").alias("dd_fit"))
-    overall = train.groupBy(*at).agg(weight(F.sum("dr_fit"), F.sum("dd_fit")).alias("wg"))
-    test = cells.where(held).select(*at, "airport", "n", "dr", "dd", "rr").join(overall, at).join(train, [*at, "airport"], "left")
+    train = cells.where(fitted & (F.col("inner_fold") != F.col("hold"))).groupBy(*at, "airport").agg(F.sum("n").alias("n_fit"), F.sum("dr").alias("dr_fit"), F.sum("dd").alias("dd_fit"), *[F.sum(c).alias(f"{c}_fit") for c in g])
+    overall = train.groupBy(*at).agg(weight(F.sum("dr_fit"), F.sum("dd_fit")).alias("wg"), square([[F.sum(f"g{min(i, j)}{max(i, j)}_fit") for j in range(3)] for i in range(3)]).alias("gram")).select(*at, "wg", simplex_weights("gram", 3).alias("w"))
+    test = cells.where(held).select(*at, "airport", "n", "dr", "dd", "rr", *g).join(overall, at).join(train, [*at, "airport"], "left")
     own = weight(F.col("dr_fit"), F.col("dd_fit"))
     drawn = lambda k: F.coalesce((F.col("n_fit") * own + k * F.col("wg")) / (F.col("n_fit") + k), F.col("wg"))
     ways = [("base", F.lit(0.0)), ("global", F.col("wg"))] + [(f"airport_{k}", drawn(k)) for k in (0, 20, 50)]
@@ -157,6 +194,10 @@ def a32(spark, sf):
     v = F.col("v")
     sse = F.sum(F.col("rr") - 2 * v * F.col("dr") + v * v * F.col("dd"))
     scored = test.select(*at, "n", "dr", "dd", "rr", cand).groupBy("outer_fold", (F.col("hold") < 0).alias("held"), "candidate", "k").agg(F.sum("n").alias("n"), F.sqrt(F.greatest(sse, F.lit(0.0)) / F.sum("n")).alias("rmse"))
+    w = F.col("w")
+    mixed = F.sum(sum((w[i] * w[j] * F.col(f"g{i}{j}") * (1 if i == j else 2) for i, j in pairs), F.lit(0.0)))
+    convex = test.groupBy("outer_fold", (F.col("hold") < 0).alias("held"), F.lit("convex").alias("candidate"), F.lit(len(ways)).alias("k")).agg(F.sum("n").alias("n"), F.sqrt(F.greatest(mixed, F.lit(0.0)) / F.sum("n")).alias("rmse"))
+    scored = scored.union(convex)
     best = scored.where("not held").groupBy("outer_fold").agg(F.min(F.struct(F.round("rmse", 6).alias("inner_rmse"), "k", F.col("candidate").alias("chosen"))).alias("m")).select("outer_fold", "m.*")
     out = best.join(scored.where("held").select("outer_fold", "k", F.col("rmse").alias("held_rmse"), F.col("n").alias("n_held")), ["outer_fold", "k"])
     return rounded(out.select("outer_fold", "chosen", "inner_rmse", "held_rmse", "n_held"), 4)

@@ -24,7 +24,7 @@ def test_equals_sql(spark, con, name):
 
 def test_without_sql():
     """What has no SQL is tested by name below or in another module."""
-    assert set(plans.queries()) - set(plans.oracles()) == {"s14_file_fingerprints", "a29_airport_simplex", *MODELS}
+    assert set(plans.queries()) - set(plans.oracles()) == {"s14_file_fingerprints", *MODELS}
 
 
 MODELS = {n for n in plans.queries() if n.startswith("m0")}

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from movelytics.operators.estimates import Policy, compose, simplex_weights
+from movelytics.operators.estimates import Policy, compose, simplex, simplex_weights
 from movelytics.operators.quality import exact_ids
 from movelytics.sources import tables
 from movelytics.sources.maps import read_map
@@ -60,14 +60,62 @@ def test_policies(spark):
     assert out == {1: 7.0, 2: 0.0, 3: 0.0}
 
 
-def test_simplex():
+def faces(gram):
+    """Brute force: the best weights over every face of the simplex."""
+    import numpy as np
+
+    k, best = len(gram), (np.inf, None)
+    for mask in range(1, 1 << k):
+        idx = [i for i in range(k) if mask >> i & 1]
+        a = np.ones((len(idx) + 1, len(idx) + 1))
+        a[:-1, :-1], a[-1, -1] = gram[np.ix_(idx, idx)], 0
+        w = np.zeros(k)
+        w[idx] = np.linalg.lstsq(a, np.eye(len(idx) + 1)[-1], rcond=None)[0][:-1]
+        if (w >= -1e-9).all() and abs(w.sum() - 1) < 1e-6 and w @ gram @ w < best[0] - 1e-12:
+            best = (w @ gram @ w, w)
+    return best
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_simplex(spark, k):
+    import numpy as np
+
+    rng = np.random.default_rng(k)
+    grams = []
+    for n in range(20):
+        e = rng.normal(size=(30, k)) * rng.uniform(0.1, 9, k) + rng.normal(size=(30, 1)) * rng.uniform(0, 4) + rng.normal(size=k)
+        if n == 7:
+            e[:, 0] = 0  # an expert without fault
+        if n == 8:
+            e[:, -1] = e[:, 0]  # two experts alike
+        grams.append(e.T @ e / 30)
+    grams.append(np.zeros((k, k)))
+    df = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(grams)] + [(99, None)], "id int, g array<array<double>>")
+    got = {r["id"]: r["w"] for r in df.select("id", simplex_weights("g", k).alias("w")).collect()}
+    assert got.pop(99) is None
+    for i, g in enumerate(grams):
+        w = np.array(got[i])
+        cost = faces(g)[0]
+        assert (w >= -1e-9).all() and abs(w.sum() - 1) < 1e-9 and abs(w @ g @ w - cost) <= 1e-9 * (1 + cost)
+
+
+def test_group_simplex(spark):
+    """A group's own weights, drawn to those of all; rows without the target or an expert are left out."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(500, 3))
-    y = 0.3 * x[:, 0] + 0.7 * x[:, 2]
-    w = simplex_weights(x.T @ x / 500, x.T @ y / 500)
-    assert np.allclose(w, [0.3, 0, 0.7], atol=1e-6)
+    rows = []
+    for k, truth in (("a", [0.3, 0, 0.7]), ("b", [0, 1, 0])):
+        x = rng.normal(size=(200, 3))
+        rows += [(k, *v, float(v @ np.array(truth))) for v in x]
+    rows += [("a", None, 1.0, 1.0, 5.0), ("b", 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame([(r[0], *(None if v is None else float(v) for v in r[1:])) for r in rows], "k string, p double, q double, r double, y double")
+    free = {r["k"]: r for r in simplex(df, ["p", "q", "r"], "y", "k", 0.0).collect()}
+    assert np.allclose([free["a"][f"w_{i}"] for i in range(3)], [0.3, 0, 0.7], atol=1e-6) and np.allclose([free["b"][f"w_{i}"] for i in range(3)], [0, 1, 0], atol=1e-6)
+    assert free["a"]["n"] == free["b"]["n"] == 200
+    drawn = {r["k"]: r for r in simplex(df, ["p", "q", "r"], "y", "k", 1e12).collect()}
+    assert np.allclose([drawn["a"][f"w_{i}"] for i in range(3)], [drawn["b"][f"w_{i}"] for i in range(3)], atol=1e-6)
+    assert simplex(df.where("false"), ["p", "q", "r"], "y", "k", 1.0).count() == 0
 
 
 def test_streaming_counts(spark, tmp_path):
