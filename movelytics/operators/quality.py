@@ -66,6 +66,20 @@ def vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("column").agg(F.count("*").alias("n_values"), F.sum(part).alias("digest"))
 
 
+def schema_fingerprint(df: DataFrame, categories: list[str]) -> DataFrame:
+    """(position, column, type, n_values, digest, schema): one row a column; vocabularies of the categories, null for others.
+
+    schema is the SHA-256 of all "name:type" in order, the same in each row: another order, name or type changes it. A category
+    without values has n_values and digest 0.
+    """
+    names = [f"{c}:{t}" for c, t in df.dtypes]
+    rows = [(i, c, t, c in categories) for i, (c, t) in enumerate(df.dtypes)]
+    columns = df.sparkSession.createDataFrame(rows, "position int, column string, type string, is_category boolean")
+    zero = lambda c: F.when(F.col("is_category"), F.coalesce(c, F.lit(0))).alias(c)
+    both = columns.join(vocabulary(df, categories), "column", "left")
+    return both.select("position", "column", "type", zero("n_values"), zero("digest"), F.sha2(F.lit(",".join(names)), 256).alias("schema"))
+
+
 def coverage(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """(by, column, share of non-null values)."""
     wide = df.groupBy(*by).agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.weather import hour_grid, hourly, weather_table
-from ..sources.tables import period_files, read_strings, weather_observations, write_periods
+from ..sources.tables import OBSERVATION, period_files, read_strings, station_years, weather_observations, write_periods, write_station_years
 from .audits import shared
 from .base import moves, query, rounded, table
 from .joins import GEO, WTAB, layout
@@ -38,6 +38,27 @@ def s09(spark, sf):
     return rounded(obs.join(stations, "airport").groupBy("station").agg(F.count("*").alias("n"), F.avg("temperature").alias("temperature")))
 
 
+_NUMBERS = OBSERVATION[1:11]
+#: Measures that are only valid within bounds; others become null.
+BOUNDS = {"temperature": (-15.0, 45.0), "rh": (0.0, 100.0), "wind_dir": (0.0, 360.0)}
+
+
+@query(
+    "s09_station_years",
+    "with {wx} select concat('ST', airport) as station, airport, year(make_timestamp(t_us)) as year, t_us, "
+    + ", ".join(f"case when {c} between {BOUNDS[c][0]} and {BOUNDS[c][1]} then cast({c} as double) end as {c}" if c in BOUNDS else f"cast({c} as double) as {c}" for c in _NUMBERS)
+    + ", code as mw, case when obs_id % 2 = 0 then code end as au, upper(code) as aw from wx",
+)
+def s09_years(spark, sf):
+    """Every observation of station-year files, all 14 columns, written a folder each and read back with pruning; stations joined to their airports."""
+    obs = weather_observations(spark, sf)
+    stations = obs.select("airport").distinct().withColumn("station", F.concat(F.lit("ST"), "airport"))
+    codes = [F.col("code").alias("mw"), F.when(F.col("obs_id") % 2 == 0, F.col("code")).alias("au"), F.upper("code").alias("aw")]
+    path = shared(spark, "stations")
+    write_station_years(obs.select(F.concat(F.lit("ST"), "airport").alias("station"), "t_us", *[F.col(c).cast("double").alias(c) for c in _NUMBERS], *codes), path)
+    return station_years(spark, path, bounds=BOUNDS).join(stations, "station")
+
+
 @query("a07_weather_flags", "with {wx}, " + WTAB + " select airport, count(*) filter (fog_hour) as fog_hours, count(*) filter (deicing) as deicing_hours, count(*) filter (n_obs = 0) as empty_hours from wt group by airport")
 def a07(spark, sf):
     w = weather_table(weather_observations(spark, sf))

@@ -11,7 +11,7 @@ from ..functions import clock, geo
 from ..operators.context import unique_keys
 from ..operators.fused import Mark, Over, context, fuse
 from ..operators.order import row_numbers
-from ..operators.quality import coverage, differences, digest, exact_ids, ordered_digest, vocabulary
+from ..operators.quality import coverage, differences, digest, exact_ids, ordered_digest, schema_fingerprint, vocabulary
 from ..operators.weather import at_hour, weather_table
 from ..sources.geometry import STRIPS_SQL, end_codes, strip_edges, strip_table, strips
 from ..sources.tables import scan, weather_observations
@@ -84,6 +84,24 @@ def s16(spark, sf):
     return vocabulary(moves(spark, sf), ["airport", "runway", "ac_type"])
 
 
+_CATEGORIES = ("phase", "airport", "runway", "ac_type")
+_COLUMNS = ("mvt_id", "phase", "airport", "runway", "stand", "ac_type", "t_us", "aobt_us", "taxi_sec")
+
+
+@query(
+    "s16_schema",
+    "{with}, ty as (select " + ", ".join(f"typeof({c}) as {c}" for c in _COLUMNS) + " from m limit 1), "
+    + "cl as (select " + ", ".join(f"unnest([{v}]) as {n}" for v, n in ((", ".join(map(str, range(len(_COLUMNS)))), "position"), (", ".join(f"'{c}'" for c in _COLUMNS), '"column"'), (", ".join(_COLUMNS), "duck"))) + " from ty), "
+    + "ct as (select position, \"column\", case duck when 'VARCHAR' then 'string' else lower(duck) end as type from cl), "
+    + "v as (" + " union ".join(f"select distinct '{c}' as c, {c} as v from m" for c in _CATEGORIES) + "), "
+    + "vo as (select c as \"column\", count(*) as n_values, cast(sum(cast(concat('0x', substring(sha256(v), 1, 7)) as bigint)) as bigint) as digest from v where v is not null group by c) "
+    + "select position, \"column\", type, n_values, digest, (select sha256(string_agg(\"column\" || ':' || type, ',' order by position)) from ct) as schema from ct left join vo using (\"column\")",
+)
+def s16_schema(spark, sf):
+    """Schema and vocabularies of a feature view."""
+    return schema_fingerprint(moves(spark, sf).select(*_COLUMNS), list(_CATEGORIES))
+
+
 @query("s17_report", "{with} select count(*) as n, round(min(taxi_sec), 6) as lo, round(max(taxi_sec), 6) as hi, round(avg(taxi_sec), 6) as mean, count(*) filter (taxi_sec > 86400) as over_day from d")
 def s17(spark, sf):
     return rounded(deps(spark, sf).agg(F.count("*").alias("n"), F.min("taxi_sec").alias("lo"), F.max("taxi_sec").alias("hi"), F.avg("taxi_sec").alias("mean"), F.count_if(F.col("taxi_sec") > 86400).alias("over_day")))

@@ -126,7 +126,74 @@ def publish(df: DataFrame, template: DataFrame, key: str, value: str, path: str)
     return back
 
 
-def fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, bytes, sha256) of the files below the paths."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Columns of a station-year file: time, ten measures, three present-weather codes.
+OBSERVATION = ("t_us", "temperature", "dew", "rh", "wind_speed", "wind_dir", "gust", "precip", "snow_depth", "visibility", "ceiling", "mw", "au", "aw")
+
+
+def write_station_years(obs: DataFrame, folder: str) -> None:
+    """Observations with a station and t_us: a folder for each station and year, in one write."""
+    year = F.year(F.timestamp_micros("t_us"))
+    obs.withColumn("year", year).select("station", "year", *OBSERVATION).write.partitionBy("station", "year").parquet(folder)
+
+
+def station_years(spark: SparkSession, folder: str, stations: list[str] | None = None, years: list[int] | None = None, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(station, year, the 14 columns) of station-year files.
+
+    Stations and years are pruned before the scan. A missing column is an error before any job; a measure outside its bounds becomes
+    null, as does one that is not a number; the row stays.
+    """
+    df = spark.read.parquet(folder)
+    if missing := sorted({"station", "year", *OBSERVATION} - set(df.columns)):
+        raise ValueError(f"missing columns: {missing}")
+    if stations is not None:
+        df = df.where(F.col("station").isin(stations))
+    if years is not None:
+        df = df.where(F.col("year").isin(years))
+    within = {c: F.when(F.col(c).between(*b), F.col(c)) for c, b in (bounds or {}).items()}
+    return df.select("station", "year", *[within[c].alias(c) if c in within else c for c in OBSERVATION])
+
+
+def fingerprints(spark: SparkSession, paths: list[str], chunk: int = 64 << 20, fan: int = 4096) -> DataFrame:
+    """(file, bytes, sha256) of the files below the paths, read in byte ranges by as many tasks as there are ranges.
+
+    A file of one range has its content's SHA-256; a larger one that of its nodes' digests in order, a node that of up to `fan`
+    ranges' digests (hex, joined). No task holds more than a few MB of a file. An empty file has no row: Spark lists none.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
+    last = F.greatest(F.ceil(F.col("length") / chunk) - 1, F.lit(0)).cast("long")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i")).repartition("path", "i")
+    leaves = ranges.mapInArrow(lambda batches: _hashed(batches, chunk), "path string, length bigint, i bigint, h string")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "")
+    one = F.max("h")
+    nodes = leaves.groupBy("path", "length", F.floor(F.col("i") / fan).cast("long").alias("node")).agg(F.when(F.col("length") <= chunk, one).otherwise(F.sha2(joined, 256)).alias("h"))
+    roots = nodes.withColumnRenamed("node", "i").groupBy("path", "length").agg(F.when(F.col("length") <= chunk, one).otherwise(F.sha2(joined, 256)).alias("sha256"))
+    return roots.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "sha256")
+
+
+def _hashed(batches, chunk: int, step: int = 4 << 20):
+    """Digests of byte ranges; a file that has shrunk since it was listed is an error."""
+    import hashlib
+    import re
+    from urllib.parse import unquote
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for b in batches:
+        out = []
+        for path, length, i in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
+            if local := re.match(r"file:/+", path):
+                store, name = fs.LocalFileSystem(), "/" + unquote(path[local.end() :])
+            else:
+                store, name = fs.FileSystem.from_uri(path)
+            h, left = hashlib.sha256(), min(chunk, length - i * chunk)
+            with store.open_input_file(name) as f:
+                f.seek(i * chunk)
+                while left > 0:
+                    got = f.read(min(step, left))
+                    if not got:
+                        raise OSError(f"{path} ends before byte {length}")
+                    h.update(got)
+                    left -= len(got)
+            out.append(h.hexdigest())
+        yield pa.record_batch([*b.columns[:3], pa.array(out, pa.string())], names=["path", "length", "i", "h"])

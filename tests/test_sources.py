@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from movelytics.operators.estimates import Policy, compose, simplex, simplex_weights
-from movelytics.operators.quality import exact_ids
+from movelytics.operators.quality import exact_ids, schema_fingerprint
 from movelytics.sources import tables
 from movelytics.sources.maps import read_map
 
@@ -154,3 +154,54 @@ def test_ordered_digest_tells_the_order(spark):
     assert tree(frame(rows, 3)) != tree(frame(swapped, 3))
     assert digest(frame(rows, 2), ["v"]).collect() == digest(frame(swapped, 2), ["v"]).collect()
     assert ordered_digest(frame(rows, 2).where(F.lit(False)), ["v"], "id", ["k"]).count() == 0
+
+
+def test_fingerprints_in_ranges(spark, tmp_path):
+    """Files in byte ranges against a tree built here: one range, exact multiples, a sparse one; a changed byte and swapped ranges show."""
+    import hashlib
+
+    chunk, fan = 1 << 16, 3
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    content = {"empty": b"", "small file": b"abc", "whole": bytes(range(256)) * 256, "two": b"x" * chunk + b"y" * chunk, "swapped": b"y" * chunk + b"x" * chunk, "odd": b"z" * (7 * chunk + 5)}
+    for name, b in content.items():
+        (tmp_path / name).write_bytes(b)
+    with open(tmp_path / "sparse", "wb") as f:
+        f.truncate(40 << 20)
+
+    def tree(b):
+        if len(b) <= chunk:
+            return sha(b)
+        leaves = [sha(b[i : i + chunk]) for i in range(0, len(b), chunk)]
+        return sha("".join(sha("".join(leaves[i : i + fan]).encode()) for i in range(0, len(leaves), fan)).encode())
+
+    got = {r["file"].replace("%20", " "): r for r in tables.fingerprints(spark, [str(tmp_path)], chunk, fan).collect()}
+    del content["empty"]  # Spark lists no empty files
+    assert {n: r["sha256"] for n, r in got.items()} == {**{n: tree(b) for n, b in content.items()}, "sparse": tree(bytes(40 << 20))}
+    assert got["odd"]["bytes"] == 7 * chunk + 5 and got["two"]["sha256"] != got["swapped"]["sha256"]
+
+
+def test_station_years(spark, tmp_path):
+    obs = spark.range(60).select(F.concat(F.lit("ST"), (F.col("id") % 3).cast("string")).alias("station"), (F.col("id") * 86400_000_000 * 30).alias("t_us"), *[F.col("id").cast("double").alias(c) for c in tables.OBSERVATION[1:11]], *[F.lit("SN").alias(c) for c in tables.OBSERVATION[11:]])
+    path = str(tmp_path / "stations")
+    tables.write_station_years(obs, path)
+    got = tables.station_years(spark, path, ["ST1"], [1971], {"rh": (0.0, 15.0)})
+    rows = got.collect()
+    want = [i for i in range(60) if i % 3 == 1 and 365 <= i * 30 < 730]
+    assert sorted(r["temperature"] for r in rows) == want and {r["temperature"]: r["rh"] for r in rows} == {i: i if i <= 15 else None for i in want}
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [station" in scan.replace("isnotnull(station#", "station#") or "PartitionFilters: [(station" in scan
+    assert tables.station_years(spark, path).count() == 60
+    spark.read.parquet(path).drop("gust").write.partitionBy("station", "year").parquet(str(tmp_path / "less"))
+    with pytest.raises(ValueError, match="gust"):
+        tables.station_years(spark, str(tmp_path / "less"))
+
+
+def test_schema_fingerprint(spark):
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("a", None, None)], "k string, v int, w string")
+    base = schema_fingerprint(df, ["k", "w"]).collect()
+    by = {r["column"]: r for r in base}
+    assert [by[c]["n_values"] for c in ("k", "v", "w")] == [2, None, 0] and len({r["schema"] for r in base}) == 1
+    for other in (df.select("v", "k", "w"), df.withColumn("v", F.col("v").cast("long")), df.withColumnRenamed("v", "u")):
+        assert schema_fingerprint(other, ["k", "w"]).first()["schema"] != base[0]["schema"]
+    more = {r["column"]: r for r in schema_fingerprint(df.union(spark.createDataFrame([("c", 1, None)], df.schema)), ["k", "w"]).collect()}
+    assert more["k"]["digest"] != by["k"]["digest"] and more["k"]["schema"] == base[0]["schema"]
