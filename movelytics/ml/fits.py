@@ -54,12 +54,3 @@ def out_of_fold(df: DataFrame, folds: list[tuple[str, Column]], fit, keep: list[
     """Union over hold-outs: fit on the rows outside of each and score those in it."""
     parts = [fit(df.where(~held)).transform(df.where(held)).select(*keep, "fitted", F.lit(name).alias("holdout")) for name, held in folds]
     return reduce(DataFrame.unionByName, parts)
-
-
-def per_group(df: DataFrame, by: str, groups: list[str], fit, keep: list[str]) -> DataFrame:
-    """One model per group (a handful of airports); groups without a model of their own are not scored."""
-    return out_of_fold_union([fit(df.where(F.col(by) == g)).transform(df.where(F.col(by) == g)).select(*keep, "fitted") for g in groups])
-
-
-def out_of_fold_union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -8,11 +8,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..ml.fits import chance, classifier, out_of_fold, out_of_fold_union, per_group, regressor
+from ..ml.fits import chance, classifier, out_of_fold, regressor
+from ..ml.grouped import Expert, cross_fit, fit_groups, learn_bins, predicted, score_held
 from ..operators.context import Win, context_agg
 from .audits import shared
 from .base import MIN, arrs, deps, query, rounded
-from .estimates import baseline_features
+from .estimates import CUTS, EXPERTS, baseline_features
 
 NUM = ["p", "s", "l", "p_ok", "no_aobt", "hour", "weekday", "dep15", "dep60", "arr60", "arr60_taxi"]
 CAT = ["airport", "ac_type"]
@@ -47,18 +48,28 @@ def m01(spark, sf):
     return rounded(out.select("mvt_id", "holdout", F.greatest(F.coalesce("p", F.lit(200.0)) + F.col("fitted"), F.lit(0.0)).alias("estimate")))
 
 
+def keeper(spark, name: str):
+    """Writes a table to the shared folder and reads it back."""
+
+    def keep(df):
+        path = shared(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 @query("m02_airport_models")
 def m02(spark, sf):
-    """One regressor per airport; those with under 20 rows, or without a code, take one that is fitted on all rows."""
-    df = features(spark, sf)
-    names = [r["airport"] for r in df.groupBy("airport").count().where("count >= 20 and airport is not null").orderBy("airport").collect()]
-    fit = lambda t: regressor(t, "y", NUM, ["ac_type"], rounds=5)
-    small = df.where(F.col("airport").isNull() | ~F.col("airport").isin(names))
-    keep = ["mvt_id", "airport"]
-    parts = [per_group(df, "airport", names, fit, keep)] if names else []
-    if not small.isEmpty():
-        parts.append(fit(df).transform(small).select(*keep, "fitted"))
-    return rounded(out_of_fold_union(parts) if parts else df.select(*keep, F.lit(None).cast("double").alias("fitted")))
+    """One regressor per airport, all grown in the same passes; those with under 20 rows, or without a code, take one that is fitted on all rows."""
+    df, keep = features(spark, sf), keeper(spark, "airport-models")
+    df = keep(df.select("mvt_id", "airport", "y", learn_bins(df, NUM, ["ac_type"]).column().alias("bins")))
+    own = df.groupBy("airport").agg(F.count("*").alias("n")).where("n >= 20 and airport is not null").select(F.col("airport").alias("a"), F.concat(F.lit("own "), "airport").alias("own"))
+    rows = df.join(own, F.col("airport") == F.col("a"), "left").drop("a")
+    train = rows.select("bins", "y", F.explode(F.filter(F.array("own", F.lit("all")), lambda x: x.isNotNull())).alias("model"))
+    models = fit_groups(train, "model", "y", "bins", keep)
+    scored = rows.withColumn("model", F.coalesce("own", F.lit("all"))).join(models, "model", "left")
+    return rounded(scored.select("mvt_id", "airport", predicted(F.col("base"), F.col("trees"), F.col("bins"), 3, 0.4).alias("fitted")))
 
 
 @query("m03_match_classifier")
@@ -137,3 +148,36 @@ def m09(spark, sf):
     path = shared(spark, "model")
     regressor(df.where("fold >= 2"), "y", NUM, CAT, rounds=3).write().save(path)
     return rounded(PipelineModel.load(path).transform(df.where("fold < 2 and p_ok = 1")).select("mvt_id", "fitted"))
+
+
+#: The fitted experts behind the candidates for rows with a missing clock: label, rows to learn from, weight.
+FITTED = [
+    Expert("missing_direct", "y", "y between 0 and 86400"),
+    Expert("late", "y - old", "y between 0 and 86400"),
+    Expert("ratio_of_schedule", "least(y / s, 4)", "s > 600 and y >= 0", "power(s / 1000, 2)"),
+    Expert("match", "cast(abs(s - y) <= 600 as int)", "s > 3600 and y is not null"),
+]
+
+
+@query("o08_fitted_experts")
+def o08_fitted(spark, sf):
+    """The fourteen experts with fitted models behind them: each row is scored by the models that held its fold out.
+
+    The models (direct, residual to the proxy, ratio to the schedule, chance that the schedule is right) are a table of named
+    fits per held fold, written to the shared folder and read back. The grouped candidate is the mean of the row's route over
+    the other folds; the schedule is picked where its fitted chance is a half or more.
+    """
+    keep = keeper(spark, "expert-registry")
+    raw = features(spark, sf).unionByName(features(spark, sf, labelled=False))
+    rows = keep(raw.withColumn("bins", learn_bins(raw, NUM, CAT).column()))
+    registry = keep(cross_fit(rows, "fold", [0, 1, 2, 3], FITTED, "bins", keep))
+    x = score_held(rows, "fold", registry, [e.name for e in FITTED], "bins")
+    known = "y between 0 and 86400"
+    route = rows.where(known).groupBy("airport", "dest", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("sum"))
+    total = route.groupBy("airport", "dest").agg(F.sum("n").alias("n_all"), F.sum("sum").alias("sum_all"))
+    x = x.join(total, ["airport", "dest"], "left").join(route, ["airport", "dest", "fold"], "left")
+    n_like = F.coalesce("n_all", F.lit(0)) - F.coalesce("n", F.lit(0))
+    x = x.withColumns({"n_like": n_like, "grp": F.try_divide(F.col("sum_all") - F.coalesce("sum", F.lit(0.0)), n_like), "new": F.greatest(F.coalesce("missing_direct", "old"), F.lit(0.0))})
+    x = x.withColumns({"old": F.greatest(F.col("old") + F.coalesce("late", F.lit(0.0)), F.lit(0.0)), "picked": F.when(F.col("match") >= 0.5, F.col("s")), "ratio": F.greatest("s", F.lit(1.0)) * F.least(F.greatest(F.coalesce("ratio_of_schedule", F.lit(1.0)), F.lit(0.0)), F.lit(4.0))})
+    at = [F.when(F.col("s") > c, F.col("s")).otherwise(F.col("old")).alias(f"at_{int(c)}") for c in CUTS]
+    return rounded(x.select("mvt_id", "fold", *at, *[F.expr(v).cast("double").alias(n) for n, v in EXPERTS.items()]), 4)

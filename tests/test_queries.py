@@ -24,7 +24,7 @@ def test_equals_sql(spark, con, name):
 
 def test_without_sql():
     """What has no SQL is tested by name below or in another module."""
-    assert set(plans.queries()) - set(plans.oracles()) == {"s14_file_fingerprints", *MODELS}
+    assert set(plans.queries()) - set(plans.oracles()) == {"s14_file_fingerprints", "o08_fitted_experts", *MODELS}
 
 
 MODELS = {n for n in plans.queries() if n.startswith("m0")}
@@ -81,6 +81,20 @@ def test_fits_beat_a_constant(spark):
     assert (abs(p.sum(axis=1) - 1) < 1e-5).all() and (p.values.argmax(1) == source.source).mean() > source.source.value_counts(normalize=True).min()
 
 
+def test_fitted_experts(spark):
+    """Every movement has its fourteen candidates, none negative or null, and the fitted ones beat the proxy out of fold."""
+    from movelytics.plans.estimates import EXPERTS
+    from movelytics.plans.models import features
+
+    out = plans.queries()["o08_fitted_experts"](spark, SF).toPandas().set_index("mvt_id")
+    truth = features(spark, SF).select("mvt_id", "y", "old").toPandas().set_index("mvt_id")
+    assert len(out) == len(truth) + features(spark, SF, labelled=False).count() and out.index.is_unique
+    assert out[list(EXPERTS)].notna().all().all() and (out[["baseline_direct", "missing_direct", "grouped"]] >= 0).all().all()
+    both = out.join(truth, how="inner")
+    error = lambda c: ((both[c] - both.y) ** 2).mean()
+    assert error("baseline_direct") < error("old") and error("missing_direct") < both.y.var()
+
+
 def test_airport_models_lose_no_rows(spark):
     from movelytics.plans.models import features
 
