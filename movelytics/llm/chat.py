@@ -2,13 +2,17 @@
 
 The unit is a line; states are a role's first line and its further lines; a line's observation is the kind of speaker
 marker it starts with (a known name of one of the roles, or a name that no table has), whether it ends with a question
-mark, and its length class. A conversation's segments are sorted by ranges and cut into blocks of BLOCK segments by count.
+mark, its length class, and whether it opens a segment. Segments may be turns, lines or whole transcripts, so the last one
+is weak evidence only (TORN), which a marker outweighs. A conversation's segments are sorted by ranges and cut into blocks of BLOCK segments by count.
 Max-plus products are associative, so a block is summed up by a states x states matrix; FAN blocks are summed up by one
 matrix, FAN of those by another, and so on to one for a conversation. From there the best states at borders are found on
 the way down, and each block is decoded between its borders: the same path as Viterbi over the whole, with at most BLOCK
 segments or FAN matrices in one group.
 
-A marker with a known name is cut off; a name that no table has stays in the text, since it may be part of it.
+A marker with a known name is cut off. One that no table has may be part of the text ("Note: ..."), so it is cut off where
+it is shown to be a speaker's: in a conversation where two turns or more begin with it, and at least MOST of the turns of the roles that use it most,
+and in every turn that begins with a name that two conversations or more show so, or have before a role's only turn while
+they show another role's name. Elsewhere it stays in the text.
 Segments are ordered by seq within a conversation. Nulls and empty texts: a null text is an empty line; a null conversation
 id is a conversation of its own; null seqs come first. Ties and repeated rows: segments that repeat a seq follow each other
 in order of their texts. A very long text is one segment of many lines. An empty table gives an empty result, and a model
@@ -38,6 +42,8 @@ _ROLE_OF = {n: r for r, role in enumerate(ROLES) for n in NAMES[role]}
 _MARKER = re.compile(r"^\s*(?:[#>*\[(<|]+\s*)?([A-Za-z]{1,12})\s*(?:[\])>|*]+\s*:?|:|\s[-—–])\s*")
 UNKNOWN = len(ROLES) + 1  # the kind of a marker whose name no table has
 OBSERVATIONS = (UNKNOWN + 1) * 2 * 3
+TORN = 0.05  # the share of turns taken to begin inside a segment, and of segments to begin inside a turn
+MOST = 0.8
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -54,6 +60,11 @@ def observe(line: str) -> int:
     return kind * 6 + (3 if rest.rstrip().endswith("?") else 0) + min(2, len(rest) // 120)
 
 
+def observed(segments: list[str]) -> list[int]:
+    """Observations of the lines of segments; those of a segment's first line come after the others'."""
+    return [observe(x) + OBSERVATIONS * (i == 0) for s in segments for i, x in enumerate(s.split("\n"))]
+
+
 @dataclass
 class Model:
     start: np.ndarray
@@ -160,7 +171,9 @@ def fit(turns: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str =
     for k in range(len(ROLES)):  # nor can a turn go on as another role's
         tables["step"][:, 2 * k + 1] = np.where(np.arange(STATES) // 2 == k, tables["step"][:, 2 * k + 1], 1e-6)
     norm = {k: np.log(v / v.sum(axis=1, keepdims=True)) for k, v in tables.items()}
-    return Model(norm["start"][0], norm["step"], norm["emit"])
+    further = np.arange(STATES) % 2 == 1
+    inside, opens = (np.log(np.where(further == x, TORN, 1 - TORN))[:, None] for x in (False, True))
+    return Model(norm["start"][0], norm["step"], np.hstack([norm["emit"] + inside, norm["emit"] + opens]))
 
 
 def _up(summed: DataFrame, levels: int, kind: str, arrow: pa.DataType) -> list[DataFrame]:
@@ -217,6 +230,25 @@ def _offsets(counts: DataFrame, levels: int) -> DataFrame:
     return at
 
 
+def _without_names(turns: DataFrame) -> DataFrame:
+    """(conv, turn_no, role, text): turns without the markers that are shown to be names.
+
+    Counts per (conversation, role, marker) are summed before the exchange; only turns that begin with an unlisted name are joined with them.
+    """
+    name = F.trim("mark")
+    counts = turns.groupBy("conv", "role", name.alias("name")).agg(F.count("*").alias("k"))
+    per_role = counts.groupBy("conv", "role").agg(F.sum("k").alias("n"), F.max_by("name", F.when(F.col("name").isNotNull(), F.col("k"))).alias("name"), F.max(F.when(F.col("name").isNotNull(), F.col("k"))).alias("k"))
+    per_name = per_role.where("name is not null").groupBy("conv", "name").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    shown = stash(per_name.where((F.col("k") >= 2) & (F.col("k") >= MOST * F.col("n"))).select(F.col("conv").alias("__c"), F.col("name").alias("__n")), "names")
+    once = per_role.where("n = 1 and name is not null").select("conv", F.col("name").alias("__n"))
+    beside = once.join(shown.select("__c"), once["conv"].eqNullSafe(F.col("__c")), "left_semi").withColumnRenamed("conv", "__c")
+    common = shown.select("__c", "__n").union(beside.select("__c", "__n")).groupBy(F.col("__n").alias("__m")).agg(F.count_distinct(F.coalesce(F.xxhash64("__c"), F.lit(0))).alias("__k")).where("__k >= 2").select("__m")
+    marked = turns.where("mark is not null").withColumn("__name", name)
+    own = marked.join(shown, marked["conv"].eqNullSafe(F.col("__c")) & (F.col("__name") == F.col("__n")), "left").join(common, F.col("__name") == F.col("__m"), "left")
+    cut = F.when(F.col("__n").isNotNull() | F.col("__m").isNotNull(), F.substring("text", F.length("mark") + 1, F.length("text"))).otherwise(F.col("text"))
+    return own.select("conv", "turn_no", "role", cut.alias("text")).union(turns.where("mark is null").select("conv", "turn_no", "role", "text"))
+
+
 def parse(segments: DataFrame, model: Model, conv: str = "conv_id", seq: str = "turn", text: str = "text") -> DataFrame:
     """(conv, turn_no, role, text, rendered): the recovered turns of every conversation."""
     blocks, levels = _blocks(segments, conv, seq, text)
@@ -226,32 +258,35 @@ def parse(segments: DataFrame, model: Model, conv: str = "conv_id", seq: str = "
     lines_of = lambda t: [x for s in t.column("text").to_pylist() for x in s.split("\n")]
 
     def sums(t: pa.Table):
-        m = shared.value.matrix([observe(x) for x in lines_of(t)], one(t, "idx") == 0)
+        m = shared.value.matrix(observed(t.column("text").to_pylist()), one(t, "idx") == 0)
         yield pa.record_batch([pa.array([one(t, "conv")], arrow), pa.array([one(t, "idx")], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], names=["conv", "idx", "m"])
 
     def decode(t: pa.Table):
         lines = lines_of(t)
-        states = shared.value.path([observe(x) for x in lines], one(t, "idx") == 0, one(t, "enter"), one(t, "leave"))
+        states = shared.value.path(observed(t.column("text").to_pylist()), one(t, "idx") == 0, one(t, "enter"), one(t, "leave"))
         rows: list[list] = []
         for line, s in zip(lines, states, strict=True):
             begins = s % 2 == 0
             if begins or not rows:
-                rows.append([s // 2, begins, [marker(line)[1] if begins else line]])
+                kind, rest = marker(line)
+                mark = _MARKER.match(line)[0] if kind == UNKNOWN and begins else None
+                rows.append([s // 2, begins, [rest if begins else line], mark])
             else:
                 rows[-1][2].append(line)
         k = np.cumsum([r[1] for r in rows])
         yield pa.record_batch(
-            [pa.array([one(t, "conv")] * len(rows), arrow), pa.array([one(t, "idx")] * len(rows), pa.int64()), pa.array(k, pa.int64()), pa.array([ROLES[r[0]] for r in rows]), pa.array(["\n".join(r[2]) for r in rows])],
-            names=["conv", "idx", "k", "role", "text"],
+            [pa.array([one(t, "conv")] * len(rows), arrow), pa.array([one(t, "idx")] * len(rows), pa.int64()), pa.array(k, pa.int64()), pa.array([ROLES[r[0]] for r in rows]), pa.array(["\n".join(r[2]) for r in rows]), pa.array([r[3] for r in rows], pa.string())],
+            names=["conv", "idx", "k", "role", "text", "mark"],
         )
 
     summed = scan_groups(blocks, ["conv", "idx"], ["at"], sums, f"conv {kind}, idx bigint, m array<double>")
     ends = _down(_up(summed, levels, kind, arrow), kind)
-    parts = stash(scan_groups(_beside(blocks, ends, "idx", ["enter", "leave"]), ["conv", "idx"], ["at"], decode, f"conv {kind}, idx bigint, k bigint, role string, text string"), "turn-parts")
+    parts = stash(scan_groups(_beside(blocks, ends, "idx", ["enter", "leave"]), ["conv", "idx"], ["at"], decode, f"conv {kind}, idx bigint, k bigint, role string, text string, mark string"), "turn-parts")
     before = _offsets(parts.groupBy("conv", "idx").agg(F.max("k").alias("n")), levels)
-    numbered = _beside(parts, before, "idx", ["before"]).select("conv", (F.col("before") + F.col("k") - 1).alias("turn_no"), "idx", "role", "text")
+    numbered = _beside(parts, before, "idx", ["before"]).select("conv", (F.col("before") + F.col("k") - 1).alias("turn_no"), "idx", "role", "text", "mark")
     # A turn that runs over a block border comes in parts.
-    whole = numbered.groupBy("conv", "turn_no").agg(F.first("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    whole = numbered.groupBy("conv", "turn_no").agg(F.first("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("text"), F.max("mark").alias("mark"))
+    whole = _without_names(stash(whole, "turns"))
     return whole.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n")))
 
 

@@ -65,6 +65,44 @@ def test_held_out_roles(spark):
     assert sum(got.get(k) == v for k, v in want.items()) / len(want) > 0.9
 
 
+def test_turns_through_the_query(spark):
+    """Text and role of whole turns, held-out styles with unknown names and unmarked roles included."""
+    from movelytics.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r["conv_id"], r["turn_no"]): (r["role"], r["text"]) for r in QUERIES["op9_chat"](spark, sf).collect()}
+    want = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("held", F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(3)) == 1).collect()
+    for held, least in ((False, 0.95), (True, 0.8)):
+        rows = [r for r in want if r["held"] is held]
+        assert sum(got.get((r["conv_id"], r["turn"])) == (r["role"], r["text"]) for r in rows) / len(rows) > least
+
+
+def test_unlisted_names(spark):
+    """Names are cut off where they are shown to be a speaker's; a word with a colon that is not stays in the text."""
+    rows = [(1, 0, "Zed: a"), (1, 1, "Yan: b"), (1, 2, "Zed: Note: c"), (1, 3, "Yan: d\nTip: e"), (2, 0, "Zed: f"), (2, 1, "Yan: g"), (3, 0, "User: h"), (3, 1, "Note: i"), (None, 0, "Note: j")]
+    raw = spark.createDataFrame(rows, "conv_id int, turn int, text string")
+    model = chat.fit(chat.transcripts(conversations(spark).where("conv_id < 900")))
+    got = {(r["conv"], r["turn_no"]): r["text"] for r in chat.parse(raw, model).collect()}
+    assert [got[1, k] for k in range(4)] == ["a", "b", "Note: c", "d\nTip: e"]
+    # One conversation shows them, and one alone is no proof for others.
+    assert [got[2, k] for k in range(2)] == ["Zed: f", "Yan: g"]
+    assert got[3, 0] == "h" and got[3, 1] == "Note: i" and got[None, 0] == "Note: j"
+    more = raw.union(raw.where("conv_id = 1").withColumn("conv_id", F.lit(4)))
+    again = {(r["conv"], r["turn_no"]): r["text"] for r in chat.parse(more, model).collect()}
+    assert [again[2, k] for k in range(2)] == ["f", "g"] and again[3, 1] == "Note: i"
+
+
+def test_whole_transcripts_as_one_text(spark):
+    """Turns of marked styles are found inside one text too."""
+    turns = conversations(spark).where("conv_id between 1 and 800")
+    model = chat.fit(chat.transcripts(turns))
+    marked = chat.transcripts(turns, styles=chat.STYLES[:3])
+    one = marked.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text")).withColumn("turn", F.lit(0))
+    got = {(r["conv"], r["turn_no"]): (r["role"], r["text"]) for r in chat.parse(one, model).collect()}
+    want = turns.collect()
+    assert sum(got.get((r["conv_id"], r["turn"])) == (r["role"], r["text"]) for r in want) / len(want) > 0.95
+
+
 def test_hot_and_awkward_conversations(spark, monkeypatch):
     """A conversation with most rows, null seqs, repeated and clashing rows: blocks hold BLOCK segments at most, no line is lost."""
     monkeypatch.setattr(chat, "BLOCK", 8)
