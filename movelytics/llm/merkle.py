@@ -5,9 +5,13 @@ digests, a section is a run of paragraphs up to a blank line or SECTION_PARAGRAP
 paragraphs' digests, and the root's over the sections'. All digests have 16 bytes. Leaves start afresh at each paragraph,
 so an edit changes its own leaves, one paragraph, one section and the root only. Leaf digests keep the white space around
 words, so equal roots mean equal texts (up to hash collisions).
-The fingerprint string spells the tree out: "root/section=paragraph:leafleaf...,paragraph:.../...", the root in full and
-below it the first four bytes of each digest. Two trees are compared from the root down: equal roots end it, equal sections
+The fingerprint string spells the tree out: "root/section=paragraph:leaves,paragraph:.../...", the root in full as hex and
+below it the first BRANCH_BYTES of a branch's digest and LEAF_BYTES of each leaf's, in the URL-safe base64 alphabet without
+padding. Two trees are compared from the root down: equal roots end it, equal sections
 and then equal paragraphs are taken as wholes, and leaves are only counted in branches that differ.
+Edits are located by aligning the paragraphs of branches that differ: paragraphs that either tree has once are anchors,
+the longest chain of them in both orders and the equal runs around it are the same, and what lies between was edited; so a
+line put in marks itself and none of those behind it.
 
 Nulls and empty texts: a null text is an empty one: one section with one paragraph without leaves. Order: rows with null ids
 come first, rows that repeat an id follow each other in order of their texts; the next document is the next row in that
@@ -19,7 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from base64 import urlsafe_b64encode
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 SECTION_PARAGRAPHS = 16
-SHORT = 8  # hex digits that the string shows below the root
+BRANCH_BYTES, LEAF_BYTES = 3, 2  # of digests that the string shows below the root
 _LEAF = re.compile(r"\s*\S+\s*|\s+")
 
 
@@ -69,9 +74,12 @@ class Tree:
         return sum(s.size for s in self.sections)
 
     def spelled(self) -> str:
-        short = lambda x: x.hex()[:SHORT]
-        one = lambda p: f"{short(p.digest)}:{''.join(map(short, p.leaves))}"
-        return "/".join([self.root.hex(), *(f"{short(s.digest)}={','.join(map(one, s.children))}" for s in self.sections)])
+        one = lambda p: f"{_spelled(p.digest[:BRANCH_BYTES])}:{_spelled(b''.join([x[:LEAF_BYTES] for x in p.leaves]))}"
+        return "/".join([self.root.hex(), *(f"{_spelled(s.digest[:BRANCH_BYTES])}={','.join(map(one, s.children))}" for s in self.sections)])
+
+
+def _spelled(data: bytes) -> str:
+    return urlsafe_b64encode(data).rstrip(b"=").decode()
 
 
 def tree(text: str | None) -> Tree:
@@ -131,19 +139,67 @@ def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
     return out
 
 
+def edits(a: Tree, b: Tree) -> list[tuple[int, int, int, int]]:
+    """(low, high, new_low, new_high): paragraphs low to high of the first text (counted from 0, high excluded) that became new_low to new_high of the second."""
+    if a.root == b.root:
+        return []
+    x, y = ([p.digest for s in t.sections for p in s.children] for t in (a, b))
+    lo = 0
+    for s, r in zip(a.sections, b.sections, strict=False):
+        if s.digest != r.digest:
+            break
+        lo += len(s.children)
+    end, new_end = len(x), len(y)
+    while min(end, new_end) > lo and x[end - 1] == y[new_end - 1]:
+        end, new_end = end - 1, new_end - 1
+    in_x, in_y = Counter(x[lo:end]), Counter(y[lo:new_end])
+    place = {d: j for j, d in enumerate(y[lo:new_end], lo) if in_y[d] == 1}
+    anchors = _chain([(i, place[d]) for i, d in enumerate(x[lo:end], lo) if in_x[d] == 1 and d in place])
+    i, j, out = lo, lo, []
+    for p, q in [*anchors, (end, new_end)]:
+        while i < p and j < q and x[i] == y[j]:
+            i, j = i + 1, j + 1
+        e, f = p, q
+        while e > i and f > j and x[e - 1] == y[f - 1]:
+            e, f = e - 1, f - 1
+        if e > i or f > j:
+            out.append((i, e, j, f))
+        i, j = p + 1, q + 1
+    return out
+
+
+def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest subsequence of pairs, sorted by the first, whose second numbers rise."""
+    ends: list[int] = []  # smallest last number of a chain of each length
+    at: list[int] = []  # and where it stands
+    before = [-1] * len(pairs)
+    for k, (_, q) in enumerate(pairs):
+        n = bisect_left(ends, q)
+        before[k] = at[n - 1] if n else -1
+        ends[n : n + 1], at[n : n + 1] = [q], [k]
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
 def edited(text: str, following: str) -> str:
     """text whose last quarter of code points is replaced by the first as many of the following text."""
     q = len(text) // 4
     return text[: len(text) - q] + following[:q] if q else text
 
 
-COLUMNS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<struct<low:int,high:int,new_low:int,new_high:int>>"
+
+
+_EDIT = ("low", "high", "new_low", "new_high")
 
 
 def _row(text: str, this: Tree, after: str, following: Tree):
     new = edited(text, after)
     other = this if new == text else tree(new)
-    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), this.spelled(), other.spelled(), likeness(this, other), likeness(this, following)
+    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), this.spelled(), other.spelled(), likeness(this, other), likeness(this, following), [dict(zip(_EDIT, e, strict=True)) for e in edits(this, other)]
 
 
 def _firsts(ids: DataFrame, n: int) -> list:
@@ -153,7 +209,7 @@ def _firsts(ids: DataFrame, n: int) -> list:
 
 
 def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edits) per row.
 
     Ids are cut into ranges of equal size; a range's rows are streamed in order with one row of look-ahead, and the
     first row of the following range is sent along as the last look-ahead. Texts cross one exchange. Only the ranges'
@@ -190,7 +246,7 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 held = (part, ahead, key, text, this)
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [to_arrow_type(src.schema["id"].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edits"]
+    types = [to_arrow_type(src.schema["id"].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.struct([(n, pa.int32()) for n in _EDIT]))]
     dealt = rows.union(ahead).union(wrap).repartition("part").sortWithinPartitions("part", "ahead", F.col("id").asc_nulls_first(), "text")
     return dealt.mapInArrow(run, f"id {kind}, {COLUMNS}")

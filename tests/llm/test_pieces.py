@@ -68,6 +68,34 @@ def test_merkle_tree(spark):
     assert merkle.compare_next(empty(spark)).count() == 0
 
 
+def test_merkle_edits():
+    """Applied to the first text's paragraphs, edits give the second's; a line put in marks itself alone."""
+    rng = random.Random(8)
+    for trial in range(200):
+        a = [rng.choice(["", "x", words(rng, 6)]) for _ in range(rng.randrange(1, 60))]
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(3)] = [rng.choice(["", "x", words(rng, 5)]) for _ in range(rng.randrange(3))]
+        b = b or [""]
+        got, done, at = merkle.edits(merkle.tree("\n".join(a)), merkle.tree("\n".join(b))), [], 0
+        for low, high, new_low, new_high in got:
+            done += a[at:low] + b[new_low:new_high]
+            at = high
+        assert done + a[at:] == b, trial
+    lines = [words(rng, 9) for _ in range(90)]
+    put = [*lines[:37], "one more line", *lines[37:]]
+    assert merkle.edits(merkle.tree("\n".join(lines)), merkle.tree("\n".join(put))) == [(37, 37, 37, 38)]
+    assert merkle.edits(merkle.tree("\n".join(put)), merkle.tree("\n".join(lines))) == [(37, 38, 37, 37)]
+    blank = merkle.edits(merkle.tree("\n" * 30000), merkle.tree("x\n" + "\n" * 30000))
+    assert len(blank) == 1 and blank[0][3] - blank[0][2] <= 2
+
+
+def test_merkle_fingerprints_are_smaller_than_texts():
+    text = "\n".join(words(random.Random(k), 40, 10**6) for k in range(50))
+    assert len(merkle.fingerprint(text)) < 0.5 * len(text)
+
+
 def test_merkle_leaves_at_every_length():
     """Likeness doesn't depend on the side of some length that a text lies on, and short texts keep what an edit left."""
     rng = random.Random(4)
