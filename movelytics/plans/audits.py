@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import row_numbers
 from ..sources.maps import crosswalk, map_elements, match_audit, runway_thresholds, stand_centroids
 from ..sources.tables import cached, fingerprints, publish, refuse_labels
 from .base import arrs, deps, moves, query, rounded, table
@@ -163,3 +164,38 @@ def s07(spark, sf):
     """A scan and derivation without batches of its own: Spark's partitions bound the memory."""
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") > 100000).alias("large"))
 
+
+
+#: Rows of a batch: small enough that the given tables have several.
+BATCH = 4096
+_DERIVED = ["mvt_id", "t_us", "t_us - aobt_us as gap_us", "t_us - sched_us as wait_us", "mod(t_us div 3600000000, 24) as hour", "aobt_us is null as no_clock"]
+
+
+@query(
+    "s07_bounded_batches",
+    "with {m}, f as (select mvt_id, t_us - aobt_us as gap_us, t_us - sched_us as wait_us, (t_us // 3600000000) % 24 as hour, aobt_us is null as no_clock, (row_number() over (order by mvt_id, t_us) - 1) // "
+    + f"{BATCH} as batch from m) "
+    + "select batch, count(*) as n, min(mvt_id) as first_id, max(mvt_id) as last_id, cast(sum(gap_us) as bigint) as gap_us, cast(sum(wait_us) as bigint) as wait_us, cast(sum(hour) as bigint) as hours, "
+    + "count(*) filter (no_clock) as no_clock, true as same from f group by batch",
+)
+def s07_batches(spark, sf):
+    """A table of derived columns, written in files of a batch's rows at most, and its receipts: batches of BATCH rows in id order
+    of what was written are held against the same batches derived from the source again.
+
+    Rows are numbered within ranges of ids, and a batch is a group of that number: no task holds more than a range, and only
+    one row a batch is joined. Null clocks give null gaps, which sums skip; rows that repeat an id follow their times.
+    """
+    path = shared(spark, "derived-movements")
+    derived = moves(spark, sf).selectExpr(*_DERIVED)
+    derived.write.option("maxRecordsPerFile", BATCH).parquet(path)
+    sums = {"n": F.count("*"), "first_id": F.min("mvt_id"), "last_id": F.max("mvt_id"), "gap_us": F.sum("gap_us"), "wait_us": F.sum("wait_us"), "hours": F.sum("hour").cast("long"), "no_clock": F.count_if("no_clock")}
+
+    def receipts(df: DataFrame) -> DataFrame:
+        numbered = row_numbers(df, [], "mvt_id", ["t_us"], "r").withColumn("batch", F.floor((F.col("r") - 1) / BATCH).cast("long"))
+        digest = F.sum(F.shiftright(F.xxhash64("mvt_id", "t_us", "gap_us", "wait_us", "hour", "no_clock"), 20)).alias("digest")
+        return numbered.groupBy("batch").agg(*[v.alias(k) for k, v in sums.items()], digest)
+
+    written = receipts(spark.read.schema(derived.schema).parquet(path))
+    again = receipts(derived).select(F.col("batch").alias("b"), F.col("digest").alias("d"))
+    both = written.join(again, F.col("batch") == F.col("b"), "full")
+    return both.select(F.coalesce("batch", "b").alias("batch"), *sums, F.coalesce(F.col("digest").eqNullSafe(F.col("d")), F.lit(False)).alias("same"))

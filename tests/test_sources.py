@@ -205,3 +205,27 @@ def test_schema_fingerprint(spark):
         assert schema_fingerprint(other, ["k", "w"]).first()["schema"] != base[0]["schema"]
     more = {r["column"]: r for r in schema_fingerprint(df.union(spark.createDataFrame([("c", 1, None)], df.schema)), ["k", "w"]).collect()}
     assert more["k"]["digest"] != by["k"]["digest"] and more["k"]["schema"] == base[0]["schema"]
+
+
+def test_batches_are_bounded_and_compared(spark, monkeypatch):
+    """Batches hold BATCH rows but for the last, follow each other in id order, and files hold a batch's rows at most."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    from movelytics.plans import audits
+
+    from .compare import SF
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    paths = []
+    monkeypatch.setattr(audits, "BATCH", 100)
+    monkeypatch.setattr(audits, "shared", lambda s, n, f=audits.shared: paths.append(f(s, n)) or paths[-1])
+    rows = sorted(audits.s07_batches(spark, SF).collect(), key=lambda r: r["batch"])
+    assert len(rows) > 5 and [r["batch"] for r in rows] == list(range(len(rows)))
+    assert all(r["n"] == 100 for r in rows[:-1]) and all(r["same"] for r in rows)
+    assert all(a["last_id"] <= b["first_id"] for a, b in zip(rows, rows[1:], strict=False))
+    files = glob.glob(paths[0].removeprefix("file://") + "/*.parquet")
+    assert files and max(pq.read_metadata(f).num_rows for f in files) <= 100
