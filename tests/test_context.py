@@ -100,3 +100,30 @@ def test_overtaking_equals_pairs(spark):
         same = [r for r in rows if k and r[1] == k]
         assert got[i] == (sum(r[2] > s and r[3] < f for r in same), sum(r[2] < s and r[3] > f for r in same))
     assert overtaking(iv.limit(0), "id", ["k"], "s", "f", 100).count() == 0
+
+
+def test_frames_grow(spark, capsys):
+    """Dense keys: no frame slides or shrinks, and many events of one window give the same answers as brute force."""
+    df = spark.range(3000).selectExpr("id", "'A' as k", "id div 2 * 1000 as t", "cast(id % 7 as double) / 10 as v", "id % 5 as n")
+    past = context_agg(df, df, ["k"], "t", [Win("p", -900_000, -1)], {"c": ("count", None), "s": ("sum", "n"), "m": ("avg", "v"), "d": ("std", "v")})
+    near = nearest(df, df, ["k"], "t", ["n"], "past", 5_000, prefix="a", tie="desc")
+    near = nearest(near, df, ["k"], "t", [], "future", 5_000, prefix="b")
+    near = nearest_any(near, df, ["k"], "t", {"x": F.col("id") % 100 == 0}, 10_000_000)
+    for made in (past, near):
+        made.explain(True)
+    import re
+
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]*),", capsys.readouterr().out)
+    assert frames and all(f.startswith("unboundedpreceding") for f in frames)
+    at = lambda i: i // 2 * 1000
+    got = {r["id"]: r for r in past.collect()}
+    found = {r["id"]: r for r in near.collect()}
+    for i in (0, 1, 2, 999, 1800, 1801, 1802, 2999):
+        mine = [j for j in range(3000) if at(i) - 900_000 <= at(j) < at(i)]
+        mean = sum(j % 7 / 10 for j in mine) / len(mine) if mine else None
+        assert (got[i]["p_c"], got[i]["p_s"]) == (len(mine), sum(j % 5 for j in mine) if mine else None)
+        assert got[i]["p_m"] == (pytest.approx(mean) if mine else None)
+        assert got[i]["p_d"] == (pytest.approx((sum((j % 7 / 10 - mean) ** 2 for j in mine) / len(mine)) ** 0.5) if mine else None)
+        before, after, marked = [j for j in range(3000) if at(j) < at(i)], [j for j in range(3000) if at(j) > at(i)], [j for j in range(0, 3000, 100) if at(j) > at(i)]
+        assert found[i]["a_t"] == (at(before[-1]) if before else None) and found[i]["b_t"] == (at(after[0]) if after else None)
+        assert found[i]["a_n"] == (max(j % 5 for j in before[-2:]) if before else None) and found[i]["next_x"] == (at(marked[0]) if marked else None)
