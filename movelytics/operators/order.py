@@ -9,14 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared
+
 
 def bucketed(df: DataFrame, by: list[str], order: str, parts: int | None = None) -> DataFrame:
     """df with __b: the bucket of a numeric column within its group, by approximate quantiles; null order values come first.
 
     There are as many buckets as shuffle partitions, 32 at least, unless parts says otherwise; rows of one value share a bucket.
+    The quantiles are written to the shared folder and read back: over many rows they depend on the order in which tasks end, and
+    a bucket's rows and what lies before it are worked out apart, so both must see the same ones.
     """
     parts = parts or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.groupBy(*by).agg(F.approx_percentile(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(32 * parts)).alias("__cuts"))
+    path = shared(df.sparkSession, "order-cuts")
+    cuts.write.parquet(path)
+    cuts = df.sparkSession.read.schema(cuts.schema).parquet(path)
     both = df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))
     inside = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
     return both.withColumn("__b", F.when(F.col(order).isNull() | F.col("__cuts").isNull(), F.lit(-1)).otherwise(inside)).drop("__cuts")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.order import row_numbers
 from ..sources.maps import crosswalk, map_elements, match_audit, runway_thresholds, stand_centroids
-from ..sources.tables import cached, fingerprints, publish, refuse_labels
+from ..sources.tables import cached, fingerprints, publish, refuse_labels, shared
 from .base import arrs, deps, moves, query, rounded, table
 
 #: Map elements made from movements: a node per movement's stand (one stand's positions lie far apart), a way per movement on a runway, every other one drawn from its far end.
@@ -40,16 +38,6 @@ MAP_SQL = (
 )
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; without one, on this machine if all tasks run here, else an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="movelytics-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _map(spark, sf, spread_m: float) -> tuple[DataFrame, DataFrame]:
     """(stands, runway thresholds) of the map."""
     e = map_elements(elements(spark, sf))

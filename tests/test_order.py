@@ -41,3 +41,12 @@ def test_percentiles(spark):
     assert set(got) == set(want) == {"a", "b", "c", None}
     assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
     assert percentiles(df.where("v > 99"), [], "v", points, "q").count() == 0
+
+
+def test_one_set_of_cuts(spark, capsys):
+    """Buckets are cut once: the rows and what lies before each bucket read the same written quantiles, joined without an exchange of the rows by group."""
+    df = spark.range(2000).selectExpr("id", "'a' as k", "id * 7919 % 2003 as x")
+    row_numbers(df, ["k"], "x", ["id"], "r", parts=5).explain()
+    plan = capsys.readouterr().out
+    assert "percentile" not in plan.lower() and "order-cuts" in plan
+    assert "Broadcast" in plan and "SortMergeJoin" not in plan
