@@ -15,6 +15,7 @@ from ..operators.context import nearest_events
 from ..operators.weather import CODES, MAXIMA, MEDIANS, MINIMA, at_hour, weather_table
 from ..sources.tables import refuse_labels, weather_observations
 from .base import FL, ORACLES, QUERIES, S, flights, moves, query, rounded
+from .joins import RELATED
 from .passes import BLOCKS, OVERTAKING, with_blocks
 from .scalars import ZONES
 from .windows import W01
@@ -232,7 +233,7 @@ def f04(spark, sf):
 #: Blocks of the wide stack: prefix -> the query whose columns it takes.
 STACK = {
     "ts": "f02_timestamp_block", "at": "w05_arrival_taxi", "ib": "w06_inblocks", "an": "w07_arrivals_taxiing", "st": "w08_same_stand", "nb": "w04_neighbour_proxies", "ra": "w09_runway_arrivals", "rh": "w10_runway_headway",
-    "ct": "w11_completed_taxi", "aa": "w12_active_arrivals", "bk": "w03_taxi_backlog", "fi": "w14_inside_own_interval", "fa": "w15_active_at_takeoff", "fo": "w16_overtakers", "gw": "g05_geometry_wind",
+    "ct": "w11_completed_taxi", "aa": "w12_active_arrivals", "bk": "w03_taxi_backlog", "fi": "w14_inside_own_interval", "fa": "w15_active_at_takeoff", "fo": "w16_overtakers", "gw": "g05_geometry_wind", "rt": "w13_related_traffic",
 }
 
 
@@ -244,7 +245,8 @@ def wide_sql() -> str:
 def wide(spark, sf) -> DataFrame:
     """One row per departure with the columns of all blocks of STACK, each under its prefix; names that collide are errors.
 
-    Blocks of the passes are asked for together; those with tables of their own are joined by id.
+    Blocks of the passes are asked for together; those with tables of their own are joined by id. The counts on related strips
+    are in the geometry view too, so that one pass serves both blocks.
     """
     passed = {p: name[:3] for p, name in STACK.items() if name[:3] in BLOCKS or name[:3] == "w16"}
     f = with_blocks(spark, sf, flights(spark, sf), list(passed.values()))
@@ -252,13 +254,13 @@ def wide(spark, sf) -> DataFrame:
     stamps = {c: f"ts_{c}" for c in STAMP_BLOCK.columns}
     out = STAMP_BLOCK.spark(f).select("mvt_id", *[F.col(c).alias(n) for names in (stamps, *own.values()) for c, n in names.items()])
     for p, name in STACK.items():
-        if p not in passed and p != "ts":
+        if p not in passed and p not in ("ts", "rt"):
             block = QUERIES[name](spark, sf)
             names = {c: f"{p}_{c}" for c in block.columns if c != "mvt_id"}
             if clash := set(out.columns) & set(names.values()):
                 raise ValueError(f"columns collide: {clash}")
             out = out.join(block.withColumnsRenamed(names), "mvt_id", "left")
-    return rounded(out)
+    return rounded(out.select("*", *[F.col(f"gw_{n}").alias(f"rt_{n}") for n, *_ in RELATED]))
 
 
 FAR = 600

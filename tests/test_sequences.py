@@ -78,3 +78,9 @@ def test_allow_list(spark):
             refuse_labels(df, features.FORBIDDEN, bad)
     with pytest.raises(ValueError):
         refuse_labels(df.withColumnRenamed("b", "callsign_prefix"), features.FORBIDDEN)
+
+
+def test_wide_stack_is_whole():
+    """The related-strip block has columns of its own, in the stack and in its SQL, as it had before."""
+    assert features.STACK["rt"] == "w13_related_traffic" and len(features.STACK) == 16
+    assert "'rt_" in features.wide_sql()
