@@ -114,3 +114,13 @@ def test_experts_hold_their_fold_out(spark):
     leaked = registry.withColumn("learned", F.array(F.lit(0), F.lit(1), F.lit(2)))
     with pytest.raises(Exception, match="has seen the fold"):
         scores(df, leaked)
+
+
+def test_features_are_made_once(spark, capsys):
+    """Fits look at their rows many times: the windows behind the features are worked out once, and all fits read the written table."""
+    from movelytics.plans.models import kept_features
+
+    for part in kept_features(spark, "/root/testdata/sf0.001"):
+        part.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("model-features") == 2 and "Window" not in plan
