@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import normal_key
 from ..operators.context import dominated
-from ..operators.fused import Inside, Mark, Near, Open, Over, Part, context, fuse
+from ..operators.fused import Inside, Mark, Near, Open, Over, Part, context, dealt, fuse
 from .base import MIN, S, moves
 from .windows import SOUND, W01, W04_SPANS
 
@@ -100,7 +100,7 @@ def keyed(m: DataFrame) -> DataFrame:
     return m.withColumns({"rk": F.coalesce("runway", F.lit("?")), "rn": normal_key(F.col("runway"), ("?",)), "rs": normal_key(F.col("runway"))})
 
 
-def parts(q: DataFrame, m: DataFrame, blocks: list[str]) -> list[Part]:
+def parts(q: DataFrame, m: DataFrame, blocks: list[str], into: int | None = None) -> list[Part]:
     """One pass for each key that the blocks ask of. q and m have the columns of movements and the keys."""
     asked: dict[tuple[str, ...], dict[str, object]] = {}
     for b in blocks:
@@ -108,7 +108,7 @@ def parts(q: DataFrame, m: DataFrame, blocks: list[str]) -> list[Part]:
             asked.setdefault(key, {}).update(asks)
     needed = ["mvt_id", "airport", "runway", "rk", "rn", "rs", "stand", "t_us", "aobt_us"]
     bare = q.select(*needed)
-    out = [context(bare, m, list(key), "t_us", MARKS, asks, "mvt_id") for key, asks in asked.items()]
+    out = [context(bare, m, list(key), "t_us", MARKS, asks, "mvt_id", parts=into) for key, asks in asked.items()]
     if "w16" in blocks:
         i = bare.where(OWN)
         turned = i.withColumns({"aobt_us": -F.col("aobt_us"), "t_us": -F.col("t_us")})
@@ -120,7 +120,8 @@ def parts(q: DataFrame, m: DataFrame, blocks: list[str]) -> list[Part]:
 
 def with_blocks(spark, sf, q: DataFrame, blocks: list[str], more: list[Part] = []) -> DataFrame:
     """q (departures) with the columns of the blocks, `{block}_{column}`, and those of other parts: a pass a key, one exchange by id."""
-    q = keyed(q)
-    found = q.join(fuse([*parts(q, keyed(moves(spark, sf)), blocks), *more], "mvt_id"), "mvt_id", "left")
+    q, m = keyed(q), moves(spark, sf)
+    into = dealt(m)
+    found = q.repartition(into, "mvt_id").join(fuse([*parts(q, keyed(m), blocks, into), *more], "mvt_id", into), "mvt_id", "left")
     made = {n: F.expr(x) for b in blocks for n, x in (OVERTAKING if b == "w16" else BLOCKS[b].columns).items()}
     return found.select(*[c for c in q.columns if c not in ("rk", "rn", "rs")], *[c.alias(n) for n, c in made.items()], *[n for p in more for ns in p.structs.values() for n in ns])

@@ -103,3 +103,17 @@ def test_segment_pairs(spark, cell):
     apart = lambda a, b, lo, hi: max(min(b[lo], b[hi]) - max(a[lo], a[hi]), min(a[lo], a[hi]) - max(b[lo], b[hi]))
     must = {(a[1], b[1]) for a in segments for b in segments if a[1] != b[1] and a[0] == b[0] is not None and apart(a, b, 2, 4) <= reach and apart(a, b, 3, 5) <= reach}
     assert must <= set(got) and all(a != b for a, b in got)
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch, capsys):
+    """A pass over more events is dealt out to more partitions, by key and by id, with the same answers."""
+    from movelytics import plans
+    from movelytics.operators import fused
+
+    sf, name = "/root/testdata/sf0.001", "f01_baseline_features"
+    few = {tuple(r) for r in plans.queries()[name](spark, sf).collect()}
+    monkeypatch.setattr(fused, "EVENTS", 100)
+    more = plans.queries()[name](spark, sf)
+    more.explain()
+    assert ", 10), REPARTITION_BY_NUM" in capsys.readouterr().out
+    assert {tuple(r) for r in more.collect()} == few
