@@ -57,3 +57,20 @@ def test_edges_equal_all_pairs(spark):
     want = {(r["airport"], r["sid"], r["o_sid"]) for r in pairs.collect()}
     got = [(r["airport"], r["sid"], r["other"]) for r in strip_edges(s, cell_m=1_500.0).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
+def test_only_strips_in_use_are_paired(spark, capsys):
+    """Pairs are worked out for the strips whose codes movements use, the same ones as among all; rows are written before they are tested."""
+    from movelytics.plans.joins import layout, valid_strips
+
+    sf = "/root/testdata/sf0.001"
+    whole = valid_strips(spark, sf)
+    whole.explain()
+    assert max(map(len, capsys.readouterr().out.splitlines())) < 4_000  # the rows' own expressions are not in the condition
+    every = {tuple(r) for r in strip_edges(whole).collect()}
+    for toward in (False, True):
+        used, codes, near = layout(spark, sf, toward)
+        mine = {(r["airport"], r["sid"]) for r in codes.collect()}
+        assert mine == {(r["airport"], r["sid"]) for r in used.collect()} and 0 < len(mine) < whole.count()
+        got = {tuple(r) for r in near.selectExpr("airport", "sid", "inline(near)").collect()}
+        assert got == {e for e in every if (e[0], e[2 if toward else 1]) in mine}
