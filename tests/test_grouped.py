@@ -124,3 +124,17 @@ def test_features_are_made_once(spark, capsys):
         part.explain()
     plan = capsys.readouterr().out
     assert plan.count("model-features") == 2 and "Window" not in plan
+
+
+def test_a_row_that_teaches_several_groups_is_written_once(spark):
+    """Models of groups in an array equal those of rows repeated for each group; rows stand in blocks, not in a row each, and a block is cut at BLOCK rows."""
+    df = data(spark, 900).withColumn("bins", grouped.Bins({"a": [2.0, 5.0, 9.0]}, {"kind": ["x", "y"]}).column()).withColumn("of", F.array("grp", F.lit("all"), F.concat(F.lit("f"), F.col("fold"))))
+    kept, keep = [], keeper(spark, "test-several")
+    noted = lambda d: (kept.append(keep(d)), kept[-1])[1]
+    fits = lambda d, g, k: sorted(grouped.fit_groups(d, g, "y", "bins", k, weight="w", **OPTIONS).withColumnRenamed(g, "g").collect())
+    one, many = fits(df, "of", noted), fits(df.withColumn("each", F.explode("of")), "each", keep)
+    assert [(r["g"], r["n"]) for r in one] == [(r["g"], r["n"]) for r in many] and len(one) == 9
+    for a, b in zip(one, many, strict=True):
+        assert abs(a["base"] - b["base"]) < 1e-9
+        assert [t["feature"] for t in a["trees"]] == [t["feature"] for t in b["trees"]] and np.allclose([t["value"] for t in a["trees"]], [t["value"] for t in b["trees"]])
+    assert kept[0].count() < 900 / 4 and kept[0].selectExpr("sum(length(y)) / 8").first()[0] == df.where("y is not null").count()
