@@ -135,3 +135,48 @@ def test_calibration_keeps_recall():
     p = net.probabilities(rows[1::2])
     assert (p[y[1::2] == 1] >= net.thresholds[0]).mean() >= 0.98 and (p[y[1::2] == 0] >= net.thresholds[0]).mean() <= 0.02
     assert abs(p.mean() - y[1::2].mean()) < 0.05  # calibrated
+
+
+def test_fit_learns_from_every_candidate(spark, folder, monkeypatch):
+    """All distinct findings and clean candidates teach or are held out, long ones too, in one shard or in many; no value is in both parts."""
+    rng = random.Random(5)
+    long = "".join(rng.choice(string.ascii_letters) for _ in range(9_000))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10_000, f"say {long} end")], "doc_id bigint, text string"))
+    looked = secretscan.look(docs)
+    want = {(x["left"], x["value"], x["right"]) for r in looked.collect() for x in r["cands"] if x["kind"] >= 0 or not r["spans"]}
+    monkeypatch.setattr(secretscan, "SHARD", 100)
+    rows = secretscan.examples(looked)
+    parts: dict = {}
+    for b in rows.toArrow().to_batches():
+        for i, (shard, coded, y, _, _) in enumerate(secretscan._decoded(b)):
+            parts.setdefault(shard, []).extend((ids.tobytes(), tags.tobytes(), label, b.column("held")[i].as_py()) for (ids, tags), label in zip(coded, y, strict=True))
+    got = {x[:2] for p in parts.values() for x in p}
+    assert len(parts) > 3 and all({0, 1} == {x[2] for x in p} for p in parts.values())
+    assert all(tuple(x.astype(np.uint8).tobytes() for x in secretscan.encode(*w)) in got for w in want)
+    value = lambda x: bytes(c for c, t in zip(x[0], x[1], strict=True) if t == 2)
+    assert not {value(x) for p in parts.values() for x in p if x[3]} & {value(x) for p in parts.values() for x in p if not x[3]}
+    by_id = {r["id"]: r["spans"] for r in secretscan.scan(looked, secretscan.fit(looked)).collect()}
+    n = len(some_texts())
+    assert all("model:" in by_id[n + k] for k in range(len(PLANTED))) and sum("model" in by_id[i] for i in range(90, 210)) <= 2
+
+
+def test_a_shard_is_trained_as_by_one_process(spark, folder):
+    rows = secretscan.examples(secretscan.look(spark.read.parquet(f"{folder}/documents.parquet")))
+    (one,) = [x for b in rows.where("not held").toArrow().to_batches() for x in secretscan._decoded(b)]
+    state, steps = secretscan.fresh_state()
+    weights = secretscan.balance(one[2])
+    got, n = secretscan._epoch(rows.where("not held"), state, steps, weights, 0, 1)
+    want, m = secretscan.one_epoch(state, steps, one[1], one[2], weights, 0, 1, one[0])
+    assert n == m and np.allclose(got, want, rtol=1e-3, atol=1e-5)
+
+
+def test_gradients_of_long_rows(monkeypatch):
+    """Gradients of a batch in pieces are those of the batch at once."""
+    rows, y, net = trained()
+    rows = [*rows[:5], secretscan.encode("left ", "aB3x" * 90, " right"), *rows[-5:]]
+    y, w = np.array([1] * 6 + [0] * 5), np.linspace(0.5, 1.5, 11)
+    whole = secretscan._batch_gradients(net, rows, y, w)
+    monkeypatch.setattr(secretscan, "PIECE", 50)
+    monkeypatch.setattr(secretscan, "PLACES", 200)
+    for a, b in zip(whole, secretscan._batch_gradients(net, rows, y, w), strict=True):
+        assert np.allclose(a, b, atol=1e-9)
