@@ -46,7 +46,7 @@ RECALL = 0.98
 #: Findings and clean candidates that a fit needs, and copies that are made of each in a shard.
 LEAST, VARIANTS = 10, 500
 PIECE, PLACES = 4_096, 65_536
-SEED, EPOCHS, BATCH = 13, 8, 64
+SEED, EPOCHS, BATCH, ALIKE = 13, 8, 64, 32
 KERNEL, DEPTH, FILTERS = 5, 12, 32
 
 
@@ -166,7 +166,9 @@ class Network:
         z = np.maximum(z, 0, out=z).reshape(*live.shape, FILTERS)
         if not live.all():
             z *= live[..., None]
-        return {"windows": windows, "z": z, "max": z.max(1), "sum": z.sum(1), "n": live.sum(1)}
+        top = z.argmax(1)
+        most = np.take_along_axis(z, top[:, None], 1)[:, 0]
+        return {"windows": windows, "z": z, "top": top, "max": most, "sum": np.ones(z.shape[1], z.dtype) @ z, "n": live.sum(1)}
 
     def logits(self, most: np.ndarray, mean: np.ndarray) -> np.ndarray:
         return np.hstack([most, mean]) @ self.weights[4] + self.weights[5]
@@ -187,8 +189,8 @@ class Network:
         return self.logits(*self.pooled(rows)[:2])
 
     def cut(self, logits: list[float]) -> float:
-        """The threshold that keeps the least of the logits; a half without one."""
-        return float(1 / (1 + np.exp(-np.clip(self.slope * min(logits) + self.offset, -40, 40)))) if len(logits) else 0.5
+        """The threshold that keeps the least of the logits, a hair below it, as its sums end otherwise in another batch; a half without one."""
+        return float(1 / (1 + np.exp(-np.clip(self.slope * min(logits) + self.offset, -40, 40)))) * (1 - 1e-9) if len(logits) else 0.5
 
     def probabilities(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(rows) + self.offset, -40, 40)))
@@ -241,8 +243,10 @@ def one_epoch(state: np.ndarray, steps: float, rows: list[tuple[np.ndarray, np.n
     net = Network(_views(p))  # views: they follow p
     rate = 4e-3 * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
     order = np.random.default_rng([SEED, epoch, shard]).permutation(len(rows))
+    lengths = np.array([len(r[0]) for r in rows])
     for at in range(0, len(order), BATCH):
         pick = order[at : at + BATCH]
+        pick = pick[np.argsort(lengths[pick], kind="stable")]
         grads = _batch_gradients(net, [rows[i] for i in pick], y[pick], weights[y[pick]] / len(pick))
         steps += 1
         g = np.concatenate([x.ravel() for x in grads]).astype(np.float32)
@@ -254,13 +258,17 @@ def one_epoch(state: np.ndarray, steps: float, rows: list[tuple[np.ndarray, np.n
 
 def _batch_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Gradients of the weighted loss of a batch; one whose rows are long is gone through twice, in chunks of bounded size."""
-    slope = lambda z: ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight).astype(net.weights[2].dtype)
+    slope = lambda z, of=slice(None): ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[of]) * weight[of]).astype(net.weights[2].dtype)
     longest = max(len(r[0]) for r in rows)
     if longest <= PIECE and longest * len(rows) <= PLACES:
-        ids, tags, lengths = padded(rows)
-        f = net.forward(ids, tags, lengths)
-        mean = f["sum"] / f["n"].astype(f["sum"].dtype)[:, None]
-        return _gradients(net, f, slope(net.logits(f["max"], mean)), mean, ids, tags)
+        sums = [np.zeros_like(w) for w in net.weights]
+        for at in range(0, len(rows), ALIKE):  # the rows come by length: little padding, small arrays
+            ids, tags, lengths = padded(rows[at : at + ALIKE])
+            f = net.forward(ids, tags, lengths)
+            mean = f["sum"] / f["n"].astype(f["sum"].dtype)[:, None]
+            part = _gradients(net, f, slope(net.logits(f["max"], mean), slice(at, at + ALIKE)), mean, ids, tags)
+            sums = [a + b for a, b in zip(sums, part, strict=True)]
+        return sums
     most, mean, count = net.pooled(rows)
     d, v = slope(net.logits(most, mean)), net.weights[4]
     sums = [np.zeros_like(w) for w in net.weights[:4]]
@@ -288,17 +296,15 @@ def _back(net: Network, f: dict, to_top: np.ndarray, to_each: np.ndarray, ids: n
     e, g, w = net.weights[:3]
     z = f["z"]
     dz = np.multiply(z > 0, to_each[:, None], dtype=w.dtype)
-    rows, cols = np.indices(f["max"].shape)
-    dz[rows, z.argmax(1), cols] += to_top * (f["max"] > 0)
+    dz[np.arange(len(z))[:, None], f["top"], np.arange(FILTERS)] += to_top * (f["max"] > 0)
     flat = dz.reshape(-1, FILTERS)
-    back = (flat @ w.T).reshape(*dz.shape[:2], KERNEL, DEPTH)
     dx = np.zeros((*ids.shape, DEPTH), w.dtype)
     for k in range(KERNEL):
-        dx[:, k : k + back.shape[1]] += back[:, :, k]
+        dx[:, k : k + dz.shape[1]] += (flat @ w[k * DEPTH : (k + 1) * DEPTH].T).reshape(*dz.shape[:2], DEPTH)
     at = (ids * len(g) + tags)[..., None] * DEPTH + np.arange(DEPTH)
     both = np.bincount(at.ravel(), dx.ravel(), len(e) * len(g) * DEPTH).reshape(len(e), len(g), DEPTH)
     both[0] = 0
-    return [both.sum(1), both.sum(0), f["windows"].T @ flat, flat.sum(0)]
+    return [both.sum(1), both.sum(0), f["windows"].T @ flat, np.ones(len(flat), w.dtype) @ flat]
 
 
 def platt(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
