@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,10 @@ from .common import scan_groups, stash
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
-_NAMES = re.compile("password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
+_NAMES = ("passw", "secret", "token", "api")
 _ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 _HEX = re.compile("[0-9a-f]{24,}")  # leftmost matches are whole runs, so this equals runs of 24 or more
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+_TOKEN = bytes(c in b"+/_.=-" or bytes([c]).isalnum() for c in range(256))
 _VALUE = re.compile(r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""")
 LEFT, RIGHT = 24, 8
 #: Distinct candidates of a shard, about, if they have 64 characters with their context; of fewer if they are longer.
@@ -45,31 +46,43 @@ SHARD = 8_192
 RECALL = 0.98
 #: Findings and clean candidates that a fit needs, and copies that are made of each in a shard.
 LEAST, VARIANTS = 10, 500
-PIECE, PLACES = 4_096, 65_536
-SEED, EPOCHS, BATCH, ALIKE = 13, 8, 64, 32
+PIECE, PLACES, AT_ONCE = 4_096, 65_536, 8_192
+SEED, EPOCHS, BATCH = 13, 8, 64
 KERNEL, DEPTH, FILTERS = 5, 12, 32
 
 
-def patterns(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of what the fixed patterns find, by start, then kind."""
+def tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of runs of 12 or more token characters, which are all ASCII: one byte a character tells them."""
+    inside = np.frombuffer(b"\0" + text.encode("latin-1", "replace").translate(_TOKEN) + b"\0", np.uint8)
+    turns = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
+    return turns[turns[:, 1] - turns[:, 0] >= 12].tolist()
+
+
+def patterns(text: str, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of what the fixed patterns find, by start, then kind. Texts that lack what a pattern needs are not searched for it."""
     found = []
-    if _NAMES.search(text):
+    runs = tokens(text) if runs is None else runs
+    low = text.lower() if ":" in text or "=" in text else ""
+    if any(name in low for name in _NAMES):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
-    found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
-    found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
+    for s, e in runs:  # hexadecimal digits are token characters, so each match lies in a run
+        if e - s >= 24:
+            found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text, s, e)]
     return sorted(found)
 
 
-def candidates(text: str) -> list[tuple[int, int, bool]]:
+def candidates(text: str, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, bool]]:
     """(start, end, keyed): values after a name, and token runs that hold no such value."""
-    keyed = [(m.start(1), m.end(1), True) for m in _VALUE.finditer(text)]
+    keyed = [(m.start(1), m.end(1), True) for m in _VALUE.finditer(text)] if ":" in text or "=" in text else []
     out, k = [], 0
-    for m in _TOKEN.finditer(text):
-        while k < len(keyed) and keyed[k][1] <= m.start():
+    for s, e in tokens(text) if runs is None else runs:
+        while k < len(keyed) and keyed[k][1] <= s:
             out.append(keyed[k])
             k += 1
-        if k == len(keyed) or keyed[k][0] >= m.end():
-            out.append((m.start(), m.end(), False))
+        if k == len(keyed) or keyed[k][0] >= e:
+            out.append((s, e, False))
     return out + keyed[k:]
 
 
@@ -96,23 +109,34 @@ _CANDIDATE = "struct<start:int,end:int,keyed:boolean,left:string,value:string,ri
 def _looked(batches):
     """One row a text: what the patterns find, and the candidates with their context; kind is the pattern that a candidate lies in, or -1."""
     for b in batches:
-        rows: dict[str, list] = {c: [] for c in ("spans", "n_assign", "n_access", "n_hex", "cands")}
+        counts: list[list[int]] = [[], [], []]
+        spans, cands = [[0], *([] for _ in _SPAN)], [[0], *([] for _ in _CAND)]
         for t in b.column(1).to_pylist():
             t = t or ""
-            base = patterns(t)
-            held = []
-            for (s, e, keyed), kind in zip(found := candidates(t), touched(found, base), strict=True):
-                held.append({"start": s, "end": e, "keyed": keyed, "left": t[max(0, s - LEFT) : s], "value": t[s:e], "right": t[e : e + RIGHT], "kind": kind})
-            rows["spans"].append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-            for k, c in enumerate(("n_assign", "n_access", "n_hex")):
-                rows[c].append(sum(x[1] == k for x in base))
-            rows["cands"].append(held)
-        made = [b.column(0), *[pa.array(rows[c], t) for c, t in (("spans", _SPAN_TYPE), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("cands", _CAND_TYPE))]]
-        yield pa.record_batch(made, names=["id", *rows])
+            runs = tokens(t)
+            base, found = patterns(t, runs), candidates(t, runs)
+            _append(spans, base)
+            _append(cands, [(s, e, keyed, t[max(0, s - LEFT) : s], t[s:e], t[e : e + RIGHT], kind) for (s, e, keyed), kind in zip(found, touched(found, base), strict=True)])
+            for k, c in enumerate(counts):
+                c.append(sum([x[1] == k for x in base]))
+        made = [b.column(0), _lists(spans, _SPAN), *[pa.array(c, pa.int64()) for c in counts], _lists(cands, _CAND)]
+        yield pa.record_batch(made, names=["id", "spans", "n_assign", "n_access", "n_hex", "cands"])
+
+
+_SPAN = {"start": pa.int32(), "kind": pa.int32(), "end": pa.int32()}
+_CAND = {"start": pa.int32(), "end": pa.int32(), "keyed": pa.bool_(), "left": pa.string(), "value": pa.string(), "right": pa.string(), "kind": pa.int32()}
 
 
-_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_CAND_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("keyed", pa.bool_()), ("left", pa.string()), ("value", pa.string()), ("right", pa.string()), ("kind", pa.int32())]))
+def _append(columns: list[list], rows: list[tuple]) -> None:
+    """One text's rows; the first column holds where each text's rows end."""
+    for column, values in zip(columns[1:], zip(*rows, strict=True), strict=False):
+        column += values
+    columns[0].append(columns[0][-1] + len(rows))
+
+
+def _lists(columns: list[list], kinds: dict[str, pa.DataType]) -> pa.Array:
+    fields = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns[1:], kinds.values(), strict=True)], names=list(kinds))
+    return pa.ListArray.from_arrays(pa.array(columns[0], pa.int32()), fields)
 
 
 def look(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,15 +147,26 @@ def look(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return stash(src.mapInArrow(_looked, schema), "secret-candidates")
 
 
+_CLASS = np.array([c - 31 if 32 <= c < 127 else 96 if 9 <= c <= 13 else 97 for c in range(128)], np.uint8)
+
+
 def encode(left: str, value: str, right: str) -> tuple[np.ndarray, np.ndarray]:
     """Character classes (1-95 printable ASCII, 96 white space, 97 other) and place tags (1 left, 2 value, 3 right)."""
-    text = np.frombuffer((left + value + right).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    ids = np.where((text >= 32) & (text < 127), text - 31, np.where((text >= 9) & (text <= 13), 96, 97))
-    tags = np.repeat([1, 2, 3], [len(left), len(value), len(right)])
-    return ids, tags
+    return encode_all([left], [value], [right])[0]
+
+
+def encode_all(left: list[str], value: list[str], right: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each candidate's classes and tags, found for all of them together."""
+    parts = [x for of in zip(left, value, right, strict=True) for x in of]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ids = _CLASS[np.minimum(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4"), 127)]
+    tags = np.repeat(np.tile(np.array([1, 2, 3], np.uint8), len(left)), sizes)
+    ends = np.cumsum(sizes)[2::3].tolist()
+    return [(ids[a:b], tags[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 SHAPES = [(98, DEPTH), (4, DEPTH), (KERNEL * DEPTH, FILTERS), (FILTERS,), (2 * FILTERS,), (1,)]
+_FAR = -1e9
 _ENDS = np.cumsum([int(np.prod(shape)) for shape in SHAPES])
 
 
@@ -154,27 +189,35 @@ class Network:
         return Network([rng.normal(0, s, shape) if s else np.zeros(shape) for shape, s in zip(SHAPES, spreads, strict=True)])
 
     def forward(self, ids: np.ndarray, tags: np.ndarray, lengths: np.ndarray) -> dict:
-        """ids and tags (row, place) padded with 0; lengths of the rows. Windows that begin beyond a row's last whole one are not looked at."""
+        """ids and tags (row, place) padded with 0; lengths of the rows. Windows that begin beyond a row's last whole one are not looked at.
+
+        The rows' places follow each other along the last axis, without the padding beyond KERNEL. A window has two values
+        more: 1, which the bias goes by, and 1 if it is not looked at, by which it ends far below 0.
+        """
         e, g, w, b, v, c = self.weights
         both = (e[:, None] + g).reshape(-1, DEPTH)
         both[: len(g)] = 0
-        x = both.take(ids * len(g) + tags, axis=0)
-        windows = np.lib.stride_tricks.sliding_window_view(x.reshape(len(x), -1), KERNEL * DEPTH, axis=1)[:, ::DEPTH].reshape(-1, KERNEL * DEPTH)
-        live = np.arange(ids.shape[1] - KERNEL + 1) < np.maximum(1, lengths - KERNEL + 1)[:, None]
-        z = windows @ w
-        z += b
-        z = np.maximum(z, 0, out=z).reshape(*live.shape, FILTERS)
-        if not live.all():
-            z *= live[..., None]
-        top = z.argmax(1)
-        most = np.take_along_axis(z, top[:, None], 1)[:, 0]
-        return {"windows": windows, "z": z, "top": top, "max": most, "sum": np.ones(z.shape[1], z.dtype) @ z, "n": live.sum(1)}
+        size = np.maximum(KERNEL, lengths)
+        codes = (ids * len(g) + tags)[np.arange(ids.shape[1]) < size[:, None]]
+        ends = np.cumsum(size)
+        x = np.ascontiguousarray(both.take(codes, axis=0).T)
+        windows = np.empty((KERNEL * DEPTH + 2, len(codes)), w.dtype)
+        for k in range(KERNEL):
+            windows[k * DEPTH : (k + 1) * DEPTH, : len(codes) - k] = x[:, k:]
+            windows[k * DEPTH : (k + 1) * DEPTH, len(codes) - k :] = 0
+        windows[-2:] = [[1], [0]]
+        windows[-1, (ends[:, None] - np.arange(1, KERNEL)).ravel()] = 1
+        z = np.vstack([w, b, np.full_like(b, _FAR)]).T @ windows
+        np.maximum(z, 0, out=z)
+        most, total = np.maximum.reduceat(z, ends - size, axis=1), np.add.reduceat(z, ends - size, axis=1)
+        return {"windows": windows, "codes": codes, "z": z, "size": size, "max": most.T, "sum": total.T, "n": size - KERNEL + 1}
 
     def logits(self, most: np.ndarray, mean: np.ndarray) -> np.ndarray:
         return np.hstack([most, mean]) @ self.weights[4] + self.weights[5]
 
     def pooled(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Largest and mean activations of encoded candidates, and their numbers of windows."""
+        keep_memory()
         kind = self.weights[2].dtype
         most, total, count = np.zeros((len(rows), FILTERS), kind), np.zeros((len(rows), FILTERS), kind), np.zeros(len(rows), kind)
         for of, places in chunks(rows):
@@ -197,24 +240,29 @@ class Network:
 
 
 def chunks(rows: list[tuple[np.ndarray, np.ndarray]]):
-    """(rows that they are of, padded places) of pieces of like length, about PLACES at a time; long rows are cut into pieces that overlap by a kernel less one, so that each window is seen once."""
+    """(rows that they are of, padded places) of pieces of like length, about AT_ONCE places at a time; long rows are cut into pieces that overlap by a kernel less one, so that each window is seen once."""
     pieces = [(i, ids[at : at + PIECE + KERNEL - 1], tags[at : at + PIECE + KERNEL - 1]) for i, (ids, tags) in enumerate(rows) for at in range(0, max(1, len(ids) - KERNEL + 1), PIECE)]
     pieces.sort(key=lambda p: len(p[1]))
     at = 0
     while at < len(pieces):
         end = at + 1
-        while end < len(pieces) and (end + 1 - at) * len(pieces[end][1]) <= PLACES:
+        while end < len(pieces) and (end + 1 - at) * len(pieces[end][1]) <= min(PLACES, AT_ONCE):
             end += 1
         yield np.array([p[0] for p in pieces[at:end]]), padded([p[1:] for p in pieces[at:end]])
         at = end
 
 
+def keep_memory() -> None:
+    """Freed arrays of up to this size stay with the process, which else gives them back and faults them in anew for every batch."""
+    np.empty(1 << 24, np.uint8)
+
+
 def padded(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(r[0]) for r in rows])
     ids = np.zeros((len(rows), max(KERNEL, lengths.max())), np.int64)
     tags = np.zeros_like(ids)
-    for i, (a, t) in enumerate(rows):
-        ids[i, : len(a)], tags[i, : len(t)] = a, t
+    real = np.arange(ids.shape[1]) < lengths[:, None]
+    ids[real], tags[real] = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     return ids, tags, lengths
 
 
@@ -239,6 +287,7 @@ def fresh_state() -> tuple[np.ndarray, int]:
 
 def one_epoch(state: np.ndarray, steps: float, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weights: np.ndarray, epoch: int, epochs: int, shard: int = 0) -> tuple[np.ndarray, float]:
     """The state after an epoch over the rows, in single precision."""
+    keep_memory()
     p, m1, m2 = state.astype(np.float32)
     net = Network(_views(p))  # views: they follow p
     rate = 4e-3 * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
@@ -258,28 +307,24 @@ def one_epoch(state: np.ndarray, steps: float, rows: list[tuple[np.ndarray, np.n
 
 def _batch_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Gradients of the weighted loss of a batch; one whose rows are long is gone through twice, in chunks of bounded size."""
-    slope = lambda z, of=slice(None): ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[of]) * weight[of]).astype(net.weights[2].dtype)
+    slope = lambda z: ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight).astype(net.weights[2].dtype)
     longest = max(len(r[0]) for r in rows)
     if longest <= PIECE and longest * len(rows) <= PLACES:
-        sums = [np.zeros_like(w) for w in net.weights]
-        for at in range(0, len(rows), ALIKE):  # the rows come by length: little padding, small arrays
-            ids, tags, lengths = padded(rows[at : at + ALIKE])
-            f = net.forward(ids, tags, lengths)
-            mean = f["sum"] / f["n"].astype(f["sum"].dtype)[:, None]
-            part = _gradients(net, f, slope(net.logits(f["max"], mean), slice(at, at + ALIKE)), mean, ids, tags)
-            sums = [a + b for a, b in zip(sums, part, strict=True)]
-        return sums
+        ids, tags, lengths = padded(rows)
+        f = net.forward(ids, tags, lengths)
+        mean = f["sum"] / f["n"].astype(f["sum"].dtype)[:, None]
+        return _gradients(net, f, slope(net.logits(f["max"], mean)), mean, ids, tags)
     most, mean, count = net.pooled(rows)
     d, v = slope(net.logits(most, mean)), net.weights[4]
     sums = [np.zeros_like(w) for w in net.weights[:4]]
     missing = np.ones(most.shape, bool)  # the largest activation is of one piece
-    for of, (ids, tags, lengths) in chunks(rows):
+    for of, (ids, tags, lengths) in chunks(rows):  # as pooled went through them, so that its largest activations are met again
         f = net.forward(ids, tags, lengths)
         own = np.zeros(f["max"].shape, bool)
         for j, i in enumerate(of):
             own[j] = missing[i] & (f["max"][j] == most[i])
             missing[i] &= ~own[j]
-        part = _back(net, f, d[of, None] * v[:FILTERS] * own, d[of, None] * v[FILTERS:] / count[of, None], ids, tags)
+        part = _back(net, f, d[of, None] * v[:FILTERS] * own, d[of, None] * v[FILTERS:] / count[of, None])
         sums = [a + b for a, b in zip(sums, part, strict=True)]
     return [*sums, np.hstack([most, mean]).T @ d, np.array([d.sum()])]
 
@@ -288,23 +333,27 @@ def _gradients(net: Network, f: dict, d: np.ndarray, mean: np.ndarray, ids: np.n
     """Gradients of the six weights, for d the loss's gradient by the logits."""
     v = net.weights[4]
     each = d[:, None] * v[FILTERS:] / f["n"].astype(v.dtype)[:, None]
-    return [*_back(net, f, d[:, None] * v[:FILTERS], each, ids, tags), np.hstack([f["max"], mean]).T @ d, np.array([d.sum()])]
+    return [*_back(net, f, d[:, None] * v[:FILTERS], each), np.hstack([f["max"], mean]).T @ d, np.array([d.sum()])]
 
 
-def _back(net: Network, f: dict, to_top: np.ndarray, to_each: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
+def _back(net: Network, f: dict, to_top: np.ndarray, to_each: np.ndarray) -> list[np.ndarray]:
     """Gradients of embeddings and convolution, for those of each row's largest activations and of all its activations."""
     e, g, w = net.weights[:3]
-    z = f["z"]
-    dz = np.multiply(z > 0, to_each[:, None], dtype=w.dtype)
-    dz[np.arange(len(z))[:, None], f["top"], np.arange(FILTERS)] += to_top * (f["max"] > 0)
-    flat = dz.reshape(-1, FILTERS)
-    dx = np.zeros((*ids.shape, DEPTH), w.dtype)
-    for k in range(KERNEL):
-        dx[:, k : k + dz.shape[1]] += (flat @ w[k * DEPTH : (k + 1) * DEPTH].T).reshape(*dz.shape[:2], DEPTH)
-    at = (ids * len(g) + tags)[..., None] * DEPTH + np.arange(DEPTH)
-    both = np.bincount(at.ravel(), dx.ravel(), len(e) * len(g) * DEPTH).reshape(len(e), len(g), DEPTH)
-    both[0] = 0
-    return [both.sum(1), both.sum(0), f["windows"].T @ flat, np.ones(len(flat), w.dtype) @ flat]
+    z, codes, size = f["z"], f["codes"], f["size"]
+    dz = np.multiply(z > 0, to_each.T.repeat(size, axis=1), dtype=w.dtype)
+    at = np.flatnonzero(z == np.where(f["max"] > 0, f["max"], np.nan).T.repeat(size, axis=1))
+    of = at // len(codes) * len(size) + np.arange(len(size)).repeat(size)[at % len(codes)]
+    first = np.diff(of, prepend=-1) != 0  # of a row's equally large activations the first counts
+    dz.ravel()[at[first]] += to_top.T.ravel()[of[first]]
+    dw = f["windows"] @ dz.T
+    dwindows = w @ dz
+    dx = dwindows[:DEPTH]
+    for k in range(1, KERNEL):
+        dx[:, k:] += dwindows[k * DEPTH : (k + 1) * DEPTH, : len(codes) - k]
+    size = len(e) * len(g)
+    both = np.bincount((codes + size * np.arange(DEPTH)[:, None]).ravel(), dx.ravel(), DEPTH * size).reshape(DEPTH, len(e), len(g))
+    both[:, 0] = 0
+    return [both.sum(2).T, both.sum(1).T, dw[:-2], dw[-2]]
 
 
 def platt(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -353,6 +402,7 @@ def enlarged(found: list[dict], clean: list[dict], rng: np.random.Generator) ->
     at least; clean values stand in capitals and under plain names, and numbers and dotted numbers in their places.
     """
     pick = lambda xs: xs[rng.integers(len(xs))]
+    draw = lambda xs, n: "".join([xs[k] for k in rng.integers(len(xs), size=n).tolist()])
     signs = [' = "', ": ", "=", ' : "', "='"]
     rows = [(x["left"], x["value"], x["right"], 1, x["keyed"], x["kind"]) for x in found] + [(x["left"], x["value"], x["right"], 0, x["keyed"], -1) for x in clean]
 
@@ -364,14 +414,14 @@ def enlarged(found: list[dict], clean: list[dict], rng: np.random.Generator) ->
     for x in found * -(-VARIANTS // len(found)):
         value = x["value"]
         if len(value) >= 16 and any(c.isdigit() for c in value):
-            chars = list(ALPHABETS[pick(sorted(ALPHABETS))])
-            other = "".join(pick(chars) for _ in range(int(rng.integers(20, 65))))
+            chars = ALPHABETS[pick(sorted(ALPHABETS))]
+            other = draw(chars, int(rng.integers(20, 65)))
             home = pick(clean)
             rows.append((home["left"], pick([value, other]), home["right"], 1, False, 10))
             rows.append(keyed(pick(clean), pick([*OTHER_NAMES, "token", "secret"]), other, 1, 11))
     for x in clean[: 2 * VARIANTS]:
-        digits = "".join(pick("0123456789") for _ in range(int(rng.integers(12, 21))))
-        dotted = ".".join(str(rng.integers(256)) for _ in range(4))
+        digits = draw("0123456789", int(rng.integers(12, 21)))
+        dotted = ".".join(map(str, rng.integers(256, size=4).tolist()))
         plain = pick([x["value"].upper(), x["value"].title(), digits, digits, dotted, x["value"] + digits[:2]])
         rows.append((x["left"], plain, x["right"], 0, False, -1))
         rows.append(((x["left"].upper(), x["value"].upper(), x["right"].upper(), 0, x["keyed"], -1)))
@@ -390,7 +440,7 @@ def _examples(t: pa.Table):
     held = np.array([int(hashlib.sha256(r[1].encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 4 == 0 for r in rows])
     for part in (False, True):
         mine = [r for r, h in zip(rows, held, strict=True) if h == part]
-        coded = [encode(*r[:3]) for r in mine]
+        coded = encode_all(*[[r[k] for r in mine] for k in range(3)])
         made = [np.array([r[i] for r in mine], np.uint8) for i in (3, 4)] + [np.array([r[5] for r in mine], "<i2"), np.array([len(c[0]) for c in coded], "<i4")]
         made += [np.concatenate([c[k] for c in coded] or [[]]).astype(np.uint8) for k in (0, 1)]
         cols = [pa.array([shard], pa.int32()), pa.array([part]), *[pa.array([x.tobytes()], pa.binary()) for x in made]]
@@ -489,13 +539,15 @@ def scan(looked: DataFrame, net: Network | None) -> DataFrame:
             base = [[(s["start"], s["kind"], s["end"]) for s in row] for row in b.column("spans").to_pylist()]
             added: list[list[tuple]] = [[] for _ in base]
             scores: list[list[float]] = [[] for _ in base]
-            if net is not None:
-                open_ = [(i, c) for i, row in enumerate(b.column("cands").to_pylist()) for c in row if c["kind"] < 0]
-                p = net.probabilities([encode(c["left"], c["value"], c["right"]) for _, c in open_]) if open_ else []
-                for (i, c), x in zip(open_, p, strict=True):
-                    if x >= net.thresholds[c["keyed"]]:
-                        added[i].append((c["start"], 3, c["end"]))
-                        scores[i].append(float(x))
+            cands = b.column("cands")
+            held = pa.table([pc.list_parent_indices(cands), *cands.flatten().flatten()], names=["row", *_CAND])
+            held = held.filter(pc.less(held["kind"], 0))
+            if net is not None and len(held):
+                p = net.probabilities(encode_all(*[held[c].to_pylist() for c in ("left", "value", "right")]))
+                for k in np.flatnonzero(p >= np.array(net.thresholds)[held["keyed"].to_numpy().astype(int)]):
+                    i = held["row"][k].as_py()
+                    added[i].append((held["start"][k].as_py(), 3, held["end"][k].as_py()))
+                    scores[i].append(float(p[k]))
             digests = [hashlib.sha256(spell(x).encode()).hexdigest() for x in base]
             spans = [spell(sorted(x + y)) for x, y in zip(base, added, strict=True)]
             made = [b.column("id"), *[b.column(c) for c in ("n_assign", "n_access", "n_hex")], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(scores, pa.list_(pa.float64()))]

@@ -180,3 +180,27 @@ def test_gradients_of_long_rows(monkeypatch):
     monkeypatch.setattr(secretscan, "PLACES", 200)
     for a, b in zip(whole, secretscan._batch_gradients(net, rows, y, w), strict=True):
         assert np.allclose(a, b, atol=1e-9)
+
+
+def test_tokens_and_skipped_patterns():
+    """Runs and matches are those of the expressions on the whole text, beyond Latin-1 and with lone surrogates too."""
+    rng = random.Random(9)
+    parts = ["漢字", "é", "\ud800", "𝄞", "?", " ", "\n", "a1b2c3", "ABC/def+", "api_KEY=", "toKen : ", "paſſword=", "AKIA", "0123456789abcdef" * 2, "x" * 11, "y" * 12, "K=", "-", "."]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert [tuple(x) for x in secretscan.tokens(text)] == [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", text)]
+        assert secretscan.patterns(text) == brute(text)
+
+
+def test_network_works_on_places_and_not_on_padding():
+    """Rows of unlike length follow each other: a batch costs as many windows as it has characters."""
+    rows, y, net = trained()
+    rows = [*rows[:3], secretscan.encode("", "abc", ""), secretscan.encode("left ", "aB3x" * 500, " right"), secretscan.encode("", "", "")]
+    f = net.forward(*secretscan.padded(rows))
+    assert f["windows"].shape[1] == sum(max(secretscan.KERNEL, len(r[0])) for r in rows)
+    for i, r in enumerate(rows):
+        alone = net.forward(*secretscan.padded([r]))
+        assert all(np.allclose(alone[k][0], f[k][i]) for k in ("max", "sum", "n"))
+    y, w = np.arange(6) % 2, np.linspace(0.5, 1.5, 6)
+    each = [secretscan._batch_gradients(net, [r], y[[i]], w[[i]]) for i, r in enumerate(rows)]
+    assert all(np.allclose(sum(x), g) for x, g in zip(zip(*each, strict=True), secretscan._batch_gradients(net, rows, y, w), strict=True))
