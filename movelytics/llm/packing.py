@@ -19,6 +19,7 @@ Other columns, whatever their names, are never read.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from bisect import bisect_left, insort
 from itertools import combinations
@@ -38,68 +39,84 @@ POPULATION, GENERATIONS, LEAST = 6, 8, 2
 MUTATED = 0.05
 EPOCHS = 3
 _CACHE = 400_000
-_BATCH, _JOINED = 1 << 22, 1 << 13
+_BATCH = 1 << 22
 _encoders: dict[str, "Encoder"] = {}
+#: What byte-level vocabularies write for each byte, and the end of the Latin letters, which are letters in every version of Unicode.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELT = {b: 256 + k for k, b in enumerate(sorted({*range(256)}.difference(_PRINTED)))}
+_LATIN_END = "\u0250"
+
+
+class _Memory(dict):
+    """What a function gives for strings; the first _CACHE of them that are not long are remembered."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.of(key)
+        if len(self) < _CACHE and len(key) < 64:
+            self[key] = value
+        return value
 
 
 class Encoder:
     """Byte-level BPE ids, as little-endian 32-bit numbers, of whole texts, by the tokenizer of a vocabulary file.
 
     The pre-tokenizer never joins a space that stands alone with what precedes it, so a text without double or final
-    spaces is a sequence of space-delimited chunks. The ids of the first _CACHE different chunks are remembered; those of
-    other ones are found together, by encoding the chunks as the lines of one text and cutting its ids at the line feeds.
+    spaces is a sequence of space-delimited chunks, whose ids are remembered. Most chunks are words of Latin letters with
+    ASCII punctuation behind, alone or as lines. The pre-tokenizer parts them just there, so the model alone is asked for such a
+    word; anything else is encoded as a text.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.bpe = Tokenizer.from_file(vocabulary)
         self.bpe.encode_special_tokens = True  # their strings in a text are ordinary text
-        (self.feed,) = self.bpe.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+        self.model, parts = self.bpe.model, self.bpe.pre_tokenizer
+        self.parted = isinstance(self.model, models.BPE) and self.bpe.normalizer is None and isinstance(parts, pre_tokenizers.ByteLevel) and parts.use_regex and not parts.add_prefix_space
+        self.number = [i.to_bytes(4, "little") for i in range(max(self.bpe.get_vocab().values()) + 1)]
+        self.known, self.words, self.others = _Memory(self._chunk), _Memory(self._word), _Memory(lambda text: self._whole([text])[0])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.bpe.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk with a space before it; none of them holds a line feed, which alone parts them in the joined text."""
-        out: list[bytes] = []
-        for at in range(0, len(chunks), _JOINED):
-            group = chunks[at : at + _JOINED]
-            ids = np.array(self.bpe.encode_batch_fast([" " + "\n ".join(group)], add_special_tokens=False)[0].ids, "<u4")
-            feeds = np.flatnonzero(ids == self.feed)
-            if len(feeds) != len(group) - 1:
-                raise ValueError("the vocabulary joins line feeds with what stands beside them")
-            out += [ids[i:j].tobytes() for i, j in zip([0, *(feeds + 1).tolist()], [*feeds.tolist(), len(ids)], strict=True)]
-        return out
+    def _word(self, word: str) -> bytes:
+        """Ids of letters with or without a space before them, which the pre-tokenizer never parts."""
+        spelt = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(_SPELT)
+        return b"".join([self.number[t.id] for t in self.model.tokenize(spelt)])
+
+    def _plain(self, line: str, before: str) -> bytes | None:
+        """Ids of a word of Latin letters and the ASCII punctuation behind it; None if the line is anything else."""
+        word = line.rstrip(string.punctuation)
+        if not word.isalpha() or not word.isascii() and max(word) >= _LATIN_END:
+            return None
+        ids = self.words[before + word]
+        return ids if len(word) == len(line) else ids + self.others[line[len(word) :]]
+
+    def _chunk(self, chunk: str, before: str = " ") -> bytes:
+        """Ids of a chunk with a space before it."""
+        if self.parted:
+            if "\n" not in chunk:
+                ids = self._plain(chunk, before)
+            else:
+                lines = [self._plain(x, "" if k else before) for k, x in enumerate(chunk.split("\n"))]
+                ids = None if None in lines else self.others["\n"].join(lines)
+            if ids is not None:
+                return ids
+        return self._whole([before + chunk])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole, parts, asked, known = [], [], set(), self.known
-        for i, text in enumerate(texts):
+        out: list[bytes] = []
+        for text in texts:
             if "  " in text or text[-1:].isspace() or not text.isprintable() and any(c.isspace() and c not in " \n" for c in set(text)):
-                whole.append(i)
-                continue
-            head, *chunks = text.split(" ")
-            ids = list(map(known.get, chunks))
-            gaps = [j for j, x in enumerate(ids) if x is None]
-            asked.update([chunks[j] for j in gaps])
-            parts.append((i, head, chunks, ids, gaps))
-        plain, lined = [c for c in asked if "\n" not in c], [c for c in asked if "\n" in c]
-        fresh = dict(zip(plain, self._together(plain), strict=True))
-        fresh.update(zip(lined, self._whole([f" {c}" for c in lined]), strict=True))
-        for first, (i, _, chunks, ids, gaps) in zip(self._whole([p[1] for p in parts]), parts, strict=True):
-            for j in gaps:
-                ids[j] = fresh[chunks[j]]
-            out[i] = first + b"".join(ids)
-        for c, x in fresh.items():
-            if len(known) >= _CACHE:
-                break
-            if len(c) < 64:
-                known[c] = x
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+                out += self._whole([text])
+            else:
+                head, *chunks = text.split(" ")
+                out.append(self._chunk(head, "") + b"".join(map(self.known.__getitem__, chunks)))
         return out
 
 

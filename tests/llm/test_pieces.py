@@ -120,6 +120,35 @@ def test_tokens():
     assert enc.encode([]) == [] and enc.encode([""]) == [b""]
 
 
+def test_plain_words_are_asked_of_the_model(monkeypatch):
+    """Words of Latin letters with marks behind, in lines too, have the ids of whole texts; the pre-tokenizer sees only what is left."""
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tk.encode_special_tokens = True
+    rng = random.Random(6)
+    draw = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 12)))
+    marks = ["", "", ".", ",", "...", "_", "!?", "'", "$$$", ".\n", "\n", ",\n"]
+    plain = [" ".join(draw("abcdefghijklmnopqrstuvwxyzABCéèäößñªµĀɏ") + rng.choice(marks) + draw("eta") for _ in range(60)) for _ in range(40)]
+    plain = [t if k % 2 else t.replace("\n", "") for k, t in enumerate(plain)]
+    odd = [" ".join(draw(letters) + rng.choice(marks) + draw(letters) for _ in range(30)) for letters in ("ɐaб", "漢a", "1a", "²aⅧ", "'sta", "a\u0301", "<|endoftxa>") for _ in range(20)]
+    enc = packing.Encoder(VOCABULARY)
+    every = [*plain, *odd, "<|endoftext|> a<|endoftext|> <|endoftext|>", "\nab c", "ab\n\ncd e", "ab \ncd e", "ab\n cd e"]
+    for size in (packing._CACHE, 20):
+        monkeypatch.setattr(packing, "_CACHE", size)
+        for t, ids in zip(every, packing.Encoder(VOCABULARY).encode(every), strict=True):
+            assert list(np.frombuffer(ids, "<u4")) == tk.encode(t, add_special_tokens=False).ids, repr(t)
+    seen = []
+    pipeline = enc.bpe
+
+    class Counted:
+        def encode_batch_fast(self, given, **how):
+            seen.extend(given)
+            return pipeline.encode_batch_fast(given, **how)
+
+    enc.bpe = Counted()
+    enc.encode([f"{a} {b}, {c}.\n{d}" for a, b, c, d in (["".join(rng.choice("etaoin") for _ in range(9)) for _ in range(4)] for _ in range(100))])
+    assert sum(map(len, seen)) < 10
+
+
 def check_packing(spark, docs, rows):
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = rows.toPandas()
