@@ -22,11 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ LEAST, VARIANTS = 10, 500
 PIECE, PLACES, AT_ONCE = 4_096, 65_536, 8_192
 SEED, EPOCHS, BATCH = 13, 8, 64
 KERNEL, DEPTH, FILTERS = 5, 12, 32
+#: Places that batches are planned for at a time, and places of a character whose gradients are added up at a time.
+AHEAD, SPAN = 65_536, 8
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -166,7 +170,8 @@ def encode_all(left: list[str], value: list[str], right: list[str]) -> list[tupl
 
 
 SHAPES = [(98, DEPTH), (4, DEPTH), (KERNEL * DEPTH, FILTERS), (FILTERS,), (2 * FILTERS,), (1,)]
-_FAR = -1e9
+#: Place tags, characters by tags, and what a window beyond its row's last one is worth.
+TAGS, CODES, _FAR = SHAPES[1][0], SHAPES[0][0] * SHAPES[1][0], -1e9
 _ENDS = np.cumsum([int(np.prod(shape)) for shape in SHAPES])
 
 
@@ -215,21 +220,28 @@ class Network:
     def logits(self, most: np.ndarray, mean: np.ndarray) -> np.ndarray:
         return np.hstack([most, mean]) @ self.weights[4] + self.weights[5]
 
-    def pooled(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Largest and mean activations of encoded candidates, and their numbers of windows."""
+    def pooled(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Largest and mean activations of encoded candidates, AT_ONCE places at a time; long ones are cut into pieces that overlap by a kernel less one."""
         keep_memory()
-        kind = self.weights[2].dtype
-        most, total, count = np.zeros((len(rows), FILTERS), kind), np.zeros((len(rows), FILTERS), kind), np.zeros(len(rows), kind)
-        for of, places in chunks(rows):
-            f = self.forward(*places)
-            np.maximum.at(most, of, f["max"])
-            np.add.at(total, of, f["sum"])
-            np.add.at(count, of, f["n"].astype(kind))
-        return most, total / np.maximum(1, count)[:, None], count
+        pieces = _pieces(rows)
+        of, cut = np.array([p[0] for p in pieces], int), [p[1:] for p in pieces]
+        size = np.array([max(KERNEL, len(p[0])) for p in cut])
+        order = np.argsort(-size, kind="stable")
+        at = (np.cumsum(size[order]) - 1) // min(PLACES, AT_ONCE)
+        picks = np.split(order, np.flatnonzero(np.diff(at)) + 1) if len(rows) else []
+        most, total = np.empty((2, len(cut), FILTERS), self.weights[2].dtype)
+        for pick, plan in zip(picks, _plans(cut, picks, False), strict=True):
+            _, tables = _tables(self, plan.alphabet)
+            most[pick], total[pick] = _pool(_activations(tables, plan.seen), plan.ranks)
+        count = size - KERNEL + 1.0
+        if len(cut) > len(rows):
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            most, total, count = np.maximum.reduceat(most, first), np.add.reduceat(total, first), np.add.reduceat(count, first)
+        return most, total / count.astype(total.dtype)[:, None]
 
     def raw(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Logits of encoded candidates."""
-        return self.logits(*self.pooled(rows)[:2])
+        return self.logits(*self.pooled(rows))
 
     def cut(self, logits: list[float]) -> float:
         """The threshold that keeps the least of the logits, a hair below it, as its sums end otherwise in another batch; a half without one."""
@@ -239,10 +251,13 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(rows) + self.offset, -40, 40)))
 
 
+def _pieces(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return [(i, ids[at : at + PIECE + KERNEL - 1], tags[at : at + PIECE + KERNEL - 1]) for i, (ids, tags) in enumerate(rows) for at in range(0, max(1, len(ids) - KERNEL + 1), PIECE)]
+
+
 def chunks(rows: list[tuple[np.ndarray, np.ndarray]]):
     """(rows that they are of, padded places) of pieces of like length, about AT_ONCE places at a time; long rows are cut into pieces that overlap by a kernel less one, so that each window is seen once."""
-    pieces = [(i, ids[at : at + PIECE + KERNEL - 1], tags[at : at + PIECE + KERNEL - 1]) for i, (ids, tags) in enumerate(rows) for at in range(0, max(1, len(ids) - KERNEL + 1), PIECE)]
-    pieces.sort(key=lambda p: len(p[1]))
+    pieces = sorted(_pieces(rows), key=lambda p: len(p[1]))
     at = 0
     while at < len(pieces):
         end = at + 1
@@ -293,10 +308,12 @@ def one_epoch(state: np.ndarray, steps: float, rows: list[tuple[np.ndarray, np.n
     rate = 4e-3 * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
     order = np.random.default_rng([SEED, epoch, shard]).permutation(len(rows))
     lengths = np.array([len(r[0]) for r in rows])
-    for at in range(0, len(order), BATCH):
-        pick = order[at : at + BATCH]
-        pick = pick[np.argsort(lengths[pick], kind="stable")]
-        grads = _batch_gradients(net, [rows[i] for i in pick], y[pick], weights[y[pick]] / len(pick))
+    picks = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
+    picks = [pick[np.argsort(-lengths[pick], kind="stable")] for pick in picks]
+    plans = _plans(rows, [pick for pick in picks if _short(lengths[pick])])
+    for pick in picks:
+        of = (y[pick], weights[y[pick]] / len(pick))
+        grads = _short_gradients(net, next(plans), *of) if _short(lengths[pick]) else _long_gradients(net, [rows[i] for i in pick], *of)
         steps += 1
         g = np.concatenate([x.ravel() for x in grads]).astype(np.float32)
         m1 += 0.1 * (g - m1)
@@ -306,19 +323,28 @@ def one_epoch(state: np.ndarray, steps: float, rows: list[tuple[np.ndarray, np.n
 
 
 def _batch_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the weighted loss of a batch; one whose rows are long is gone through twice, in chunks of bounded size."""
-    slope = lambda z: ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight).astype(net.weights[2].dtype)
-    longest = max(len(r[0]) for r in rows)
-    if longest <= PIECE and longest * len(rows) <= PLACES:
-        ids, tags, lengths = padded(rows)
-        f = net.forward(ids, tags, lengths)
-        mean = f["sum"] / f["n"].astype(f["sum"].dtype)[:, None]
-        return _gradients(net, f, slope(net.logits(f["max"], mean)), mean, ids, tags)
-    most, mean, count = net.pooled(rows)
-    d, v = slope(net.logits(most, mean)), net.weights[4]
+    """Gradients of the weighted loss of a batch."""
+    lengths = np.array([len(r[0]) for r in rows])
+    if not _short(lengths):
+        return _long_gradients(net, rows, y, weight)
+    order = np.argsort(-lengths, kind="stable")
+    return _short_gradients(net, next(_plans(rows, [order])), y[order], weight[order])
+
+
+def _long_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of a batch whose rows are long, which is gone through twice, in chunks of bounded size."""
+    most, total = np.zeros((2, len(rows), FILTERS), net.weights[2].dtype)
+    count = np.zeros(len(rows), most.dtype)
+    for of, places in chunks(rows):
+        f = net.forward(*places)
+        np.maximum.at(most, of, f["max"])
+        np.add.at(total, of, f["sum"])
+        np.add.at(count, of, f["n"].astype(most.dtype))
+    mean = total / np.maximum(1, count)[:, None]
+    d, v = _slopes(net.logits(most, mean), y, weight), net.weights[4]
     sums = [np.zeros_like(w) for w in net.weights[:4]]
     missing = np.ones(most.shape, bool)  # the largest activation is of one piece
-    for of, (ids, tags, lengths) in chunks(rows):  # as pooled went through them, so that its largest activations are met again
+    for of, (ids, tags, lengths) in chunks(rows):  # as before, so that the largest activations are met again
         f = net.forward(ids, tags, lengths)
         own = np.zeros(f["max"].shape, bool)
         for j, i in enumerate(of):
@@ -329,6 +355,171 @@ def _batch_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y:
     return [*sums, np.hstack([most, mean]).T @ d, np.array([d.sum()])]
 
 
+def _slopes(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weighted loss's gradient by the logits."""
+    return ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight).astype(z.dtype)
+
+
+@dataclass
+class Plan:
+    """Where a batch's windows and characters lie.
+
+    Its rows are dealt to pieces of equally many windows, every n-th window to one of a row's n pieces; windows beyond the
+    row's last one see no character. The rows' first pieces stand first, then the second ones of those that have one, and so on.
+    """
+
+    alphabet: np.ndarray  # character by tag, of the batch and of those near it
+    seen: np.ndarray  # (place in the kernel, window of a piece, piece): the character of the alphabet that is seen there, or its length
+    rows: np.ndarray  # of the pieces
+    ranks: list[int]  # how many rows have a first piece, a second one, ...
+    counts: np.ndarray  # windows of the rows
+    chars: np.ndarray | None = None  # characters, once for each SPAN places they stand at
+    windows: np.ndarray | None = None  # (SPAN, those characters by places in the kernel from the last): windows that see them there, a number beyond all windows for none
+
+
+def _short(lengths: np.ndarray) -> bool:
+    return lengths.max() <= PIECE and lengths.max() * len(lengths) <= PLACES
+
+
+def _plans(rows: list[tuple[np.ndarray, np.ndarray]], picks: list[np.ndarray], back: bool = True) -> Iterator[Plan]:
+    """The plan of each batch of the rows, which is in falling order of length; worked out for AHEAD places at a time. Without the way back it has no chars and windows."""
+    if not picks:
+        return
+    rows = [r if len(r[0]) >= KERNEL else tuple(np.pad(x, (0, KERNEL - len(x))) for x in r) for r in rows]
+    size = np.array([len(r[0]) for r in rows])
+    codes = np.concatenate([r[0] for r in rows]) * np.intp(TAGS) + np.concatenate([r[1] for r in rows])
+    used = np.bincount(codes, minlength=CODES) > 0
+    alphabet, codes = np.flatnonzero(used), (np.cumsum(used) - 1).take(codes)
+    start, held, places = np.cumsum(size) - size, [], 0
+    for k, pick in enumerate(picks):
+        held.append(pick)
+        places += size[pick].sum()
+        if places >= AHEAD or len(held) == 128 or k + 1 == len(picks):
+            yield from _planned(alphabet, codes, start, size, held, back)
+            held, places = [], 0
+
+
+def _planned(alphabet: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray, picks: list[np.ndarray], back: bool) -> list[Plan]:
+    none = len(alphabet)  # no character
+    of = np.concatenate(picks)
+    batch = np.repeat(np.arange(len(picks)), [len(p) for p in picks])  # of the rows
+    start, size = start[of], size[of]
+    begin, far = np.cumsum(size) - size, int(size.sum())
+    codes = np.append(codes[np.repeat(start - begin, size) + np.arange(far)], np.full(KERNEL, none))
+    counts = size - KERNEL + 1
+    width = min(range(8, 33), key=lambda n: (-(-counts // n)).sum() * (n + 1))
+    pieces = -(-counts // width)
+    rows = np.repeat(np.arange(len(of)), pieces)
+    rank = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    by = np.lexsort((rank, batch[rows]))
+    rows, rank = rows[by], rank[by]
+    place = np.arange(width)[:, None]
+    at = place * pieces[rows] + rank
+    at = np.where(at < counts[rows], begin[rows] + at, far)
+    seen = codes.take(at + np.arange(KERNEL)[:, None, None])
+
+    ends = np.cumsum(np.bincount(batch[rows]))  # of the batches' pieces
+    first = np.append(0, ends[:-1])
+    row = np.searchsorted(batch, np.arange(len(picks) + 1))
+    out = [
+        Plan(alphabet, seen[:, :, a:b], rows[a:b] - row[i], np.bincount(rank[a:b]).tolist(), counts[row[i] : row[i + 1]])
+        for i, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True))
+    ]
+    if not back:
+        return out
+    window = np.full(far + 2 * KERNEL - 1, 1 << 40)  # that begins at a place
+    window[at + KERNEL - 1] = place * (ends - first)[batch[rows]] + np.arange(len(rows)) - first[batch[rows]]
+    window[far + KERNEL - 1 :] = 1 << 40
+    key = np.repeat(batch, size) * (none + 1) + codes[:far]
+    order = np.append(np.argsort(key.astype(np.uint16), kind="stable"), far + KERNEL - 1)
+    key = key[order[:-1]]
+    runs = np.flatnonzero(np.diff(key, prepend=-1))
+    length = np.diff(runs, append=far)
+    spans = -(-length // SPAN)
+    inside = (np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)) * SPAN + np.arange(SPAN)[:, None]
+    where = order[np.where(inside < np.repeat(length, spans), np.repeat(runs, spans) + inside, -1)]
+    windows = sliding_window_view(window, KERNEL).take(where, axis=0)
+    key = np.repeat(key[runs], spans)
+    span = np.searchsorted(key, np.arange(len(picks) + 1) * (none + 1))
+    for i, (plan, a, b) in enumerate(zip(out, span[:-1], span[1:], strict=True)):
+        plan.chars, plan.windows = key[a:b] - i * (none + 1), windows[:, a:b].reshape(SPAN, -1)
+    return out
+
+
+def _tables(net: Network, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The alphabet's embeddings, and for each place in the kernel what its characters add to a window there; last comes no character."""
+    e, g, w, b, _, _ = net.weights
+    both = np.zeros((len(alphabet) + 1, DEPTH), w.dtype)
+    np.add(e.take(alphabet // TAGS, axis=0), g.take(alphabet % TAGS, axis=0), out=both[:-1])
+    both[:-1][alphabet < TAGS] = 0
+    tables = np.matmul(both, w.reshape(KERNEL, DEPTH, FILTERS))
+    tables[0] += b
+    tables[0, -1] = _FAR
+    return both, tables
+
+
+def _activations(tables: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """(window of a piece, piece, filter): sums over the places in the kernel, if above 0."""
+    z, other = np.empty((2, *seen.shape[1:], FILTERS), tables.dtype)
+    tables[0].take(seen[0], axis=0, out=z, mode="clip")
+    for table, codes in zip(tables[1:], seen[1:], strict=True):
+        z += table.take(codes, axis=0, out=other, mode="clip")
+    other.fill(0)
+    return np.maximum(z, other, out=z)  # an array's maximum with an array is faster than with a number
+
+
+def _pool(z: np.ndarray, ranks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Largest and summed activations of the rows."""
+    flat = z.reshape(len(z), -1)
+    largest, sums = flat.max(0).reshape(z.shape[1:]), flat.sum(0).reshape(z.shape[1:])
+    most, total, at = largest[: ranks[0]], sums[: ranks[0]], ranks[0]
+    for n in ranks[1:]:
+        np.maximum(most[:n], largest[at : at + n], out=most[:n])
+        total[:n] += sums[at : at + n]
+        at += n
+    return most, total
+
+
+def _short_gradients(net: Network, plan: Plan, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the six weights for a planned batch.
+
+    A window's value is the sum of its characters' entries in one table a place of the kernel, and gradients are added up
+    by character, SPAN at a time, before they are multiplied: no window's inputs are written down.
+    """
+    w, v = net.weights[2], net.weights[4]
+    both, tables = _tables(net, plan.alphabet)
+    z = _activations(tables, plan.seen)
+    most, mean = _pool(z, plan.ranks)
+    count = plan.counts.astype(w.dtype)[:, None]
+    mean /= count
+    d = _slopes(net.logits(most, mean), y, weight)
+    to_top, to_each = d[:, None] * v[:FILTERS], d[:, None] * v[FILTERS:] / count
+    dz = np.empty((z.size // FILTERS + 1, FILTERS), w.dtype)
+    dz[-1] = 0
+    np.multiply(z > 0, to_each.take(plan.rows, axis=0), out=dz[:-1].reshape(z.shape))
+    equal = z == np.where(most > 0, most, np.nan).take(plan.rows, axis=0)
+    eights = np.flatnonzero(equal.reshape(-1).view(np.uint64) != 0)
+    bits = np.flatnonzero(equal.reshape(-1, 8).take(eights, axis=0))
+    hits = eights[bits >> 3] * 8 + (bits & 7)
+    first = np.full(most.size, -1)  # of a row's equally large activations the first counts: it is written last
+    first[(plan.rows[:, None] * FILTERS + np.arange(FILTERS)).ravel()[hits[::-1] % (z.size // len(z))]] = hits[::-1]
+    has = np.flatnonzero(first >= 0)
+    dz.ravel()[first[has]] += to_top.ravel()[has]
+
+    sums, other = np.empty((2, plan.windows.shape[1], FILTERS), w.dtype)
+    dz.take(plan.windows[0], axis=0, out=sums, mode="clip")
+    for i in plan.windows[1:]:
+        sums += dz.take(i, axis=0, out=other, mode="clip")
+    sums = sums.reshape(-1, KERNEL * FILTERS)
+    dw = (both.take(plan.chars, axis=0).T @ sums).reshape(DEPTH, KERNEL, FILTERS)[:, ::-1].transpose(1, 0, 2).reshape(w.shape)
+    dx = sums @ w.reshape(KERNEL, DEPTH, FILTERS)[::-1].transpose(0, 2, 1).reshape(-1, DEPTH)
+    at = (plan.alphabet.take(plan.chars) * DEPTH)[:, None] + np.arange(DEPTH)
+    by_char = np.bincount(at.ravel(), dx.ravel(), CODES * DEPTH).reshape(-1, TAGS, DEPTH)
+    by_char[0] = 0
+    db = np.ones(len(sums), w.dtype) @ sums[:, -FILTERS:]  # each window begins at one character
+    return [np.einsum("egd->ed", by_char), by_char.sum(0), dw, db, np.append(d @ most, d @ mean), np.array([d.sum()])]
+
+
 def _gradients(net: Network, f: dict, d: np.ndarray, mean: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
     """Gradients of the six weights, for d the loss's gradient by the logits."""
     v = net.weights[4]
@@ -478,19 +669,24 @@ def examples(looked: DataFrame) -> DataFrame | None:
 
 
 def _epoch(taught: DataFrame, state: np.ndarray, steps: float, weights: np.ndarray, epoch: int, epochs: int) -> tuple[np.ndarray, float]:
-    """The mean of the states that the shards reach from the shared one; decimals, so that it does not depend on the order of the sum."""
+    """The mean of the states that the shards reach from the shared one; summed in whole numbers, a row for each value and task, so that it does not depend on the order."""
     shared = taught.sparkSession.sparkContext.broadcast((state, steps))
 
     def run(batches):
+        sums = np.zeros((2, state.size + 2), np.int64)
         for b in batches:
             for shard, rows, y, _, _ in _decoded(b):
                 if rows:
                     to, made = one_epoch(*shared.value, rows, y, weights, epoch, epochs, shard)
-                    values = len(rows) * np.append(np.append(to.ravel(), made), 1)
-                    yield pa.record_batch([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "x"])
-
-    sums = taught.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum(F.col("x").cast("decimal(28,18)")).cast("double").alias("x")).orderBy("i").collect()
-    values = np.array([r["x"] for r in sums])
+                    values = len(rows) * np.append(np.append(to.ravel(), made), 1) * 2.0**20
+                    whole = np.floor(values)
+                    sums += np.stack([whole, np.rint((values - whole) * 2.0**40)]).astype(np.int64)
+        yield pa.record_batch([pa.array(np.arange(sums.shape[1], dtype=np.int32)), *map(pa.array, sums)], names=["i", "whole", "rest"])
+
+    sums = taught.mapInArrow(run, "i int, whole bigint, rest bigint").groupBy("i").agg(F.sum("whole").alias("whole"), F.sum("rest").alias("rest")).collect()
+    values = np.empty(state.size + 2)
+    for r in sums:
+        values[r["i"]] = ((r["whole"] << 40) + r["rest"]) / 2**60
     shared.destroy()
     return (values[:-2] / values[-1]).reshape(state.shape), values[-2] / values[-1]
 
