@@ -24,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,8 @@ LEAST, VARIANTS = 10, 500
 PIECE, PLACES, AT_ONCE = 4_096, 65_536, 8_192
 SEED, EPOCHS, BATCH = 13, 8, 64
 KERNEL, DEPTH, FILTERS = 5, 12, 32
-#: Places that batches are planned for at a time, and places of a character whose gradients are added up at a time.
-AHEAD, SPAN = 65_536, 8
+#: Places that batches are planned for at a time, places of a character whose gradients are added up at a time, and shards that a task trains at a time.
+AHEAD, SPAN, IN_STEP = 65_536, 8, 4
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -138,6 +139,11 @@ def _append(columns: list[list], rows: list[tuple]) -> None:
     columns[0].append(columns[0][-1] + len(rows))
 
 
+def _flat(lists: pa.ListArray) -> list[np.ndarray]:
+    """The row that each struct in lists is of, and the structs' fields."""
+    return [x.to_numpy(zero_copy_only=False) for x in (pc.list_parent_indices(lists), *lists.flatten().flatten())]
+
+
 def _lists(columns: list[list], kinds: dict[str, pa.DataType]) -> pa.Array:
     fields = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns[1:], kinds.values(), strict=True)], names=list(kinds))
     return pa.ListArray.from_arrays(pa.array(columns[0], pa.int32()), fields)
@@ -230,9 +236,11 @@ class Network:
         at = (np.cumsum(size[order]) - 1) // min(PLACES, AT_ONCE)
         picks = np.split(order, np.flatnonzero(np.diff(at)) + 1) if len(rows) else []
         most, total = np.empty((2, len(cut), FILTERS), self.weights[2].dtype)
-        for pick, plan in zip(picks, _plans(cut, picks, False), strict=True):
-            _, tables = _tables(self, plan.alphabet)
-            most[pick], total[pick] = _pool(_activations(tables, plan.seen), plan.ranks)
+        tables = None
+        for plan in _plans(cut, [[(0, pick)] for pick in picks], 1, False):
+            if tables is None:
+                _, tables = _tables([w[None] for w in self.weights], plan.alphabet)
+            most[plan.of], total[plan.of] = _pool(_activations(tables, plan.seen), plan.ranks)
         count = size - KERNEL + 1.0
         if len(cut) > len(rows):
             first = np.flatnonzero(np.diff(of, prepend=-1))
@@ -302,33 +310,47 @@ def fresh_state() -> tuple[np.ndarray, int]:
 
 def one_epoch(state: np.ndarray, steps: float, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weights: np.ndarray, epoch: int, epochs: int, shard: int = 0) -> tuple[np.ndarray, float]:
     """The state after an epoch over the rows, in single precision."""
+    return next(shard_epochs(state, steps, [(shard, rows, y)], weights, epoch, epochs))
+
+
+def shard_epochs(state: np.ndarray, steps: float, shards: list[tuple[int, list[tuple[np.ndarray, np.ndarray]], np.ndarray]], weights: np.ndarray, epoch: int, epochs: int) -> Iterator[tuple[np.ndarray, float]]:
+    """The states of shards after an epoch, each from the same state by batches of its own; they go in step, so that a call of numpy serves all of them."""
     keep_memory()
-    p, m1, m2 = state.astype(np.float32)
-    net = Network(_views(p))  # views: they follow p
-    rate = 4e-3 * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
-    order = np.random.default_rng([SEED, epoch, shard]).permutation(len(rows))
+    order = sorted(range(len(shards)), key=lambda k: -len(shards[k][1]))  # those that still have batches come first
+    rows, y = [r for k in order for r in shards[k][1]], np.concatenate([shards[k][2] for k in order])
     lengths = np.array([len(r[0]) for r in rows])
-    picks = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
-    picks = [pick[np.argsort(-lengths[pick], kind="stable")] for pick in picks]
-    plans = _plans(rows, [pick for pick in picks if _short(lengths[pick])])
-    for pick in picks:
-        of = (y[pick], weights[y[pick]] / len(pick))
-        grads = _short_gradients(net, next(plans), *of) if _short(lengths[pick]) else _long_gradients(net, [rows[i] for i in pick], *of)
-        steps += 1
-        g = np.concatenate([x.ravel() for x in grads]).astype(np.float32)
-        m1 += 0.1 * (g - m1)
-        m2 += 0.001 * (g * g - m2)
-        p -= np.float32(rate / (1 - 0.9**steps)) * m1 / (np.sqrt(m2 / np.float32(1 - 0.999**steps)) + np.float32(1e-8))
-    return np.stack([p, m1, m2]).astype(float), steps
+    picks, at = [], 0
+    for shard, of, _ in (shards[k] for k in order):
+        mixed = at + np.random.default_rng([SEED, epoch, shard]).permutation(len(of))
+        picks.append([mixed[i : i + BATCH] for i in range(0, len(of), BATCH)])
+        at += len(of)
+    turns = [[(k, x[i]) for k, x in enumerate(picks) if i < len(x)] for i in range(len(picks[0]))]
+    long = [[(k, pick) for k, pick in turn if not _short(lengths[pick])] for turn in turns]
+    plans = _plans(rows, [[x for x in turn if all(x[0] != k for k, _ in apart)] for turn, apart in zip(turns, long, strict=True)], len(shards))
+    p, m1, m2 = state.astype(np.float32)[:, None].repeat(len(shards), axis=1)
+    rate = 4e-3 * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 1e-4
+    share = weights[y]
+    for pick in (pick for turn in turns for _, pick in turn):
+        share[pick] /= len(pick)
+    for i, (turn, apart, plan) in enumerate(zip(turns, long, plans, strict=True), 1):
+        n = len(turn)
+        net = [x.reshape(n, *shape) for x, shape in zip(np.split(p[:n], _ENDS[:-1], axis=1), SHAPES, strict=True)]
+        g = np.zeros((n, p.shape[1]), p.dtype) if plan is None else np.hstack([x.reshape(n, -1) for x in _short_gradients(net, plan, y[plan.of], share[plan.of])]).astype(p.dtype)
+        for k, pick in apart:
+            g[k] = np.concatenate([x.ravel() for x in _long_gradients(Network([x[k] for x in net]), [rows[r] for r in pick], y[pick], share[pick])])
+        m1[:n] += 0.1 * (g - m1[:n])
+        m2[:n] += 0.001 * (g * g - m2[:n])
+        p[:n] -= np.float32(rate / (1 - 0.9 ** (steps + i))) * m1[:n] / (np.sqrt(m2[:n] / np.float32(1 - 0.999 ** (steps + i))) + np.float32(1e-8))
+    for k in np.argsort(order):
+        yield np.stack([p[k], m1[k], m2[k]]).astype(float), steps + len(picks[k])
 
 
 def _batch_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Gradients of the weighted loss of a batch."""
-    lengths = np.array([len(r[0]) for r in rows])
-    if not _short(lengths):
+    if not _short(np.array([len(r[0]) for r in rows])):
         return _long_gradients(net, rows, y, weight)
-    order = np.argsort(-lengths, kind="stable")
-    return _short_gradients(net, next(_plans(rows, [order])), y[order], weight[order])
+    plan = next(_plans(rows, [[(0, np.arange(len(rows)))]], 1))
+    return [g[0] for g in _short_gradients([w[None] for w in net.weights], plan, y[plan.of], weight[plan.of])]
 
 
 def _long_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -362,18 +384,21 @@ def _slopes(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """Where a batch's windows and characters lie.
+    """Where the windows and characters of batches lie, of one for each network that is trained, which go through numpy as one.
 
-    Its rows are dealt to pieces of equally many windows, every n-th window to one of a row's n pieces; windows beyond the
+    Rows are dealt to pieces of equally many windows, every n-th window to one of a row's n pieces; windows beyond the
     row's last one see no character. The rows' first pieces stand first, then the second ones of those that have one, and so on.
     """
 
-    alphabet: np.ndarray  # character by tag, of the batch and of those near it
-    seen: np.ndarray  # (place in the kernel, window of a piece, piece): the character of the alphabet that is seen there, or its length
+    alphabet: np.ndarray  # character by tag, of these rows and of others; a network's last one is none
+    of: np.ndarray  # the rows, in falling order of length
+    nets: np.ndarray  # networks of the rows
+    seen: np.ndarray  # (place in the kernel, window of a piece, piece): the character that is seen there, counted through the networks
     rows: np.ndarray  # of the pieces
     ranks: list[int]  # how many rows have a first piece, a second one, ...
     counts: np.ndarray  # windows of the rows
     chars: np.ndarray | None = None  # characters, once for each SPAN places they stand at
+    cuts: list[int] | None = None  # where each network's chars end
     windows: np.ndarray | None = None  # (SPAN, those characters by places in the kernel from the last): windows that see them there, a number beyond all windows for none
 
 
@@ -381,56 +406,62 @@ def _short(lengths: np.ndarray) -> bool:
     return lengths.max() <= PIECE and lengths.max() * len(lengths) <= PLACES
 
 
-def _plans(rows: list[tuple[np.ndarray, np.ndarray]], picks: list[np.ndarray], back: bool = True) -> Iterator[Plan]:
-    """The plan of each batch of the rows, which is in falling order of length; worked out for AHEAD places at a time. Without the way back it has no chars and windows."""
-    if not picks:
-        return
+def _plans(rows: list[tuple[np.ndarray, np.ndarray]], turns: list[list[tuple[int, np.ndarray]]], nets: int, back: bool = True) -> Iterator[Plan | None]:
+    """The plan of each turn's batches, (network, rows), worked out for AHEAD places at a time; None for none. Without the way back it has no chars, cuts and windows."""
     rows = [r if len(r[0]) >= KERNEL else tuple(np.pad(x, (0, KERNEL - len(x))) for x in r) for r in rows]
     size = np.array([len(r[0]) for r in rows])
-    codes = np.concatenate([r[0] for r in rows]) * np.intp(TAGS) + np.concatenate([r[1] for r in rows])
+    codes = np.concatenate([r[0] for r in rows] or [np.zeros(0, np.uint8)]) * np.intp(TAGS) + np.concatenate([r[1] for r in rows] or [[]])
+    codes = codes.astype(np.intp, copy=False)
     used = np.bincount(codes, minlength=CODES) > 0
     alphabet, codes = np.flatnonzero(used), (np.cumsum(used) - 1).take(codes)
     start, held, places = np.cumsum(size) - size, [], 0
-    for k, pick in enumerate(picks):
-        held.append(pick)
-        places += size[pick].sum()
-        if places >= AHEAD or len(held) == 128 or k + 1 == len(picks):
-            yield from _planned(alphabet, codes, start, size, held, back)
+    for k, turn in enumerate(turns):
+        held.append(turn)
+        places += sum(size[pick].sum() for _, pick in turn)
+        if places >= AHEAD or (len(held) + 1) * nets * (len(alphabet) + 1) > 1 << 16 or k + 1 == len(turns):
+            planned = iter(_planned(alphabet, codes, start, size, [x for x in held if x], nets, back) if any(held) else [])
+            yield from [next(planned) if x else None for x in held]
             held, places = [], 0
 
 
-def _planned(alphabet: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray, picks: list[np.ndarray], back: bool) -> list[Plan]:
+def _planned(alphabet: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray, turns: list[list[tuple[int, np.ndarray]]], nets: int, back: bool) -> list[Plan]:
     none = len(alphabet)  # no character
-    of = np.concatenate(picks)
-    batch = np.repeat(np.arange(len(picks)), [len(p) for p in picks])  # of the rows
+    of = np.concatenate([pick for turn in turns for _, pick in turn])
+    sizes = [len(pick) for turn in turns for _, pick in turn]
+    turn = np.repeat(np.repeat(np.arange(len(turns)), [len(x) for x in turns]), sizes)  # of the rows
+    net = np.repeat([k for x in turns for k, _ in x], sizes)
+    by = np.lexsort((-size[of], turn))
+    of, net = of[by], net[by]
     start, size = start[of], size[of]
     begin, far = np.cumsum(size) - size, int(size.sum())
-    codes = np.append(codes[np.repeat(start - begin, size) + np.arange(far)], np.full(KERNEL, none))
+    codes = codes[np.repeat(start - begin, size) + np.arange(far)]
+    if nets > 1:
+        codes += np.repeat(net * (none + 1), size)
+    codes = np.append(codes, np.full(KERNEL, none))
     counts = size - KERNEL + 1
     width = min(range(8, 33), key=lambda n: (-(-counts // n)).sum() * (n + 1))
     pieces = -(-counts // width)
     rows = np.repeat(np.arange(len(of)), pieces)
     rank = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    by = np.lexsort((rank, batch[rows]))
+    by = np.lexsort((rank, turn[rows]))
     rows, rank = rows[by], rank[by]
     place = np.arange(width)[:, None]
     at = place * pieces[rows] + rank
     at = np.where(at < counts[rows], begin[rows] + at, far)
     seen = codes.take(at + np.arange(KERNEL)[:, None, None])
 
-    ends = np.cumsum(np.bincount(batch[rows]))  # of the batches' pieces
+    ends = np.cumsum(np.bincount(turn[rows]))  # of the turns' pieces
     first = np.append(0, ends[:-1])
-    row = np.searchsorted(batch, np.arange(len(picks) + 1))
-    out = [
-        Plan(alphabet, seen[:, :, a:b], rows[a:b] - row[i], np.bincount(rank[a:b]).tolist(), counts[row[i] : row[i + 1]])
-        for i, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True))
-    ]
+    row = np.searchsorted(turn, np.arange(len(turns) + 1)).tolist()
+    out = []
+    for a, b, c, d in zip(first.tolist(), ends.tolist(), row[:-1], row[1:], strict=True):
+        out.append(Plan(alphabet, of[c:d], net[c:d], seen[:, :, a:b], rows[a:b] - c, np.bincount(rank[a:b]).tolist(), counts[c:d]))
     if not back:
         return out
     window = np.full(far + 2 * KERNEL - 1, 1 << 40)  # that begins at a place
-    window[at + KERNEL - 1] = place * (ends - first)[batch[rows]] + np.arange(len(rows)) - first[batch[rows]]
+    window[at + KERNEL - 1] = place * (ends - first)[turn[rows]] + np.arange(len(rows)) - first[turn[rows]]
     window[far + KERNEL - 1 :] = 1 << 40
-    key = np.repeat(batch, size) * (none + 1) + codes[:far]
+    key = np.repeat(turn * (nets * (none + 1)), size) + codes[:far]
     order = np.append(np.argsort(key.astype(np.uint16), kind="stable"), far + KERNEL - 1)
     key = key[order[:-1]]
     runs = np.flatnonzero(np.diff(key, prepend=-1))
@@ -440,22 +471,23 @@ def _planned(alphabet: np.ndarray, codes: np.ndarray, start: np.ndarray, size: n
     where = order[np.where(inside < np.repeat(length, spans), np.repeat(runs, spans) + inside, -1)]
     windows = sliding_window_view(window, KERNEL).take(where, axis=0)
     key = np.repeat(key[runs], spans)
-    span = np.searchsorted(key, np.arange(len(picks) + 1) * (none + 1))
-    for i, (plan, a, b) in enumerate(zip(out, span[:-1], span[1:], strict=True)):
-        plan.chars, plan.windows = key[a:b] - i * (none + 1), windows[:, a:b].reshape(SPAN, -1)
+    cuts = np.searchsorted(key, np.arange(len(turns) * nets + 1) * (none + 1)).tolist()
+    for i, plan in enumerate(out):
+        a, *ends = cuts[i * nets : (i + 1) * nets + 1]
+        plan.chars, plan.cuts, plan.windows = key[a : ends[-1]] - i * nets * (none + 1), [x - a for x in ends], windows[:, a : ends[-1]].reshape(SPAN, -1)
     return out
 
 
-def _tables(net: Network, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The alphabet's embeddings, and for each place in the kernel what its characters add to a window there; last comes no character."""
-    e, g, w, b, _, _ = net.weights
-    both = np.zeros((len(alphabet) + 1, DEPTH), w.dtype)
-    np.add(e.take(alphabet // TAGS, axis=0), g.take(alphabet % TAGS, axis=0), out=both[:-1])
-    both[:-1][alphabet < TAGS] = 0
-    tables = np.matmul(both, w.reshape(KERNEL, DEPTH, FILTERS))
-    tables[0] += b
-    tables[0, -1] = _FAR
-    return both, tables
+def _tables(weights: list[np.ndarray], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings of the alphabet and of no character for each network, and for each place in the kernel what they add to a window there."""
+    e, g, w, b, _, _ = weights
+    both = np.zeros((len(w), len(alphabet) + 1, DEPTH), w.dtype)
+    np.add(e.take(alphabet // TAGS, axis=1), g.take(alphabet % TAGS, axis=1), out=both[:, :-1])
+    both[:, :-1][:, alphabet < TAGS] = 0
+    tables = np.matmul(both, w.reshape(-1, KERNEL, DEPTH, FILTERS).swapaxes(0, 1))
+    tables[0] += b[:, None]
+    tables[0, :, -1] = _FAR
+    return both.reshape(-1, DEPTH), tables.reshape(KERNEL, -1, FILTERS)
 
 
 def _activations(tables: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -480,44 +512,52 @@ def _pool(z: np.ndarray, ranks: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return most, total
 
 
-def _short_gradients(net: Network, plan: Plan, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the six weights for a planned batch.
+def _short_gradients(weights: list[np.ndarray], plan: Plan, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the six weights of each network for its planned batch.
 
     A window's value is the sum of its characters' entries in one table a place of the kernel, and gradients are added up
     by character, SPAN at a time, before they are multiplied: no window's inputs are written down.
     """
-    w, v = net.weights[2], net.weights[4]
-    both, tables = _tables(net, plan.alphabet)
+    w, v = weights[2], weights[4].take(plan.nets, axis=0)
+    both, tables = _tables(weights, plan.alphabet)
     z = _activations(tables, plan.seen)
     most, mean = _pool(z, plan.ranks)
     count = plan.counts.astype(w.dtype)[:, None]
     mean /= count
-    d = _slopes(net.logits(most, mean), y, weight)
-    to_top, to_each = d[:, None] * v[:FILTERS], d[:, None] * v[FILTERS:] / count
+    pooled = np.hstack([most, mean])
+    d = _slopes(np.einsum("rf,rf->r", pooled, v) + weights[5].take(plan.nets), y, weight)
+    to_all = d[:, None] * v
     dz = np.empty((z.size // FILTERS + 1, FILTERS), w.dtype)
     dz[-1] = 0
-    np.multiply(z > 0, to_each.take(plan.rows, axis=0), out=dz[:-1].reshape(z.shape))
+    np.multiply(z > 0, (to_all[:, FILTERS:] / count).take(plan.rows, axis=0), out=dz[:-1].reshape(z.shape))
     equal = z == np.where(most > 0, most, np.nan).take(plan.rows, axis=0)
     eights = np.flatnonzero(equal.reshape(-1).view(np.uint64) != 0)
     bits = np.flatnonzero(equal.reshape(-1, 8).take(eights, axis=0))
-    hits = eights[bits >> 3] * 8 + (bits & 7)
+    hits = (eights.take(bits >> 3) * 8 + (bits & 7))[::-1]
     first = np.full(most.size, -1)  # of a row's equally large activations the first counts: it is written last
-    first[(plan.rows[:, None] * FILTERS + np.arange(FILTERS)).ravel()[hits[::-1] % (z.size // len(z))]] = hits[::-1]
+    first[(plan.rows[:, None] * FILTERS + np.arange(FILTERS)).ravel().take(hits % (z.size // len(z)))] = hits
     has = np.flatnonzero(first >= 0)
-    dz.ravel()[first[has]] += to_top.ravel()[has]
+    dz.ravel()[first[has]] += to_all[:, :FILTERS].ravel()[has]
 
     sums, other = np.empty((2, plan.windows.shape[1], FILTERS), w.dtype)
     dz.take(plan.windows[0], axis=0, out=sums, mode="clip")
     for i in plan.windows[1:]:
         sums += dz.take(i, axis=0, out=other, mode="clip")
     sums = sums.reshape(-1, KERNEL * FILTERS)
-    dw = (both.take(plan.chars, axis=0).T @ sums).reshape(DEPTH, KERNEL, FILTERS)[:, ::-1].transpose(1, 0, 2).reshape(w.shape)
-    dx = sums @ w.reshape(KERNEL, DEPTH, FILTERS)[::-1].transpose(0, 2, 1).reshape(-1, DEPTH)
-    at = (plan.alphabet.take(plan.chars) * DEPTH)[:, None] + np.arange(DEPTH)
-    by_char = np.bincount(at.ravel(), dx.ravel(), CODES * DEPTH).reshape(-1, TAGS, DEPTH)
-    by_char[0] = 0
-    db = np.ones(len(sums), w.dtype) @ sums[:, -FILTERS:]  # each window begins at one character
-    return [np.einsum("egd->ed", by_char), by_char.sum(0), dw, db, np.append(d @ most, d @ mean), np.array([d.sum()])]
+    x, dx = both.take(plan.chars, axis=0), np.empty((len(sums), DEPTH), w.dtype)
+    dw, db = np.empty((len(w), DEPTH, KERNEL, FILTERS), w.dtype), np.empty((len(w), FILTERS), w.dtype)
+    to_x = w.reshape(-1, KERNEL, DEPTH, FILTERS)[:, ::-1].swapaxes(2, 3).reshape(-1, KERNEL * FILTERS, DEPTH)
+    a = 0
+    for k, b in enumerate(plan.cuts[: len(w)]):
+        np.matmul(x[a:b].T, sums[a:b], out=dw[k].reshape(DEPTH, -1))
+        np.matmul(sums[a:b], to_x[k], out=dx[a:b])
+        np.matmul(np.ones(b - a, w.dtype), sums[a:b, -FILTERS:], out=db[k])  # each window begins at one character
+        a = b
+    place = (np.arange(len(w))[:, None] * CODES + np.append(plan.alphabet, 0)).ravel().take(plan.chars)
+    by_char = np.bincount((place[:, None] * DEPTH + np.arange(DEPTH)).ravel(), dx.ravel(), len(w) * CODES * DEPTH).reshape(len(w), -1, TAGS, DEPTH)
+    by_char[:, 0] = 0
+    own = (plan.nets == np.arange(len(w))[:, None]) * d
+    return [np.einsum("kegd->ked", by_char), by_char.sum(1), dw[:, :, ::-1].swapaxes(1, 2).reshape(w.shape), db, own @ pooled, own.sum(1)[:, None]]
 
 
 def _gradients(net: Network, f: dict, d: np.ndarray, mean: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
@@ -626,9 +666,10 @@ _EXAMPLES = "shard int, held boolean, y binary, keyed binary, kinds binary, leng
 def _examples(t: pa.Table):
     """A shard's candidates and their copies, encoded: a row of those that teach, and one of those held out. By value, so that no value is in both."""
     shard = t.column("shard")[0].as_py()
-    of = t.select(["left", "value", "right", "kind", "keyed"]).to_pylist()
+    names = ["left", "value", "right", "kind", "keyed"]
+    of = [dict(zip(names, x, strict=True)) for x in zip(*[t.column(c).to_numpy().tolist() for c in names], strict=True)]
     rows = enlarged([x for x in of if x["kind"] >= 0], [x for x in of if x["kind"] < 0], np.random.default_rng([SEED, shard]))
-    held = np.array([int(hashlib.sha256(r[1].encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 4 == 0 for r in rows])
+    held = np.array([hashlib.sha256(r[1].encode("utf-8", "surrogatepass")).digest()[3] % 4 == 0 for r in rows])
     for part in (False, True):
         mine = [r for r, h in zip(rows, held, strict=True) if h == part]
         coded = encode_all(*[[r[k] for r in mine] for k in range(3)])
@@ -675,9 +716,9 @@ def _epoch(taught: DataFrame, state: np.ndarray, steps: float, weights: np.ndarr
     def run(batches):
         sums = np.zeros((2, state.size + 2), np.int64)
         for b in batches:
-            for shard, rows, y, _, _ in _decoded(b):
-                if rows:
-                    to, made = one_epoch(*shared.value, rows, y, weights, epoch, epochs, shard)
+            shards = (x[:3] for x in _decoded(b) if x[1])
+            while some := list(islice(shards, IN_STEP)):
+                for (_, rows, _), (to, made) in zip(some, shard_epochs(*shared.value, some, weights, epoch, epochs), strict=True):
                     values = len(rows) * np.append(np.append(to.ravel(), made), 1) * 2.0**20
                     whole = np.floor(values)
                     sums += np.stack([whole, np.rint((values - whole) * 2.0**40)]).astype(np.int64)
@@ -732,14 +773,16 @@ def scan(looked: DataFrame, net: Network | None) -> DataFrame:
     def run(batches):
         net = shared.value
         for b in batches:
-            base = [[(s["start"], s["kind"], s["end"]) for s in row] for row in b.column("spans").to_pylist()]
+            base: list[list[tuple]] = [[] for _ in range(b.num_rows)]
+            for i, *span in zip(*[x.tolist() for x in _flat(b.column("spans"))], strict=True):
+                base[i].append(tuple(span))
             added: list[list[tuple]] = [[] for _ in base]
             scores: list[list[float]] = [[] for _ in base]
             cands = b.column("cands")
             held = pa.table([pc.list_parent_indices(cands), *cands.flatten().flatten()], names=["row", *_CAND])
             held = held.filter(pc.less(held["kind"], 0))
             if net is not None and len(held):
-                p = net.probabilities(encode_all(*[held[c].to_pylist() for c in ("left", "value", "right")]))
+                p = net.probabilities(encode_all(*[held[c].to_numpy().tolist() for c in ("left", "value", "right")]))
                 for k in np.flatnonzero(p >= np.array(net.thresholds)[held["keyed"].to_numpy().astype(int)]):
                     i = held["row"][k].as_py()
                     added[i].append((held["start"][k].as_py(), 3, held["end"][k].as_py()))

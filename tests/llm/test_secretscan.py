@@ -204,3 +204,50 @@ def test_network_works_on_places_and_not_on_padding():
     y, w = np.arange(6) % 2, np.linspace(0.5, 1.5, 6)
     each = [secretscan._batch_gradients(net, [r], y[[i]], w[[i]]) for i, r in enumerate(rows)]
     assert all(np.allclose(sum(x), g) for x, g in zip(zip(*each, strict=True), secretscan._batch_gradients(net, rows, y, w), strict=True))
+
+
+def test_gradients_by_character():
+    """Gradients from tables of characters are those of the windows written down; empty, short and repeating rows too."""
+    rows, y, net = trained()
+    rng = np.random.default_rng(0)
+    odd = [secretscan.encode("", "", ""), secretscan.encode("", "ab", ""), secretscan.encode("aaa ", "aB" * 300, ""), secretscan.encode("é\n", "x" * 14, "\x7f")]
+    for n in (1, 3, 64):
+        at = rng.permutation(len(rows))[:n]
+        batch, labels, w = [*[rows[i] for i in at], *odd[: n - 1]], np.append(y[at], [1, 0, 1, 0][: n - 1]), rng.random(n + min(4, n - 1))
+        ids, tags, lengths = secretscan.padded(batch)
+        f = net.forward(ids, tags, lengths)
+        mean = f["sum"] / f["n"][:, None]
+        z = net.logits(f["max"], mean)
+        want = secretscan._gradients(net, f, (1 / (1 + np.exp(-z)) - labels) * w, mean, ids, tags)
+        assert all(a.shape == b.shape and np.allclose(a, b, atol=1e-11) for a, b in zip(secretscan._batch_gradients(net, batch, labels, w), want, strict=True))
+        assert np.allclose(net.raw(batch), z, atol=1e-11)
+
+
+def test_shards_in_step(monkeypatch):
+    """Shards that a task trains together reach the states that they reach alone, of unlike size and with long rows among them."""
+    rows, y, _ = trained()
+    monkeypatch.setattr(secretscan, "PIECE", 400)
+    monkeypatch.setattr(secretscan, "AHEAD", 3_000)
+    long = [secretscan.encode("left ", "aB3" * 200, " right"), secretscan.encode("say ", "etaoin" * 150, " end")]
+    shards = [(3, rows[:70], y[:70]), (0, rows[100:290], y[100:290]), (7, [*rows[150:180], *long], np.append(y[150:180], [1, 0])), (8, rows[:1], y[:1])]
+    state, steps = secretscan.fresh_state()
+    weights = np.array([0.8, 1.2])
+    got = list(secretscan.shard_epochs(state, steps + 5, shards, weights, 1, 4))
+    for (shard, of, labels), (to, made) in zip(shards, got, strict=True):
+        want, n = secretscan.one_epoch(state, steps + 5, of, labels, weights, 1, 4, shard)
+        assert made == n == 5 + -(-len(of) // secretscan.BATCH) and np.allclose(to, want, rtol=1e-3, atol=1e-5)
+
+
+def test_a_task_returns_one_state(spark, folder, monkeypatch):
+    """What a task returns, and the exchange after it, does not grow with its shards; the mean does not depend on how they are dealt to tasks."""
+    monkeypatch.setattr(secretscan, "SHARD", 100)
+    taught = secretscan.examples(secretscan.look(spark.read.parquet(f"{folder}/documents.parquet"))).where("not held")
+    state, steps = secretscan.fresh_state()
+    frame, kept = type(taught), []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a: kept.append(secretscan.stash(plain(self, *a), "states")) or kept[-1])
+    one, made = secretscan._epoch(taught.coalesce(1), state, steps, np.ones(2), 0, 1)
+    assert taught.count() > 3 and kept[0].count() == state.size + 2
+    monkeypatch.setattr(secretscan, "IN_STEP", 1)
+    many, n = secretscan._epoch(taught.repartition(5), state, steps, np.ones(2), 0, 1)
+    assert made == n and np.allclose(one, many, rtol=1e-3, atol=1e-6)
