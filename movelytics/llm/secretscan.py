@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
 
@@ -53,7 +53,7 @@ PIECE, PLACES, AT_ONCE = 4_096, 65_536, 8_192
 SEED, EPOCHS, BATCH = 13, 8, 64
 KERNEL, DEPTH, FILTERS = 5, 12, 32
 #: Places that batches are planned for at a time, places of a character whose gradients are added up at a time, and shards that a task trains at a time.
-AHEAD, SPAN, IN_STEP = 65_536, 8, 4
+AHEAD, SPAN, IN_STEP = 65_536, 8, 2
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -160,19 +160,43 @@ def look(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 _CLASS = np.array([c - 31 if 32 <= c < 127 else 96 if 9 <= c <= 13 else 97 for c in range(128)], np.uint8)
 
 
+class Rows(Sequence):
+    """Encoded candidates, (classes, tags) of each, which lie one behind another."""
+
+    def __init__(self, ids: np.ndarray, tags: np.ndarray, sizes: np.ndarray):
+        self.ids, self.tags, self.sizes, self.ends = ids, tags, sizes, np.cumsum(sizes)
+
+    @staticmethod
+    def joined(parts: list[Rows]) -> Rows:
+        return Rows(*[np.concatenate([getattr(x, c) for x in parts]) for c in ("ids", "tags", "sizes")])
+
+    @staticmethod
+    def of(rows: Sequence[tuple[np.ndarray, np.ndarray]]) -> Rows:
+        if isinstance(rows, Rows):
+            return rows
+        ids, tags = (np.concatenate([np.zeros(0, np.uint8), *[r[k] for r in rows]]) for k in (0, 1))
+        return Rows(ids, tags, np.array([len(r[0]) for r in rows], int))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.ends[i] - self.sizes[i], self.ends[i])
+        return self.ids[at], self.tags[at]
+
+
 def encode(left: str, value: str, right: str) -> tuple[np.ndarray, np.ndarray]:
     """Character classes (1-95 printable ASCII, 96 white space, 97 other) and place tags (1 left, 2 value, 3 right)."""
     return encode_all([left], [value], [right])[0]
 
 
-def encode_all(left: list[str], value: list[str], right: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def encode_all(left: list[str], value: list[str], right: list[str]) -> Rows:
     """Each candidate's classes and tags, found for all of them together."""
     parts = [x for of in zip(left, value, right, strict=True) for x in of]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ids = _CLASS[np.minimum(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4"), 127)]
     tags = np.repeat(np.tile(np.array([1, 2, 3], np.uint8), len(left)), sizes)
-    ends = np.cumsum(sizes)[2::3].tolist()
-    return [(ids[a:b], tags[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return Rows(ids, tags, sizes.reshape(-1, 3).sum(1))
 
 
 SHAPES = [(98, DEPTH), (4, DEPTH), (KERNEL * DEPTH, FILTERS), (FILTERS,), (2 * FILTERS,), (1,)]
@@ -226,12 +250,14 @@ class Network:
     def logits(self, most: np.ndarray, mean: np.ndarray) -> np.ndarray:
         return np.hstack([most, mean]) @ self.weights[4] + self.weights[5]
 
-    def pooled(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def pooled(self, rows: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Largest and mean activations of encoded candidates, AT_ONCE places at a time; long ones are cut into pieces that overlap by a kernel less one."""
         keep_memory()
-        pieces = _pieces(rows)
-        of, cut = np.array([p[0] for p in pieces], int), [p[1:] for p in pieces]
-        size = np.array([max(KERNEL, len(p[0])) for p in cut])
+        cut = Rows.of(rows)
+        if cut.sizes.max(initial=0) > PIECE:
+            pieces = _pieces(rows)
+            of, cut = np.array([p[0] for p in pieces]), Rows.of([p[1:] for p in pieces])
+        size = np.maximum(KERNEL, cut.sizes)
         order = np.argsort(-size, kind="stable")
         at = (np.cumsum(size[order]) - 1) // min(PLACES, AT_ONCE)
         picks = np.split(order, np.flatnonzero(np.diff(at)) + 1) if len(rows) else []
@@ -247,7 +273,7 @@ class Network:
             most, total, count = np.maximum.reduceat(most, first), np.add.reduceat(total, first), np.add.reduceat(count, first)
         return most, total / count.astype(total.dtype)[:, None]
 
-    def raw(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def raw(self, rows: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Logits of encoded candidates."""
         return self.logits(*self.pooled(rows))
 
@@ -255,15 +281,15 @@ class Network:
         """The threshold that keeps the least of the logits, a hair below it, as its sums end otherwise in another batch; a half without one."""
         return float(1 / (1 + np.exp(-np.clip(self.slope * min(logits) + self.offset, -40, 40)))) * (1 - 1e-9) if len(logits) else 0.5
 
-    def probabilities(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def probabilities(self, rows: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(rows) + self.offset, -40, 40)))
 
 
-def _pieces(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _pieces(rows: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return [(i, ids[at : at + PIECE + KERNEL - 1], tags[at : at + PIECE + KERNEL - 1]) for i, (ids, tags) in enumerate(rows) for at in range(0, max(1, len(ids) - KERNEL + 1), PIECE)]
 
 
-def chunks(rows: list[tuple[np.ndarray, np.ndarray]]):
+def chunks(rows: Sequence[tuple[np.ndarray, np.ndarray]]):
     """(rows that they are of, padded places) of pieces of like length, about AT_ONCE places at a time; long rows are cut into pieces that overlap by a kernel less one, so that each window is seen once."""
     pieces = sorted(_pieces(rows), key=lambda p: len(p[1]))
     at = 0
@@ -280,7 +306,7 @@ def keep_memory() -> None:
     np.empty(1 << 24, np.uint8)
 
 
-def padded(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def padded(rows: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(r[0]) for r in rows])
     ids = np.zeros((len(rows), max(KERNEL, lengths.max())), np.int64)
     tags = np.zeros_like(ids)
@@ -294,7 +320,7 @@ def balance(y: np.ndarray) -> np.ndarray:
     return np.array([0.5 * len(y) / max(1, (y == k).sum()) for k in (0, 1)])
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS) -> Network:
+def train(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS) -> Network:
     """Logistic loss by Adam, classes of equal weight."""
     state, steps = fresh_state()
     for epoch in range(epochs):
@@ -308,17 +334,17 @@ def fresh_state() -> tuple[np.ndarray, int]:
     return np.stack([flat, np.zeros_like(flat), np.zeros_like(flat)]), 0
 
 
-def one_epoch(state: np.ndarray, steps: float, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weights: np.ndarray, epoch: int, epochs: int, shard: int = 0) -> tuple[np.ndarray, float]:
+def one_epoch(state: np.ndarray, steps: float, rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weights: np.ndarray, epoch: int, epochs: int, shard: int = 0) -> tuple[np.ndarray, float]:
     """The state after an epoch over the rows, in single precision."""
     return next(shard_epochs(state, steps, [(shard, rows, y)], weights, epoch, epochs))
 
 
-def shard_epochs(state: np.ndarray, steps: float, shards: list[tuple[int, list[tuple[np.ndarray, np.ndarray]], np.ndarray]], weights: np.ndarray, epoch: int, epochs: int) -> Iterator[tuple[np.ndarray, float]]:
+def shard_epochs(state: np.ndarray, steps: float, shards: list[tuple[int, Sequence[tuple[np.ndarray, np.ndarray]], np.ndarray]], weights: np.ndarray, epoch: int, epochs: int) -> Iterator[tuple[np.ndarray, float]]:
     """The states of shards after an epoch, each from the same state by batches of its own; they go in step, so that a call of numpy serves all of them."""
     keep_memory()
     order = sorted(range(len(shards)), key=lambda k: -len(shards[k][1]))  # those that still have batches come first
-    rows, y = [r for k in order for r in shards[k][1]], np.concatenate([shards[k][2] for k in order])
-    lengths = np.array([len(r[0]) for r in rows])
+    rows, y = Rows.joined([Rows.of(shards[k][1]) for k in order]), np.concatenate([shards[k][2] for k in order])
+    lengths = rows.sizes
     picks, at = [], 0
     for shard, of, _ in (shards[k] for k in order):
         mixed = at + np.random.default_rng([SEED, epoch, shard]).permutation(len(of))
@@ -345,7 +371,7 @@ def shard_epochs(state: np.ndarray, steps: float, shards: list[tuple[int, list[t
         yield np.stack([p[k], m1[k], m2[k]]).astype(float), steps + len(picks[k])
 
 
-def _batch_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+def _batch_gradients(net: Network, rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Gradients of the weighted loss of a batch."""
     if not _short(np.array([len(r[0]) for r in rows])):
         return _long_gradients(net, rows, y, weight)
@@ -353,7 +379,7 @@ def _batch_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y:
     return [g[0] for g in _short_gradients([w[None] for w in net.weights], plan, y[plan.of], weight[plan.of])]
 
 
-def _long_gradients(net: Network, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+def _long_gradients(net: Network, rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Gradients of a batch whose rows are long, which is gone through twice, in chunks of bounded size."""
     most, total = np.zeros((2, len(rows), FILTERS), net.weights[2].dtype)
     count = np.zeros(len(rows), most.dtype)
@@ -406,12 +432,13 @@ def _short(lengths: np.ndarray) -> bool:
     return lengths.max() <= PIECE and lengths.max() * len(lengths) <= PLACES
 
 
-def _plans(rows: list[tuple[np.ndarray, np.ndarray]], turns: list[list[tuple[int, np.ndarray]]], nets: int, back: bool = True) -> Iterator[Plan | None]:
+def _plans(rows: Sequence[tuple[np.ndarray, np.ndarray]], turns: list[list[tuple[int, np.ndarray]]], nets: int, back: bool = True) -> Iterator[Plan | None]:
     """The plan of each turn's batches, (network, rows), worked out for AHEAD places at a time; None for none. Without the way back it has no chars, cuts and windows."""
-    rows = [r if len(r[0]) >= KERNEL else tuple(np.pad(x, (0, KERNEL - len(x))) for x in r) for r in rows]
-    size = np.array([len(r[0]) for r in rows])
-    codes = np.concatenate([r[0] for r in rows] or [np.zeros(0, np.uint8)]) * np.intp(TAGS) + np.concatenate([r[1] for r in rows] or [[]])
-    codes = codes.astype(np.intp, copy=False)
+    rows = Rows.of(rows)
+    if rows.sizes.min(initial=KERNEL) < KERNEL:
+        rows = Rows.of([r if len(r[0]) >= KERNEL else tuple(np.pad(x, (0, KERNEL - len(x))) for x in r) for r in rows])
+    size = rows.sizes
+    codes = rows.ids * np.intp(TAGS) + rows.tags
     used = np.bincount(codes, minlength=CODES) > 0
     alphabet, codes = np.flatnonzero(used), (np.cumsum(used) - 1).take(codes)
     start, held, places = np.cumsum(size) - size, [], 0
@@ -673,8 +700,7 @@ def _examples(t: pa.Table):
     for part in (False, True):
         mine = [r for r, h in zip(rows, held, strict=True) if h == part]
         coded = encode_all(*[[r[k] for r in mine] for k in range(3)])
-        made = [np.array([r[i] for r in mine], np.uint8) for i in (3, 4)] + [np.array([r[5] for r in mine], "<i2"), np.array([len(c[0]) for c in coded], "<i4")]
-        made += [np.concatenate([c[k] for c in coded] or [[]]).astype(np.uint8) for k in (0, 1)]
+        made = [np.array([r[i] for r in mine], np.uint8) for i in (3, 4)] + [np.array([r[5] for r in mine], "<i2"), coded.sizes.astype("<i4"), coded.ids, coded.tags]
         cols = [pa.array([shard], pa.int32()), pa.array([part]), *[pa.array([x.tobytes()], pa.binary()) for x in made]]
         yield pa.record_batch(cols, names=[c.split()[0] for c in _EXAMPLES.split(", ")])
 
@@ -684,8 +710,7 @@ def _decoded(batch: pa.RecordBatch):
     kinds = {"y": np.uint8, "keyed": np.uint8, "kinds": "<i2", "lengths": "<i4", "ids": np.uint8, "tags": np.uint8}
     for i, shard in enumerate(batch.column("shard").to_pylist()):
         x = {c: np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in kinds.items()}
-        ends = np.cumsum(x["lengths"])
-        yield shard, [(x["ids"][a:b], x["tags"][a:b]) for a, b in zip(ends - x["lengths"], ends, strict=True)], x["y"].astype(int), x["keyed"], x["kinds"]
+        yield shard, Rows(x["ids"], x["tags"], x["lengths"].astype(int)), x["y"].astype(int), x["keyed"], x["kinds"]
 
 
 def examples(looked: DataFrame) -> DataFrame | None:
